@@ -29,8 +29,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import _text as T
+from ._pretokens import ByteEncoder
 from ._spark import fresh_path
-from ._tokens import Encoder, text_runs
 
 BLOCK = 1 << 21
 END = 0
@@ -89,31 +90,33 @@ def write_token_files(docs: DataFrame, path: str, out: str, id_col: str = "doc_i
         from pyspark import TaskContext
 
         part, number = TaskContext.get().partitionId(), 0
-        encoder = Encoder.get(path)
-        stop = np.array([end], dtype="<u4")
-        names: list = []
-        lengths: list[int] = []
+        encoder = ByteEncoder.get(path)
+        names: list[pa.Array] = []
+        lengths: list[np.ndarray] = []
         parts: list[np.ndarray] = []
         held = 0
 
         def closed() -> pa.RecordBatch:
             ranked, control, data = pack(np.concatenate(parts))
-            arrays = [pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([names], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int32())),
+            docs_ = pa.concat_arrays(names)
+            n = np.concatenate(lengths)
+            one = np.array([0, len(n)], np.int32)
+            arrays = [pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.ListArray.from_arrays(one, docs_), pa.ListArray.from_arrays(one, pa.array(n.astype(np.int32))),
                       pa.array([ranked], pa.binary()), pa.array([control], pa.binary()), pa.array([data], pa.binary())]
             return pa.RecordBatch.from_arrays(arrays, names=["part", "block", "doc_ids", "lengths", "ranked", "control", "data"])
 
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in text_runs(texts):
-                for doc, e in zip(ids[a:b], encoder.encode_batch([t or "" for t in texts[a:b]]), strict=True):
-                    names.append(doc)
-                    lengths.append(len(e) + 1)
-                    parts += [e, stop]
-                    held += len(e) + 1
-                    if held >= block:
-                        yield closed()
-                        number, held = number + 1, 0
-                        names, lengths, parts = [], [], []
+            buf, off = T.raw(batch.column(1))
+            for a, b in T.row_groups(off):
+                ids, n = encoder.encode(buf[off[a] : off[b]], off[a : b + 1] - off[a])
+                names.append(batch.column(0).slice(a, b - a))
+                lengths.append(n + 1)
+                parts.append(np.insert(ids, np.cumsum(n), end))
+                held += len(parts[-1])
+                if held >= block:
+                    yield closed()
+                    number, held = number + 1, 0
+                    names, lengths, parts = [], [], []
         if names:
             yield closed()
 
