@@ -24,10 +24,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SAMPLE_ROWS = 256
-DICT_BYTES = 64 << 10
-PIECE = 2048
-LEVEL = 1
+SAMPLE_ROWS = 512
+DICT_BYTES = 112 << 10
+PIECE = 1024
+LEVEL = 6
 REJECT = 0.02
 #: margin at which the score is 1 - 1/e
 SCALE = 0.05
