@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, license_scan, mixing, token_counts, token_output, toxicity
+from . import decontamination, language_id, license_scan, mixing, token_counts, token_output, topk_search, toxicity
 from ._spark import table
 
 
@@ -47,9 +47,18 @@ def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.token_digest(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def op9_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = topk_search.codes(table(spark, sf_dir, "embeddings"))
+    return topk_search.top_k(codes.where("id % 100 = 0"), codes)
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[:2] == "op" and k[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_source_mixing": mixing.ORACLE_SQL}
+    return {"op4_source_mixing": mixing.ORACLE_SQL, "op9_topk_search": topk_search.ORACLE_SQL, "op10_decontamination": decontamination.ORACLE_SQL}
