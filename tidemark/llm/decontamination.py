@@ -1,7 +1,7 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame functions only.
 
 A question whose numbers or names were changed is still the question. Texts and benchmark items become the same kind of
-template: words in lower case, but `#n` for a number, `#u` for a unit of measurement right after a number, and `#p` for a
+template: words in lower case, but one placeholder for a number, one for a unit of measurement right after a number, and one for a
 name (a capitalised word that does not begin a sentence). All windows of WINDOW template words of all documents are hashed
 and joined to those of the items. Matches of one item on one diagonal (document position less item position) are one
 passage; it counts when it covers PASSAGE words or COVER of the item. Then its slots are checked: over the passage, each value
@@ -36,60 +36,56 @@ BROADCAST = 500_000
 UNITS = ["mm", "cm", "m", "km", "in", "inch", "inches", "ft", "foot", "feet", "yd", "yard", "yards", "mi", "mile", "miles", "mg", "g", "kg", "gram", "grams", "kilogram", "kilograms", "lb", "lbs", "pound", "pounds", "oz", "ounce", "ounces", "ton", "tons", "ml", "l", "liter", "liters", "litre", "litres", "gal", "gallon", "gallons", "s", "sec", "second", "seconds", "min", "minute", "minutes", "h", "hr", "hour", "hours", "day", "days", "week", "weeks", "month", "months", "year", "years", "percent", "dollar", "dollars", "cent", "cents", "euro", "euros", "usd", "eur", "mph", "kmh", "c", "f", "k", "meter", "meters", "metre", "metres", "kilometer", "kilometers"]
 
 _SPLIT = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: stands before a word that begins a sentence
-_MARK = "¶"
-#: stands for the point inside a number
-_POINT = "¤"
+_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
+#: what a number doesn't follow inside a word: the mark of a sentence is no part of it
+_IN = r"^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F\ue003"
+# private characters, one a word: a number, a unit, a name; before a word that begins a sentence; for the point inside a number
+NUMBER, UNIT, NAME, _MARK, _POINT = "\ue000", "\ue001", "\ue002", "\ue003", "\ue004"
+_SLOTS = [NUMBER, UNIT, NAME]
 
 
-def marked_words(text: Column) -> Column:
-    """Words as written, each one that begins a sentence with _MARK before it; a number with its points is one word."""
-    t = F.coalesce(text, F.lit(""))
-    for _ in range(2):  # the second time joins what the first had to step over
-        t = F.regexp_replace(t, "([0-9])[.,:]([0-9])", f"$1{_POINT}$2")
-    t = F.regexp_replace(t, "([0-9])([A-Za-z])", "$1 $2")
-    t = F.regexp_replace(F.concat(F.lit("."), t), r"[.!?:;\n|][\s\x22\x27(]*", f" {_MARK}")
-    return F.filter(F.split(t, _SPLIT), lambda w: (w != "") & (w != _MARK))
+def marked(text: Column) -> Column:
+    """The text with _MARK before each word that begins a sentence; a number with its points is one word, and ends before a letter."""
+    # every pattern begins with a plain class, so that most characters fail at the first test
+    t = F.regexp_replace(F.concat(F.lit("\n"), F.coalesce(text, F.lit(""))), "[.,:](?<=[0-9].)(?=[0-9])", _POINT)
+    t = F.regexp_replace(t, "([0-9])(?=[A-Za-z])", "$1 ")
+    return F.regexp_replace(t, r"[.!?:;\n|][\s\x22\x27(]*", f" {_MARK}")
 
 
-def _number(w: Column) -> Column:
-    return (w >= "0") & (w < ":") | (w >= _MARK + "0") & (w < _MARK + ":")
+def words_of(t: Column) -> Column:
+    """The words of a marked text, with their marks; a mark alone is no word."""
+    t = F.regexp_replace(t, f"{_MARK}(?!{_WORD})", " ")
+    return F.split(F.trim(F.regexp_replace(t, _SPLIT, " ")), " ")
 
 
-def template(words: Column) -> Column:
-    """The template word of each marked word."""
-
-    def one(w: Column, i: Column) -> Column:
-        capital = (w >= "A") & (w < "[") | (w >= "À") & (w < "ß")
-        return (
-            F.when(_number(w), F.lit("#n"))
-            .when(capital, F.lit("#p"))
-            .when((i > 0) & F.lower(w).isin(UNITS), F.when(_number(F.element_at(words, F.greatest(i, F.lit(1)))), F.lit("#u")).otherwise(F.lower(w)))
-            .otherwise(F.lower(F.translate(w, _MARK, "")))
-        )
-
-    return F.transform(words, one)
+def canonical(t: Column) -> Column:
+    """The words of a marked text with each number, unit and name as one private character, after one empty word; as many as words_of gives."""
+    t = F.regexp_replace(t, f"[0-9](?<![{_IN}][0-9]){_WORD}*", NUMBER)
+    t = F.regexp_replace(t, f"({NUMBER}{_SPLIT})(?:{'|'.join(sorted(UNITS, key=len, reverse=True))})(?!{_WORD})", f"$1{UNIT}")
+    t = F.regexp_replace(t, f"[A-Z\u00c0-\u00de](?<!{_WORD}[A-Z\u00c0-\u00de]){_WORD}*", NAME)
+    return F.split(F.lower(t), f"{_SPLIT[:-2]}{_MARK}]+")
 
 
 def _windows(words: Column, n: int) -> Column:
-    """Hashes of all windows of n template words, by position from 0; an empty array when there are fewer words."""
+    """Hashes of all windows of n template words, by position from 0 (the empty word in front is skipped); an empty array when there are fewer words."""
     h = lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(n)])
-    return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(0), F.size(words) - n), h)).otherwise(F.array().cast("array<bigint>"))
+    return F.when(F.size(words) > n, F.transform(F.sequence(F.lit(1), F.size(words) - n), h)).otherwise(F.array().cast("array<bigint>"))
 
 
 def _literals(words: Column, at: Column, n: Column) -> Column:
-    return F.size(F.filter(F.slice(words, at + 1, n), lambda w: ~F.startswith(w, F.lit("#"))))
+    return F.size(F.filter(F.slice(words, at + 2, n), lambda w: ~w.isin(_SLOTS)))
 
 
 def item_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """item_id, words (marked), canon, n_words, len, windows (positions and hashes with enough literal words) of the items."""
     rows = items.select(F.col(id_col).alias("item_id"), F.col(text_col).cast("string").alias("text")).where(F.col("text").isNotNull()).dropDuplicates()
-    rows = rows.withColumn("words", marked_words(F.col("text"))).withColumn("canon", template(F.col("words")))
-    rows = rows.withColumn("n_words", F.size("words")).where(F.col("n_words") >= MIN_WORDS).withColumn("len", F.least(F.col("n_words"), F.lit(WINDOW)))
+    rows = rows.select("item_id", F.explode(F.array(F.struct(words_of(marked(F.col("text"))).alias("words"), canonical(marked(F.col("text"))).alias("canon")))).alias("w")).select("item_id", "w.words", "w.canon")
+    rows = rows.withColumn("n_words", F.size(F.filter("words", lambda w: w != ""))).where(F.col("n_words") >= MIN_WORDS).withColumn("len", F.least(F.col("n_words"), F.lit(WINDOW)))
     hashes = None
     for n in range(MIN_WORDS, WINDOW + 1):
         hashes = F.when(F.col("len") == n, _windows(F.col("canon"), n)) if hashes is None else hashes.when(F.col("len") == n, _windows(F.col("canon"), n))
     rows = rows.select("item_id", "words", "canon", "n_words", "len", F.posexplode(hashes).alias("at", "window"))
+    rows = rows.where(F.col("at") + F.col("len") <= F.col("n_words"))  # a text's last mark leaves an empty word
     enough = F.least(F.lit(MIN_LITERAL), F.ceil(F.col("len") * 0.75))
     return rows.where(_literals(F.col("canon"), F.col("at"), F.col("len")) >= enough)
 
@@ -101,9 +97,10 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     lengths = [r[0] for r in items_.select("len").distinct().collect()]  # at most WINDOW values
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where(F.col("text").isNotNull())
     rows = rows.withColumn("row", F.xxhash64("doc_id", "text"))
-    words = template(marked_words(F.col("text")))
-    all_ = rows.select("row", words.alias("canon")).select("row", F.array(*[F.struct(F.lit(k).alias("len"), _windows(F.col("canon"), k).alias("hashes")) for k in lengths] or [F.struct(F.lit(0).alias("len"), F.array().cast("array<bigint>").alias("hashes"))]).alias("w"))
-    each = all_.select("row", F.explode("w").alias("w")).select("row", F.col("w.len").alias("len"), F.posexplode("w.hashes").alias("pos", "window"))
+    # each generator over one array keeps what it holds from being computed anew for every element further on
+    canon = rows.select("row", F.explode(F.array(canonical(marked(F.col("text"))))).alias("canon"))
+    per_length = F.array(*[F.struct(F.lit(k).alias("len"), _windows(F.col("canon"), k).alias("hashes")) for k in lengths] or [F.struct(F.lit(0).alias("len"), F.array().cast("array<bigint>").alias("hashes"))])
+    each = canon.select("row", F.explode(per_length).alias("w")).select("row", F.col("w.len").alias("len"), F.posexplode("w.hashes").alias("pos", "window"))
     targets = items_.select("item_id", "len", "window", "at", "n_words")
     hits = each.join(broadcast_if_small(targets, n, BROADCAST), ["len", "window"]).withColumn("diagonal", F.col("pos") - F.col("at"))
     # one row per passage; equal rows of the input count once
@@ -112,13 +109,13 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     passages = cut(passages.where((F.col("words_matched") >= PASSAGE) | (F.col("coverage") >= COVER)))
     found = passages.count()
     mine = rows.join(broadcast_if_small(passages.select("row").distinct(), found), "row", "left_semi").dropDuplicates(["row"])
-    mine = mine.select("row", "doc_id", marked_words(F.col("text")).alias("doc_words"))
+    mine = mine.select("row", "doc_id", F.explode(F.array(words_of(marked(F.col("text"))))).alias("doc_words"))
     text_of = items_.select("item_id", "n_words", F.col("words").alias("item_words"), "canon").dropDuplicates(["item_id", "n_words", "item_words"])
     pairs = passages.join(mine, "row").join(broadcast_if_small(text_of, n, BROADCAST // 10), ["item_id", "n_words"])
     bare = lambda w: F.lower(F.translate(w, _MARK, ""))
     # the words that the passage's windows cover, then those of them that are slots
     covered = F.array_distinct(F.flatten(F.transform("at", lambda a: F.sequence(a, a + F.col("len") - 1))))
-    slots = F.filter(covered, lambda i: F.startswith(F.get("canon", i), F.lit("#")))
+    slots = F.filter(covered, lambda i: F.get("canon", i + 1).isin(_SLOTS))
     pair = F.transform(slots, lambda i: F.struct(bare(F.get("item_words", i)).alias("a"), bare(F.get("doc_words", i + F.col("diagonal"))).alias("b")))
     pairs = pairs.withColumn("pairs", F.array_distinct(pair)).withColumn("n_slots", F.size(slots))
     values = lambda k: F.size(F.array_distinct(F.transform("pairs", lambda p: p[k])))
@@ -135,18 +132,18 @@ def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
 
 def _sql_words(text: str) -> str:
     t = f"coalesce({text}, '')"
-    for _ in range(2):
+    for _ in range(2):  # no look-ahead here: the second time joins what the first had to step over
         t = rf"regexp_replace({t}, '([0-9])[.,:]([0-9])', '\1{_POINT}\2', 'g')"
     t = rf"regexp_replace({t}, '([0-9])([A-Za-z])', '\1 \2', 'g')"
-    t = rf"regexp_replace('.' || {t}, '[.!?:;\n|][\s\x22\x27(]*', ' {_MARK}', 'g')"
+    t = rf"regexp_replace({t}, '(?:^|[.!?:;\n|])[\s\x22\x27(]*', ' {_MARK}', 'g')"
     return f"list_filter(string_split_regex({t}, '{_SPLIT}'), lambda w: w <> '' AND w <> '{_MARK}')"
 
 
 def _sql_template(words: str) -> str:
     number = lambda w: f"regexp_matches({w}, '^{_MARK}?[0-9]')"
     units = ", ".join(f"'{u}'" for u in UNITS)
-    return (f"list_transform({words}, lambda w, i: CASE WHEN {number('w')} THEN '#n' WHEN regexp_matches(w, '^[A-ZÀ-Þ]') THEN '#p' "
-            f"WHEN i > 1 AND lower(w) IN ({units}) AND {number(f'{words}[i - 1]')} THEN '#u' ELSE lower(replace(w, '{_MARK}', '')) END)")
+    return (f"list_transform({words}, lambda w, i: CASE WHEN {number('w')} THEN '{NUMBER}' WHEN regexp_matches(w, '^[A-Z\u00c0-\u00de]') THEN '{NAME}' "
+            f"WHEN i > 1 AND w IN ({units}) AND {number(f'{words}[i - 1]')} THEN '{UNIT}' ELSE lower(replace(w, '{_MARK}', '')) END)")
 
 
 ORACLE_SQL = f"""
@@ -154,20 +151,20 @@ WITH d0 AS (SELECT DISTINCT doc_id, text, {_sql_words("text")} AS words FROM doc
 d AS (SELECT doc_id, text, words, {_sql_template("words")} AS canon FROM d0),
 b0 AS (SELECT DISTINCT item_id, {_sql_words("text")} AS words FROM benchmark WHERE text IS NOT NULL),
 b AS (SELECT item_id, words, {_sql_template("words")} AS canon, len(words) AS n_words, least(len(words), {WINDOW}) AS n FROM b0 WHERE len(words) >= {MIN_WORDS}),
-bw AS (SELECT item_id, words AS item_words, canon AS item_canon, n_words, n, unnest(range(0, n_words - n + 1)) AS at FROM b),
+bw AS (SELECT item_id, words AS item_words, canon AS item_canon, n_words, n, unnest(range(0, n_words - n + 1)) AS k FROM b),
 bx AS (
-  SELECT *, array_to_string(item_canon[at + 1 : at + n], ' ') AS win FROM bw
-  WHERE len(list_filter(item_canon[at + 1 : at + n], lambda w: w[1] <> '#')) >= least({MIN_LITERAL}, ceil(n * 0.75))),
+  SELECT *, array_to_string(item_canon[k + 1 : k + n], ' ') AS win FROM bw
+  WHERE len(list_filter(item_canon[k + 1 : k + n], lambda w: w NOT IN ('{NUMBER}', '{UNIT}', '{NAME}'))) >= least({MIN_LITERAL}, ceil(n * 0.75))),
 ns AS (SELECT DISTINCT n FROM b),
 dw AS (SELECT doc_id, text, words, canon, ns.n, unnest(range(0, len(canon) - ns.n + 1)) AS pos FROM d, ns WHERE len(canon) >= ns.n),
 dx AS (SELECT doc_id, text, n, pos, array_to_string(canon[pos + 1 : pos + n], ' ') AS win FROM dw),
 p AS (
-  SELECT doc_id, text, item_id, item_words, item_canon, n_words, dx.n, pos - at AS diagonal, list_sort(list(DISTINCT at)) AS ats
+  SELECT doc_id, text, item_id, item_words, item_canon, n_words, dx.n, pos - k AS diagonal, list_sort(list(DISTINCT k)) AS ks
   FROM dx JOIN bx ON dx.n = bx.n AND dx.win = bx.win GROUP BY ALL),
-q AS (SELECT *, least(n_words, len(ats) + n - 1) AS words_matched FROM p),
+q AS (SELECT *, least(n_words, len(ks) + n - 1) AS words_matched FROM p),
 r AS (
   SELECT q.*, d.words AS doc_words,
-         list_filter(list_distinct(flatten(list_transform(ats, lambda a: range(a, a + n)))), lambda i: item_canon[i + 1][1] = '#') AS slots
+         list_filter(list_distinct(flatten(list_transform(ks, lambda a: range(a, a + n)))), lambda i: item_canon[i + 1] IN ('{NUMBER}', '{UNIT}', '{NAME}')) AS slots
   FROM q JOIN d ON q.doc_id IS NOT DISTINCT FROM d.doc_id AND q.text = d.text
   WHERE words_matched >= {PASSAGE} OR words_matched / n_words >= {COVER}),
 s AS (
@@ -175,7 +172,7 @@ s AS (
          list_distinct(list_transform(slots, lambda i: lower(replace(item_words[i + 1], '{_MARK}', '')))) AS a_,
          list_distinct(list_transform(slots, lambda i: lower(replace(doc_words[i + diagonal + 1], '{_MARK}', '')))) AS b_
   FROM r)
-SELECT doc_id, item_id, words_matched::INTEGER AS words_matched, (words_matched / n_words)::DOUBLE AS coverage, (diagonal + ats[1])::INTEGER AS first_word, len(slots)::INTEGER AS n_slots
+SELECT doc_id, item_id, words_matched::INTEGER AS words_matched, (words_matched / n_words)::DOUBLE AS coverage, (diagonal + ks[1])::INTEGER AS first_word, len(slots)::INTEGER AS n_slots
 FROM s WHERE len(ab) = len(a_) AND len(ab) = len(b_)
 QUALIFY row_number() OVER (PARTITION BY doc_id, text, item_id ORDER BY words_matched DESC, diagonal) = 1
 """

@@ -140,6 +140,18 @@ def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     return found.withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))
 
 
+def clean(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The documents that score under the threshold, with all their columns; texts are scored in place, nothing is joined or shuffled."""
+    sent_ = docs.sparkSession.sparkContext.broadcast(tuple(model))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Model(*sent_.value)
+        for batch in batches:
+            yield batch.filter(pa.array(scores(batch.column(batch.schema.get_field_index(text_col)), model)[0] < threshold))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def scores(col: pa.Array, model: Model) -> tuple[np.ndarray, ...]:
     """Per row: score, sentences, start and end of the worst sentence's words (-1: none), its chance."""
     buf, off = T.raw(col)
