@@ -5,15 +5,15 @@ node from the start, so copies are never expanded into pairs.
 
 1. Which sets can link at all. In any fixed order of tokens, two sets that link share their first min(k_x, k_y) common tokens
    within their prefixes of length n - ceil(.8 n) + k. In hash order with k = ceil(.1 n), a set has to have ceil(.08 n)
-   tokens in its prefix that stand in another set's prefix too. All others are settled by exploding under a third of
-   their tokens.
+   tokens in its prefix that stand in another row's prefix too. All others are settled by exploding under a third of their
+   tokens. A task leaves out copies of what it has met; copies in different tasks only let a set through to step 2.
 2. Token-combination prefixes. The rest order their tokens from rare to frequent (over all sets left; the order is global) and
    extend the prefix by one token: two sets that link then share two prefix tokens at least. Tokens of one set are dropped.
 3. Stars. Every prefix token proposes three pivots of its own; members are verified against them. That joins groups of
    near copies of any size with a number of pairs in proportion to their rows.
 4. Completeness. Tokens whose sets are all in one component need nothing more. Of the others, a rare token (at most
    RARE sets) is indexed alone, a frequent one only in combinations of two. Pairs of different components under one
-   index entry that pass the size bounds are verified. Nothing is capped: every link between different texts is
+   index entry are verified if their sizes and the entry's positions in both orders leave room for enough common tokens. Nothing is capped: every link between different texts is
    found, or lies inside a component that is already joined.
 5. Components by alternating large and small stars, each step a join, written to the shared folder.
 
@@ -39,6 +39,10 @@ from ._spark import broadcast_if_small, cut
 SHINGLE = 5
 #: similarity in hundredths
 PERCENT = 80
+#: tokens that the first prefix has besides, in hundredths of the set
+EXTRA = 10
+#: of a token's hash in the first step, which only has to let through what can link
+BITS = 48
 #: sets up to which a token is indexed alone
 RARE = 16
 
@@ -74,15 +78,24 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, row, n, node and the prefix in hash order."""
+    """doc_id, row, n, node."""
     for batch in batches:
-        n, node, prefix = [], [], []
-        for s in shingle_sets(batch.column(2)):
-            k = len(s)
-            n.append(k)
-            node.append(_node(s) if k else None)
-            prefix.append(s[: k - _ceil(k, PERCENT) + _ceil(k, 10)].copy())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(node, pa.int64()), _lists(prefix)], names=["doc_id", "row", "n", "node", "prefix"])
+        sets = [(len(s), _node(s) if len(s) else None) for s in shingle_sets(batch.column(2))]
+        n, node = zip(*sets, strict=True) if sets else ((), ())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(node, pa.int64())], names=["doc_id", "row", "n", "node"])
+
+
+def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node and the prefix in hash order, in BITS bits a token, of each set that this task meets for the first time."""
+    seen: set[int] = set()
+    for batch in batches:
+        nodes, prefix = [], []
+        for s in shingle_sets(batch.column(0)):
+            if (k := len(s)) and (x := _node(s)) not in seen:
+                seen.add(x)
+                nodes.append(x)
+                prefix.append(s[: k - _ceil(k, PERCENT) + _ceil(k, EXTRA)] >> T.U64(64 - BITS))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), _lists(prefix)], names=["node", "prefix"])
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,35 +130,44 @@ def verified(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
 
 
 def _apart(x: DataFrame, key: str) -> DataFrame:
-    """Rows of x under keys that still meet different components; rows: node, n, lone, comp and the key."""
+    """Rows of x under keys that still meet different components; rows: node, comp, the key and more."""
     open_ = x.groupBy(key).agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("many")).where("c0 <> c1").select(key, "many")
     return x.join(open_, key)
 
 
 def link_nodes(base: DataFrame, rows: DataFrame) -> DataFrame:
-    """node, comp of all nodes that link; base: node, n, prefix, doc_id; rows: doc_id, text."""
-    sets = base.where("node IS NOT NULL")
-    each = sets.groupBy("node").agg(F.any_value("prefix").alias("prefix")).select("node", F.explode("prefix").alias("token"))
+    """node, comp of all nodes that link; base: node, n, row; rows: doc_id, text."""
+    each = rows.select("text").mapInArrow(_prefixes, "node long, prefix array<long>").select("node", F.explode("prefix").alias("token"))
     shared = each.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1").select("token")
     hits = each.join(shared, "token").groupBy("node").agg(F.count(F.lit(1)).alias("hits"))
-    active = sets.groupBy("node").agg(F.max("n").alias("n"), F.min("doc_id").alias("doc_id")).join(hits, "node")
-    active = cut(active.where(F.col("hits") >= F.floor((F.col("n") * 8 + 99) / 100)).select("node", "doc_id"))
+    own = base.where("node IS NOT NULL").groupBy("node", "row").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("times"))
+    own = own.groupBy("node").agg(F.max("n").alias("n"), F.min(F.struct("row", "times")).alias("r")).join(hits, "node")
+    active = cut(own.where(F.col("hits") * 1000 >= F.col("n") * (EXTRA * PERCENT // 10)).select("node", "r.*"))
     many = active.count()
-    texts = rows.join(broadcast_if_small(active.select("doc_id").distinct().toDF("_id"), many), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select("text")
-    tokens = texts.mapInArrow(_tokens, "node long, tokens array<long>").join(broadcast_if_small(active.select("node"), many), "node", "left_semi")
-    tokens = cut(tokens.groupBy("node").agg(F.any_value("tokens").alias("tokens")))
 
-    each = tokens.select("node", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+    def taken(chosen: DataFrame) -> DataFrame:
+        ids = broadcast_if_small(chosen.select(F.col("row").alias("_row")), many)
+        texts = rows.join(ids, F.xxhash64("doc_id", "text") == F.col("_row"), "left_semi").select("text")
+        return texts.mapInArrow(_tokens, "node long, tokens array<long>")
+
+    tokens, often = taken(active.where("times = 1")), active.where("times > 1")
+    if not often.isEmpty():  # rows that repeat to the letter
+        tokens = tokens.union(taken(often).groupBy("node").agg(F.any_value("tokens").alias("tokens")))
+    tokens = cut(tokens)
+
+    each = tokens.select("node", F.explode("tokens").alias("token"))
     df = each.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    mine = each.join(df, "token").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("order"))  # one document's own tokens
+    mine = each.join(df, "token").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("order"))  # one document's own tokens
+    mine = mine.join(tokens.select("node", F.size("tokens").alias("n")), "node")
     need = F.floor((F.col("n") * PERCENT + 99) / 100)
     mine = mine.withColumn("lone", F.col("n") - F.size("order")).where(F.size("order") >= need)
-    prefix = mine.select("node", "n", "lone", F.explode(F.slice("order", 1, (F.col("n") - need + 2 - F.col("lone")).cast("int"))).alias("o")).select("node", "n", "lone", "o.token")
+    prefix = mine.select("node", "n", "lone", F.posexplode(F.slice("order", 1, (F.col("n") - need + 2 - F.col("lone")).cast("int"))).alias("p", "o"))
+    prefix = prefix.select("node", "n", "lone", (F.col("lone") + F.col("p")).alias("at"), "o.token")
     prefix = cut(prefix)
 
-    who = F.struct("node", "n")
-    pivots = prefix.groupBy("token").agg(F.min(who).alias("p0"), F.max(who).alias("p1"), F.min(F.struct(F.xxhash64("node").alias("h"), "node", "n")).alias("p2")).where("p0 <> p1")
-    pivots = pivots.select("token", "p0", "p1", F.struct("p2.node", "p2.n").alias("p2"))
+    # the least changed set of a group of near copies has the fewest tokens of its own, and links with the most others
+    ranks = [F.struct("lone", F.xxhash64("node").alias("h"), "node", "n"), F.struct("lone", (-F.xxhash64("node")).alias("h"), "node", "n"), F.struct(F.lit(0).alias("lone"), F.xxhash64("node").alias("h"), "node", "n")]
+    pivots = prefix.groupBy("token").agg(*[F.min(r).alias(f"p{i}") for i, r in enumerate(ranks)], F.count(F.lit(1)).alias("many")).where("many > 1").drop("many")
     fits = lambda n, m: F.least(n, m) * 100 >= PERCENT * F.greatest(n, m)
     stars = prefix.join(pivots, "token").select("node", "n", F.array_distinct(F.array("p0", "p1", "p2")).alias("p"))
     stars = stars.select("node", F.explode(F.filter("p", lambda p: (p["node"] != F.col("node")) & fits(p["n"], F.col("n")))).alias("p"))
@@ -154,15 +176,16 @@ def link_nodes(base: DataFrame, rows: DataFrame) -> DataFrame:
     comp = components(first)
 
     x = prefix.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    x = cut(_apart(x, "token"))
-    alone = x.where(F.col("many") <= RARE).select("node", "n", "lone", "comp", F.col("token").alias("sig"))
-    group = x.where(F.col("many") > RARE).groupBy("node", "n", "lone", "comp").agg(F.array_sort(F.collect_list("token")).alias("t"))
-    two = F.flatten(F.transform("t", lambda v, i: F.transform(F.slice("t", i + 2, F.size("t")), lambda w: F.xxhash64(v, w))))
-    pairs_of = _apart(group.select("node", "n", "lone", "comp", F.explode(two).alias("sig")), "sig").drop("many")
+    x = cut(_apart(x.drop("lone"), "token"))
+    alone = x.where(F.col("many") <= RARE).select("node", "n", "comp", "at", F.col("token").alias("sig"))
+    group = x.where(F.col("many") > RARE).groupBy("node", "n", "comp").agg(F.array_sort(F.collect_list(F.struct("at", "token"))).alias("t"))
+    two = F.flatten(F.transform("t", lambda v, i: F.transform(F.slice("t", i + 2, F.size("t")), lambda w: F.struct(w["at"].alias("at"), F.xxhash64(v["token"], w["token"]).alias("sig")))))
+    pairs_of = _apart(group.select("node", "n", "comp", F.explode(two).alias("s")).select("node", "n", "comp", "s.at", "s.sig"), "sig").drop("many")
     entries = alone.unionByName(pairs_of)
     a, b = entries.alias("x"), entries.alias("y")
-    known = lambda s: F.col(f"{s}.n") - F.col(f"{s}.lone")  # noqa: E731  tokens that another set has
-    bound = F.least(known("x"), known("y")) * 100 >= PERCENT * (F.greatest(known("x"), known("y")) + F.col("x.lone") + F.col("y.lone"))
+    # a link meets under its first two common tokens (or one of them): one common token at most comes before the entry's last
+    most = 1 + F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
+    bound = most * (100 + PERCENT) >= PERCENT * (F.col("x.n") + F.col("y.n"))
     rest = a.join(b, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp")) & bound)
     rest = rest.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
     more = cut(verified(rest, tokens))
@@ -174,7 +197,7 @@ def link_nodes(base: DataFrame, rows: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and row (hash of id and text) of every document."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    base = rows.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text").mapInArrow(_signed, "doc_id long, row long, n long, node long, prefix array<long>")
+    base = rows.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text").mapInArrow(_signed, "doc_id long, row long, n long, node long")
     base = cut(base)
     linked = cut(link_nodes(base, rows))
     small = base.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("low"))
