@@ -19,8 +19,8 @@ import numpy as np
 from . import _text as T
 
 #: entries a worker keeps before it starts again
-MEMO = 1_200_000
-_SLOTS = 1 << 22
+MEMO = 500_000
+_SLOTS = 1 << 21
 _Q = 0xD6E8FEB86659FD93
 _QINV = pow(_Q, -1, 1 << 64)
 _QPOW: list[np.ndarray] = []

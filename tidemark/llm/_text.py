@@ -13,7 +13,7 @@ import pyarrow as pa
 
 U64 = np.uint64
 #: bytes handled at a time; bounds the memory of the arrays of 8 bytes a byte below
-PIECE = 2 << 20
+PIECE = 512 << 10
 _P = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_P, -1, 1 << 64)
 

@@ -138,29 +138,40 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "
     out_schema = docs.select(*columns).schema
 
     def slice_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        used: dict[tuple[int, int], int] = {}
         for batch in batches:
             t = pa.Table.from_batches([batch])
-            texts, lists = t.column(text_col).to_pylist(), t.column("_places").to_pylist()
-            take, text = [], []
-            used: dict[int, int] = {}
-            for i, (x, places_) in enumerate(zip(texts, lists, strict=True)):
-                buf = (x or "").encode()
+            texts, lists, keys = t.column(text_col), t.column("_places"), t.column("_key")
+            take, text, held = [], [], 0
+
+            def done() -> Iterator[pa.RecordBatch]:
+                got = t.select(columns).take(pa.array(take, pa.int64()))
+                at = columns.index(text_col)
+                got = got.set_column(at, pa.field(text_col, pa.string()), pa.array(text, pa.string()))
+                if chars_col in columns:
+                    at = columns.index(chars_col)
+                    got = got.set_column(at, pa.field(chars_col, got.schema.field(at).type), pa.array([len(x) for x in text], pa.int64()).cast(got.schema.field(at).type))
+                yield from got.combine_chunks().to_batches()
+
+            for i in range(t.num_rows):
+                buf = (texts[i].as_py() or "").encode()
                 w = T.Words(np.frombuffer(buf, np.uint8), np.array([0, len(buf)]), T.SOLID, hashes=False)
-                fit = [p["_place"] for p in places_ if p["_size"] == len(w.abs_start)]
+                fit = [p["_place"] for p in lists[i].as_py() if p["_size"] == len(w.abs_start)]
                 if not fit:
                     continue
-                k = used.get(key_ := hash((t.column("_key")[i].as_py(), len(w.abs_start))), 0)
-                used[key_] = k + 1
+                one = (keys[i].as_py(), len(w.abs_start))
+                k = used.get(one, 0)
+                if len(fit) > 1:  # rows that share id, source and size take their places in turn
+                    used[one] = k + 1
                 for piece in pieces(len(w.abs_start), **fit[k % len(fit)]):
                     take.append(i)
                     text.append("\n".join(buf[w.abs_start[a] : w.abs_end[b - 1]].decode() for a, b in piece))
-            got = t.select(columns).take(pa.array(take, pa.int64()))
-            at = columns.index(text_col)
-            got = got.set_column(at, pa.field(text_col, pa.string()), pa.array(text, pa.string()))
-            if chars_col in columns:
-                at = columns.index(chars_col)
-                got = got.set_column(at, pa.field(chars_col, got.schema.field(at).type), pa.array([len(x) for x in text], pa.int64()).cast(got.schema.field(at).type))
-            yield from got.combine_chunks().to_batches()
+                    held += len(text[-1])
+                if held >= 4 << 20:  # a batch goes out in parts
+                    yield from done()
+                    take, text, held = [], [], 0
+            yield from done()
+            pa.default_memory_pool().release_unused()
 
     return rows.mapInArrow(slice_, out_schema)
 

@@ -92,21 +92,21 @@ def fit(y: np.ndarray, bags: list[np.ndarray], steps: int = 400, rate: float = 0
     seen = np.bincount(flat, minlength=1 << BITS)
     hit = np.bincount(flat, weights=np.repeat(y, [len(w) for w in doc_words]), minlength=1 << BITS)
     base = y.mean()
-    z = (hit - base * seen) / np.sqrt(base * (1 - base) * np.maximum(seen, 1))
-    words = np.flatnonzero((seen >= MIN_DOCS) & (np.abs(z) >= Z))
+    z_all = (hit - base * seen) / np.sqrt(base * (1 - base) * np.maximum(seen, 1))
+    words = np.flatnonzero((seen >= MIN_DOCS) & (np.abs(z_all) >= Z))
+    z = z_all[words]
     place = np.full(1 << BITS, -1, dtype=np.int64)
     place[words] = np.arange(len(words))
-    rows = [(i, k) for i, k in enumerate(bags)]
-    doc = np.concatenate([np.full(len(k), i) for i, k in rows])
-    key = np.concatenate(bags)
-    known = place[key & mask] >= 0
-    doc, key = doc[known], key[known]
+    del flat, doc_words, seen, hit, z_all
+    known = [k[place[k & mask] >= 0] for k in bags]  # few words are known: nothing else is laid end to end
+    doc = np.repeat(np.arange(len(bags)), [len(k) for k in known])
+    key = np.concatenate(known)
     col = place[key & mask]
     _, sent = np.unique(doc * (1 << 40) + (key >> BITS), return_inverse=True)
     n_sent = int(sent.max(initial=-1)) + 1
     sent_doc = np.zeros(n_sent, dtype=np.int64)
     sent_doc[sent] = doc
-    theta = np.concatenate([np.where(z[words] > 0, 2.0, -2.0), [-3.0, np.log(base / 2 / (1 - base / 2))]])
+    theta = np.concatenate([np.where(z > 0, 2.0, -2.0), [-3.0, np.log(base / 2 / (1 - base / 2))]])
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     n = len(y)
     for t in range(1, steps + 1):
@@ -148,6 +148,7 @@ def clean(docs: DataFrame, model: Model, text_col: str = "text", threshold: floa
         model = Model(*sent_.value)
         for batch in batches:
             yield batch.filter(pa.array(scores(batch.column(batch.schema.get_field_index(text_col)), model)[0] < threshold))
+            pa.default_memory_pool().release_unused()
 
     return docs.mapInArrow(keep, docs.schema)
 
