@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import stats
-from tidemark.operators import joins, series
+from tidemark.operators import folds, joins, series
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -243,6 +243,27 @@ def panel_audit(spark, d):
     return _t(spark, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(bad, 1)).alias("bad"), F.countDistinct("user_id").alias("users"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
 
 
+@query(f"""WITH RECURSIVE b AS (SELECT event_type, bar, close, row_number() OVER (PARTITION BY event_type ORDER BY bar) AS k FROM ({_BARS})),
+e AS (SELECT event_type, bar, k, close::DOUBLE AS ema FROM b WHERE k = 1 UNION ALL SELECT b.event_type, b.bar, b.k, b.close * 0.1 + e.ema * 0.9 FROM e JOIN b ON b.event_type = e.event_type AND b.k = e.k + 1)
+SELECT event_type, bar::TIMESTAMP AS bar, round(ema, 6) AS ema FROM e""")
+def exponential_average(spark, d):
+    return folds.ema(_bars(spark, d), "event_type", ["bar"], "close", 0.1).select("event_type", F.col("bar").cast("timestamp_ntz").alias("bar"), _r("ema", "ema"))
+
+
+@query("""WITH s AS (SELECT value, floor(epoch_us(ts::TIMESTAMP - TIMESTAMP '2024-01-01') / (3 * 86400000000.0))::BIGINT AS k FROM events),
+f AS (SELECT unnest(range(k - 4, k + 1)) AS fold, k, value FROM s WHERE k >= 0)
+SELECT fold, CASE WHEN fold + 4 = k THEN 'test' ELSE 'train' END AS part, count(*) AS n, round(avg(value), 6) AS mean FROM f WHERE fold >= 0 AND fold < 6 GROUP BY ALL""")
+def walk_forward_folds(spark, d):
+    rows = folds.walk_forward(_t(spark, d, "events").select("ts", "value"), "ts", F.lit("2024-01-01 00:00:00"), 3, 4, 6)
+    return rows.groupBy("fold", "part").agg(F.count(F.lit(1)).alias("n"), _r(F.avg("value"), "mean"))
+
+
+@query("""WITH s AS (SELECT user_id, lag(event_type, 2) OVER w AS a, lag(event_type) OVER w AS b, event_type AS c FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+SELECT a || '>' || b || '>' || c AS motif, count(*) AS n, count(DISTINCT user_id) AS n_keys FROM s WHERE a IS NOT NULL AND b IS NOT NULL AND c IS NOT NULL GROUP BY 1""")
+def event_motifs(spark, d):
+    return folds.motifs(_t(spark, d, "events"), "user_id", ["ts", "event_id"], "event_type", 3)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(Q)
 
