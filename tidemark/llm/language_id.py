@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 
 SAMPLE_ROWS = 512
 DICT_BYTES = 112 << 10
+#: groups of partitions in which the sample is narrowed, ending with one
+SALTS = (512, 8, 1)
 PIECE = 1024
 LEVEL = 6
 REJECT = 0.02
@@ -44,8 +46,12 @@ def learn(train: DataFrame, lang_col: str = "lang", text_col: str = "text", id_c
     rows = train.where(F.col(lang_col).isNotNull() & (F.length(text_col) > 0)).select(
         F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(id_col).cast("long"), F.lit(7)).alias("h"),
         F.substring(F.col(text_col), 1, 4 * DICT_BYTES // SAMPLE_ROWS).alias("text"))  # of the sample only; predictions read whole texts
-    first = Window.partitionBy("lang").orderBy("h", "text")
-    sample = rows.withColumn("n", F.row_number().over(first)).where(F.col("n") <= SAMPLE_ROWS).orderBy("lang", "n").select("lang", "text").collect()
+    # the first of each group of partitions, then the first of those: a language's rows never meet in one task
+    rows = rows.withColumn("salt", F.spark_partition_id())
+    for groups in SALTS:
+        first = Window.partitionBy("lang", "salt").orderBy("h", "text")
+        rows = rows.withColumn("salt", F.col("salt") % groups).withColumn("n", F.row_number().over(first)).where(F.col("n") <= SAMPLE_ROWS)
+    sample = rows.orderBy("lang", "n").select("lang", "text").collect()
     texts: dict[str, list[bytes]] = {}
     for r in sample:
         texts.setdefault(r["lang"], []).append(r["text"].encode())
