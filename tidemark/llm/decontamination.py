@@ -7,6 +7,10 @@ and joined to those of the items. Matches of one item on one diagonal (document
 passage; it counts when it covers PASSAGE words or COVER of the item. Then its slots are checked: over the passage, each value
 in the item must stand for one value in the document and the other way round, so `3 ... 3` against `5 ... 7` is no copy.
 
+A copy word for word is one whatever its letter case and its slots. So the windows of plain words in lower case, without
+placeholders and without MIN_LITERAL, are hashed and joined as well. A passage of them counts by the words they cover; it has no
+slots, and is given where no passage of templates of that item holds. ORACLE_SQL has the passages of templates alone.
+
 Items of fewer words than WINDOW are matched by windows of their own length. Windows need MIN_LITERAL words that are
 not placeholders (a quarter of a shorter window's words more than half), so runs of numbers do not match each other.
 
@@ -66,6 +70,11 @@ def canonical(t: Column) -> Column:
     return F.split(F.lower(t), f"{_SPLIT[:-2]}{_MARK}]+")
 
 
+def plain(t: Column) -> Column:
+    """The words of a marked text in lower case, after one empty word; as many as words_of gives."""
+    return F.split(F.lower(t), f"{_SPLIT[:-2]}{_MARK}]+")
+
+
 def _windows(words: Column, n: int) -> Column:
     """Hashes of all windows of n template words, by position from 0 (the empty word in front is skipped); an empty array when there are fewer words."""
     h = lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(n)])
@@ -77,17 +86,24 @@ def _literals(words: Column, at: Column, n: Column) -> Column:
 
 
 def item_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """item_id, words (marked), canon, n_words, len, windows (positions and hashes with enough literal words) of the items."""
+    """item_id, words (marked), canon, n_words, len, plain, windows (positions and hashes; of templates with enough literal words) of the items."""
     rows = items.select(F.col(id_col).alias("item_id"), F.col(text_col).cast("string").alias("text")).where(F.col("text").isNotNull()).dropDuplicates()
-    rows = rows.select("item_id", F.explode(F.array(F.struct(words_of(marked(F.col("text"))).alias("words"), canonical(marked(F.col("text"))).alias("canon")))).alias("w")).select("item_id", "w.words", "w.canon")
+    t = marked(F.col("text"))
+    rows = rows.select("item_id", F.explode(F.array(F.struct(words_of(t).alias("words"), canonical(t).alias("canon"), plain(t).alias("low")))).alias("w")).select("item_id", "w.*")
     rows = rows.withColumn("n_words", F.size(F.filter("words", lambda w: w != ""))).where(F.col("n_words") >= MIN_WORDS).withColumn("len", F.least(F.col("n_words"), F.lit(WINDOW)))
-    hashes = None
-    for n in range(MIN_WORDS, WINDOW + 1):
-        hashes = F.when(F.col("len") == n, _windows(F.col("canon"), n)) if hashes is None else hashes.when(F.col("len") == n, _windows(F.col("canon"), n))
-    rows = rows.select("item_id", "words", "canon", "n_words", "len", F.posexplode(hashes).alias("at", "window"))
+
+    def hashes(words: str) -> Column:
+        found = F.when(F.col("len") == MIN_WORDS, _windows(F.col(words), MIN_WORDS))
+        for n in range(MIN_WORDS + 1, WINDOW + 1):
+            found = found.when(F.col("len") == n, _windows(F.col(words), n))
+        return found
+
+    both = F.array(*[F.struct(F.lit(k).alias("plain"), hashes(words).alias("hashes")) for k, words in ((False, "canon"), (True, "low"))])
+    rows = rows.select("item_id", "words", "canon", "n_words", "len", F.explode(both).alias("w"))
+    rows = rows.select("item_id", "words", "canon", "n_words", "len", "w.plain", F.posexplode("w.hashes").alias("at", "window"))
     rows = rows.where(F.col("at") + F.col("len") <= F.col("n_words"))  # a text's last mark leaves an empty word
     enough = F.least(F.lit(MIN_LITERAL), F.ceil(F.col("len") * 0.75))
-    return rows.where(_literals(F.col("canon"), F.col("at"), F.col("len")) >= enough)
+    return rows.where(F.col("plain") | (_literals(F.col("canon"), F.col("at"), F.col("len")) >= enough))
 
 
 def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -98,14 +114,19 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where(F.col("text").isNotNull())
     rows = rows.withColumn("row", F.xxhash64("doc_id", "text"))
     # each generator over one array keeps what it holds from being computed anew for every element further on
-    canon = rows.select("row", F.explode(F.array(canonical(marked(F.col("text"))))).alias("canon"))
-    per_length = F.array(*[F.struct(F.lit(k).alias("len"), _windows(F.col("canon"), k).alias("hashes")) for k in lengths] or [F.struct(F.lit(0).alias("len"), F.array().cast("array<bigint>").alias("hashes"))])
-    each = canon.select("row", F.explode(per_length).alias("w")).select("row", F.col("w.len").alias("len"), F.posexplode("w.hashes").alias("pos", "window"))
-    targets = items_.select("item_id", "len", "window", "at", "n_words")
-    hits = each.join(broadcast_if_small(targets, n, BROADCAST), ["len", "window"]).withColumn("diagonal", F.col("pos") - F.col("at"))
+    texts = rows.select("row", F.explode(F.array(marked(F.col("text")))).alias("t"))
+    texts = texts.select("row", F.explode(F.array(F.struct(canonical(F.col("t")).alias("canon"), plain(F.col("t")).alias("low")))).alias("w")).select("row", "w.canon", "w.low")
+    entry = lambda k, n, hashes: F.struct(F.lit(k).alias("plain"), F.lit(n).alias("len"), hashes.alias("hashes"))
+    per_length = F.array(*[entry(k, n, _windows(F.col(words), n)) for n in lengths for k, words in ((False, "canon"), (True, "low"))] or [entry(False, 0, F.array().cast("array<bigint>"))])
+    each = texts.select("row", F.explode(per_length).alias("w")).select("row", "w.plain", "w.len", F.posexplode("w.hashes").alias("pos", "window"))
+    targets = items_.select("item_id", "plain", "len", "window", "at", "n_words")
+    hits = each.join(broadcast_if_small(targets, n, BROADCAST), ["plain", "len", "window"]).withColumn("diagonal", F.col("pos") - F.col("at"))
     # one row per passage; equal rows of the input count once
-    passages = hits.groupBy("row", "item_id", "n_words", "len", "diagonal").agg(F.array_sort(F.collect_set("at")).alias("at"))  # at most the windows of an item
-    passages = passages.withColumn("words_matched", F.least(F.col("n_words"), F.size("at") + F.col("len") - 1)).withColumn("coverage", F.col("words_matched") / F.col("n_words"))
+    passages = hits.groupBy("row", "item_id", "n_words", "plain", "len", "diagonal").agg(F.array_sort(F.collect_set("at")).alias("at"))  # at most the windows of an item
+    # the words that the passage's windows cover
+    covered = F.array_distinct(F.flatten(F.transform("at", lambda a: F.sequence(a, a + F.col("len") - 1))))
+    matched = F.when(F.col("plain"), F.size(covered)).otherwise(F.size("at") + F.col("len") - 1)
+    passages = passages.withColumn("words_matched", F.least(F.col("n_words"), matched)).withColumn("coverage", F.col("words_matched") / F.col("n_words"))
     passages = cut(passages.where((F.col("words_matched") >= PASSAGE) | (F.col("coverage") >= COVER)))
     found = passages.count()
     mine = rows.join(broadcast_if_small(passages.select("row").distinct(), found), "row", "left_semi").dropDuplicates(["row"])
@@ -113,14 +134,13 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     text_of = items_.select("item_id", "n_words", F.col("words").alias("item_words"), "canon").dropDuplicates(["item_id", "n_words", "item_words"])
     pairs = passages.join(mine, "row").join(broadcast_if_small(text_of, n, BROADCAST // 10), ["item_id", "n_words"])
     bare = lambda w: F.lower(F.translate(w, _MARK, ""))
-    # the words that the passage's windows cover, then those of them that are slots
-    covered = F.array_distinct(F.flatten(F.transform("at", lambda a: F.sequence(a, a + F.col("len") - 1))))
-    slots = F.filter(covered, lambda i: F.get("canon", i + 1).isin(_SLOTS))
+    # those of the covered words that are slots
+    slots = F.filter(covered, lambda i: ~F.col("plain") & F.get("canon", i + 1).isin(_SLOTS))
     pair = F.transform(slots, lambda i: F.struct(bare(F.get("item_words", i)).alias("a"), bare(F.get("doc_words", i + F.col("diagonal"))).alias("b")))
     pairs = pairs.withColumn("pairs", F.array_distinct(pair)).withColumn("n_slots", F.size(slots))
     values = lambda k: F.size(F.array_distinct(F.transform("pairs", lambda p: p[k])))
     good = pairs.where((values("a") == F.size("pairs")) & (values("b") == F.size("pairs")))
-    best = F.max_by(F.struct("words_matched", "coverage", (F.col("diagonal") + F.col("at")[0]).alias("first_word"), "n_slots"), F.struct("words_matched", -F.col("diagonal")))
+    best = F.max_by(F.struct("words_matched", "coverage", (F.col("diagonal") + F.col("at")[0]).alias("first_word"), "n_slots"), F.struct(~F.col("plain"), "words_matched", -F.col("diagonal")))
     return good.groupBy("row", "doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", "b.*")
 
 
