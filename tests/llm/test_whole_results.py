@@ -1,6 +1,6 @@
 """Rows that the corpus operators used to lose, or to keep wrongly."""
 
-from tidemark.llm import decontamination
+from tidemark.llm import decontamination, ngram_join
 
 ITEM = "the river runs past the old stone mill and turns twice before it meets the quiet lake"
 
@@ -12,3 +12,10 @@ def test_copy_in_capitals_is_a_leak(spark):
     got = {r.doc_id: (r.item_id, r.words_matched, r.first_word, r.n_slots) for r in decontamination.leaks(docs, items).collect()}
     assert got == {0: (1, 17, 2, 0), 1: (1, 17, 2, 0), 2: (2, 12, 2, 0), 4: (2, 11, 2, 0)}
     assert [r.doc_id for r in decontamination.clean(docs, items).collect()] == [3]
+
+
+def test_different_texts_without_an_id_stay(spark):
+    same = "one two three four five six seven eight nine ten"
+    texts = [(None, "alpha beta gamma delta epsilon zeta"), (None, "red green blue black white grey"), (None, "north east south west up down"), (7, same), (None, same), (None, same), (None, None), (None, None), (8, ""), (8, "")]
+    kept = ngram_join.without_near_duplicates(spark.createDataFrame(texts, "doc_id long, text string"))
+    assert sorted(map(repr, map(tuple, kept.collect()))) == sorted(map(repr, [*texts[:4], *texts[6:]]))

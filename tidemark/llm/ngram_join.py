@@ -195,7 +195,7 @@ def link_nodes(base: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id and row (hash of id and text) of every document."""
+    """doc_id, n_shingles, component_id, row (hash of id and text) and comp (the component's node; null without words) of every document."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     base = rows.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text").mapInArrow(_signed, "doc_id long, row long, n long, node long")
     base = cut(base)
@@ -203,19 +203,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     small = base.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("low"))
     joined = small.join(linked, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     lows = joined.groupBy("comp").agg(F.min("low").alias("component_id"))
-    ids = joined.join(lows, "comp").select("node", "component_id")
-    out = base.where("node IS NOT NULL").select("doc_id", "n", "node", "row").join(ids, "node").select("doc_id", "n", "component_id", "row")
-    empty = base.where("node IS NULL").select("doc_id", "n", F.col("doc_id").alias("component_id"), "row")
+    ids = joined.join(lows, "comp").select("node", "component_id", "comp")
+    out = base.where("node IS NOT NULL").select("doc_id", "n", "node", "row").join(ids, "node").select("doc_id", "n", "component_id", "row", "comp")
+    empty = base.where("node IS NULL").select("doc_id", "n", F.col("doc_id").alias("component_id"), "row", F.lit(None).cast("long").alias("comp"))
     return out.union(empty).withColumnRenamed("n", "n_shingles")
 
 
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each component: that with the smallest id (then the smallest hash of its row). Documents without words stay."""
+    """docs with one document of each component: that with the smallest id (then the smallest hash of its row). Documents without words all stay."""
     found = cut(near_duplicates(docs, id_col, text_col))
-    stay = found.groupBy(F.when(F.col("n_shingles") > 0, F.col("component_id")).alias("c"), F.when(F.col("n_shingles") == 0, F.col("row")).alias("e")).agg(
-        F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("s"))
-    stay = stay.select("s.row").join(found.groupBy("row").agg(F.count(F.lit(1)).alias("times")), "row")
-    stay = cut(stay)
+    times = found.where("comp IS NOT NULL").groupBy("comp", "row").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("times"))
+    stay = times.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row", "times")).alias("s")).select("s.row", "s.times")
+    # rows without words stay however often they come
+    stay = cut(stay.union(found.where("comp IS NULL").select("row", F.lit(1).cast("long")).distinct()))
     many = stay.count()
     key = F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
     out = docs.withColumn("_row", key)
