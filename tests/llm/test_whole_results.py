@@ -19,3 +19,13 @@ def test_different_texts_without_an_id_stay(spark):
     texts = [(None, "alpha beta gamma delta epsilon zeta"), (None, "red green blue black white grey"), (None, "north east south west up down"), (7, same), (None, same), (None, same), (None, None), (None, None), (8, ""), (8, "")]
     kept = ngram_join.without_near_duplicates(spark.createDataFrame(texts, "doc_id long, text string"))
     assert sorted(map(repr, map(tuple, kept.collect()))) == sorted(map(repr, [*texts[:4], *texts[6:]]))
+
+
+def test_leaks_and_items_without_an_id(spark):
+    other = "a tall ship left the narrow harbour at dawn and came back with salt and silver"
+    items = spark.createDataFrame([(None, ITEM), (None, other), (3, "none of the words of this item stand in any text here")], "item_id long, text string")
+    rows = [(None, f"so {ITEM}"), (None, "a clean text"), (-1, "a clean text too"), (5, f"well {other}"), (5, "nothing in it"), (None, None), (-1, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id, r.words_matched) for r in decontamination.leaks(docs, items).collect()}
+    assert got == {(None, None, 17), (5, None, 16)}
+    assert sorted(map(repr, map(tuple, decontamination.clean(docs, items).collect()))) == sorted(map(repr, [*rows[1:3], *rows[4:]]))

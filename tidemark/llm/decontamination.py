@@ -19,7 +19,8 @@ an id. Item windows are broadcast only when there are at most BROADCAST of them,
 Matches are few; only documents with matches are read again to compare slots.
 
 Edge cases: null or empty texts and items match nothing. Items of fewer than MIN_WORDS words are ignored. Rows that repeat
-give one row. Several passages of one item in one document give the longest (then the first). A null doc_id is kept.
+give one row. Several passages of one item in one document give the longest (then the first). A null doc_id or item_id is kept;
+documents and items are told apart by the hash of id and text, so clean() removes the rows that leak and no others of their id.
 """
 
 from __future__ import annotations
@@ -86,10 +87,11 @@ def _literals(words: Column, at: Column, n: Column) -> Column:
 
 
 def item_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """item_id, words (marked), canon, n_words, len, plain, windows (positions and hashes; of templates with enough literal words) of the items."""
+    """item (hash of id and text), item_id, words (marked), canon, n_words, len, plain, windows (positions and hashes; of templates with enough literal words) of the items."""
     rows = items.select(F.col(id_col).alias("item_id"), F.col(text_col).cast("string").alias("text")).where(F.col("text").isNotNull()).dropDuplicates()
+    rows = rows.withColumn("item", F.xxhash64("item_id", "text"))
     t = marked(F.col("text"))
-    rows = rows.select("item_id", F.explode(F.array(F.struct(words_of(t).alias("words"), canonical(t).alias("canon"), plain(t).alias("low")))).alias("w")).select("item_id", "w.*")
+    rows = rows.select("item", "item_id", F.explode(F.array(F.struct(words_of(t).alias("words"), canonical(t).alias("canon"), plain(t).alias("low")))).alias("w")).select("item", "item_id", "w.*")
     rows = rows.withColumn("n_words", F.size(F.filter("words", lambda w: w != ""))).where(F.col("n_words") >= MIN_WORDS).withColumn("len", F.least(F.col("n_words"), F.lit(WINDOW)))
 
     def hashes(words: str) -> Column:
@@ -99,15 +101,15 @@ def item_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "tex
         return found
 
     both = F.array(*[F.struct(F.lit(k).alias("plain"), hashes(words).alias("hashes")) for k, words in ((False, "canon"), (True, "low"))])
-    rows = rows.select("item_id", "words", "canon", "n_words", "len", F.explode(both).alias("w"))
-    rows = rows.select("item_id", "words", "canon", "n_words", "len", "w.plain", F.posexplode("w.hashes").alias("at", "window"))
+    rows = rows.select("item", "item_id", "words", "canon", "n_words", "len", F.explode(both).alias("w"))
+    rows = rows.select("item", "item_id", "words", "canon", "n_words", "len", "w.plain", F.posexplode("w.hashes").alias("at", "window"))
     rows = rows.where(F.col("at") + F.col("len") <= F.col("n_words"))  # a text's last mark leaves an empty word
     enough = F.least(F.lit(MIN_LITERAL), F.ceil(F.col("len") * 0.75))
     return rows.where(F.col("plain") | (_literals(F.col("canon"), F.col("at"), F.col("len")) >= enough))
 
 
-def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """doc_id, item_id, words_matched, coverage, first_word, n_slots of every passage of an item in a document; a document without one is absent."""
+def _leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """row (hash of doc_id and text) and the columns of leaks()."""
     items_ = cut(item_windows(items, item_col, item_text_col))
     n = items_.count()
     lengths = [r[0] for r in items_.select("len").distinct().collect()]  # at most WINDOW values
@@ -119,10 +121,10 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     entry = lambda k, n, hashes: F.struct(F.lit(k).alias("plain"), F.lit(n).alias("len"), hashes.alias("hashes"))
     per_length = F.array(*[entry(k, n, _windows(F.col(words), n)) for n in lengths for k, words in ((False, "canon"), (True, "low"))] or [entry(False, 0, F.array().cast("array<bigint>"))])
     each = texts.select("row", F.explode(per_length).alias("w")).select("row", "w.plain", "w.len", F.posexplode("w.hashes").alias("pos", "window"))
-    targets = items_.select("item_id", "plain", "len", "window", "at", "n_words")
+    targets = items_.select("item", "plain", "len", "window", "at", "n_words")
     hits = each.join(broadcast_if_small(targets, n, BROADCAST), ["plain", "len", "window"]).withColumn("diagonal", F.col("pos") - F.col("at"))
     # one row per passage; equal rows of the input count once
-    passages = hits.groupBy("row", "item_id", "n_words", "plain", "len", "diagonal").agg(F.array_sort(F.collect_set("at")).alias("at"))  # at most the windows of an item
+    passages = hits.groupBy("row", "item", "n_words", "plain", "len", "diagonal").agg(F.array_sort(F.collect_set("at")).alias("at"))  # at most the windows of an item
     # the words that the passage's windows cover
     covered = F.array_distinct(F.flatten(F.transform("at", lambda a: F.sequence(a, a + F.col("len") - 1))))
     matched = F.when(F.col("plain"), F.size(covered)).otherwise(F.size("at") + F.col("len") - 1)
@@ -131,8 +133,8 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     found = passages.count()
     mine = rows.join(broadcast_if_small(passages.select("row").distinct(), found), "row", "left_semi").dropDuplicates(["row"])
     mine = mine.select("row", "doc_id", F.explode(F.array(words_of(marked(F.col("text"))))).alias("doc_words"))
-    text_of = items_.select("item_id", "n_words", F.col("words").alias("item_words"), "canon").dropDuplicates(["item_id", "n_words", "item_words"])
-    pairs = passages.join(mine, "row").join(broadcast_if_small(text_of, n, BROADCAST // 10), ["item_id", "n_words"])
+    text_of = items_.select("item", "item_id", F.col("words").alias("item_words"), "canon").dropDuplicates(["item"])
+    pairs = passages.join(mine, "row").join(broadcast_if_small(text_of, n, BROADCAST // 10), "item")
     bare = lambda w: F.lower(F.translate(w, _MARK, ""))
     # those of the covered words that are slots
     slots = F.filter(covered, lambda i: ~F.col("plain") & F.get("canon", i + 1).isin(_SLOTS))
@@ -141,13 +143,20 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     values = lambda k: F.size(F.array_distinct(F.transform("pairs", lambda p: p[k])))
     good = pairs.where((values("a") == F.size("pairs")) & (values("b") == F.size("pairs")))
     best = F.max_by(F.struct("words_matched", "coverage", (F.col("diagonal") + F.col("at")[0]).alias("first_word"), "n_slots"), F.struct(~F.col("plain"), "words_matched", -F.col("diagonal")))
-    return good.groupBy("row", "doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", "b.*")
+    return good.groupBy("row", "doc_id", "item_id").agg(best.alias("b")).select("row", "doc_id", "item_id", "b.*")
+
+
+def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """doc_id, item_id, words_matched, coverage, first_word, n_slots of every passage of an item in a document; a document without one is absent."""
+    return _leaks(docs, items, id_col, text_col, item_col, item_text_col).drop("row")
 
 
 def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without a leak, with all their columns."""
-    found = cut(leaks(docs, items, id_col, text_col).select(F.coalesce("doc_id", F.lit(-1)).alias("_leak")).distinct())
-    return docs.join(broadcast_if_small(found, found.count()), F.coalesce(F.col(id_col).cast("long"), F.lit(-1)) == F.col("_leak"), "left_anti")
+    found = cut(_leaks(docs, items, id_col, text_col).select(F.col("row").alias("_leak")).distinct())
+    text = F.col(text_col).cast("string")
+    row = F.when(text.isNotNull(), F.xxhash64(F.col(id_col).cast("long"), text))
+    return docs.join(broadcast_if_small(found, found.count()), row == F.col("_leak"), "left_anti")
 
 
 def _sql_words(text: str) -> str:
