@@ -1,6 +1,8 @@
 """Rows that the corpus operators used to lose, or to keep wrongly."""
 
-from tidemark.llm import decontamination, ngram_join
+import numpy as np
+
+from tidemark.llm import decontamination, ngram_join, topk_search
 
 ITEM = "the river runs past the old stone mill and turns twice before it meets the quiet lake"
 
@@ -29,3 +31,26 @@ def test_leaks_and_items_without_an_id(spark):
     got = {(r.doc_id, r.item_id, r.words_matched) for r in decontamination.leaks(docs, items).collect()}
     assert got == {(None, None, 17), (5, None, 16)}
     assert sorted(map(repr, map(tuple, decontamination.clean(docs, items).collect()))) == sorted(map(repr, [*rows[1:3], *rows[4:]]))
+
+
+def test_long_vectors_and_repeated_ids(spark):
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal((40, 128))
+    x[1] = x[0] + 0.01 * rng.standard_normal(128)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(2, (-x[2]).tolist()), (3, x[3].tolist()), (90, x[5][:100].tolist()), (91, None)]
+    codes = topk_search.codes(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    all_ = [(r.id, r.code & (2**64 - 1)) for r in codes.collect()]
+    assert sorted(i for i, _ in all_) == sorted([*range(40), 2])
+    want = set()
+    for q in range(4):
+        near = sorted(((c ^ d).bit_count(), i) for p, c in all_ if p == q for i, d in all_)[:10]
+        want |= {(q, k, i, n) for k, (n, i) in enumerate(near, 1)}
+    got = {tuple(r) for r in topk_search.top_k(codes.where("id < 4"), codes).collect()}
+    assert got == want
+    assert (0, 2, 1) in {r[:3] for r in got}
+
+
+def test_shorter_vectors_have_no_code(spark):
+    rows = [(i, [1.0, -1.0, 1.0, float(i)]) for i in range(3)] + [(3, [1.0, -1.0]), (4, [float("nan")] * 4)]
+    codes = topk_search.codes(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    assert {r.id: r.code for r in codes.collect()} == {0: 10, 1: 11, 2: 11}

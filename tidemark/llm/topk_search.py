@@ -13,9 +13,10 @@ vector shared by a third of all rows costs one entry. Buckets are rows of at mos
 segment value is many rows. A probe meets a bucket in a hash join, and distances are taken in numpy over a bucket at a time.
 Each radius is one job, written to the shared folder, and there are at most segment-width + 1 of them.
 
-Edge cases: a null vector, or one with a null or NaN anywhere, or of another length than the first's, has no code: it is not
-found and finds nothing. A query's own row counts as a row. Ties go to the smaller id. Fewer than k rows give all of
-them. Rows that repeat an id are one entry with the smallest code among them.
+Edge cases: a null vector, or one with a null or NaN anywhere, or of another length than most (the shorter of two as
+frequent), has no code: it is not found and finds nothing. A query's own row counts as a row. Ties go to the smaller id. Fewer
+than k rows give all of them. Rows that repeat an id are one entry for each different code; a query id with several codes
+has the k nearest over all of them, as in ORACLE_SQL. Queries of one code are searched once.
 """
 
 from __future__ import annotations
@@ -33,15 +34,40 @@ from ._spark import cut
 BITS = 64
 CHUNK = 2048
 K = 10
+SEED = 9
+#: vectors projected at a time
+ROWS = 256
 
 
 def codes(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """id, code (64 sign bits as a long) of every row that has one; vectors of up to 64 dimensions."""
+    """id, code (64 bits as a long) of every row that has one: signs of the dimensions, or of BITS projections where there are more of them."""
     v = F.col(vector_col)
-    good = v.isNotNull() & (F.size(v) > 0) & (F.size(v) <= BITS) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x))
-    code = F.aggregate(v, F.lit(0).cast("long"), lambda a, x: F.shiftleft(a, 1).bitwiseOR(F.when(x > 0, F.lit(1)).otherwise(F.lit(0)).cast("long")))
-    found = rows.where(good & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), code.alias("code"))
-    return found.groupBy("id").agg(F.min("code").alias("code"))
+    good = rows.where(F.col(id_col).isNotNull() & v.isNotNull() & (F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x)))
+    lengths = good.groupBy(F.size(v).alias("n")).agg(F.count(F.lit(1)).alias("times")).orderBy(F.desc("times"), "n").first()
+    n = lengths["n"] if lengths else 0
+    good = good.where(F.size(v) == n).select(F.col(id_col).cast("long").alias("id"), v.alias("v"))
+    if n > BITS:
+        return good.select("id", F.col("v").cast("array<double>")).mapInArrow(_projected(n), "id long, code long").distinct()
+    code = F.aggregate("v", F.lit(0).cast("long"), lambda a, x: F.shiftleft(a, 1).bitwiseOR(F.when(x > 0, F.lit(1)).otherwise(F.lit(0)).cast("long")))
+    return good.select("id", code.alias("code")).distinct()
+
+
+def _projected(n: int):
+    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Signs of seeded projections, summed in the order of the dimensions, so that equal vectors get equal codes in any batch."""
+        to = np.random.default_rng(SEED).standard_normal((n, BITS))
+        for batch in batches:
+            x = batch.column(1).flatten().to_numpy().reshape(-1, n)
+            out = [np.zeros(0, np.int64)]
+            for a in range(0, len(x), ROWS):
+                part, total = np.ascontiguousarray(x[a : a + ROWS].T), 0.0
+                with np.errstate(invalid="ignore", over="ignore"):
+                    for i in range(n):
+                        total = total + part[i][:, None] * to[i]
+                out.append(np.packbits(total > 0, axis=1).view(">u8").astype(np.uint64).view(np.int64).ravel())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(out), pa.int64())], names=["id", "code"])
+
+    return project
 
 
 def segments(n: int, bits: int = BITS) -> list[tuple[int, int]]:
@@ -91,7 +117,7 @@ def _verify(k: int):
 
 
 def top_k(queries: DataFrame, rows: DataFrame, k: int = K) -> DataFrame:
-    """qid, rank (from 1), id, distance: the k nearest of `rows` for each of `queries`; both have id and code."""
+    """qid, rank (from 1), id, distance: the k nearest of `rows` for each of `queries`; both have distinct id and code."""
     spark = rows.sparkSession
     first = Window.partitionBy("code").orderBy("id")
     # k ids of each code at most leave the window, before and after the shuffle
@@ -105,7 +131,8 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int = K) -> DataFrame:
         listed.join(sizes, ["seg", "value"], "left").withColumn("chunk", F.pmod(F.xxhash64("code"), F.coalesce("chunks", F.lit(1))))
         .groupBy("seg", "value", "chunk").agg(F.collect_list(F.struct("code", "low")).alias("codes")))
     best = "array<struct<distance:int,low:long,code:long>>"
-    state = cut(queries.select(F.col("id").alias("qid"), F.col("code").alias("qcode"), F.array().cast(best).alias("best")))
+    # the answer is that of the code: qid stands for it until the end
+    state = cut(queries.select(F.col("code").alias("qid"), F.col("code").alias("qcode"), F.array().cast(best).alias("best")).dropDuplicates(["qid"]))
     widest = max(w for _, w in parts)
     done = None
     for r in range(widest + 1):
@@ -131,6 +158,8 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int = K) -> DataFrame:
     left = state.select("qid", "best")
     answers = left if done is None else done.unionByName(left.join(done.select("qid"), "qid", "left_anti"))
     near = answers.select("qid", F.explode("best").alias("b")).select("qid", "b.distance", "b.code").join(entries, "code").select("qid", "distance", F.explode("ids").alias("id"))
+    near = near.withColumn("n", F.row_number().over(Window.partitionBy("qid").orderBy("distance", "id"))).where(F.col("n") <= k)
+    near = near.withColumnRenamed("qid", "code").join(queries.select(F.col("id").alias("qid"), "code"), "code")
     order = Window.partitionBy("qid").orderBy("distance", "id")
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("qid", "rank", "id", "distance")
 
