@@ -10,8 +10,9 @@ on candidates or probes.
 
 Equal codes are one index entry with the k smallest ids that have it, which is all that the k nearest can need, so a
 vector shared by a third of all rows costs one entry. Buckets are rows of at most CHUNK codes, so a crowded
-segment value is many rows. A probe meets a bucket in a hash join, and distances are taken in numpy over a bucket at a time.
-Each radius is one job, written to the shared folder, and there are at most segment-width + 1 of them.
+segment value is many rows. Probes of one segment value are gathered in lists of about GROUP queries before they meet its bucket
+in a hash join, so the join makes a row for a list and a bucket and not for each probe; distances are taken in numpy,
+PAIRS at a time. Each radius is one job, written to the shared folder, and there are at most segment-width + 1 of them.
 
 Edge cases: a null vector, or one with a null or NaN anywhere, or of another length than most (the shorter of two as
 frequent), has no code: it is not found and finds nothing. A query's own row counts as a row. Ties go to the smaller id. Fewer
@@ -33,6 +34,10 @@ from ._spark import cut
 
 BITS = 64
 CHUNK = 2048
+#: queries in one list of probes, about; a query is in a list once
+GROUP = 16_384
+#: distances taken at a time
+PAIRS = 1 << 20
 K = 10
 SEED = 9
 #: vectors projected at a time
@@ -86,39 +91,53 @@ def _exploded(rows: DataFrame, parts: list[tuple[int, int]], code: str = "code")
     return rows.select("*", F.explode(each).alias("s")).select(*rows.columns, "s.seg", "s.width", "s.value")
 
 
+def _blocks(nq: np.ndarray, nc: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, place of the query, place of the code) of all pairs of each row's lists, at most about PAIRS at a time."""
+    step = np.maximum(1, PAIRS // np.maximum(nc, 1))
+    parts = -(-nq // step)
+    row = np.repeat(np.arange(len(nq)), parts)
+    first = (np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts)) * step[row]
+    many = np.minimum(step[row], nq[row] - first) * nc[row]
+    group = np.cumsum(many) // PAIRS
+    for a, b in zip(*(lambda e: (e[:-1], e[1:]))(np.append(np.flatnonzero(np.diff(group, prepend=-1)), len(row))), strict=True):
+        n = many[a:b]
+        part = np.repeat(np.arange(a, b), n)
+        at = np.arange(len(part)) - np.repeat(np.cumsum(n) - n, n)
+        width = nc[row[part]]
+        yield row[part], first[part] + at // width, at % width
+
+
 def _verify(k: int):
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Probes with their buckets; out come the k best codes of each query and batch."""
+        """Lists of queries with buckets; out come the k best codes of each query and block of pairs."""
         for batch in batches:
             if not batch.num_rows:
                 continue
-            qid, qcode = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            most = batch.column(2).to_numpy(zero_copy_only=False)
-            lists = batch.column(3)
-            n = np.diff(lists.offsets.to_numpy())
-            flat = lists.flatten()
-            code, low = flat.field("code").to_numpy(), flat.field("low").to_numpy()
-            row = np.repeat(np.arange(len(n)), n)
-            d = np.bitwise_count((code ^ qcode[row]).view(np.uint64)).astype(np.int32)
-            near = d <= most[row]  # farther than the kth so far can't enter
-            row, d, code, low = row[near], d[near], code[near], low[near]
-            q = qid[row]
-            order = np.lexsort((code, low, d, q))
-            q, d, low, code = q[order], d[order], low[order], code[order]
-            new = np.ones(len(q), bool)
-            new[1:] = (q[1:] != q[:-1]) | (code[1:] != code[:-1])
-            q, d, low, code = q[new], d[new], low[new], code[new]
-            head = np.flatnonzero(np.append(True, q[1:] != q[:-1])) if len(q) else np.zeros(0, int)
-            place = np.arange(len(q)) - np.repeat(head, np.diff(np.append(head, len(q))))
-            top = place < k
-            yield pa.RecordBatch.from_arrays([pa.array(q[top]), pa.array(d[top]), pa.array(low[top]), pa.array(code[top])], names=["qid", "distance", "low", "code"])
+            q_list, c_list = batch.column(0), batch.column(1)
+            q_off, c_off = q_list.offsets.to_numpy().astype(np.int64), c_list.offsets.to_numpy().astype(np.int64)
+            qs, cs = q_list.values, c_list.values
+            qcode, most = qs.field("qcode").to_numpy(), qs.field("most").to_numpy()
+            code_, low_ = cs.field("code").to_numpy(), cs.field("low").to_numpy()
+            for row, i, j in _blocks(np.diff(q_off), np.diff(c_off)):
+                i, j = q_off[row] + i, c_off[row] + j
+                d = np.bitwise_count((code_[j] ^ qcode[i]).view(np.uint64)).astype(np.int32)
+                near = d <= most[i]  # farther than the kth so far can't enter
+                d, q, code, low = d[near], qcode[i[near]], code_[j[near]], low_[j[near]]
+                order = np.lexsort((code, low, d, q))
+                q, d, low, code = q[order], d[order], low[order], code[order]
+                new = np.ones(len(q), bool)
+                new[1:] = (q[1:] != q[:-1]) | (code[1:] != code[:-1])
+                q, d, low, code = q[new], d[new], low[new], code[new]
+                head = np.flatnonzero(np.append(True, q[1:] != q[:-1])) if len(q) else np.zeros(0, int)
+                place = np.arange(len(q)) - np.repeat(head, np.diff(np.append(head, len(q))))
+                top = place < k
+                yield pa.RecordBatch.from_arrays([pa.array(q[top]), pa.array(d[top]), pa.array(low[top]), pa.array(code[top])], names=["qid", "distance", "low", "code"])
 
     return verify
 
 
 def top_k(queries: DataFrame, rows: DataFrame, k: int = K) -> DataFrame:
     """qid, rank (from 1), id, distance: the k nearest of `rows` for each of `queries`; both have distinct id and code."""
-    spark = rows.sparkSession
     first = Window.partitionBy("code").orderBy("id")
     # k ids of each code at most leave the window, before and after the shuffle
     entries = cut(rows.withColumn("n", F.row_number().over(first)).where(F.col("n") <= k).groupBy("code").agg(F.array_sort(F.collect_list("id")).alias("ids")))
@@ -141,16 +160,16 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int = K) -> DataFrame:
         open_ = state.where(F.col("kth").isNull() | (F.col("kth") > m * r - 1))
         closed = state.where(F.col("kth") <= m * r - 1).select("qid", "best")
         done = closed if done is None else done.unionByName(closed)
-        if r and open_.isEmpty():
+        many = open_.count()
+        if not many:
             break
-        masks = [(w, v) for w in {w for _, w in parts} for v in _masks(w, r)]
-        flips = spark.createDataFrame(masks, "width int, flip long") if masks else None
-        if flips is None:
-            continue
-        probes = _exploded(open_.select("qid", "qcode", "kth"), parts, "qcode").where(F.col("kth").isNull() | (F.col("kth") > m * r + F.col("seg") - 1))
-        # the masks of r bits are few (C(20, r) at most, whatever the input) and are joined by the width of the segment
-        probes = probes.join(F.broadcast(flips), "width").select("qid", "qcode", "kth", "seg", F.col("value").bitwiseXOR(F.col("flip")).alias("value"))
-        hits = probes.join(buckets, ["seg", "value"]).select("qid", "qcode", F.coalesce("kth", F.lit(BITS)).cast("int").alias("most"), "codes")
+        probes = _exploded(open_.select("qcode", "kth"), parts, "qcode").where(F.col("kth").isNull() | (F.col("kth") > m * r + F.col("seg") - 1))
+        # all values that differ in r bits: C(width, r) at most, whatever the input
+        flips = [F.when(F.col("width") == w, F.split(F.lit(",".join(map(str, _masks(w, r)))), ",").cast("array<bigint>")) for w in {w for _, w in parts} if r <= w]
+        probes = probes.select("qcode", "kth", "seg", "value", F.explode(F.coalesce(*flips)).alias("flip"))
+        lists = probes.groupBy("seg", F.col("value").bitwiseXOR(F.col("flip")).alias("value"), F.pmod(F.xxhash64("qcode"), F.lit(-(-many // GROUP))).alias("part")).agg(
+            F.collect_list(F.struct("qcode", F.coalesce("kth", F.lit(BITS)).cast("int").alias("most"))).alias("queries"))
+        hits = lists.join(buckets, ["seg", "value"]).select("queries", "codes")
         found = hits.mapInArrow(_verify(k), "qid long, distance int, low long, code long")
         found = found.groupBy("qid").agg(F.collect_set(F.struct("distance", "low", "code")).alias("found"))
         merged = F.slice(F.array_sort(F.array_distinct(F.concat("best", F.coalesce("found", F.array().cast(best))))), 1, k)
