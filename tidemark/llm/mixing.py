@@ -5,16 +5,20 @@ twice its source, and what is cut off is shared again by weight. With sources so
 running sum: the first k are cut, the others share the rest.
 
 Blocks: the mix is cut into equal blocks of words. Sources get whole blocks by the highest quotients target / 1, / 3,
-/ 5, ...; each source's quota is handed down to its shards the same way. A shard holds about SHARD_DOCS documents, so a
-source with a third of all rows is many shards. Only quotients near the boundary are compared: the divisor lies within
-S / 2N of the mean (S parties, N blocks), so all quotients outside that band are decided.
+/ 5, ...; each source's quota is handed down to its shards the same way. A shard holds about SHARD_DOCS documents and
+SHARD_BLOCKS blocks at least (where its source has as many), so a source with a third of all rows is many shards and no shard is
+shorter than a block. A shard's own blocks are of equal length, near that of the mix, and its quota is its share in them.
+Only quotients near the boundary are compared: the divisor lies within S / 2N of the mean (S parties, N blocks), so all
+quotients outside that band are decided.
 
 Selection: a shard lays its documents end to end in a seeded order and takes each of its blocks floor(quota / blocks)
 times, and the remaining quota as evenly spaced blocks from a seeded offset. No block is taken more than twice. What a
 document contributes follows from its place, by arithmetic; blocks are never rows.
 
 Only (id, source, size) is shuffled, not texts. Edge cases: null text has size 0; null source is a source, and sorts last;
-a null doc_id takes part under the seed of "null"; rows that repeat count each; an empty table gives no rows.
+a null doc_id takes part under the seed of "null"; rows that repeat count each; an empty table gives no rows. Rows that
+share id and size stand in the order of the hash of their id, source and text. Other columns are ignored (mix) or kept
+(mixed_documents), whatever their names.
 """
 
 from __future__ import annotations
@@ -27,12 +31,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._spark import broadcast_if_small, cut
+from ._spark import broadcast_if_small, cut, unused
 
 SHARE = 1.5
 MOST = 2
 BLOCKS = 16_384
 SHARD_DOCS = 4096
+SHARD_BLOCKS = 16
 SEED = "mix-1"
 
 
@@ -43,16 +48,20 @@ def _div(a: Column, b: Column | int) -> Column:
 
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        buf, off = T.raw(batch.column(2))
+        buf, off = T.raw(batch.column(3))
         size = [T.Words(buf[off[a] : off[b]], off[a : b + 1], T.SOLID, hashes=False).count for a, b in T.row_groups(off)]
         size = np.concatenate(size) if size else np.zeros(0)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size.astype(np.int64))], names=["doc_id", "source", "size"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(size.astype(np.int64))], names=["doc_id", "source", "row", "size"])
+
+
+def _row(id_col: str, source_col: str, text_col: str) -> Column:
+    return F.xxhash64(F.col(id_col).cast("long"), F.col(source_col).cast("string"), F.col(text_col).cast("string"))
 
 
 def sized(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """doc_id, source, size (words) and a seeded hash `h` of every document."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_sizes, "doc_id long, source string, size long").withColumn(
+    """doc_id, source, row (hash of id, source and text), size (words) and a seeded hash `h` of every document."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), _row(id_col, source_col, text_col).alias("row"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(_sizes, "doc_id long, source string, row long, size long").withColumn(
         "h", F.md5(F.concat(F.lit(SEED + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))))
 
 
@@ -92,8 +101,10 @@ def plan(sizes: DataFrame) -> DataFrame:
     sizes = cut(sizes)  # small rows, read several times below
     goal = targets(sizes)
     least = F.min(F.when(F.col("target") > 0, F.col("target"))).over(Window.partitionBy(F.lit(1)))
-    goal = goal.withColumn("block", F.greatest(F.lit(1), F.least(F.floor(F.col("total") / BLOCKS), F.greatest(F.lit(16), F.floor(F.coalesce(least, F.lit(0.0)) / 16)))))
-    goal = goal.withColumn("shards", F.ceil(F.col("docs") / SHARD_DOCS))
+    all_ = Window.partitionBy(F.lit(1))
+    mean = F.floor(F.sum("source_size").over(all_) / F.sum("docs").over(all_) * SHARD_DOCS / SHARD_BLOCKS)  # blocks of which a shard of mean documents holds enough
+    goal = goal.withColumn("block", F.greatest(F.lit(1), F.least(F.floor(F.col("total") / BLOCKS), F.greatest(F.lit(16), mean), F.greatest(F.lit(16), F.floor(F.coalesce(least, F.lit(0.0)) / 16)))))
+    goal = goal.withColumn("shards", F.greatest(F.lit(1), F.least(F.ceil(F.col("docs") / SHARD_DOCS), _div(F.col("source_size"), F.col("block") * SHARD_BLOCKS))))
     blocks_of = lambda words: _div(words + F.col("block") - 1, F.col("block"))
     quota = apportion(goal, [], F.round(F.col("total") / F.col("block")), F.col("target") / F.col("block"), MOST * blocks_of(F.col("source_size")), ["place"]).withColumnRenamed("quota", "source_quota")
     quota = cut(quota)
@@ -102,10 +113,15 @@ def plan(sizes: DataFrame) -> DataFrame:
     rows = sizes.join(broadcast_if_small(quota, n, 100_000), sizes["source"].eqNullSafe(quota["source"])).drop(quota["source"])
     rows = rows.withColumn("shard", F.conv(F.substring("h", 1, 8), 16, 10).cast("long") % F.col("shards"))
     shards = rows.groupBy("place", "shard", "block", "source_quota", "source_size").agg(F.sum("size").alias("words"))
-    shards = apportion(shards, ["place"], F.col("source_quota"), F.when(F.col("source_size") > 0, F.col("source_quota") * F.col("words") / F.col("source_size")).otherwise(0.0), MOST * blocks_of(F.col("words")), ["shard"])
-    shards = shards.withColumn("blocks", blocks_of(F.col("words"))).select("place", "shard", "quota", "blocks")
-    rows = rows.join(shards, ["place", "shard"])
-    line = Window.partitionBy("place", "shard").orderBy("h", "doc_id", "size")
+    # a shard's own blocks: as many of the mix's length as come nearest to its words
+    shards = shards.withColumn("near", F.greatest(F.lit(1), _div(2 * F.col("words") + F.col("block"), 2 * F.col("block"))))
+    shards = shards.withColumn("own", F.greatest(F.lit(1), _div(F.col("words") + F.col("near") - 1, F.col("near")))).withColumn("blocks", _div(F.col("words") + F.col("own") - 1, F.col("own")))
+    share = F.when(F.col("source_size") > 0, F.col("source_quota") * F.col("block") * F.col("words") / F.col("source_size") / F.col("own")).otherwise(0.0)
+    shards = shards.withColumn("share", F.least(share, (MOST * F.col("blocks")).cast("double"))).withColumn("seats", F.round(F.sum("share").over(Window.partitionBy("place"))))
+    shards = apportion(shards, ["place"], F.col("seats"), F.col("share"), MOST * F.col("blocks"), ["shard"])
+    shards = shards.select("place", "shard", "quota", "blocks", "own")
+    rows = rows.drop("block").join(shards, ["place", "shard"]).withColumnRenamed("own", "block")
+    line = Window.partitionBy("place", "shard").orderBy("h", "doc_id", "size", "row")
     rows = rows.withColumn("start", F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
     n_blocks = F.greatest(F.col("blocks"), F.lit(1))
     rows = rows.withColumn("every", _div(F.col("quota"), n_blocks)).withColumn("more", F.col("quota") % n_blocks)
@@ -126,22 +142,34 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
     """The mix itself, in the columns of `docs`: a document comes once for each pass in which words of it are taken, with the text of those words' runs.
 
-    Documents of which nothing is taken are absent. Rows that share id, source and size are interchangeable.
+    Documents of which nothing is taken are absent. Rows that share id, source and text are interchangeable: one of them stands
+    for all, and is joined to the places of all of them.
     """
-    key = F.xxhash64(F.col(id_col).cast("long"), F.col(source_col).cast("string"))
-    places = plan(sized(docs, id_col, source_col, text_col)).where("taken > 0").select(
-        F.xxhash64("doc_id", "source").alias("_key"), F.col("size").alias("_size"),
-        F.struct("start", "block", "every", "more", "offset", F.greatest("blocks", F.lit(1)).alias("blocks")).alias("_place"))
-    places = cut(places.groupBy("_key").agg(F.sort_array(F.collect_list(F.struct("_size", "_place"))).alias("_places")))
+    key, place, times = unused(docs, "_key", "_place", "_times")
+    marks = ["start", "block", "every", "more", "offset", "blocks"]
+    rows = plan(sized(docs, id_col, source_col, text_col)).select(
+        F.col("row").alias(key), "taken", F.struct("size", "start", "block", "every", "more", "offset", F.greatest("blocks", F.lit(1)).alias("blocks")).alias(place))
+    rows = cut(rows)
+    often = rows.groupBy(key).agg(F.count(F.lit(1)).alias(times)).where(F.col(times) > 1).select(key)
+    often = cut(often)
+    n_often, n = often.count(), rows.count()
+    some = rows.where("taken > 0").select(key, place)
+    out = docs.withColumn(key, _row(id_col, source_col, text_col))
+    if n_often:
+        often = broadcast_if_small(often, n_often)
+        same = out.join(often, key, "left_semi").dropDuplicates([key]).join(some.join(often, key, "left_semi"), key)
+        one = out.join(often, key, "left_anti")
+    else:
+        same, one = None, out
+    one = one.join(broadcast_if_small(some, n, 200_000), key)
+    both = one if same is None else one.unionByName(same)
     columns = docs.columns
-    rows = docs.withColumn("_key", key).join(broadcast_if_small(places, places.count(), 200_000), "_key")
-    out_schema = docs.select(*columns).schema
+    out_schema = docs.schema
 
     def slice_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        used: dict[tuple[int, int], int] = {}
         for batch in batches:
             t = pa.Table.from_batches([batch])
-            texts, lists, keys = t.column(text_col), t.column("_places"), t.column("_key")
+            texts, places = t.column(text_col), t.column(place)
             take, text, held = [], [], 0
 
             def done() -> Iterator[pa.RecordBatch]:
@@ -156,24 +184,17 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "
             for i in range(t.num_rows):
                 buf = (texts[i].as_py() or "").encode()
                 w = T.Words(np.frombuffer(buf, np.uint8), np.array([0, len(buf)]), T.SOLID, hashes=False)
-                fit = [p["_place"] for p in lists[i].as_py() if p["_size"] == len(w.abs_start)]
-                if not fit:
-                    continue
-                one = (keys[i].as_py(), len(w.abs_start))
-                k = used.get(one, 0)
-                if len(fit) > 1:  # rows that share id, source and size take their places in turn
-                    used[one] = k + 1
-                for piece in pieces(len(w.abs_start), **fit[k % len(fit)]):
+                for piece in pieces(**places[i].as_py()):
                     take.append(i)
                     text.append("\n".join(buf[w.abs_start[a] : w.abs_end[b - 1]].decode() for a, b in piece))
                     held += len(text[-1])
-                if held >= 4 << 20:  # a batch goes out in parts
-                    yield from done()
-                    take, text, held = [], [], 0
+                    if held >= 4 << 20:  # a batch goes out in parts
+                        yield from done()
+                        take, text, held = [], [], 0
             yield from done()
             pa.default_memory_pool().release_unused()
 
-    return rows.mapInArrow(slice_, out_schema)
+    return both.mapInArrow(slice_, out_schema)
 
 
 def pieces(size: int, start: int, block: int, every: int, more: int, offset: int, blocks: int) -> list[list[tuple[int, int]]]:
@@ -210,26 +231,30 @@ s3 AS (
 s4 AS (
   SELECT *, least(cap::DOUBLE, coalesce((SELECT arg_min(level, (ratio, place)) FROM s3 WHERE level <= ratio), (SELECT max(ratio) FROM s3)) * weight) AS target FROM s3),
 s5 AS (
-  SELECT *, greatest(1, least(floor(total / {BLOCKS}), greatest(16, floor(coalesce((SELECT min(target) FROM s4 WHERE target > 0), 0) / 16))))::BIGINT AS block,
-         ceil(docs / {SHARD_DOCS}.0)::BIGINT AS shards FROM s4),
+  SELECT *, greatest(1, least(floor(total / {BLOCKS}), greatest(16, floor((SELECT sum(source_size)::DOUBLE / sum(docs)::DOUBLE FROM s4) * {SHARD_DOCS} / {SHARD_BLOCKS})),
+           greatest(16, floor(coalesce((SELECT min(target) FROM s4 WHERE target > 0), 0) / 16))))::BIGINT AS block FROM s4),
+s6 AS (SELECT *, greatest(1, least(ceil(docs / {SHARD_DOCS}.0)::BIGINT, source_size // (block * {SHARD_BLOCKS}))) AS shards FROM s5),
 q1 AS (
   SELECT place, unnest(range(1, least(ceil(target / block)::BIGINT + 2, {MOST} * ((source_size + block - 1) // block)) + 1)) AS j, target / block AS share, round(total / block) AS n FROM s5),
 q2 AS (SELECT place, n, row_number() OVER (ORDER BY share / (2 * j - 1) DESC, place) AS r FROM q1),
 q3 AS (SELECT place, count(*) AS source_quota FROM q2 WHERE r <= n GROUP BY place),
 rows_ AS (
-  SELECT d.*, s5.* EXCLUDE (source), coalesce(source_quota, 0) AS source_quota, CAST('0x' || substr(h, 1, 8) AS BIGINT) % shards AS shard
-  FROM d JOIN s5 ON d.source IS NOT DISTINCT FROM s5.source LEFT JOIN q3 USING (place)),
+  SELECT d.*, s6.* EXCLUDE (source), coalesce(source_quota, 0) AS source_quota, CAST('0x' || substr(h, 1, 8) AS BIGINT) % shards AS shard
+  FROM d JOIN s6 ON d.source IS NOT DISTINCT FROM s6.source LEFT JOIN q3 USING (place)),
 h0 AS (SELECT place, shard, block, source_quota, source_size, sum(size)::BIGINT AS words FROM rows_ GROUP BY ALL),
-h1 AS (
-  SELECT *, CASE WHEN source_size > 0 THEN source_quota::DOUBLE * words / source_size ELSE 0 END AS share FROM h0),
-h2 AS (
-  SELECT *, unnest(range(1, least(ceil(share)::BIGINT + 2, {MOST} * ((words + block - 1) // block)) + 1)) AS j FROM h1),
-h3 AS (SELECT place, shard, source_quota, row_number() OVER (PARTITION BY place ORDER BY share / (2 * j - 1) DESC, shard) AS r FROM h2),
-h4 AS (SELECT place, shard, count(*) AS quota FROM h3 WHERE r <= source_quota GROUP BY place, shard),
+h1 AS (SELECT *, greatest(1, (2 * words + block) // (2 * block)) AS near FROM h0),
+h2 AS (SELECT *, greatest(1, (words + near - 1) // near) AS own FROM h1),
+h3 AS (
+  SELECT *, (words + own - 1) // own AS blocks,
+         least(CASE WHEN source_size > 0 THEN (source_quota * block)::DOUBLE * words / source_size / own ELSE 0 END, ({MOST} * ((words + own - 1) // own))::DOUBLE) AS share FROM h2),
+h4 AS (SELECT *, round(sum(share) OVER (PARTITION BY place)) AS seats FROM h3),
+h5 AS (SELECT *, unnest(range(1, least(ceil(share)::BIGINT + 2, {MOST} * blocks) + 1)) AS j FROM h4),
+h6 AS (SELECT place, shard, seats, row_number() OVER (PARTITION BY place ORDER BY share / (2 * j - 1) DESC, shard) AS r FROM h5),
+h7 AS (SELECT place, shard, count(*) AS quota FROM h6 WHERE r <= seats GROUP BY place, shard),
 l0 AS (
-  SELECT r.*, coalesce(quota, 0) AS quota, greatest((words + r.block - 1) // r.block, 1) AS blocks,
+  SELECT r.* EXCLUDE (block), own AS block, coalesce(quota, 0) AS quota, greatest(blocks, 1) AS blocks,
          sum(size) OVER (PARTITION BY place, shard ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING)::BIGINT - size AS start
-  FROM rows_ r JOIN h0 USING (place, shard) LEFT JOIN h4 USING (place, shard)),
+  FROM rows_ r JOIN h4 USING (place, shard) LEFT JOIN h7 USING (place, shard)),
 l1 AS (
   SELECT *, quota // blocks AS every, quota % blocks AS more, start // block AS b0, greatest(start + size - 1, 0) // block AS b1,
          CAST('0x' || substr(md5('{SEED}:' || place || ':' || shard), 1, 8) AS BIGINT) % blocks AS off FROM l0)
