@@ -1,10 +1,12 @@
 """License scan by diagonal voting.
 
 Every rolling run of K words of every text is hashed; Spark joins the hashes to the positions of the same runs in the
-license templates. A match of text position p with template position t votes for the diagonal p - t. Votes are summed
-by diagonal, neighbouring diagonals of a template are merged (a few words inserted or left out shift a license text by
-as many diagonals), and a merged span is verified: each vote already had its words compared, a phrase needs all its runs
-on one diagonal, and a longer template needs COVER of its runs in the span.
+license templates. A match of text position p with template position t votes for the diagonal p - t. Votes are gathered
+by diagonal, and neighbouring diagonals of a template are merged: words inserted or left out shift a license text by as many
+diagonals, so a span takes those from one diagonal to DRIFT more (to an eighth of the template's words, where that is more) and no
+further. A span is verified: each vote already had its words compared, a phrase needs all its runs on one diagonal, and
+a longer template needs COVER of its runs, each counted once however often the text repeats it. Of spans that overlap in
+diagonals the one that covers most stays, then the first.
 
 Only runs whose hash is in the template library leave the scan. The library is a constant of this module (a few hundred
 runs, whatever the size of the corpus), so it is broadcast. Votes are summed with partial aggregates before they are
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 from . import _text as T
 
 K = 3
-#: neighbouring diagonals at most this far apart are one span
+#: diagonals that a span reaches over, at least
 DRIFT = 6
 #: share of a template's runs that a span needs
 COVER = 0.6
@@ -36,8 +38,22 @@ COVER = 0.6
 # The phrases of the contract and their labels.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
-#: Opening words of well-known public licenses and notices.
+# Words of public licenses (whole texts, then their best-known sentences and the notices that stand for them).
 TEMPLATES = [
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction "
+            "including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so "
+            "subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software "
+            "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement "
+            "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise "
+            "arising from out of or in connection with the software or the use or other dealings in the software"),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met "
+            "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer "
+            "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution "
+            "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies "
+            "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software "
+             "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
     ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
     ("mit", "released under the mit license"),
@@ -112,7 +128,7 @@ def _digest(data: np.ndarray) -> bytes:
 
 
 def license_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Documents with their spans: doc_id, digest, n_words, copies (equal rows), spans array<struct<template, label, base, start, end, votes, coverage, places>>."""
+    """Documents with their spans: doc_id, digest, n_words, copies (equal rows), spans array<struct<template, label, base, start, end (words, end exclusive), votes, coverage>>."""
     spark = docs.sparkSession
     runs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
         _scan, "doc_id long, digest long, n_words long, pos long, run long, run_words string")
@@ -122,25 +138,23 @@ def license_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     diagonals = votes.groupBy(*key, "template", (F.col("pos") - F.col("tpos")).alias("diagonal")).agg(
         F.max("n_words").alias("n_words"),
         F.count(F.when(F.col("pos").isNull(), 1)).alias("rows"),
-        F.array_size(F.collect_set("tpos")).alias("votes"),  # at most the runs of a template
+        F.collect_set("tpos").alias("runs_here"),  # at most the runs of a template
     )
-    chain = Window.partitionBy(*key, "template").orderBy("diagonal")
-    merged = (
-        diagonals.join(F.broadcast(info), "template", "left")
-        # a phrase has to stand on one diagonal; longer templates take neighbouring ones together
-        .withColumn("new", F.when(F.col("base") | F.lag("diagonal").over(chain).isNull() | (F.col("diagonal") - F.lag("diagonal").over(chain) > DRIFT), 1).otherwise(0))
-        .withColumn("span", F.sum("new").over(chain))
-        .groupBy(*key, "template", "label", "base", "runs", "span")
-        .agg(F.max("n_words").alias("n_words"), F.max("rows").alias("rows"), F.sum("votes").alias("votes"), F.min("diagonal").alias("start"),
-             (F.max("diagonal") + F.first("runs") + K - 1).alias("end"))
-        .withColumn("coverage", F.least(F.lit(1.0), F.col("votes") / F.col("runs")))
-    )
-    good = F.when(F.col("base"), F.col("votes") == F.col("runs")).otherwise(F.col("coverage") >= COVER)
-    return merged.groupBy(*key).agg(
+    # diagonals in thousandths of what a span reaches over; those of a phrase lie too far apart to meet
+    reach = F.when(F.col("base"), F.lit(0.5)).otherwise(F.greatest(F.lit(float(DRIFT)), (F.col("runs") + K - 1) / 8))
+    diagonals = diagonals.join(F.broadcast(info), "template", "left").withColumn("at", F.floor(F.col("diagonal") * 1000 / reach))
+    line = Window.partitionBy(*key, "template").orderBy("at")
+    ahead, around = line.rangeBetween(0, 1000), line.rangeBetween(-1000, 1000)
+    spans = diagonals.withColumn("found", F.array_distinct(F.flatten(F.collect_list("runs_here").over(ahead)))).withColumn("votes", F.size("found"))
+    spans = spans.withColumn("end", F.max(F.col("diagonal") + F.array_max("runs_here")).over(ahead) + K).withColumn("coverage", F.col("votes") / F.col("runs"))
+    order = F.struct("coverage", -F.col("diagonal"))
+    spans = spans.withColumn("first", F.max(order).over(around) == order)
+    good = F.col("first") & F.when(F.col("base"), F.col("votes") == F.col("runs")).otherwise(F.col("coverage") >= COVER)
+    return spans.groupBy(*key).agg(
         F.max("n_words").alias("n_words"),
         F.max("rows").alias("copies"),
         F.max(F.col("coverage")).alias("best"),
-        F.collect_list(F.when(good, F.struct("template", "label", "base", F.greatest("start", F.lit(0)).alias("start"), "end", "votes", "coverage"))).alias("spans"),
+        F.collect_list(F.when(good, F.struct("template", "label", "base", (F.col("diagonal") + F.array_min("found")).alias("start"), "end", "votes", "coverage"))).alias("spans"),
     )
 
 
