@@ -6,26 +6,32 @@ bytes over all pieces wins. Pieces are short, so that what a long text teaches a
 The margin of the second language over the first gives the score, and a margin under REJECT marks the answer as rejected
 (column `rejected`; the prediction stays).
 
-The sample is the only thing fitted: the SAMPLE_ROWS texts of each language with the smallest hashes, up to DICT_BYTES of
-each language, every text giving an equal share. It is collected to the driver under that bound (languages times
-DICT_BYTES) and sent to the tasks; scoring is one pass without a shuffle, and every text is read whole.
+The sample is the only thing fitted: the SAMPLE_ROWS texts of each language with the smallest hashes. Each gives an equal share
+of DICT_BYTES (of ALL_BYTES / languages where there are very many), as SLICES evenly spaced slices of the whole text. Only
+these slices come to the driver, and are sent to the tasks; scoring is one pass without a shuffle, and every text is read whole.
 
 Edge cases: a null text, or one without a letter, is `und` with score 0. Ties go to the language that sorts first. With nothing
-to learn from, every prediction is `und`. Rows that repeat come out as often as they come in; null ids are kept.
+to learn from, every prediction is `und`. Rows that repeat come out as often as they come in; null ids are kept. An empty
+table gives no rows. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._spark import broadcast_if_small, cut
+
 SAMPLE_ROWS = 512
 DICT_BYTES = 112 << 10
+#: of all dictionaries together
+ALL_BYTES = 64 << 20
+SLICES = 4
 #: groups of partitions in which the sample is narrowed, ending with one
 SALTS = (512, 8, 1)
 PIECE = 1024
@@ -34,7 +40,7 @@ REJECT = 0.02
 #: margin at which the score is 1 - 1/e
 SCALE = 0.05
 
-_WORDY = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def held_out(id_col: str = "doc_id", folds: int = 4, fold: int = 2) -> Column:
@@ -42,24 +48,30 @@ def held_out(id_col: str = "doc_id", folds: int = 4, fold: int = 2) -> Column:
 
 
 def learn(train: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id") -> dict[str, bytes]:
-    """Raw-content dictionaries by language, from a bounded sample of the rows given."""
-    rows = train.where(F.col(lang_col).isNotNull() & (F.length(text_col) > 0)).select(
-        F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(id_col).cast("long"), F.lit(7)).alias("h"),
-        F.substring(F.col(text_col), 1, 4 * DICT_BYTES // SAMPLE_ROWS).alias("text"))  # of the sample only; predictions read whole texts
+    """Raw-content dictionaries by language, from a bounded sample of the rows given. Rows of one id and text count once."""
+    text = F.col(text_col).cast("string")
+    rows = train.where(F.col(lang_col).isNotNull() & (F.length(text) > 0)).select(
+        F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(id_col).cast("long"), F.lit(7)).alias("h"), F.xxhash64(F.col(id_col).cast("long"), text).alias("row"))
+    rows = rows.groupBy("lang", "h", "row").agg(F.count(F.lit(1)).alias("times"))
     # the first of each group of partitions, then the first of those: a language's rows never meet in one task
     rows = rows.withColumn("salt", F.spark_partition_id())
     for groups in SALTS:
-        first = Window.partitionBy("lang", "salt").orderBy("h", "text")
+        first = Window.partitionBy("lang", "salt").orderBy("h", "row")
         rows = rows.withColumn("salt", F.col("salt") % groups).withColumn("n", F.row_number().over(first)).where(F.col("n") <= SAMPLE_ROWS)
-    sample = rows.orderBy("lang", "n").select("lang", "text").collect()
-    texts: dict[str, list[bytes]] = {}
-    for r in sample:
-        texts.setdefault(r["lang"], []).append(r["text"].encode())
-    out = {}
-    for lang, all_ in sorted(texts.items()):
-        share = max(256, DICT_BYTES // len(all_))
-        out[lang] = b"\n".join(t[:share] for t in all_)[-DICT_BYTES:]
-    return out
+    rows = cut(rows.select("lang", "row"))
+    langs = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("many"))
+    n = langs.count()
+    budget = min(DICT_BYTES, ALL_BYTES // max(n, 1))
+    rows = rows.join(langs, "lang").withColumn("share", F.greatest(F.lit(64 * SLICES), F.floor(F.lit(budget) / F.col("many")))).select(F.col("lang").alias("_lang"), F.col("row").alias("_row"), "share")
+    found = train.select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(id_col).cast("long"), text).alias("row"), text.alias("text"))
+    found = found.join(broadcast_if_small(rows, n * SAMPLE_ROWS), (F.col("lang") == F.col("_lang")) & (F.col("row") == F.col("_row")))
+    step, size = F.length("text") / SLICES, F.ceil(F.col("share") / SLICES)
+    slices = F.concat(*[F.substring("text", F.floor(step * i).cast("int") + 1, F.least(size, F.ceil(step)).cast("int")) for i in range(SLICES)])
+    sample = found.select("lang", "row", F.when(F.length("text") <= F.col("share"), F.col("text")).otherwise(slices).alias("text")).dropDuplicates(["lang", "row"])
+    texts: dict[str, list[tuple[int, bytes]]] = {}
+    for r in sample.collect():
+        texts.setdefault(r["lang"], []).append((r["row"], r["text"].encode()))
+    return {lang: b"\n".join(t for _, t in sorted(all_))[-budget:] for lang, all_ in sorted(texts.items())}
 
 
 def language_id(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text", flag: Column | None = None) -> DataFrame:
@@ -75,7 +87,7 @@ def language_id(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "
             preds, scores, margins = [], [], []
             for text in batch.column(2).to_pylist():
                 pred, score, margin = "und", 0.0, 0.0
-                if coders and text and _WORDY.search(text):
+                if coders and text and _LETTER.search(text):
                     data = memoryview(text.encode())
                     pieces = [data[a : a + PIECE] for a in range(0, len(data), PIECE)]
                     sizes = np.array([sum(len(c.compress(p)) for p in pieces) for c in coders], dtype=np.float64)

@@ -13,11 +13,12 @@ in all), rewritten in the ways above, and seeded made-up ones, with dates, amoun
 Only these windows come to the driver. Scoring reads every text whole, once, without a shuffle.
 
 Edge cases: null or empty texts have no spans: counts 0, spans "". Rows that repeat come out as they come in. Null ids are kept.
-Offsets are code points, end exclusive.
+Offsets are code points, end exclusive. An empty table gives no rows. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import random
@@ -166,13 +167,22 @@ def features(text: str, start: int, end: int, kind: str) -> list[str]:
 def decode(text: str, weights: dict[str, float], taken: list[tuple[int, int]] = ()) -> list[tuple[str, int, int, float]]:
     """The best segmentation of every region, away from `taken`: (kind, start, end, score)."""
     out = []
+    taken = sorted(taken)
+    starts, ends_ = [s for s, _ in taken], []
+    for _, e in taken:
+        ends_.append(max(e, ends_[-1] if ends_ else 0))
+
+    def touched(a: int, b: int) -> bool:
+        k = bisect.bisect_left(starts, b)  # those that begin before b; the last end among them
+        return k > 0 and ends_[k - 1] > a
+
     for kind, atoms in regions(text):
-        atoms = [a for a in atoms if not any(a[0] < e and s < a[1] for s, e in taken)]
+        atoms = [a for a in atoms if not touched(*a)]
         if not atoms:
             continue
         ends: dict[int, list] = {}
         for i, j, k, f in candidates(text, kind, atoms):
-            if any(atoms[i][0] < e and s < atoms[j - 1][1] for s, e in taken):
+            if touched(atoms[i][0], atoms[j - 1][1]):
                 continue
             ends.setdefault(j, []).append((i, k, sum(weights.get(x, 0.0) for x in f)))
         best, back = [0.0], [None]

@@ -6,13 +6,14 @@ explains: P = 1 - (1 - leak) * prod(1 - p). Only document labels are known; bias
 the noisy-or by gradient descent, so that blame settles on the sentences that separate the bags. Scoring then names
 the worst sentence of each document.
 
-Words are hashed to BITS bits. The model is fitted on a bounded sample of labelled rows (the TRAIN_ROWS labels with the
-smallest hashes; a documented parameter): their words are hashed by the tasks that read them, and only hashes come to
-the driver. Words enter the model when they are seen in at least MIN_DOCS documents of the sample and their share
+Words are hashed to BITS bits. The model is fitted on a bounded sample of labelled rows (of the TRAIN_ROWS labels with the
+smallest hashes, TRAIN_ROWS different texts; a documented parameter): their words are hashed by the tasks that read them, and
+only hashes come to the driver, at most BAG of a document, evenly spaced where it has more (a limit of the fit alone). Words enter the model when they are seen in at least MIN_DOCS documents of the sample and their share
 of label-1 documents is far from the base rate (|z| >= Z). Scoring reads every text whole, in one pass without a shuffle.
 
 Edge cases: null or empty texts have no sentences and score the leak. Labels that are null or contradict each other for one
-document count as the largest. With no labels to learn from all scores are 0. Rows that repeat come out as they come in.
+document count as the largest. With no labels to learn from all scores are 0. Rows that repeat come out as they come in, and
+count once in the fit. An empty table gives no rows. Other columns are ignored (toxicity) or kept (clean), whatever their names.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ from . import _text as T
 
 BITS = 20
 TRAIN_ROWS = 8000
+BAG = 8192
 MIN_DOCS = 3
 Z = 4.0
 THRESHOLD = 0.7
@@ -63,7 +65,8 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for i in range(b - a):
                 s = slice(w.first[i], w.first[i + 1])
                 local = sentence[s] - (sentence[s][0] if len(sentence[s]) else 0)
-                keys.append(np.unique((local << BITS) | feature[s]))
+                k = np.unique((local << BITS) | feature[s])
+                keys.append(k if len(k) <= BAG else k[np.linspace(0, len(k) - 1, BAG).astype(np.int64)])
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array([k.tolist() for k in keys], pa.list_(pa.int64()))], names=["doc_id", "label", "keys"])
 
 
@@ -73,12 +76,15 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     # at most `rows` narrow rows: a bounded broadcast
-    found = texts.join(F.broadcast(sample), "doc_id").select("doc_id", "label", "text").mapInArrow(_features, "doc_id long, label int, keys array<long>")
-    bags = found.toArrow()
+    found = texts.join(F.broadcast(sample), "doc_id").withColumn("h", F.xxhash64("text"))
+    # a document that repeats is one; the texts of an id are as many as there are labels at most
+    found = found.groupBy("doc_id", "h").agg(F.any_value("label").alias("label"), F.any_value("text").alias("text")).orderBy(F.xxhash64("doc_id"), "doc_id", "h").limit(rows)
+    bags = found.select("doc_id", "label", "text").mapInArrow(_features, "doc_id long, label int, keys array<long>").toArrow()
     y = bags.column("label").to_numpy().astype(np.float64)
     lists = bags.column("keys").combine_chunks()
-    order = np.argsort(bags.column("doc_id").to_numpy(), kind="stable")  # rows come in any order; the fit must not depend on it
     offsets, keys = lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy()
+    sums = np.add.reduceat(np.append(keys, 0), offsets[:-1]) * (np.diff(offsets) > 0) if len(y) else np.zeros(0, np.int64)
+    order = np.lexsort((sums, bags.column("doc_id").to_numpy()))  # rows come in any order; the fit must not depend on it
     return fit(y[order], [keys[offsets[i] : offsets[i + 1]] for i in order])
 
 
