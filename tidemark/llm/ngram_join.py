@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._spark import broadcast_if_small, cut
+from ._spark import broadcast_if_small, cut, unused
 
 SHINGLE = 5
 #: similarity in hundredths
@@ -45,6 +45,8 @@ EXTRA = 10
 BITS = 48
 #: sets up to which a token is indexed alone
 RARE = 16
+#: parts in which the nodes of a component get their id
+SALTS = 32
 
 
 def shingle_sets(col: pa.Array) -> Iterator[np.ndarray]:
@@ -201,9 +203,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     base = cut(base)
     linked = cut(link_nodes(base, rows))
     small = base.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("low"))
-    joined = small.join(linked, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    lows = joined.groupBy("comp").agg(F.min("low").alias("component_id"))
-    ids = joined.join(lows, "comp").select("node", "component_id", "comp")
+    joined = cut(small.join(linked, "node"))
+    # a component's smallest id meets its nodes in SALTS parts, so that a giant one is not one task's work; the others are their own
+    lows = joined.groupBy("comp").agg(F.min("low").alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    named = joined.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(lows, ["comp", "salt"]).select("node", "component_id", F.col("comp").alias("joint"))
+    ids = small.join(named, "node", "left").select("node", F.when(F.col("joint").isNull(), F.col("low")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("joint", "node").alias("comp"))
     out = base.where("node IS NOT NULL").select("doc_id", "n", "node", "row").join(ids, "node").select("doc_id", "n", "component_id", "row", "comp")
     empty = base.where("node IS NULL").select("doc_id", "n", F.col("doc_id").alias("component_id"), "row", F.lit(None).cast("long").alias("comp"))
     return out.union(empty).withColumnRenamed("n", "n_shingles")
@@ -218,7 +222,8 @@ def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: s
     stay = cut(stay.union(found.where("comp IS NULL").select("row", F.lit(1).cast("long")).distinct()))
     many = stay.count()
     key = F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
-    out = docs.withColumn("_row", key)
-    once = out.join(broadcast_if_small(stay.where("times = 1").select(F.col("row").alias("_row")), many), "_row", "left_semi")
-    often = out.join(broadcast_if_small(stay.where("times > 1").select(F.col("row").alias("_row")), many), "_row", "left_semi").dropDuplicates(["_row"])
+    (row,) = unused(docs, "_row")
+    out = docs.withColumn(row, key)
+    once = out.join(broadcast_if_small(stay.where("times = 1").select(F.col("row").alias(row)), many), row, "left_semi")
+    often = out.join(broadcast_if_small(stay.where("times > 1").select(F.col("row").alias(row)), many), row, "left_semi").dropDuplicates([row])
     return once.unionByName(often).select(*docs.columns)
