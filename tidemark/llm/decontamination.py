@@ -21,6 +21,8 @@ Matches are few; only documents with matches are read again to compare slots.
 Edge cases: null or empty texts and items match nothing. Items of fewer than MIN_WORDS words are ignored. Rows that repeat
 give one row. Several passages of one item in one document give the longest (then the first). A null doc_id or item_id is kept;
 documents and items are told apart by the hash of id and text, so clean() removes the rows that leak and no others of their id.
+An empty table on either side gives no rows (clean: all documents). Other columns are ignored (leaks) or kept (clean), whatever
+their names.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import broadcast_if_small, cut
+from ._spark import broadcast_if_small, cut, unused
 
 WINDOW = 8
 MIN_LITERAL = 4
@@ -76,10 +78,27 @@ def plain(t: Column) -> Column:
     return F.split(F.lower(t), f"{_SPLIT[:-2]}{_MARK}]+")
 
 
-def _windows(words: Column, n: int) -> Column:
-    """Hashes of all windows of n template words, by position from 0 (the empty word in front is skipped); an empty array when there are fewer words."""
-    h = lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(n)])
-    return F.when(F.size(words) > n, F.transform(F.sequence(F.lit(1), F.size(words) - n), h)).otherwise(F.array().cast("array<bigint>"))
+def _held(rows: DataFrame, *, keep: list[str], **made: Column) -> DataFrame:
+    """rows with the columns made, each computed once: a generator over one array keeps later expressions from repeating them for every element."""
+    return rows.select(*keep, F.explode(F.array(F.struct(*[c.alias(k) for k, c in made.items()]))).alias("_w")).select(*keep, "_w.*")
+
+
+def _steps(h: str, step: int) -> Column:
+    """Hashes of the pairs of elements of h that stand `step` apart."""
+    n = F.greatest(F.size(h) - step, F.lit(0))
+    return F.zip_with(F.slice(h, 1, n), F.slice(h, 1 + step, n), lambda a, b: F.xxhash64(a, b))
+
+
+def _fours(rows: DataFrame, keep: list[str], words: list[str]) -> DataFrame:
+    """rows with the hashes of all runs of four words of these columns, by position from 0 (the empty word in front is skipped)."""
+    rows = _held(rows, keep=keep, **{c: F.transform(F.slice(c, 2, F.greatest(F.size(c) - 1, F.lit(0))), lambda w: F.xxhash64(w)) for c in words})
+    rows = _held(rows, keep=keep, **{c: _steps(c, 1) for c in words})
+    return _held(rows, keep=keep, **{c: _steps(c, 2) for c in words})
+
+
+def _windows(fours: str, n: int) -> Column:
+    """Hashes of all windows of n words (MIN_WORDS to WINDOW, which two runs of four cover), by position from 0."""
+    return _steps(fours, n - 4)
 
 
 def _literals(words: Column, at: Column, n: Column) -> Column:
@@ -94,13 +113,14 @@ def item_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "tex
     rows = rows.select("item", "item_id", F.explode(F.array(F.struct(words_of(t).alias("words"), canonical(t).alias("canon"), plain(t).alias("low")))).alias("w")).select("item", "item_id", "w.*")
     rows = rows.withColumn("n_words", F.size(F.filter("words", lambda w: w != ""))).where(F.col("n_words") >= MIN_WORDS).withColumn("len", F.least(F.col("n_words"), F.lit(WINDOW)))
 
-    def hashes(words: str) -> Column:
-        found = F.when(F.col("len") == MIN_WORDS, _windows(F.col(words), MIN_WORDS))
+    def hashes(fours: str) -> Column:
+        found = F.when(F.col("len") == MIN_WORDS, _windows(fours, MIN_WORDS))
         for n in range(MIN_WORDS + 1, WINDOW + 1):
-            found = found.when(F.col("len") == n, _windows(F.col(words), n))
+            found = found.when(F.col("len") == n, _windows(fours, n))
         return found
 
-    both = F.array(*[F.struct(F.lit(k).alias("plain"), hashes(words).alias("hashes")) for k, words in ((False, "canon"), (True, "low"))])
+    rows = _fours(rows.withColumn("canon4", F.col("canon")), ["item", "item_id", "words", "canon", "n_words", "len"], ["canon4", "low"])
+    both = F.array(*[F.struct(F.lit(k).alias("plain"), hashes(fours).alias("hashes")) for k, fours in ((False, "canon4"), (True, "low"))])
     rows = rows.select("item", "item_id", "words", "canon", "n_words", "len", F.explode(both).alias("w"))
     rows = rows.select("item", "item_id", "words", "canon", "n_words", "len", "w.plain", F.posexplode("w.hashes").alias("at", "window"))
     rows = rows.where(F.col("at") + F.col("len") <= F.col("n_words"))  # a text's last mark leaves an empty word
@@ -115,12 +135,18 @@ def _leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     lengths = [r[0] for r in items_.select("len").distinct().collect()]  # at most WINDOW values
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where(F.col("text").isNotNull())
     rows = rows.withColumn("row", F.xxhash64("doc_id", "text"))
-    # each generator over one array keeps what it holds from being computed anew for every element further on
-    texts = rows.select("row", F.explode(F.array(marked(F.col("text")))).alias("t"))
-    texts = texts.select("row", F.explode(F.array(F.struct(canonical(F.col("t")).alias("canon"), plain(F.col("t")).alias("low")))).alias("w")).select("row", "w.canon", "w.low")
-    entry = lambda k, n, hashes: F.struct(F.lit(k).alias("plain"), F.lit(n).alias("len"), hashes.alias("hashes"))
-    per_length = F.array(*[entry(k, n, _windows(F.col(words), n)) for n in lengths for k, words in ((False, "canon"), (True, "low"))] or [entry(False, 0, F.array().cast("array<bigint>"))])
-    each = texts.select("row", F.explode(per_length).alias("w")).select("row", "w.plain", "w.len", F.posexplode("w.hashes").alias("pos", "window"))
+    texts = _held(rows, keep=["row"], t=marked(F.col("text")))
+    texts = _fours(_held(texts, keep=["row"], canon=canonical(F.col("t")), low=plain(F.col("t"))), ["row"], ["canon", "low"])
+    none = F.array().cast("array<bigint>")
+    entry = lambda n, a, b: F.struct(F.lit(n).alias("len"), a.alias("canon"), b.alias("low"))
+    per_length = F.array(*[entry(n, _windows("canon", n), _windows("low", n)) for n in lengths] or [entry(0, none, none)])
+    each = texts.select("row", F.explode(per_length).alias("w")).select("row", "w.*").select("row", "len", F.posexplode(F.arrays_zip("canon", "low")).alias("pos", "w")).select("row", "len", "pos", "w.*")
+    if n <= BROADCAST:  # a look at one number drops what no item holds, before rows are made of templates and plain words
+        known = F.broadcast(items_.select("window").distinct())
+        for side in ("canon", "low"):
+            each = each.join(known.select(F.col("window").alias(side), F.lit(True).alias("in_" + side)), side, "left")
+        each = each.where("in_canon OR in_low")
+    each = each.select("row", "len", "pos", F.explode(F.array(*[F.struct(F.lit(k).alias("plain"), F.col(side).alias("window")) for k, side in ((False, "canon"), (True, "low"))])).alias("w")).select("row", "len", "pos", "w.*")
     targets = items_.select("item", "plain", "len", "window", "at", "n_words")
     hits = each.join(broadcast_if_small(targets, n, BROADCAST), ["plain", "len", "window"]).withColumn("diagonal", F.col("pos") - F.col("at"))
     # one row per passage; equal rows of the input count once
@@ -153,10 +179,11 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
 
 def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without a leak, with all their columns."""
-    found = cut(_leaks(docs, items, id_col, text_col).select(F.col("row").alias("_leak")).distinct())
+    (leak,) = unused(docs, "_leak")
+    found = cut(_leaks(docs, items, id_col, text_col).select(F.col("row").alias(leak)).distinct())
     text = F.col(text_col).cast("string")
     row = F.when(text.isNotNull(), F.xxhash64(F.col(id_col).cast("long"), text))
-    return docs.join(broadcast_if_small(found, found.count()), row == F.col("_leak"), "left_anti")
+    return docs.join(broadcast_if_small(found, found.count()), row == F.col(leak), "left_anti")
 
 
 def _sql_words(text: str) -> str:
