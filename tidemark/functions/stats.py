@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.carry import carried
+
 
 def trade_pnl(entry: Column, exit_: Column, notional: Column, side: Column, cost: float) -> Column:
     """struct<gross, cost, net> of a round trip."""
@@ -20,28 +22,71 @@ def ols(y: Column, x: Column) -> list[Column]:
             (F.sqrt(r2 * (n - 2) / F.when(r2 < 1, 1 - r2)) * F.signum(F.regr_slope(y, x))).alias("t")]
 
 
-def adjusted(tests: DataFrame, family: list[str], p: str, name: str = "q") -> DataFrame:
-    """Benjamini-Hochberg values within each family."""
+def adjusted(tests: DataFrame, family: list[str], p: str, name: str = "q", tie: str | None = None) -> DataFrame:
+    """Benjamini-Hochberg values within each family, and `bonferroni`: p times the number of tests, at most 1. Null p values take no part."""
     w = Window.partitionBy(*family)
-    rank, n = F.row_number().over(w.orderBy(p)), F.count(p).over(w)
-    raw = tests.withColumn("_raw", F.col(p) * n / rank)
-    return raw.withColumn(name, F.least(F.lit(1.0), F.min("_raw").over(w.orderBy(F.desc(p), F.desc("_raw")).rowsBetween(Window.unboundedPreceding, 0)))).drop("_raw")
+    ties = [tie] if tie else []
+    rank, n = F.row_number().over(w.orderBy(F.col(p).asc_nulls_last(), *ties)), F.count(p).over(w)
+    raw = tests.withColumn("_raw", F.col(p) * n / rank).withColumn("_rank", rank).withColumn("bonferroni", F.least(F.lit(1.0), F.col(p) * n))
+    least = F.min("_raw").over(w.orderBy("_rank").rowsBetween(0, Window.unboundedFollowing))
+    return raw.withColumn(name, F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), least))).drop("_raw", "_rank")
+
+
+def drawn(rows: DataFrame, block: list[str], h: Column, k: Column, rounds: int) -> DataFrame:
+    """In each round the k smallest of the hashes h (hex, of a row and `round`) of each block: rows with `round`.
+
+    No block is sorted: hashes are counted by their first four digits, whole buckets are taken, and only the rows of the bucket in
+    which the kth lies are ranked. k is the same for all rows of a block.
+    """
+    key = ["round", *block]
+    x = rows.withColumn("_k", k.cast("long")).withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1)))).withColumn("_h", h)
+    x = x.withColumn("_bucket", F.conv(F.substring("_h", 1, 4), 16, 10).cast("int"))
+    counts = x.groupBy(*key, "_bucket").agg(F.count(F.lit(1)).alias("_n"), F.max("_k").alias("_k"))
+    upto = F.sum("_n").over(Window.partitionBy(*key).orderBy("_bucket"))
+    edge = counts.withColumn("_upto", upto).where((F.col("_upto") >= F.col("_k")) & (F.col("_upto") - F.col("_n") < F.col("_k")))
+    edge = edge.select(*[F.col(c).alias("_e_" + c) for c in key], F.col("_bucket").alias("_edge"), (F.col("_k") - F.col("_upto") + F.col("_n")).alias("_more"))
+    same = [F.col(c).eqNullSafe(F.col("_e_" + c)) for c in key]
+    y = x.join(edge, same).where("_bucket <= _edge")
+    last = y.where("_bucket = _edge").withColumn("_r", F.row_number().over(Window.partitionBy(*key).orderBy("_h"))).where("_r <= _more").drop("_r")
+    return y.where("_bucket < _edge").unionByName(last).select(*rows.columns, "round")
+
+
+def seeded(seed: str, *parts: str | Column) -> Column:
+    """md5 of the seed and the parts, joined by colons."""
+    return F.md5(F.concat_ws(":", F.lit(seed), *parts))
 
 
-def permuted_means(events: DataFrame, block: list[str], label: Column, value: str, rounds: int, seed: str) -> DataFrame:
-    """A seeded null: in each round labels move to other rows of their block (the k smallest hashes); round and the labelled rows' mean."""
-    x = events.withColumn("_on", label.cast("long")).withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
-    h = F.md5(F.concat_ws(":", F.lit(seed), "round", *block, *[c for c in events.columns if c.endswith("_id")]))
-    w = Window.partitionBy("round", *block)
-    x = x.withColumn("_k", F.sum("_on").over(w)).withColumn("_r", F.row_number().over(w.orderBy(h)))
-    return x.where("_r <= _k").groupBy("round").agg(F.avg(value).alias("null_mean"), F.count(F.lit(1)).alias("n"))
+def permuted_means(events: DataFrame, block: list[str], id_col: str, label: Column, value: str, rounds: int, seed: str, event: Column | None = None) -> DataFrame:
+    """A seeded null: in each round labels move to other rows of their block (those with the smallest hashes of id_col); round, the drawn rows' mean and number.
+
+    event: rows that are events themselves, which no label moves to.
+    """
+    x = events.withColumn("_on", label.cast("long"))
+    per = x.groupBy(*block).agg(F.sum("_on").alias("_k"))
+    pool = x.where(~event) if event is not None else x
+    same = [pool[c].eqNullSafe(per[c]) for c in block]
+    pool = pool.join(per, same).drop(*[per[c] for c in block]).where("_k > 0")
+    got = drawn(pool, block, seeded(seed, "round", *block, id_col), F.col("_k"), rounds)
+    return got.groupBy("round").agg(F.avg(value).alias("null_mean"), F.count(F.lit(1)).alias("n"))
 
 
 def chained(rows: DataFrame, key: str, order: list[str], payload: list[str]) -> DataFrame:
-    """An append-only ledger: each row's hash covers its payload and the hash before it."""
-    text = F.concat_ws("|", *payload)
-    lists = rows.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*order, text.alias("text")))).alias("all"))  # a key's ledger is read in order
-    fold = F.aggregate("all", F.expr("named_struct('prev', '', 'out', cast(array() as array<struct<seq:int,hash:string>>))"),
-                       lambda a, x: F.struct(F.sha2(F.concat(a["prev"], F.lit("|"), x["text"]), 256).alias("prev"),
-                                             F.concat(a["out"], F.array(F.struct((F.size(a["out"]) + 1).alias("seq"), F.sha2(F.concat(a["prev"], F.lit("|"), x["text"]), 256).alias("hash")))).alias("out")))
-    return lists.select(key, F.inline(fold["out"]))
+    """An append-only ledger: key, seq, body, prev and hash; a row's hash covers its payload (JSON by column name, nulls kept) and the hash before it."""
+    body = F.to_json(F.struct(*sorted(payload)), {"ignoreNullFields": "false"})
+
+    def step(state, text):
+        import hashlib
+
+        seq, prev = state
+        now = hashlib.sha256(f"{prev}|{text}".encode()).hexdigest()
+        return (seq + 1, now), (seq + 1, prev, now)
+
+    out = carried(rows.select(key, *[c for c in order if c != key], body.alias("body")), [key], order, ["body"], "seq int, prev string, hash string", lambda: (0, ""), step)
+    return out.select(key, "seq", "body", "prev", "hash")
+
+
+def verified(ledger: DataFrame, key: str) -> DataFrame:
+    """Whether each key's chain is whole: every hash is that of its body and prev, and prev is the hash before; the first row where not."""
+    before = F.coalesce(F.lag("hash").over(Window.partitionBy(key).orderBy("seq")), F.lit(""))
+    good = (F.sha2(F.concat_ws("|", "prev", "body"), 256) == F.col("hash")) & (before == F.col("prev"))
+    return ledger.withColumn("_good", good).groupBy(key).agg(F.bool_and("_good").alias("whole"), F.count(F.lit(1)).alias("n"), F.min(F.when(~F.col("_good"), F.col("seq"))).alias("first_broken"))

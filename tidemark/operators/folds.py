@@ -2,36 +2,43 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.carry import carried
 
-def ema(panel: DataFrame, key: str, order: Sequence[str], value: str, alpha: float, name: str = "ema") -> DataFrame:
-    """Exponential average begun with a key's first value; rows without a value carry it on.
 
-    Each row folds the last rows whose weights add up to all but 1e-16, so a row needs a bounded frame and not its key's whole history.
+def ema(panel: DataFrame, key: str, order: Sequence[str], value: str, alpha: float, name: str = "ema", seed: int = 1) -> DataFrame:
+    """Exponential average begun with the mean of a key's first `seed` values (null before them); rows without a value carry it on.
+
+    A recursion, so a fold over each key's sorted rows that carries two numbers.
     """
     if not 0 < alpha <= 1:
         raise ValueError("alpha must be over 0 and at most 1")
-    n = 1 if alpha == 1 else math.ceil(math.log(1e-16) / math.log(1 - alpha))
-    # rows without a value count in no frame: they take the average of the last row that has one
-    order = list(order)
-    some, none = panel.where(F.col(value).isNotNull()), panel.where(F.col(value).isNull()).withColumn(name, F.lit(None).cast("double"))
-    w = Window.partitionBy(key).orderBy(*order)
-    recent = F.collect_list(F.col(value).cast("double")).over(w.rowsBetween(-n, 0))
-    folded = F.aggregate(F.slice(F.col("_recent"), 2, n), F.get("_recent", F.lit(0)), lambda a, x: x * alpha + a * (1 - alpha))
-    out = some.withColumn("_recent", recent).withColumn(name, folded).drop("_recent").unionByName(none)
-    return out.withColumn(name, F.last(name, True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
 
+    def step(state, x):
+        n, now = state
+        if x is not None:
+            n += 1
+            now = now + x if n <= seed else x * alpha + now * (1 - alpha)
+            if n == seed:
+                now /= seed
+        return (n, now), (now if n >= seed else None,)
 
-def wilder_range(panel: DataFrame, key: str, order: Sequence[str], high: str, low: str, close: str, n: int, name: str = "atr") -> DataFrame:
-    """Average true range: the exponential average with weight 1/n of the largest of high - low and the distances from the close before."""
+    return carried(panel.withColumn("_x", F.col(value).cast("double")), [key], list(order), ["_x"], f"{name} double", lambda: (0, 0.0), step).drop("_x")
+
+
+def true_range(key: str, order: Sequence[str], high: str, low: str, close: str) -> Column:
+    """The largest of high - low and the distances from the close before."""
     before = F.lag(close).over(Window.partitionBy(key).orderBy(*order))
-    span = F.greatest(F.col(high) - F.col(low), F.abs(F.col(high) - before), F.abs(F.col(low) - before))
-    return ema(panel.withColumn("_span", span), key, order, "_span", 1 / n, name).drop("_span")
+    return F.greatest(F.col(high) - F.col(low), F.abs(F.col(high) - before), F.abs(F.col(low) - before))
+
+
+def wilder_range(panel: DataFrame, key: str, order: Sequence[str], high: str, low: str, close: str, n: int, name: str = "atr") -> DataFrame:
+    """Average true range: the mean of the first n, then the exponential average with weight 1/n."""
+    return ema(panel.withColumn("_span", true_range(key, order, high, low, close)), key, order, "_span", 1 / n, name, n).drop("_span")
 
 
 def walk_forward(rows: DataFrame, ts: str, start: Column, step_days: int, train_steps: int, folds: int) -> DataFrame:

@@ -15,7 +15,9 @@ def asof(left: DataFrame, right: DataFrame, key: str, ts: str, columns: list[str
 
     Both sides are stacked and one sort per key carries the last right row on, so that the cost is one shuffle of n + m rows,
     and no pair is ever formed. Among right rows of one instant the one with the largest `tie` counts (forward: smallest). Right columns come as r_*.
+    A null key or time on either side matches nothing.
     """
+    right = right.where(F.col(key).isNotNull() & F.col(ts).isNotNull())
     tie_l, tie_r = (F.lit(None), F.lit(None)) if tie is None else (F.lit(None).cast(dict(right.dtypes)[tie]), F.col(tie))
     packed = F.struct(F.col(ts), *columns)
     kind = right.select(packed.alias("r")).schema["r"].dataType
@@ -24,7 +26,8 @@ def asof(left: DataFrame, right: DataFrame, key: str, ts: str, columns: list[str
     r = right.select(key, _us(F.col(ts)).alias("_t"), F.lit(1 - side).alias("_side"), tie_r.alias("_tie"), packed.alias("_r"), F.lit(None).cast(left.select(F.struct(*left.columns).alias("s")).schema["s"].dataType).alias("_l"))
     w = Window.partitionBy(key).orderBy("_t", "_side", "_tie")
     found = F.first("_r", True).over(w.rowsBetween(0, Window.unboundedFollowing)) if forward else F.last("_r", True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    out = l.union(r).withColumn("_f", found).where("_l IS NOT NULL")
+    known = F.col(key).isNotNull() & F.col("_t").isNotNull()
+    out = l.where(known).union(r).withColumn("_f", found).where("_l IS NOT NULL").unionByName(l.where(~known).withColumn("_f", F.lit(None).cast(kind)))
     if tolerance_s is not None:
         out = out.withColumn("_f", F.when(F.abs(F.col("_t") - _us(F.col("_f")[ts])) <= int(tolerance_s * 1e6), F.col("_f")))
     return out.select("_l.*", F.col("_f")[ts].alias("r_" + ts), *[F.col("_f")[c].alias("r_" + c) for c in columns])
@@ -39,12 +42,15 @@ def band(left: DataFrame, right: DataFrame, key: str, ts: str, seconds: float, l
 
 
 def trailing(events: DataFrame, facts: DataFrame, key: str, ts: str, value: str, seconds: float) -> DataFrame:
-    """events with the sum and count of the facts in [t - seconds, t), by a range frame over the stacked sides: one sort per key, no pairs."""
+    """events with the sum and count of the facts in [t - seconds, t), by a range frame over the stacked sides: one sort per key, no pairs. A null key or time counts nothing."""
+    facts = facts.where(F.col(key).isNotNull() & F.col(ts).isNotNull())
     kind = events.select(F.struct(*events.columns).alias("s")).schema["s"].dataType
     e = events.select(key, _us(F.col(ts)).alias("_t"), F.lit(None).cast("double").alias("_v"), F.struct(*events.columns).alias("_e"))
     f = facts.select(key, _us(F.col(ts)).alias("_t"), F.col(value).cast("double").alias("_v"), F.lit(None).cast(kind).alias("_e"))
     w = Window.partitionBy(key).orderBy("_t").rangeBetween(-int(seconds * 1e6), -1)
-    return e.union(f).withColumn("sum_before", F.sum("_v").over(w)).withColumn("n_before", F.count("_v").over(w)).where("_e IS NOT NULL").select("_e.*", F.coalesce("sum_before", F.lit(0.0)).alias("sum_before"), "n_before")
+    known = F.col(key).isNotNull() & F.col("_t").isNotNull()
+    rest = e.where(~known).withColumn("sum_before", F.lit(None).cast("double")).withColumn("n_before", F.lit(0).cast("long"))
+    return e.where(known).union(f).withColumn("sum_before", F.sum("_v").over(w)).withColumn("n_before", F.count("_v").over(w)).where("_e IS NOT NULL").unionByName(rest).select("_e.*", F.coalesce("sum_before", F.lit(0.0)).alias("sum_before"), "n_before")
 
 
 def offset(panel: DataFrame, key: str, ts: str, value: str, shift: Column, name: str) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.carry import carried
+
 
 def bars(rows: DataFrame, key: str, ts: str, value: str, unit: str = "hour", order: str | None = None) -> DataFrame:
     """Open, high, low, close, sum and count of a value by key and calendar unit; ties in time go by `order`. One shuffle of partial aggregates."""
@@ -36,12 +38,12 @@ def forward_extremes(panel: DataFrame, key: str, ts: str, value: str, horizon: i
     return panel.withColumn("fwd_max", F.when(full, F.max(value).over(w))).withColumn("fwd_min", F.when(full, F.min(value).over(w)))
 
 
-def gaps(panel: DataFrame, key: str, ts: str, limit_s: float, name: str = "gap_s") -> DataFrame:
-    """Seconds since the row before, whether a gap longer than the limit stands there, and the run of rows between gaps."""
-    w = Window.partitionBy(key).orderBy(ts)
+def gaps(panel: DataFrame, key: str, ts: str, limit_s: float, name: str = "gap_s", tie: str | None = None) -> DataFrame:
+    """Seconds since the row before, whether a gap longer than the limit stands there, and the run of rows between gaps. Rows of one instant go by `tie`."""
+    w = Window.partitionBy(key).orderBy(ts, *([tie] if tie else []))
     gap = F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.lag(ts).over(w).cast("timestamp"))
     out = panel.withColumn(name, gap / 1e6).withColumn("is_gap", F.coalesce(F.col(name) > limit_s, F.lit(False)))
-    return out.withColumn("run", F.sum(F.col("is_gap").cast("long")).over(w))
+    return out.withColumn("run", F.sum(F.col("is_gap").cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
 
 
 def pct_rank(panel: DataFrame, at: Sequence[str], value: str, name: str = "pct") -> DataFrame:
@@ -78,20 +80,15 @@ def concurrency(spans: DataFrame, key: str, start: str, end: str) -> DataFrame:
 
 
 def cooldown(events: DataFrame, key: str, ts: str, seconds: float, tie: str) -> DataFrame:
-    """Events kept when at least `seconds` after the last kept one of their key: inherently sequential, so a fold over each key's sorted times.
+    """Events kept when at least `seconds` after the last kept one of their key: a fold over each key's sorted rows that carries one instant. Events without a time are left out."""
+    gap = int(seconds * 1e6)
 
-    A key's events are cut wherever a pause of `seconds` makes the past irrelevant; only such a burst is folded in one piece.
-    """
-    w = Window.partitionBy(key).orderBy(ts, tie)
-    t = F.unix_micros(F.col(ts).cast("timestamp"))
-    rows = events.withColumn("_t", t).withColumn("_new", F.coalesce((t - F.lag(t).over(w) >= int(seconds * 1e6)).cast("long"), F.lit(0)))
-    rows = rows.withColumn("_burst", F.sum("_new").over(w))
-    bursts = rows.groupBy(key, "_burst").agg(F.sort_array(F.collect_list(F.struct("_t", tie))).alias("all"))
-    start = F.expr(f"named_struct('last', cast(null as bigint), 'kept', cast(array() as array<{dict(events.dtypes)[tie]}>))")
-    fold = F.aggregate("all", start, lambda a, x: F.when(a["last"].isNull() | (x["_t"] - a["last"] >= int(seconds * 1e6)),
-                                                         F.struct(x["_t"].alias("last"), F.concat(a["kept"], F.array(x[tie])).alias("kept"))).otherwise(a))
-    kept = bursts.select(key, F.explode(fold["kept"]).alias(tie))
-    return events.join(kept, [key, tie], "left_semi")
+    def step(last, t):
+        keep = last is None or t - last >= gap
+        return (t if keep else last), (keep,)
+
+    timed = events.where(F.col(ts).isNotNull()).withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp")))
+    return carried(timed, [key], ["_us", tie], ["_us"], "_kept boolean", lambda: None, step).where("_kept").drop("_us", "_kept")
 
 
 def turnover(portfolios: DataFrame, at: str, member: str, weight: str) -> DataFrame:
@@ -108,3 +105,40 @@ def scores(pnl: Column) -> list[Column]:
     """Trades, sum, mean, standard deviation, win rate and profit factor of a group."""
     gain, loss = F.sum(F.when(pnl > 0, pnl).otherwise(0.0)), F.sum(F.when(pnl < 0, -pnl).otherwise(0.0))
     return [F.count(pnl).alias("trades"), F.sum(pnl).alias("pnl"), F.avg(pnl).alias("mean_pnl"), F.stddev_samp(pnl).alias("std_pnl"), F.avg(F.when(pnl > 0, 1.0).otherwise(0.0)).alias("win_rate"), (gain / F.when(loss > 0, loss)).alias("profit_factor")]
+
+
+def life_share(rows: DataFrame, key: str, ts: str, name: str = "age_pct") -> DataFrame:
+    """Where a row stands between its key's first and last instant, 0 to 1; null where they are one."""
+    w = Window.partitionBy(key)
+    us = F.unix_micros(F.col(ts).cast("timestamp"))
+    first, last = F.min(us).over(w), F.max(us).over(w)
+    return rows.withColumn(name, (us - first) / F.nullif(last - first, F.lit(0)))
+
+
+def global_rank(rows: DataFrame, value: str, name: str = "pct", buckets: int = 64) -> DataFrame:
+    """Rank of a value among all rows as a share of them, ties averaged; null values take no part.
+
+    Values are counted first, then numbered within range-partitioned buckets, and only the buckets' totals meet in one window.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    counts = counts.repartitionByRange(buckets, "_v").withColumn("_b", F.spark_partition_id())
+    # a range partition's number depends on the plan: the bounds are kept, not the numbers
+    bounds = counts.groupBy("_b").agg(F.min("_v").alias("_from"), F.max("_v").alias("_to"), F.sum("_c").alias("_n"))
+    bounds = bounds.withColumn("_before", F.sum("_n").over(Window.orderBy("_from").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).withColumn("_all", F.sum("_n").over(Window.partitionBy(F.lit(1))))
+    bounds = bounds.select("_from", "_to", "_before", "_all")
+    ranked = counts.drop("_b").join(F.broadcast(bounds), (F.col("_v") >= F.col("_from")) & (F.col("_v") <= F.col("_to")))  # at most `buckets` rows
+    upto = F.sum("_c").over(Window.partitionBy("_from").orderBy("_v"))
+    ranked = ranked.select("_v", ((F.col("_before") + upto - (F.col("_c") - 1) / 2) / F.col("_all")).alias(name))
+    return rows.join(ranked, F.col(value) == F.col("_v"), "left").drop("_v")
+
+
+def capped(rows: DataFrame, group: Sequence[str], order: Sequence[str], most: int, name: str = "place") -> DataFrame:
+    """The first `most` rows of each group, with their place from 0."""
+    return rows.withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(*order)) - 1).where(F.col(name) < most)
+
+
+def blocks(rows: DataFrame, key: str, ts: str, seconds: int, size: int, tie: str) -> DataFrame:
+    """`block`: the number of the span of time a row lies in; `chunk`: the number of its run of `size` rows of its key."""
+    place = F.row_number().over(Window.partitionBy(key).orderBy(ts, tie)) - 1
+    us = F.unix_micros(F.col(ts).cast("timestamp"))
+    return rows.withColumn("block", F.floor(us / (seconds * 1_000_000))).withColumn("chunk", F.floor(place / size))

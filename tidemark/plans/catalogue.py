@@ -7,39 +7,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import stats
 from tidemark.operators import folds, joins, series
-
-Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None):
-    def add(f):
-        Q[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
-
-
-def _r(c: str | Column, name: str) -> Column:
-    return F.round(c, 6).alias(name)
-
-
-_BARS = "SELECT event_type, date_trunc('hour', ts) AS bar, arg_min(value, (ts, event_id)) AS open, max(value) AS high, min(value) AS low, arg_max(value, (ts, event_id)) AS close, sum(value) AS total, count(value) AS n FROM events GROUP BY ALL"
-
-
-def _bars(spark: SparkSession, d: str) -> DataFrame:
-    return series.bars(_t(spark, d, "events"), "event_type", "ts", "value", order="event_id")
+from tidemark.plans.registry import BARS as _BARS
+from tidemark.plans.registry import MONTHS as _MONTHS
+from tidemark.plans.registry import PNL as _PNL
+from tidemark.plans.registry import SQL, Q, query
+from tidemark.plans.registry import TWO as _TWO
+from tidemark.plans.registry import bars as _bars
+from tidemark.plans.registry import r as _r
+from tidemark.plans.registry import t as _t
 
 
 @query(f"SELECT event_type, bar::TIMESTAMP AS bar, open, high, low, close, round(total, 6) AS total, n FROM ({_BARS})")
@@ -64,10 +44,10 @@ def forward_extremes_6(spark, d):
     return series.forward_extremes(_bars(spark, d), "event_type", "bar", "close", 6).select("event_type", F.col("bar").cast("timestamp_ntz").alias("bar"), "fwd_max", "fwd_min")
 
 
-@query("""WITH g AS (SELECT *, (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY event_type ORDER BY ts)) / 1e6 AS gap_s FROM events)
-SELECT event_id, gap_s, coalesce(gap_s > 3600, false) AS is_gap, (sum(CASE WHEN gap_s > 3600 THEN 1 ELSE 0 END) OVER (PARTITION BY event_type ORDER BY ts ROWS UNBOUNDED PRECEDING))::BIGINT AS run FROM g""")
+@query("""WITH g AS (SELECT *, (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY event_type ORDER BY ts, event_id)) / 1e6 AS gap_s FROM events)
+SELECT event_id, gap_s, coalesce(gap_s > 3600, false) AS is_gap, (sum(CASE WHEN gap_s > 3600 THEN 1 ELSE 0 END) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))::BIGINT AS run FROM g""")
 def event_gaps(spark, d):
-    return series.gaps(_t(spark, d, "events"), "event_type", "ts", 3600).select("event_id", "gap_s", "is_gap", "run")
+    return series.gaps(_t(spark, d, "events"), "event_type", "ts", 3600, tie="event_id").select("event_id", "gap_s", "is_gap", "run")
 
 
 @query(f"""WITH b AS ({_BARS}), r AS (SELECT *, rank() OVER (PARTITION BY bar ORDER BY close) AS r, count(*) OVER (PARTITION BY bar, close) AS ties, count(*) OVER (PARTITION BY bar) AS k FROM b)
@@ -76,15 +56,10 @@ def cross_section_rank(spark, d):
     return series.pct_rank(_bars(spark, d), ["bar"], "close").select("event_type", F.col("bar").cast("timestamp_ntz").alias("bar"), _r("pct", "pct"))
 
 
-
-
 def _supplier_months(spark, d):
     return _t(spark, d, "lineitem").groupBy("l_suppkey", F.date_trunc("month", "l_shipdate").cast("timestamp_ntz").alias("month")).agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 4).alias("revenue"))
 
 
-_MONTHS = "SELECT l_suppkey, date_trunc('month', l_shipdate)::TIMESTAMP AS month, round(sum(l_extendedprice * (1 - l_discount)), 4) AS revenue FROM lineitem GROUP BY ALL"
-
-
 @query(f"""WITH p AS ({_MONTHS}), r AS (SELECT *, count(*) OVER (PARTITION BY month) AS k, row_number() OVER (PARTITION BY month ORDER BY revenue DESC, l_suppkey) AS u, row_number() OVER (PARTITION BY month ORDER BY revenue, l_suppkey) AS v FROM p)
 SELECT l_suppkey, month, revenue, CASE WHEN u <= floor(k * 0.2) THEN 'long' ELSE 'short' END AS side FROM r WHERE k >= 5 AND (u <= floor(k * 0.2) OR v <= floor(k * 0.2))""")
 def tail_selection(spark, d):
@@ -97,13 +72,6 @@ def calendar_offset_join(spark, d):
     return joins.offset(p, "l_suppkey", "month", "revenue", F.expr("month + INTERVAL 3 MONTHS"), "later").select("l_suppkey", "month", "revenue", "later")
 
 
-_P, _V = "(SELECT * FROM events WHERE event_type = 'purchase')", "(SELECT * FROM events WHERE event_type = 'view')"
-
-
-def _kind(spark, d, k):
-    return _t(spark, d, "events").where(F.col("event_type") == k)
-
-
 def _two(spark, d):
     """The two commonest event types, by name where they tie; at most as many rows as there are types."""
     e = _t(spark, d, "events").groupBy("event_type").count().orderBy(F.desc("count"), "event_type").limit(2)
@@ -112,9 +80,6 @@ def _two(spark, d):
     return x.where("place = 1").drop("place"), x.where("place = 2").drop("place")
 
 
-_TWO = "k AS (SELECT event_type, row_number() OVER (ORDER BY count(*) DESC, event_type) AS place FROM events GROUP BY event_type), l AS (SELECT events.* FROM events JOIN k USING (event_type) WHERE place = 1), r AS (SELECT events.* FROM events JOIN k USING (event_type) WHERE place = 2)"
-
-
 @query(f"""WITH {_TWO} SELECT l.event_id, CASE WHEN l.ts - r.ts <= INTERVAL 6 HOUR THEN r.event_id END AS r_event_id FROM l ASOF LEFT JOIN r ON l.user_id = r.user_id AND l.ts >= r.ts""")
 def asof_backward(spark, d):
     l, r = _two(spark, d)
@@ -147,19 +112,12 @@ def cooldown_6h(spark, d):
     return series.cooldown(_t(spark, d, "events"), "event_type", "ts", 6 * 3600, "event_id").select("event_id", "event_type")
 
 
-_TRADES = """SELECT o_orderkey, o_custkey, o_orderdate, o_orderpriority, CASE WHEN o_orderkey % 2 = 0 THEN 'long' ELSE 'short' END AS side,
- (o_orderkey % 21 - 10) / 100.0::DOUBLE AS move FROM orders"""
-
-
 def _trades(spark, d):
     o = _t(spark, d, "orders")
     p = stats.trade_pnl(F.lit(100.0), 100.0 * (1 + (F.col("o_orderkey") % 21 - 10) / 100.0), F.lit(1000.0), F.when(F.col("o_orderkey") % 2 == 0, "long").otherwise("short"), 0.002)
     return o.withColumn("t", p).select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority", "t.*")
 
 
-_PNL = f"SELECT *, 1000.0 * CASE WHEN side = 'short' THEN -(100.0 * (1 + move) / 100.0 - 1) ELSE 100.0 * (1 + move) / 100.0 - 1 END - 2.0 AS net FROM ({_TRADES})"
-
-
 @query(f"SELECT o_orderkey, round(net + 2.0, 6) AS gross, 2.0::DOUBLE AS cost, round(net, 6) AS net FROM ({_PNL})")
 def trade_costs(spark, d):
     return _trades(spark, d).select("o_orderkey", _r("gross", "gross"), "cost", _r("net", "net"))
@@ -196,10 +154,8 @@ def ols_by_group(spark, d):
 r AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p, p_size) AS rk, count(*) OVER (PARTITION BY p_brand) AS m FROM t)
 SELECT p_brand, p_size, p, round(least(1.0, min(p * m / rk) OVER (PARTITION BY p_brand ORDER BY p DESC, p_size DESC ROWS UNBOUNDED PRECEDING)), 6) AS q FROM (SELECT *, p_size AS z FROM r)""")
 def false_discovery(spark, d):
-    t = _t(spark, d, "part").groupBy("p_brand", "p_size").agg(F.count(F.lit(1)).alias("c")).select("p_brand", "p_size", F.round((F.col("c") * 7919 % 1000 + 1) / 1000.0, 6).alias("p"))
-    w = Window.partitionBy("p_brand")
-    r = t.withColumn("raw", F.col("p") * F.count("p").over(w) / F.row_number().over(w.orderBy("p", "p_size")))
-    return r.select("p_brand", "p_size", "p", F.round(F.least(F.lit(1.0), F.min("raw").over(w.orderBy(F.desc("p"), F.desc("p_size")).rowsBetween(Window.unboundedPreceding, 0))), 6).alias("q"))
+    tests = _t(spark, d, "part").groupBy("p_brand", "p_size").agg(F.count(F.lit(1)).alias("c")).select("p_brand", "p_size", F.round((F.col("c") * 7919 % 1000 + 1) / 1000.0, 6).alias("p"))
+    return stats.adjusted(tests, ["p_brand"], "p", tie="p_size").select("p_brand", "p_size", "p", _r("q", "q"))
 
 
 @query("""SELECT event_type, user_id % 10 AS slice, grouping(event_type)::INTEGER * 2 + grouping(user_id % 10)::INTEGER AS level, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY GROUPING SETS ((event_type, user_id % 10), (event_type), (user_id % 10), ())""")
@@ -227,13 +183,30 @@ def portfolio_turnover(spark, d):
 z AS (SELECT round, value, sum(l) OVER w AS k, row_number() OVER (PARTITION BY round, event_type ORDER BY md5('null-1:' || round || ':' || event_type || ':' || event_id)) AS r FROM y WINDOW w AS (PARTITION BY round, event_type))
 SELECT round, round(avg(value), 6) AS null_mean, count(*) AS n FROM z WHERE r <= k GROUP BY 1""")
 def permutation_null(spark, d):
-    e = _t(spark, d, "events").select("event_id", "value", "event_type", "user_id").withColumn("u", F.col("user_id")).drop("user_id")
-    return stats.permuted_means(e, ["event_type"], F.col("u") % 7 == 0, "value", 20, "null-1").select("round", _r("null_mean", "null_mean"), "n")
+    return stats.permuted_means(_t(spark, d, "events"), ["event_type"], "event_id", F.col("user_id") % 7 == 0, "value", 20, "null-1").select("round", _r("null_mean", "null_mean"), "n")
 
 
-@query(None)
+_LEDGER = """WITH RECURSIVE o AS (SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS seq,
+  json_object('o_orderkey', o_orderkey, 'o_orderstatus', o_orderstatus, 'o_totalprice', floor(o_totalprice)::BIGINT)::VARCHAR AS body FROM orders),
+c AS (SELECT o_custkey, seq, body, sha256('|' || body) AS hash FROM o WHERE seq = 1
+      UNION ALL SELECT o.o_custkey, o.seq, o.body, sha256(c.hash || '|' || o.body) FROM c JOIN o ON o.o_custkey = c.o_custkey AND o.seq = c.seq + 1)"""
+
+
+def _ledger(spark, d):
+    rows = _t(spark, d, "orders").withColumn("o_totalprice", F.floor("o_totalprice").cast("long"))
+    return stats.chained(rows, "o_custkey", ["o_orderdate", "o_orderkey"], ["o_orderkey", "o_orderstatus", "o_totalprice"])
+
+
+@query(f"{_LEDGER} SELECT o_custkey, seq::INTEGER AS seq, hash FROM c")
 def ledger_chain(spark, d):
-    return stats.chained(_t(spark, d, "orders"), "o_custkey", ["o_orderdate", "o_orderkey"], ["o_orderkey", "o_orderstatus"])
+    return _ledger(spark, d).select("o_custkey", "seq", "hash")
+
+
+@query("SELECT o_custkey, true AS whole, count(*) AS n, NULL::INTEGER AS first_broken FROM orders WHERE o_custkey % 3 <> 0 GROUP BY 1 UNION ALL SELECT o_custkey, count(*) < 2, count(*), CASE WHEN count(*) >= 2 THEN 2 END FROM orders WHERE o_custkey % 3 = 0 GROUP BY 1")
+def ledger_verification(spark, d):
+    """Each third customer's second entry is forged."""
+    forged = _ledger(spark, d).withColumn("body", F.when((F.col("o_custkey") % 3 == 0) & (F.col("seq") == 2), F.lit("{}")).otherwise(F.col("body")))
+    return stats.verified(forged, "o_custkey")
 
 
 @query("""SELECT event_type, count(*) AS n, count(*) FILTER (value IS NULL OR isnan(value) OR isinf(value)) AS bad, count(DISTINCT user_id) AS users, min(ts) AS first_ts, max(ts) AS last_ts FROM events GROUP BY 1""")
@@ -264,6 +237,9 @@ def event_motifs(spark, d):
     return folds.motifs(_t(spark, d, "events"), "user_id", ["ts", "event_id"], "event_type", 3)
 
 
+from tidemark.plans import evaluation, frames, panels, relations  # noqa: E402, F401  (their queries register themselves)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(Q)
 
