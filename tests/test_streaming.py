@@ -62,4 +62,4 @@ def test_ema_carries_over_nulls_and_wilder(spark):
     rows = spark.createDataFrame([("a", 1, None), ("a", 2, 10.0), ("a", 3, None), ("a", 4, 20.0)], "k string, t int, v double")
     assert [r.ema for r in folds.ema(rows, "k", ["t"], "v", 0.5).orderBy("t").collect()] == [None, 10.0, 10.0, 15.0]
     bars = spark.createDataFrame([("a", 1, 3.0, 1.0, 2.0), ("a", 2, 8.0, 6.0, 7.0)], "k string, t int, h double, l double, c double")
-    assert [r.atr for r in folds.wilder_range(bars, "k", ["t"], "h", "l", "c", 2).orderBy("t").collect()] == [2.0, 4.0]
+    assert [r.atr for r in folds.wilder_range(bars, "k", ["t"], "h", "l", "c", 2).orderBy("t").collect()] == [None, 4.0]

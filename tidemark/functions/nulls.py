@@ -102,6 +102,10 @@ def mann_whitney(rows: DataFrame, by: Sequence[str], value: str, flag: Column) -
     Values are counted first: ranks come from a window over distinct values.
     """
     c = rows.where(F.col(value).isNotNull()).withColumn("_f", flag).groupBy(*by, value).agg(F.count(F.when(F.col("_f"), 1)).alias("_a"), F.count(F.when(~F.col("_f"), 1)).alias("_b"))
+    return _from_counts(c, by, value)
+
+
+def _from_counts(c: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     w = Window.partitionBy(*by).orderBy(value)
     t = F.col("_a") + F.col("_b")
     c = c.withColumn("_rank", F.sum(t).over(w) - (t - 1) / 2)
@@ -133,3 +137,25 @@ def synthetic_months(months: DataFrame, value: str, models: Mapping[str, tuple[f
     x = rounds(grid.crossJoin(base), n).withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(size - 1))))  # models x one row
     v = F.col("_m") * F.col("shift") + F.col("_s") * F.col("scale") * gaussian(seed, "model", "round", "_j")
     return x.withColumn("_v", v).groupBy("model", "round").agg(F.sum("_v").alias("total"), F.avg((F.col("_v") > 0).cast("int")).alias("positive"))
+
+
+def placebo(rows: DataFrame, id_col: str, value: str, flag: Column, n: int, seed: str, alpha: float = 0.05) -> DataFrame:
+    """rounds, significant: the share of n rounds of shuffled labels whose Mann-Whitney p is under alpha, and the p of the labels as they are. One row."""
+    x = rows.where(F.col(value).isNotNull()).select(F.col(id_col).alias("_id"), F.col(value).alias("_v"), flag.alias("_f"))
+    k = x.agg(F.count(F.when(F.col("_f"), 1)).alias("_k"))
+    pool = x.crossJoin(F.broadcast(k))  # one row
+    from tidemark.functions.stats import drawn
+
+    on = drawn(pool.select("_id", "_v", F.col("_k")), [], seeded(seed, "round", "_id"), F.col("_k"), n).groupBy("round", "_v").agg(F.count(F.lit(1)).alias("_a"))
+    all_ = rounds(x.groupBy("_v").agg(F.count(F.lit(1)).alias("_n")), n)
+    counts = all_.join(on, ["round", "_v"], "left").select("round", "_v", F.coalesce("_a", F.lit(0)).alias("_a"), "_n")
+    # counts by value are all that the test needs: a row a value and round
+    two = counts.select("round", "_v", F.explode(F.array(F.struct(F.lit(True).alias("on"), F.col("_a").alias("c")), F.struct(F.lit(False).alias("on"), (F.col("_n") - F.col("_a")).alias("c")))).alias("s")).select("round", "_v", "s.*")
+    shuffled = mann_whitney_counts(two, ["round"], "_v", "on", "c").agg(F.count(F.lit(1)).alias("rounds"), F.avg((F.col("p") < alpha).cast("int")).alias("significant"))
+    return shuffled.crossJoin(mann_whitney(x, [], "_v", F.col("_f")).select("p"))  # one row each
+
+
+def mann_whitney_counts(counts: DataFrame, by: Sequence[str], value: str, on: str, n: str) -> DataFrame:
+    """mann_whitney() of rows that were counted by value."""
+    c = counts.groupBy(*by, value).agg(F.sum(F.when(F.col(on), F.col(n)).otherwise(0)).alias("_a"), F.sum(F.when(F.col(on), 0).otherwise(F.col(n))).alias("_b"))
+    return _from_counts(c, by, value)

@@ -74,3 +74,10 @@ def symbol_class(name: str) -> Column:
     c = F.upper(F.trim(F.col(name)))
     return (F.when(c.isNull() | (c == ""), "missing").when(c.rlike("^[0-9]+$"), "numeric").when(~c.rlike("^[A-Z0-9]{1,20}$"), "malformed")
             .when(c.rlike("([235][LS]|UP|DOWN|BULL|BEAR)$"), "leveraged").otherwise("plain"))
+
+
+def feature_columns(rows: DataFrame, tokens: Sequence[str] = FORWARD) -> list[str]:
+    """Numeric columns whose names are those of neither keys nor outcomes."""
+    numeric = [name for name, kind in rows.dtypes if kind in ("int", "bigint", "smallint", "float", "double") or kind.startswith("decimal")]
+    bad = set(leaking_columns(numeric, tokens))
+    return [c for c in numeric if c not in bad and not re.search(r"(key|_id|^id)$", c.lower())]

@@ -456,3 +456,57 @@ def same_key_baseline(spark, d):
 def size_classes(spark, d):
     v = F.abs((F.col("o_orderkey") % 21 - 10) / 100.0)
     return t(spark, d, "orders").groupBy(F.when(v < 0.025, "small").when(v < 0.065, "middle").otherwise("large").alias("class")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH RECURSIVE o AS (SELECT o_custkey, o_orderkey, side, epoch_us(o_orderdate) AS a, epoch_us(o_orderdate) + 200 * 86400000000 AS z, o_orderkey % 5 AS m, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderpriority, o_orderkey) AS i FROM ({TRADES})),
+g AS (SELECT o_custkey, o_orderkey, i, [{{'z': z, 'm': m, 's': side}}] AS open, 'accept' AS decision FROM o WHERE i = 1
+UNION ALL SELECT o.o_custkey, o.o_orderkey, o.i, CASE WHEN dec = 'accept' THEN list_append(kept, {{'z': o.z, 'm': o.m, 's': o.side}}) ELSE kept END, dec FROM (
+ SELECT n.*, kept, CASE WHEN len(list_filter(kept, lambda x: x.m = n.m)) > 0 THEN 'overlap' WHEN len(kept) >= 3 THEN 'total' WHEN len(list_filter(kept, lambda x: x.s = n.side)) >= 2 THEN 'side' ELSE 'accept' END AS dec FROM (SELECT o.*, list_filter(g.open, lambda x: x.z > o.a) AS kept FROM g JOIN o ON o.o_custkey = g.o_custkey AND o.i = g.i + 1) n) o)
+SELECT o_orderkey, decision FROM g""")
+def admission_gate(spark, d):
+    from tidemark.operators import admission
+
+    x = _trades(spark, d).withColumn("until", F.expr("o_orderdate + INTERVAL 200 DAYS")).withColumn("member", F.col("o_orderkey") % 5)
+    return admission.admitted(x, "o_custkey", ["o_orderdate", _PRIO, "o_orderkey"], "o_orderdate", "until", "member", {"side": 2}, 3).select("o_orderkey", "decision")
+
+
+@query("""WITH f AS (SELECT l_suppkey, avg(l_quantity) AS a, CASE WHEN l_suppkey % 7 <> 0 THEN avg(l_discount) END AS b FROM lineitem GROUP BY 1), q AS (SELECT quantile_cont(a, 0.25) AS a1, median(a) AS a2, quantile_cont(a, 0.75) AS a3, quantile_cont(b, 0.25) AS b1, median(b) AS b2, quantile_cont(b, 0.75) AS b3 FROM f),
+z AS (SELECT l_suppkey, greatest(-8, least(8, coalesce((a - a2) / nullif(a3 - a1, 0), 0))) AS za, greatest(-8, least(8, coalesce((b - b2) / nullif(b3 - b1, 0), 0))) AS zb FROM f, q) SELECT l_suppkey, round(za, 5) AS a_z, round(zb, 5) AS b_z FROM z""")
+def robust_scaling(spark, d):
+    from tidemark.functions import clusters
+
+    f = t(spark, d, "lineitem").groupBy("l_suppkey").agg(F.avg("l_quantity").alias("a"), F.avg("l_discount").alias("b")).withColumn("b", F.when(F.col("l_suppkey") % 7 != 0, F.col("b")))
+    return clusters.robust_scaled(f, ["a", "b"]).select("l_suppkey", r("a_z", places=5), r("b_z", places=5))
+
+
+@query("""WITH v AS (SELECT o_custkey % 10 AS run, CASE o_orderkey % 3 WHEN 0 THEN 'gap' WHEN 1 THEN 'null' ELSE 'cost' END AS validator, arg_max(o_orderstatus, (o_orderdate, o_orderkey)) AS res FROM orders GROUP BY ALL)
+SELECT run, max(res) FILTER (validator = 'gap') AS gap, max(res) FILTER (validator = 'null') AS "null", max(res) FILTER (validator = 'cost') AS cost, count(*) FILTER (res = 'F') AS passed FROM v GROUP BY 1""")
+def validator_synthesis(spark, d):
+    """The latest result of each validator by run, side by side."""
+    v = t(spark, d, "orders").withColumn("run", F.col("o_custkey") % 10).withColumn("validator", F.when(F.col("o_orderkey") % 3 == 0, "gap").when(F.col("o_orderkey") % 3 == 1, "null").otherwise("cost"))
+    v = v.groupBy("run", "validator").agg(F.max_by("o_orderstatus", F.struct("o_orderdate", "o_orderkey")).alias("res"))
+    return v.groupBy("run").agg(*[F.max(F.when(F.col("validator") == k, F.col("res"))).alias(k) for k in ("gap", "null", "cost")], F.count(F.when(F.col("res") == "F", 1)).alias("passed"))
+
+
+@query(f"""WITH e AS (SELECT *, round(sum(net) OVER w, 6) AS eq FROM ({PNL}) WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING)), m AS (SELECT *, coalesce(min(eq) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS worst FROM e)
+SELECT o_orderkey, CASE WHEN worst <= -150 THEN 'killed' WHEN worst <= -80 THEN 'halved' ELSE 'full' END AS capital FROM m""")
+def loss_stops(spark, d):
+    """What the losses before a trade leave of its capital."""
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    x = _trades(spark, d).withColumn("eq", F.round(F.sum("net").over(w.rowsBetween(Window.unboundedPreceding, 0)), 6))
+    x = x.withColumn("worst", F.coalesce(F.min("eq").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
+    return x.select("o_orderkey", F.when(F.col("worst") <= -150, "killed").when(F.col("worst") <= -80, "halved").otherwise("full").alias("capital"))
+
+
+@query(None)
+def placebo_share(spark, d):
+    return nulls.placebo(t(spark, d, "orders").where("o_orderkey % 4 = 0"), "o_orderkey", "o_totalprice", F.col("o_custkey") % 3 == 0, 20, "plc-1")
+
+
+@query("""WITH x AS (SELECT 'p_size' AS "column", p_size::DOUBLE AS v FROM part UNION ALL SELECT 'p_retailprice', p_retailprice FROM part) SELECT "column", count(*) AS n, min(v) AS least, max(v) AS most, round(avg(v), 5) AS mean FROM x GROUP BY 1""")
+def candidate_profile(spark, d):
+    """The numeric columns that look like features (no keys, no words of the future), profiled."""
+    from tidemark.operators import filters, sections
+
+    p = t(spark, d, "part")
+    return sections.audit(p, filters.feature_columns(p)).select("column", "n", "least", "most", r("mean", places=5))

@@ -98,3 +98,32 @@ def time_bounds(rows: DataFrame, ts: str, by: Sequence[str] = ()) -> DataFrame:
 def pairs(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Key values that both sources hold, once each."""
     return left.select(*keys).distinct().join(right.select(*keys).distinct(), list(keys))
+
+
+def sample_csv(spark: SparkSession, path: str, rows: int) -> DataFrame:
+    """The first rows of a CSV as strings under its header: what a look at a file needs, without a pass for types."""
+    return spark.read.option("header", True).option("inferSchema", False).csv(path).limit(rows)
+
+
+def discovered(spark: SparkSession, folder: str, tokens: Mapping[str, int], pattern: str = "*") -> DataFrame:
+    """path, length, modificationTime and score (the sum of the weights of the tokens in the path) of the files under a folder; contents are not read."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(folder).select("path", "length", "modificationTime")
+    score = F.lit(0)
+    for token, weight in tokens.items():
+        score = score + F.when(F.contains(F.lower("path"), F.lit(token.lower())), weight).otherwise(0)
+    return found.withColumn("score", score)
+
+
+def latest(found: DataFrame, by: Column) -> DataFrame:
+    """The best file of each group: the highest score, then the newest, then the last by path."""
+    return found.withColumn("group", by).groupBy("group").agg(F.max_by("path", F.struct("score", "modificationTime", "path")).alias("path"))
+
+
+def series_faults(rows: DataFrame, symbol: str, expected: Column, ts: str, order: str) -> DataFrame:
+    """By file: rows, rows of another symbol than `expected`, and rows whose time is not after that of the row before (in `order`). A sound file has none."""
+    from pyspark.sql import Window
+
+    x = rows.withColumn("_file", F.col("_metadata.file_path")) if "_file" not in rows.columns else rows
+    before = F.lag(ts).over(Window.partitionBy("_file").orderBy(order))
+    x = x.withColumn("_back", F.coalesce(F.col(ts) <= before, F.lit(False))).withColumn("_other", ~F.col(symbol).eqNullSafe(expected))
+    return x.groupBy("_file").agg(F.count(F.lit(1)).alias("n_rows"), F.count(F.when(F.col("_other"), 1)).alias("other_symbol"), F.count(F.when(F.col("_back"), 1)).alias("not_increasing"))

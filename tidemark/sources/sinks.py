@@ -55,3 +55,21 @@ def size_estimate(sampled: DataFrame, units_total: int, unit: Sequence[str], byt
     """Rows and GB of a whole build, from the mean rows of the sampled units; one row."""
     per = sampled.groupBy(*unit).agg(F.count(F.lit(1)).alias("n"))
     return per.agg((F.avg("n") * units_total).alias("rows")).withColumn("gb", F.col("rows") * bytes_per_row / 1e9)
+
+
+def append_csv(rows: DataFrame, path: str, gzip: bool = False) -> None:
+    """Rows as CSV files with a header, added to what is there."""
+    rows.write.mode("append").option("header", True).option("compression", "gzip" if gzip else "none").csv(path)
+
+
+def write_panel(rows: DataFrame, path: str, index: str, key: str, ts: str) -> None:
+    """A gzipped CSV panel, a folder a key, and an index of rows, first and last instant by key, taken from what was written."""
+    rows.repartition(key).sortWithinPartitions(key, ts).write.partitionBy(key).mode("overwrite").option("header", True).option("compression", "gzip").csv(path)
+    written = rows.sparkSession.read.option("header", True).schema(rows.schema).csv(path)
+    written.groupBy(key).agg(F.count(F.lit(1)).alias("n_rows"), F.min(ts).alias("first"), F.max(ts).alias("last")).write.mode("overwrite").parquet(index)
+
+
+def category_counts(rows: DataFrame, by: Sequence[str], category: str) -> DataFrame:
+    """A map of category to rows, by partition: for a manifest beside the digests."""
+    each = rows.groupBy(*by, F.coalesce(F.col(category).cast("string"), F.lit("")).alias("_c")).agg(F.count(F.lit(1)).alias("_n"))
+    return each.groupBy(*by).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("_c", "_n")))).alias("counts"))

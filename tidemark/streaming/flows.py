@@ -98,3 +98,20 @@ def positions(signals: DataFrame, key: str, ts: str, kind: str, late: str, wait_
 
     timed = signals.withWatermark(ts, late).select(key, ts, kind, F.unix_micros(ts).alias("_us"))
     return timed.groupBy(key).applyInPandasWithState(step, f"{key} {dict(signals.dtypes)[key]}, state string, at long", "now string, since long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def closed_bars(candles: DataFrame, ts: str, confirm: str, width_s: int, now: str) -> DataFrame:
+    """Candles that are over: confirmed by the source, and begun at least their width before the row was seen."""
+    over = F.unix_micros(F.col(ts)) + width_s * 1_000_000 <= F.unix_micros(F.col(now))
+    return candles.where(F.col(confirm).cast("string").isin("1", "true") & over)
+
+
+def observed(rows: DataFrame, name: str, ts: str) -> DataFrame:
+    """rows with a heartbeat: rows, the newest instant and rows without a time, given to listeners with every micro-batch (or batch) under `name`."""
+    return rows.observe(name, F.count(F.lit(1)).alias("n_rows"), F.max(ts).alias("newest"), F.count(F.when(F.col(ts).isNull(), 1)).alias("without_time"))
+
+
+def started(flow: DataFrame, path: str, checkpoint: str, every: str | None = None):
+    """The flow's query into Parquet files: all that is there and then the end, or a micro-batch every so often. The checkpoint makes it resumable."""
+    writer = flow.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
