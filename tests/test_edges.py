@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.functions import clusters, nulls, quality, stats
+from tidemark.functions import clusters, nulls, quality, replays, stats
 from tidemark.operators import admission, filters, folds, joins, relations, rolling, sections, series
 from tidemark.sources import files, sinks
 from tidemark.streaming import flows
@@ -211,3 +211,39 @@ def test_streams_slide_section_and_beat(spark, tmp_path):
     assert beat.lastProgress["observedMetrics"]["beat"]["n_rows"] == 60
     seen = rows.withColumn("confirm", F.lit("1")).withColumn("now", F.lit(T0 + dt.timedelta(hours=3)))
     assert flows.closed_bars(seen, "ts", "confirm", 3600, "now").count() == 7
+
+
+def test_replays_of_short_and_null_groups(spark):
+    rows = [("a", i, float(i)) for i in range(40)] + [("b", 0, 2.0), ("c", 0, None), (None, 0, 1.0)]
+    x = spark.createDataFrame(rows, "g string, i int, v double")
+    got = {(r.g, r.round, r.method): r.score for r in replays.replays(x, ["g"], ["i"], "v", 3, 30, "t").collect()}
+    assert {g for g, *_ in got} == {"a", "b"} and len({m for *_, m in got}) == 12
+    for k in range(3):
+        # a group of one row is drawn whole: no block, no other member
+        assert got["b", k, "rows"] == got["b", k, "medians"] == got["b", k, "block"] == got["b", k, "members_out"] == 2.0
+        assert got["a", k, "flipped"] == -got["a", k, "rows"] and -35 <= got["a", k, "costs"] - got["a", k, "rows"] <= -5
+        block = got["a", k, "block"] / 10**0.5  # ten rows in a row: their mean is a half
+        assert abs(block % 1 - 0.5) < 1e-9 and 4.5 <= block <= 34.5
+    assert replays.replays(x.where("g = 'c'"), ["g"], ["i"], "v", 3, 30, "t").count() == 0
+
+
+def test_joint_null_finds_what_shuffling_breaks(spark):
+    # a state that turns every step in some periods, and rests in the others
+    rows = [(i, f"p{i // 30:02d}", float(i % 2 if (i // 30) % 2 else (i // 15) % 2), None) for i in range(720)]
+    x = spark.createDataFrame(rows, "i int, period string, v double, empty double")
+    periods = [f"p{k:02d}" for k in range(24)]
+    got = {r.model: r for r in replays.joint_null(x, "i", "period", ["v", "empty"], periods, 6, 30, "t", replays.Strict(0.3, 6.0, 12)).collect()}
+    assert set(got) == {"periods", "blocks", "alone", "within"} and all(r.rounds == 6 and r.observed_axes > 0 for r in got.values())
+    assert got["periods"].p_joint == 1.0 and got["within"].p_joint == 0.0
+
+
+def test_controls_without_candidates(spark):
+    kinds = "k int, total double, positive long, active long, events long"
+    controls = spark.createDataFrame([(i, float(i), 12, 12, 50) for i in range(5)] + [(9, None, 1, 1, 1)], kinds)
+    modes = {"as_drawn": replays.Mode(), "flipped": replays.Mode(flipped=True)}
+    assert replays.control_baseline(controls.limit(0), controls, modes, 4, "t", ["k"]).count() == 0
+    got = {r.mode: r for r in replays.control_baseline(controls.where("k = 4"), controls, modes, 20, "t", ["k"]).collect()}
+    assert got["as_drawn"].p_strict == 1.0 or got["as_drawn"].any_strict > 0
+    assert got["flipped"].any_strict == 0.0 and got["flipped"].p_best == 1 / 21 and got["flipped"].risk == "LOW"
+    alone = replays.control_baseline(controls.where("k = 4"), controls.limit(0), modes, 4, "t", ["k"]).collect()
+    assert {r.mode for r in alone} == set(modes)

@@ -53,3 +53,8 @@ def candle(open_: str = "open", high: str = "high", low: str = "low", close: str
 def month_add(month: Column, n: int) -> Column:
     """yyyy-MM, n months on."""
     return F.date_format(F.add_months(F.to_date(F.concat(month, F.lit("-01"))), n), "yyyy-MM")
+
+
+def epoch_ms(instant: Column) -> Column:
+    """Milliseconds since 1970, to the nearest."""
+    return F.floor((F.unix_micros(instant.cast("timestamp")) + 500) / 1000).cast("long")

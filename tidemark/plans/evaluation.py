@@ -382,7 +382,7 @@ def scalar_math(spark, d):
 @query("""SELECT event_id, isodow(ts)::INTEGER - 1 AS weekday, hour(ts)::INTEGER AS hour, week(ts)::INTEGER AS iso_week, quarter(ts)::INTEGER AS quarter, strftime(ts, '%Y-%m') AS month, strftime(date_trunc('month', ts) + INTERVAL 3 MONTH, '%Y-%m') AS later, epoch_ms(ts) AS ms FROM events""")
 def scalar_dates(spark, d):
     m = F.date_format("ts", "yyyy-MM")
-    return t(spark, d, "events").select("event_id", F.weekday("ts").alias("weekday"), F.hour("ts").alias("hour"), F.weekofyear("ts").alias("iso_week"), F.quarter("ts").alias("quarter"), m.alias("month"), scalars.month_add(m, 3).alias("later"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"))
+    return t(spark, d, "events").select("event_id", F.weekday("ts").alias("weekday"), F.hour("ts").alias("hour"), F.weekofyear("ts").alias("iso_week"), F.quarter("ts").alias("quarter"), m.alias("month"), scalars.month_add(m, 3).alias("later"), scalars.epoch_ms(F.col("ts")).alias("ms"))
 
 
 @query("""WITH x AS (SELECT event_id, CASE event_id % 6 WHEN 0 THEN ' Yes' WHEN 1 THEN '0' WHEN 2 THEN '1,234.5' WHEN 3 THEN 'nan' WHEN 4 THEN '' ELSE event_type END AS s, props FROM events) SELECT event_id, CASE event_id % 6 WHEN 0 THEN true WHEN 1 THEN false END AS flag, CASE event_id % 6 WHEN 1 THEN 0.0 WHEN 2 THEN 1234.5 END::DOUBLE AS number, json_extract_string(props, '$.k') AS k, json_extract_string(props, '$.k.z') AS deep FROM x""")
