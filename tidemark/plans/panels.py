@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import sections, series
-from tidemark.plans.registry import BARS, MONTHS, PNL, bars, query, r, t
+from tidemark.plans.registry import BARS, MONTHS, PNL, bars, near, query, r, t
 
 _K = ["event_type", "bar"]
 _B = f"WITH b AS ({BARS})"
@@ -27,12 +27,12 @@ def _trades(spark, d):
 round(quantile_cont(revenue, 0.75), 4) AS q75, round(quantile_cont(revenue, 0.9), 4) AS q90 FROM ({MONTHS}) GROUP BY 1""")
 def section_stats(spark, d):
     s = sections.section_stats(_months(spark, d), ["month"], "revenue", {"q10": 0.1, "q25": 0.25, "q75": 0.75, "q90": 0.9})
-    return s.select("month", "members", *[r(c, places=4) for c in ("mean", "std", "median", "q10", "q25", "q75", "q90")])
+    return s.select("month", "members", *[near(c, places=4) for c in ("mean", "std", "median", "q10", "q25", "q75", "q90")])
 
 
 @query(f"""WITH p AS ({MONTHS}), s AS (SELECT month, avg(revenue) AS m, stddev_samp(revenue) AS sd, median(revenue) AS q FROM p GROUP BY 1) SELECT l_suppkey, p.month, round(m, 4) AS sec_mean, round(q, 4) AS sec_median, CASE WHEN sd > 0 THEN round((revenue - m) / sd, 6) END AS sec_z FROM p JOIN s USING (month)""")
 def section_zscores(spark, d):
-    return sections.with_section(_months(spark, d), ["month"], "revenue").select("l_suppkey", "month", r("sec_mean", places=4), r("sec_median", places=4), r("sec_z"))
+    return sections.with_section(_months(spark, d), ["month"], "revenue").select("l_suppkey", "month", near("sec_mean", places=4), near("sec_median", places=4), near("sec_z"))
 
 
 @query(f"""{_B} SELECT bar::TIMESTAMP AS bar, round(avg((close > open)::INTEGER), 6) AS rising, round(avg((close > 1.02 * open)::INTEGER), 6) AS over_2pct, round(avg((total > 100)::INTEGER), 6) AS busy FROM b GROUP BY 1""")

@@ -45,5 +45,12 @@ def r(c: str | Column, name: str | None = None, places: int = 6) -> Column:
     return F.round(c, places).alias(name or c)
 
 
+def near(c: str | Column, name: str | None = None, places: int = 6) -> Column:
+    """A double rounded at its binary value times 10 ** places, halves away from zero and the sign kept, where F.round takes the shortest decimal text of it."""
+    x, m = F.col(c) if isinstance(c, str) else c, 10.0**places
+    scaled = F.abs(x) * m
+    return F.when(scaled < 2.0**52, F.signum(x) * F.floor(scaled + 0.5) / m).otherwise(x).alias(name or c)
+
+
 def bars(spark: SparkSession, d: str) -> DataFrame:
     return series.bars(t(spark, d, "events"), "event_type", "ts", "value", order="event_id").withColumn("bar", F.col("bar").cast("timestamp_ntz"))

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import filters, joins, relations
-from tidemark.plans.registry import BARS, PNL, TWO, bars, query, r, t
+from tidemark.plans.registry import BARS, PNL, TWO, bars, near, query, r, t
 
 _B = f"WITH b AS ({BARS})"
 _AT = "event_type, bar::TIMESTAMP AS bar"
@@ -180,7 +180,7 @@ SELECT event_id, mark, round(CASE WHEN side = 'short' THEN -1 ELSE 1 END * (mark
 def mark_to_market(spark, d):
     e = t(spark, d, "events")
     o = e.where("event_type = 'signup'").select("event_id", "user_id", F.col("value").alias("entry"), F.when(F.col("event_id") % 2 == 0, "short").otherwise("long").alias("side"))
-    return relations.marked_to_market(o, e, "user_id", "ts", "value", "event_id", "entry", "side").select("event_id", "mark", r("mtm_bps", places=3))
+    return relations.marked_to_market(o, e, "user_id", "ts", "value", "event_id", "entry", "side").select("event_id", "mark", near("mtm_bps", places=3))
 
 
 @query("""SELECT l_orderkey, l_linenumber, count(*) AS times, count(DISTINCT l_partkey) AS versions, CASE WHEN count(DISTINCT l_partkey) > 1 THEN 'conflicting' ELSE 'exact' END AS kind FROM lineitem GROUP BY ALL HAVING count(*) > 1""")
