@@ -134,10 +134,12 @@ def _components(texts):
     return {i: (len(sets[i]), root(i)) for i in range(len(texts))}
 
 
-@pytest.mark.parametrize("rare", [1, 4, 16])
-def test_jaccard_with_combinations(spark, monkeypatch, rare):
-    """Tokens over RARE are indexed in pairs: one shared passage, a giant component, chains of near copies, and texts on both sides of 0.8."""
+@pytest.mark.parametrize(("rare", "hot", "hot_nodes"), [(1, 1, 10), (4, 1, 0), (16, 1000, 10)])
+def test_jaccard_with_combinations(spark, monkeypatch, rare, hot, hot_nodes):
+    """Tokens over RARE are indexed in pairs: one shared passage, a giant component, chains of near copies, texts on both sides of 0.8, and hot copies."""
     monkeypatch.setattr(ngram_join, "RARE", rare)
+    monkeypatch.setattr(ngram_join, "HOT", hot)
+    monkeypatch.setattr(ngram_join, "HOT_NODES", hot_nodes)
     rng = random.Random(rare)
     words = [f"w{i}" for i in range(400)]
     passage = " ".join(rng.choices(words, k=12))

@@ -47,6 +47,10 @@ BITS = 48
 RARE = 16
 #: parts in which the nodes of a component get their id
 SALTS = 32
+#: copies of one set beyond which its rows don't meet their component under one key
+HOT = 1000
+#: such sets that are broadcast at most (24 bytes each); with more of them Spark splits what is skewed
+HOT_NODES = 500_000
 
 
 def shingle_sets(col: pa.Array) -> Iterator[np.ndarray]:
@@ -202,13 +206,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     base = rows.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text").mapInArrow(_signed, "doc_id long, row long, n long, node long")
     base = cut(base)
     linked = cut(link_nodes(base, rows))
-    small = base.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("low"))
-    joined = cut(small.join(linked, "node"))
+    small = base.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("copies"))
+    joined = cut(small.drop("copies").join(linked, "node"))
     # a component's smallest id meets its nodes in SALTS parts, so that a giant one is not one task's work; the others are their own
     lows = joined.groupBy("comp").agg(F.min("low").alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     named = joined.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(lows, ["comp", "salt"]).select("node", "component_id", F.col("comp").alias("joint"))
-    ids = small.join(named, "node", "left").select("node", F.when(F.col("joint").isNull(), F.col("low")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("joint", "node").alias("comp"))
-    out = base.where("node IS NOT NULL").select("doc_id", "n", "node", "row").join(ids, "node").select("doc_id", "n", "component_id", "row", "comp")
+    ids = small.join(named, "node", "left").select("node", F.when(F.col("joint").isNull(), F.col("low")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("joint", "node").alias("comp"), "copies")
+    # at most one node in HOT rows is hot: these are sent to all tasks where they are few, and left to the join of all where not
+    hot = cut(ids.where(F.col("copies") > HOT).drop("copies"))
+    many = hot.count()
+    rest = base.where("node IS NOT NULL")
+    columns = ["doc_id", "n", "component_id", "row", "comp"]
+    if 0 < many <= HOT_NODES:
+        apart = rest.join(F.broadcast(hot), "node").select(*columns)
+        rest = rest.join(F.broadcast(hot.select("node")), "node", "left_anti")
+        out = rest.join(ids.where(F.col("copies") <= HOT), "node").select(*columns).union(apart)
+    else:
+        out = rest.join(ids, "node").select(*columns)
     empty = base.where("node IS NULL").select("doc_id", "n", F.col("doc_id").alias("component_id"), "row", F.lit(None).cast("long").alias("comp"))
     return out.union(empty).withColumnRenamed("n", "n_shingles")
 
