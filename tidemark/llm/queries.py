@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, language_id, license_scan, mixing, ngram_join, pii, token_counts, token_output, topk_search, toxicity
+from . import decontamination, language_id, license_scan, line_dedup, mixing, ngram_join, pii, ranked_search, token_counts, token_output, topk_search, toxicity, vector_codes
 from ._spark import table
 
 
@@ -65,6 +65,18 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.digest(table(spark, sf_dir, "embeddings"))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digest(table(spark, sf_dir, "documents"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.top_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -76,4 +88,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_source_mixing": mixing.ORACLE_SQL, "op9_topk_search": topk_search.ORACLE_SQL, "op10_decontamination": decontamination.ORACLE_SQL}
+    return {"op4_source_mixing": mixing.ORACLE_SQL, "op9_topk_search": topk_search.ORACLE_SQL, "op10_decontamination": decontamination.ORACLE_SQL,
+            "op11_vector_codes": vector_codes.ORACLE_SQL, "op12_line_dedup": line_dedup.ORACLE_SQL, "op13_ranked_search": ranked_search.ORACLE_SQL}
