@@ -199,6 +199,75 @@ def test_license_labels(spark):
     assert np.mean([label in got[i + len(none)] for i, (label, _) in enumerate(edited)]) >= 0.9
 
 
+NOTICES = {
+    "mit": "Released under the MIT License.", "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, so far.",
+    "gpl": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3",
+    "lgpl": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version",
+    "agpl": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either",
+    "cc-by": "This work is licensed under a Creative Commons Attribution 4.0 International License.", "cc-by-nc": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "cc-by-sa": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "cc-by-nd": "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    "cc-by-nc-sa": "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.", "cc-by-nc-nd": "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.",
+    "apache-2": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.', "mpl-2": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "unlicense": "This is free and unencumbered software released into the public domain.",
+}
+
+
+def test_license_families(spark):
+    """A notice has its own label and no other, alone and among words; so has every template; two licenses in one text both count."""
+    texts = [*NOTICES.items(), *[(k, f"some words first {v} and some words after it") for k, v in NOTICES.items()], *license_scan.TEMPLATES, *[(x, p) for p, x in license_scan.PHRASES.items()]]
+    texts += [("cc-by,gpl", f"{NOTICES['gpl']} and for the pictures of it {NOTICES['cc-by']}"), ("gpl", "licensed under the GNU General Public License version 2"), ("lgpl", "licensed under the GNU Lesser General Public License version 3")]
+    got = {r.doc_id: r.labels for r in license_scan.license_scan(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string")).collect()}
+    assert {i: got[i] for i in got} == {i: x for i, (x, _) in enumerate(texts)}
+
+
+def test_license_rows_of_one_id(spark):
+    rows = [(1, NOTICES["mit"]), (1, NOTICES["mit"]), (1, NOTICES["gpl"]), (None, NOTICES["mpl-2"]), (None, None)]
+    got = license_scan.license_scan(spark.createDataFrame([(*r, 9) for r in rows], "doc_id long, text string, labels int")).collect()
+    assert sorted((str(r.doc_id), r.labels) for r in got) == [("1", "gpl"), ("1", "mit"), ("1", "mit"), ("None", ""), ("None", "mpl-2")]
+
+
+def _linked(texts):
+    """Components by brute force over 5-word shingles."""
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := t.split()) else set() for t in texts]
+    comp = list(range(len(texts)))
+
+    def root(i):
+        while comp[i] != i:
+            i = comp[i]
+        return i
+
+    for a in range(len(texts)):
+        for b in range(a):
+            if sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = sorted((root(a), root(b)))
+                comp[y] = x
+    return [root(i) for i in range(len(texts))]
+
+
+@pytest.mark.parametrize(("long_", "rare"), [(1000, 16), (60, 1), (1000, 1)])
+def test_near_duplicates_under_hot_signatures(spark, monkeypatch, long_, rare):
+    """Texts of different lengths that share much of one passage; some link, most don't."""
+    monkeypatch.setattr(ngram_join, "LONG", long_)
+    monkeypatch.setattr(ngram_join, "RARE", rare)
+    rng = random.Random(long_ + rare)
+    passage = [f"p{i}" for i in range(90)]
+    pool = [[f"q{k}-{i}" for i in range(12)] for k in range(6)]
+    texts = []
+    for _ in range(160):
+        a, b = rng.choice([0, 3, 10, 25]), rng.choice([90, 88, 80, 60])
+        tail = [y for k in rng.sample(range(6), rng.choice([0, 1, 2])) for y in pool[k]] + [f"own{rng.random()}" for _ in range(rng.choice([0, 2, 9]))]
+        texts.append(" ".join(passage[a:b] + tail))
+    got = {r.doc_id: r.component_id for r in ngram_join.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(texts))] == _linked(texts)
+
+
+def test_texts_that_share_a_passage_meet_nobody(spark):
+    """A signature in all texts makes no pairs where places and sizes leave no room for a link."""
+    rows = [(i, 104, i, 19, 7, False) for i in range(3000)] + [(5000, 85, 5000, 2, 7, False), (5001, 100, 5001, 2, 7, False), (5002, 99, 5002, 3, 7, False)]
+    got = ngram_join.candidates(spark.createDataFrame(rows, "node long, n long, comp long, at long, sig long, long boolean"))
+    assert {tuple(r) for r in got.collect()} == {(5001, 5002), (5000, 5001), (5000, 5002)} | {(i, 5000) for i in range(3000)}
+
+
 def test_search_with_ties_nulls_and_few_rows(spark):
     rng = np.random.default_rng(5)
     x = np.sign(rng.standard_normal((300, 96)))

@@ -12,9 +12,12 @@ node from the start, so copies are never expanded into pairs.
 3. Stars. Every prefix token proposes three pivots of its own; members are verified against them. That joins groups of
    near copies of any size with a number of pairs in proportion to their rows.
 4. Completeness. Tokens whose sets are all in one component need nothing more. Of the others, a rare token (at most
-   RARE sets) is indexed alone, a frequent one only in combinations of two. Pairs of different components under one
-   index entry are verified if their sizes and the entry's positions in both orders leave room for enough common tokens. Nothing is capped: every link between different texts is
-   found, or lies inside a component that is already joined.
+   RARE sets) is indexed alone, a frequent one in combinations of two (alone where the larger set has LONG tokens or more, whose
+   combinations would be too many). An entry's place in the order bounds the common tokens from there on, and so the sizes that
+   a partner can have. Entries meet by size class: a set is found under its own class if its bound leaves room for a partner of its
+   size or more, and looks for smaller ones in the classes that its bound leaves room for. Texts that share a long passage and little else
+   leave no room, and meet nobody. Pairs of different components are verified. Nothing is capped: every
+   link between different texts is found, or lies inside a component that is already joined.
 5. Components by alternating large and small stars, each step a join, written to the shared folder.
 
 Verification compares exact sets of 64-bit shingle hashes; a node is named by the 64-bit hash of its set.
@@ -45,6 +48,10 @@ EXTRA = 10
 BITS = 48
 #: sets up to which a token is indexed alone
 RARE = 16
+#: tokens from which a set's frequent tokens are not combined
+LONG = 1000
+#: ratio of the bounds of a size class
+CLASS = 1.05
 #: parts in which the nodes of a component get their id
 SALTS = 32
 #: copies of one set beyond which its rows don't meet their component under one key
@@ -141,6 +148,22 @@ def _apart(x: DataFrame, key: str) -> DataFrame:
     return x.join(open_, key)
 
 
+def candidates(entries: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components under one signature whose sizes and places leave room for a link; entries: node, n, comp, at, sig, long."""
+    # a link meets under its first two common tokens (or one of them): one common token at most comes before the entry's last
+    room = F.floor((1 + F.col("n") - F.col("at")) * (100 + PERCENT) / PERCENT) - F.col("n")
+    class_ = lambda n: F.floor(F.log(n.cast("double")) / F.log(F.lit(CLASS)))
+    x = entries.withColumn("room", room)
+    home = x.where("room >= n").withColumn("class", class_(F.col("n")))
+    low, high = F.floor((F.col("n") * PERCENT + 99) / 100), F.least("n", "room")
+    seeks = x.where((high >= low) & (~F.col("long") | (F.col("n") >= LONG))).withColumn("class", F.explode(F.sequence(class_(low), class_(high))))
+    a, b = seeks.alias("x"), home.alias("y")
+    fits = (F.col("y.n") >= F.floor((F.col("x.n") * PERCENT + 99) / 100)) & (F.col("y.n") <= F.col("x.room")) & (F.col("x.n") <= F.col("y.room"))
+    once = (F.col("y.n") < F.col("x.n")) | (F.col("y.n") == F.col("x.n")) & (F.col("x.node") < F.col("y.node"))
+    met = a.join(b, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.class") == F.col("y.class")) & (F.col("x.comp") != F.col("y.comp")) & fits & once)
+    return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+
+
 def link_nodes(base: DataFrame, rows: DataFrame) -> DataFrame:
     """node, comp of all nodes that link; base: node, n, row; rows: doc_id, text."""
     each = rows.select("text").mapInArrow(_prefixes, "node long, prefix array<long>").select("node", F.explode("prefix").alias("token"))
@@ -184,16 +207,13 @@ def link_nodes(base: DataFrame, rows: DataFrame) -> DataFrame:
     x = prefix.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     x = cut(_apart(x.drop("lone"), "token"))
     alone = x.where(F.col("many") <= RARE).select("node", "n", "comp", "at", F.col("token").alias("sig"))
-    group = x.where(F.col("many") > RARE).groupBy("node", "n", "comp").agg(F.array_sort(F.collect_list(F.struct("at", "token"))).alias("t"))
+    often = x.where(F.col("many") > RARE)
+    long_ = often.where(F.col("n") * 100 >= LONG * PERCENT).select("node", "n", "comp", "at", F.xxhash64(F.lit("long"), "token").alias("sig"), F.lit(True).alias("long"))
+    group = often.where(F.col("n") < LONG).groupBy("node", "n", "comp").agg(F.array_sort(F.collect_list(F.struct("at", "token"))).alias("t"))
     two = F.flatten(F.transform("t", lambda v, i: F.transform(F.slice("t", i + 2, F.size("t")), lambda w: F.struct(w["at"].alias("at"), F.xxhash64(v["token"], w["token"]).alias("sig")))))
     pairs_of = _apart(group.select("node", "n", "comp", F.explode(two).alias("s")).select("node", "n", "comp", "s.at", "s.sig"), "sig").drop("many")
-    entries = alone.unionByName(pairs_of)
-    a, b = entries.alias("x"), entries.alias("y")
-    # a link meets under its first two common tokens (or one of them): one common token at most comes before the entry's last
-    most = 1 + F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
-    bound = most * (100 + PERCENT) >= PERCENT * (F.col("x.n") + F.col("y.n"))
-    rest = a.join(b, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp")) & bound)
-    rest = rest.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    entries = alone.unionByName(pairs_of).withColumn("long", F.lit(False)).unionByName(long_)
+    rest = candidates(entries)
     more = cut(verified(rest, tokens))
     if more.isEmpty():
         return comp
