@@ -40,6 +40,8 @@ SHARD = 1 << 16
 #: terms of items in a block, about, and postings in a shard
 TERMS = 200_000
 POSTINGS = 1 << 22
+#: items whose best documents leave a task together
+OUT = 1000
 #: a step takes all groups down to this part of the highest next impact
 STEP = 0.8
 #: A-Z to a-z; what is neither a digit, a letter nor beyond ASCII to a space
@@ -58,9 +60,9 @@ def _texts(column: pa.Array) -> Iterator[bytes]:
 
 def _item_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for item, text in zip(batch.column(0).to_pylist(), _texts(batch.column(1)), strict=True):
-            found = sorted(set(terms(text)))
-            yield pa.RecordBatch.from_arrays([pa.array([item] * len(found), pa.int64()), pa.array(found, pa.binary())], names=["item_id", "term"])
+        rows = [(item, t) for item, text in zip(batch.column(0).to_pylist(), _texts(batch.column(1)), strict=True) for t in sorted(set(terms(text)))]
+        item, term = zip(*rows, strict=True) if rows else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(item, pa.int64()), pa.array(term, pa.binary())], names=["item_id", "term"])
 
 
 def _rows(vocabulary: dict[bytes, int]):
@@ -182,8 +184,10 @@ def _search(items: list[tuple[int | None, np.ndarray]], weights: np.ndarray, n_d
                     held, docs, postings = [], 0, 0
         if held:
             searched(held)
-        for (item, _), (score, id_, no_id) in zip(items, best, strict=True):
-            yield pa.RecordBatch.from_arrays([pa.array([item] * len(score), pa.int64()), pa.array(id_, pa.int64(), mask=no_id), pa.array(score)], names=["item_id", "doc_id", "score"])
+        for a in range(0, len(items), OUT):
+            score, id_, no_id = (np.concatenate(x) for x in zip(*best[a : a + OUT], strict=True))
+            item = [i for (i, _), (s, *_) in zip(items[a : a + OUT], best[a : a + OUT], strict=True) for _ in s]
+            yield pa.RecordBatch.from_arrays([pa.array(item, pa.int64()), pa.array(id_, pa.int64(), mask=no_id), pa.array(score)], names=["item_id", "doc_id", "score"])
 
     return search
 
