@@ -7,26 +7,32 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.names import spare
+from tidemark.operators.quantiles import quantiles, with_quantiles
+
 CLIP = 8.0
 
 
 def robust_scaled(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     """rows with <column>_z: distance from the median in interquartile ranges, at most CLIP either way; 0 for null, and where there is no range."""
-    stats = rows.agg(*[F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"_{c}") for c in columns])
-    out = rows.crossJoin(F.broadcast(stats))  # one row
+    long = rows.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns])).alias("s")).select("s.*")
+    # one row: an array of quartiles a column
+    stats = quantiles(long, ["column"], "v", [0.25, 0.5, 0.75]).agg(F.map_from_entries(F.collect_list(F.struct("column", "q"))).alias("q"))
+    (held,) = spare(rows, "_quartiles")
+    out = rows.crossJoin(F.broadcast(stats.withColumnRenamed("q", held)))
     for c in columns:
-        q = F.col(f"_{c}")
+        q = F.try_element_at(F.col(held), F.lit(c))
         z = (F.col(c) - q[1]) / F.nullif(q[2] - q[0], F.lit(0.0))
         out = out.withColumn(f"{c}_z", F.greatest(F.lit(-CLIP), F.least(F.lit(CLIP), F.coalesce(z, F.lit(0.0)))))
-    return out.drop(*[f"_{c}" for c in columns])
+    return out.drop(held)
 
 
 def composite(rows: DataFrame, columns: Sequence[str], k: int, name: str = "cluster") -> DataFrame:
     """rows (scaled) with the quantile bin 0 to k - 1 of the mean of their scaled features: clusters without an iteration."""
     score = sum((F.col(f"{c}_z") for c in columns), F.lit(0.0)) / len(columns)
     x = rows.withColumn("score", score)
-    cuts = x.agg(F.percentile("score", F.array(*[F.lit(i / k) for i in range(1, k)])).alias("_q"))
-    return x.crossJoin(F.broadcast(cuts)).withColumn(name, F.size(F.filter("_q", lambda q: q < F.col("score")))).drop("_q")  # one row
+    (cuts,) = spare(x, "_q")
+    return with_quantiles(x, [], "score", [i / k for i in range(1, k)], cuts).withColumn(name, F.size(F.filter(cuts, lambda q: q < F.col("score")))).drop(cuts)
 
 
 def k_means(rows: DataFrame, columns: Sequence[str], k: int, seed: int = 7, name: str = "cluster") -> DataFrame:

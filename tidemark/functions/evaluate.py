@@ -7,6 +7,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.quantiles import beside
+from tidemark.operators.quantiles import quantiles as exact
+
 
 def split_of(entry: str, exit_: str, windows: Mapping[str, tuple[str, str]]) -> tuple[Column, Column]:
     """(split, crosses): the half-open window [from, to) an entry lies in (null: in none), and whether the exit lies beyond it."""
@@ -74,7 +77,7 @@ def exit_shapes(mfe: str, mae: str, close_ret: str, take: float, stop: float, si
 def threshold_scan(rows: DataFrame, features: Sequence[str], label: str, quantiles: Sequence[float]) -> DataFrame:
     """feature, quantile, direction, n, inside, outside and separation (difference of the label's means on either side of the feature's quantile)."""
     long = rows.select(F.col(label).cast("double").alias("_y"), F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("v")) for f in features])).alias("s")).select("_y", "s.*").where("v IS NOT NULL AND _y IS NOT NULL")
-    cuts = long.groupBy("feature").agg(F.percentile("v", F.array(*[F.lit(q) for q in quantiles])).alias("_q"))
+    cuts = exact(long, ["feature"], "v", quantiles).withColumnRenamed("q", "_q")
     cuts = cuts.select("feature", F.explode(F.arrays_zip(F.array(*[F.lit(q) for q in quantiles]).alias("q"), F.col("_q").alias("cut"))).alias("s")).select("feature", F.col("s.q").alias("quantile"), F.col("s.cut").alias("cut"))
     x = long.join(F.broadcast(cuts), "feature")  # features x quantiles
     out = x.groupBy("feature", "quantile").agg(F.count(F.lit(1)).alias("n"), F.avg(F.when(F.col("v") >= F.col("cut"), F.col("_y"))).alias("high"), F.avg(F.when(F.col("v") < F.col("cut"), F.col("_y"))).alias("low"))
@@ -82,11 +85,13 @@ def threshold_scan(rows: DataFrame, features: Sequence[str], label: str, quantil
     return both.select("feature", "quantile", "s.direction", "n", "s.inside", "s.outside", (F.col("s.inside") - F.col("s.outside")).alias("separation"))
 
 
-def return_stats(ret: str, quantiles: Mapping[str, float]) -> list[Column]:
-    """events, n, missing (without a return), mean, std (of a population), shares above and below 0, and quantiles: for a groupBy."""
+def return_stats(rows: DataFrame, by: Sequence[str], ret: str, quantiles: Mapping[str, float]) -> DataFrame:
+    """events, n, missing (without a return), mean, std (of a population), shares above and below 0, and quantiles by group."""
     v = F.col(ret)
-    return [F.count(F.lit(1)).alias("events"), F.count(v).alias("n"), F.count(F.when(v.isNull(), 1)).alias("missing"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.avg((v > 0).cast("int")).alias("positive"), F.avg((v < 0).cast("int")).alias("negative"),
-            *[F.percentile(v, q).alias(name) for name, q in quantiles.items()]]
+    out = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("events"), F.count(v).alias("n"), F.count(F.when(v.isNull(), 1)).alias("missing"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"),
+                                F.avg((v > 0).cast("int")).alias("positive"), F.avg((v < 0).cast("int")).alias("negative"))
+    cuts = exact(rows, by, ret, list(quantiles.values())).select(*by, *[F.col("q")[i].alias(name) for i, name in enumerate(quantiles)])
+    return beside(out, cuts, by)
 
 
 def effects(rows: DataFrame, by: Sequence[str], sub: Sequence[str], category: str, baseline: str, value: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.carry import carried
+from tidemark.operators.names import spare
 
 
 def trade_pnl(entry: Column, exit_: Column, notional: Column, side: Column, cost: float) -> Column:
@@ -26,10 +27,12 @@ def adjusted(tests: DataFrame, family: list[str], p: str, name: str = "q", tie:
     """Benjamini-Hochberg values within each family, and `bonferroni`: p times the number of tests, at most 1. Null p values take no part."""
     w = Window.partitionBy(*family)
     ties = [tie] if tie else []
+    _raw, _rank = spare(tests, "_raw", "_rank")
     rank, n = F.row_number().over(w.orderBy(F.col(p).asc_nulls_last(), *ties)), F.count(p).over(w)
-    raw = tests.withColumn("_raw", F.col(p) * n / rank).withColumn("_rank", rank).withColumn("bonferroni", F.least(F.lit(1.0), F.col(p) * n))
-    least = F.min("_raw").over(w.orderBy("_rank").rowsBetween(0, Window.unboundedFollowing))
-    return raw.withColumn(name, F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), least))).drop("_raw", "_rank")
+    raw = tests.withColumn(_raw, F.col(p) * n / rank).withColumn(_rank, rank).withColumn("bonferroni", F.least(F.lit(1.0), F.col(p) * n))
+    # the least of a test and those after it, carried from the last one down
+    least = F.min(_raw).over(w.orderBy(F.desc(_rank)).rowsBetween(Window.unboundedPreceding, 0))
+    return raw.withColumn(name, F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), least))).drop(_raw, _rank)
 
 
 def drawn(rows: DataFrame, block: list[str], h: Column, k: Column, rounds: int) -> DataFrame:

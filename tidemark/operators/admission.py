@@ -4,21 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.carry import carried
+from tidemark.operators.names import spare
 
 
-def admitted(candidates: DataFrame, book: str, order: Sequence[str], entry: str, exit_: str, member: str, groups: Mapping[str, int], most: int) -> DataFrame:
-    """candidates with `decision`: accept, or the cap that rejects it (overlap, total, or the column of `groups` whose cap is full).
+def admitted(candidates: DataFrame, book: str, order: Sequence[str], entry: str, exit_: str, member: str, groups: Mapping[str, int], most: int, backup: Column | None = None, primary: Column | None = None) -> DataFrame:
+    """candidates with `decision`: accept, or what rejects it (overlap, total, the column of `groups` whose cap is full, or backup).
 
     Each book is a fold of its own over its candidates in `order` (time first, then priority). What has ended by a candidate's entry is closed
     first; the state is the open positions, `most` of them at most. A candidate without entry, exit or member is rejected as incomplete.
+    backup: candidates that no cap rejects are rejected all the same while a `primary` position (None: any) is open.
     """
     columns = list(groups)
 
-    def step(open_, start, end, who, *of):
+    def step(open_, start, end, who, back, first, *of):
         if start is None or end is None or who is None:
             return open_, ("incomplete",)
         open_ = [x for x in open_ if x[0] > start]
@@ -29,10 +31,14 @@ def admitted(candidates: DataFrame, book: str, order: Sequence[str], entry: str,
         for i, c in enumerate(columns):
             if sum(x[2][i] == of[i] for x in open_) >= groups[c]:
                 return open_, (c,)
-        return [*open_, (end, who, of)], ("accept",)
-
-    x = candidates.withColumn("_in", F.unix_micros(F.col(entry).cast("timestamp"))).withColumn("_out", F.unix_micros(F.col(exit_).cast("timestamp")))
-    return carried(x, [book], list(order), ["_in", "_out", member, *columns], "decision string", list, step).drop("_in", "_out")
+        if back and any(x[3] for x in open_):
+            return open_, ("backup",)
+        return [*open_, (end, who, of, first)], ("accept",)
+
+    begin, end_, back, first = spare(candidates, "_in", "_out", "_backup", "_primary")
+    flag = lambda c, otherwise: F.lit(otherwise) if c is None else F.coalesce(c, F.lit(False))
+    x = candidates.withColumns({back: flag(backup, False), first: flag(primary, True), begin: F.unix_micros(F.col(entry).cast("timestamp")), end_: F.unix_micros(F.col(exit_).cast("timestamp"))})
+    return carried(x, [book], list(order), [begin, end_, member, back, first, *columns], "decision string", list, step).drop(begin, end_, back, first)
 
 
 def violations(positions: DataFrame, book: str, entry: str, exit_: str, member: str, most: int) -> DataFrame:

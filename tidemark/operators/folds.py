@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.carry import carried
+from tidemark.operators.names import spare
 
 
 def ema(panel: DataFrame, key: str, order: Sequence[str], value: str, alpha: float, name: str = "ema", seed: int = 1) -> DataFrame:
@@ -27,7 +28,8 @@ def ema(panel: DataFrame, key: str, order: Sequence[str], value: str, alpha: flo
                 now /= seed
         return (n, now), (now if n >= seed else None,)
 
-    return carried(panel.withColumn("_x", F.col(value).cast("double")), [key], list(order), ["_x"], f"{name} double", lambda: (0, 0.0), step).drop("_x")
+    (x,) = spare(panel, "_x")
+    return carried(panel.withColumn(x, F.col(value).cast("double")), [key], list(order), [x], f"{name} double", lambda: (0, 0.0), step).drop(x)
 
 
 def true_range(key: str, order: Sequence[str], high: str, low: str, close: str) -> Column:
@@ -38,7 +40,8 @@ def true_range(key: str, order: Sequence[str], high: str, low: str, close: str)
 
 def wilder_range(panel: DataFrame, key: str, order: Sequence[str], high: str, low: str, close: str, n: int, name: str = "atr") -> DataFrame:
     """Average true range: the mean of the first n, then the exponential average with weight 1/n."""
-    return ema(panel.withColumn("_span", true_range(key, order, high, low, close)), key, order, "_span", 1 / n, name, n).drop("_span")
+    (span,) = spare(panel, "_span")
+    return ema(panel.withColumn(span, true_range(key, order, high, low, close)), key, order, span, 1 / n, name, n).drop(span)
 
 
 def walk_forward(rows: DataFrame, ts: str, start: Column, step_days: int, train_steps: int, folds: int) -> DataFrame:
@@ -47,9 +50,10 @@ def walk_forward(rows: DataFrame, ts: str, start: Column, step_days: int, train_
     Fold 0 tests the step after the first `train_steps` steps; rows before the start or of no fold are left out.
     """
     at = F.floor((F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(start.cast("timestamp"))) / (step_days * 86_400_000_000))
-    out = rows.withColumn("_step", at).where(F.col("_step") >= 0)
-    out = out.withColumn("fold", F.explode(F.sequence(F.col("_step") - train_steps, F.col("_step"))))
-    return out.where((F.col("fold") >= 0) & (F.col("fold") < folds)).withColumn("part", F.when(F.col("fold") + train_steps == F.col("_step"), "test").otherwise("train")).drop("_step")
+    (step,) = spare(rows, "_step")
+    out = rows.withColumn(step, at).where(F.col(step) >= 0)
+    out = out.withColumn("fold", F.explode(F.sequence(F.col(step) - train_steps, F.col(step))))
+    return out.where((F.col("fold") >= 0) & (F.col("fold") < folds)).withColumn("part", F.when(F.col("fold") + train_steps == F.col(step), "test").otherwise("train")).drop(step)
 
 
 def motifs(rows: DataFrame, key: str, order: Sequence[str], state: str, length: int) -> DataFrame:

@@ -14,7 +14,7 @@ def asof(left: DataFrame, right: DataFrame, key: str, ts: str, columns: list[str
     """left with the right side's latest row at or before each instant (forward: the first at or after), within a tolerance.
 
     Both sides are stacked and one sort per key carries the last right row on, so that the cost is one shuffle of n + m rows,
-    and no pair is ever formed. Among right rows of one instant the one with the largest `tie` counts (forward: smallest). Right columns come as r_*.
+    and no pair is ever formed, in either direction. Among right rows of one instant the one with the largest `tie` counts (forward: smallest). Right columns come as r_*.
     A null key or time on either side matches nothing.
     """
     right = right.where(F.col(key).isNotNull() & F.col(ts).isNotNull())
@@ -24,8 +24,9 @@ def asof(left: DataFrame, right: DataFrame, key: str, ts: str, columns: list[str
     side = 0 if forward else 1
     l = left.select(key, _us(F.col(ts)).alias("_t"), F.lit(side).alias("_side"), tie_l.alias("_tie"), F.lit(None).cast(kind).alias("_r"), F.struct(*left.columns).alias("_l"))
     r = right.select(key, _us(F.col(ts)).alias("_t"), F.lit(1 - side).alias("_side"), tie_r.alias("_tie"), packed.alias("_r"), F.lit(None).cast(left.select(F.struct(*left.columns).alias("s")).schema["s"].dataType).alias("_l"))
-    w = Window.partitionBy(key).orderBy("_t", "_side", "_tie")
-    found = F.first("_r", True).over(w.rowsBetween(0, Window.unboundedFollowing)) if forward else F.last("_r", True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    # forward is the same carry over the rows in reverse: a frame that ends at the last row would be gone through anew for each row
+    order = [F.desc(c) if forward else F.asc(c) for c in ("_t", "_side", "_tie")]
+    found = F.last("_r", True).over(Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     known = F.col(key).isNotNull() & F.col("_t").isNotNull()
     out = l.where(known).union(r).withColumn("_f", found).where("_l IS NOT NULL").unionByName(l.where(~known).withColumn("_f", F.lit(None).cast(kind)))
     if tolerance_s is not None:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tidemark.operators.folds import true_range
+from tidemark.operators.names import spare
 
 
 def last_rows(key: str, order: str | Sequence[str], n: int, skip: int = 0) -> WindowSpec:
@@ -29,10 +30,11 @@ def rolling(panel: DataFrame, key: str, order: str, value: str, n: int, least: i
 def persistence(panel: DataFrame, key: str, order: str, value: str, n: int, least: int, name: str = "persistence") -> DataFrame:
     """Share of the last n moves whose sign is that of the move before."""
     w = Window.partitionBy(key).orderBy(order)
-    out = panel.withColumn("_s", F.signum(F.col(value) - F.lag(value).over(w)))
-    out = out.withColumn("_same", (F.col("_s") == F.lag("_s").over(w)).cast("double"))
+    sign, same = spare(panel, "_s", "_same")
+    out = panel.withColumn(sign, F.signum(F.col(value) - F.lag(value).over(w)))
+    out = out.withColumn(same, (F.col(sign) == F.lag(sign).over(w)).cast("double"))
     m = last_rows(key, order, n - 1)
-    return out.withColumn(name, F.when(F.count("_same").over(m) >= least, F.avg("_same").over(m))).drop("_s", "_same")
+    return out.withColumn(name, F.when(F.count(same).over(m) >= least, F.avg(same).over(m))).drop(sign, same)
 
 
 def half_ratio(panel: DataFrame, key: str, order: str, value: str, n: int, name: str = "half_ratio") -> DataFrame:
@@ -53,7 +55,8 @@ def share_momentum(panel: DataFrame, key: str, ts: str, part: str, whole: str, n
     """Share part/whole over the last n rows less that over the n before, where all 2n rows are there and contiguous."""
     a, b = last_rows(key, ts, n), last_rows(key, ts, n, n)
     share = lambda w: F.sum(part).over(w) / F.nullif(F.sum(whole).over(w), F.lit(0.0))
-    return panel.withColumn("_whole", contiguous(key, ts, 2 * n, step_s)).withColumn(name, F.when(F.col("_whole"), share(a) - share(b))).drop("_whole")
+    (whole_,) = spare(panel, "_whole")
+    return panel.withColumn(whole_, contiguous(key, ts, 2 * n, step_s)).withColumn(name, F.when(F.col(whole_), share(a) - share(b))).drop(whole_)
 
 
 def excursions(panel: DataFrame, key: str, order: str, entry: str, high: str, low: str, horizon: int) -> DataFrame:
@@ -84,16 +87,18 @@ def two_factor(panel: DataFrame, key: str, order: str, y: str, x1: str, x2: str,
     # moments around values of the frame keep the sums small
     cov = lambda a, b: F.covar_pop(F.when(whole, F.col(a)), F.when(whole, F.col(b))).over(w)
     mean = lambda a: F.avg(F.when(whole, F.col(a))).over(w)
-    out = panel.withColumns({"_c11": cov(x1, x1), "_c22": cov(x2, x2), "_c12": cov(x1, x2), "_c1y": cov(x1, y), "_c2y": cov(x2, y), "_my": mean(y), "_m1": mean(x1), "_m2": mean(x2), "_n": F.count(F.when(whole, 1)).over(w)})
-    c = lambda s: F.col("_c" + s)
-    out = out.withColumn("_det", c("11") * c("22") - c("12") * c("12"))
-    good = (F.col("_n") == n) & (F.col("_det") > flat * c("11") * c("22"))
-    out = out.withColumn("beta1", F.when(good, (c("1y") * c("22") - c("2y") * c("12")) / F.col("_det"))).withColumn("beta2", F.when(good, (c("2y") * c("11") - c("1y") * c("12")) / F.col("_det")))
+    names = ("_c11", "_c22", "_c12", "_c1y", "_c2y", "_my", "_m1", "_m2", "_n", "_det")
+    made = dict(zip(names, spare(panel, *names), strict=True))
+    out = panel.withColumns({made["_c11"]: cov(x1, x1), made["_c22"]: cov(x2, x2), made["_c12"]: cov(x1, x2), made["_c1y"]: cov(x1, y), made["_c2y"]: cov(x2, y), made["_my"]: mean(y), made["_m1"]: mean(x1), made["_m2"]: mean(x2), made["_n"]: F.count(F.when(whole, 1)).over(w)})
+    c = lambda s: F.col(made["_c" + s])
+    out = out.withColumn(made["_det"], c("11") * c("22") - c("12") * c("12"))
+    good = (F.col(made["_n"]) == n) & (F.col(made["_det"]) > flat * c("11") * c("22"))
+    out = out.withColumn("beta1", F.when(good, (c("1y") * c("22") - c("2y") * c("12")) / F.col(made["_det"]))).withColumn("beta2", F.when(good, (c("2y") * c("11") - c("1y") * c("12")) / F.col(made["_det"])))
     sane = (F.abs("beta1") <= most) & (F.abs("beta2") <= most)
-    out = out.withColumn("alpha", F.when(sane, F.col("_my") - F.col("beta1") * F.col("_m1") - F.col("beta2") * F.col("_m2")))
+    out = out.withColumn("alpha", F.when(sane, F.col(made["_my"]) - F.col("beta1") * F.col(made["_m1"]) - F.col("beta2") * F.col(made["_m2"])))
     out = out.withColumns({b: F.when(sane, F.col(b)) for b in ("beta1", "beta2")})
     out = out.withColumn("residual", F.when(whole, F.col(y) - F.col("alpha") - F.col("beta1") * F.col(x1) - F.col("beta2") * F.col(x2)))
-    return out.drop(*[x for x in out.columns if x in ("_c11", "_c22", "_c12", "_c1y", "_c2y", "_my", "_m1", "_m2", "_n", "_det")])
+    return out.drop(*made.values())
 
 
 def full_sum(value: str, key: str, order: str, n: int) -> Column:
@@ -107,15 +112,17 @@ def garman_klass(panel: DataFrame, key: str, ts: str, n: int, step_s: float, nam
     o, h, l, c = (F.col(x) for x in ("open", "high", "low", "close"))
     good = (o > 0) & (l > 0) & (c > 0) & (h >= l)
     term = lambda a, b: F.pow(F.log(F.when(good, a) / F.when(good, b)), F.lit(2))
-    out = panel.withColumn("_gk", 0.5 * term(h, l) - (2 * F.log(F.lit(2.0)) - 1) * term(c, o)).withColumn("_whole", contiguous(key, ts, n, step_s))
-    total = full_sum("_gk", key, ts, n)
-    return out.withColumn(name, F.when(F.col("_whole"), F.sqrt(F.greatest(total, F.lit(0.0))))).drop("_gk", "_whole")
+    gk, whole = spare(panel, "_gk", "_whole")
+    out = panel.withColumn(gk, 0.5 * term(h, l) - (2 * F.log(F.lit(2.0)) - 1) * term(c, o)).withColumn(whole, contiguous(key, ts, n, step_s))
+    total = full_sum(gk, key, ts, n)
+    return out.withColumn(name, F.when(F.col(whole), F.sqrt(F.greatest(total, F.lit(0.0))))).drop(gk, whole)
 
 
 def mean_range(panel: DataFrame, key: str, order: str, high: str, low: str, close: str, n: int, name: str = "atr_sma") -> DataFrame:
     """Mean true range of the last n rows that have a row before them."""
-    out = panel.withColumn("_tr", F.when(F.lag(close).over(Window.partitionBy(key).orderBy(order)).isNotNull(), true_range(key, [order], high, low, close)))
-    return out.withColumn(name, full_sum("_tr", key, order, n) / n).drop("_tr")
+    (tr,) = spare(panel, "_tr")
+    out = panel.withColumn(tr, F.when(F.lag(close).over(Window.partitionBy(key).orderBy(order)).isNotNull(), true_range(key, [order], high, low, close)))
+    return out.withColumn(name, full_sum(tr, key, order, n) / n).drop(tr)
 
 
 def change(panel: DataFrame, key: str, order: Sequence[str], value: str) -> DataFrame:
@@ -153,10 +160,21 @@ def pivots(panel: DataFrame, key: str, order: str, high: str, low: str, left: in
     w = Window.partitionBy(key).orderBy(order)
     around = w.rowsBetween(-left, right)
     full = F.count(F.lit(1)).over(around) == left + right + 1
-    out = panel.withColumn("_h", F.when(full & (F.col(high) == F.max(high).over(around)), F.col(high))).withColumn("_l", F.when(full & (F.col(low) == F.min(low).over(around)), F.col(low)))
-    out = out.withColumn("_h", F.lag("_h", right).over(w)).withColumn("_l", F.lag("_l", right).over(w))
+    h, l = spare(panel, "_h", "_l")
+    out = panel.withColumn(h, F.when(full & (F.col(high) == F.max(high).over(around)), F.col(high))).withColumn(l, F.when(full & (F.col(low) == F.min(low).over(around)), F.col(low)))
+    out = out.withColumn(h, F.lag(h, right).over(w)).withColumn(l, F.lag(l, right).over(w))
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    return out.withColumn("pivot_high", F.last("_h", True).over(upto)).withColumn("pivot_low", F.last("_l", True).over(upto)).drop("_h", "_l")
+    return out.withColumn("pivot_high", F.last(h, True).over(upto)).withColumn("pivot_low", F.last(l, True).over(upto)).drop(h, l)
+
+
+def level_crosses(panel: DataFrame, key: str, order: str, average: str, level: str) -> DataFrame:
+    """panel with `cross`: up where an average goes from at or under a level to over it, down the other way round; the level is that of the row, as it was known then.
+
+    Null without both at a row and the row before.
+    """
+    w = Window.partitionBy(key).orderBy(order)
+    now, before = F.col(average) - F.col(level), F.lag(F.col(average)).over(w) - F.lag(F.col(level)).over(w)
+    return panel.withColumn("cross", F.when((before <= 0) & (now > 0), "up").when((before >= 0) & (now < 0), "down"))
 
 
 def liquidity_pull(panel: DataFrame, key: str, order: str, depth: str, n: int) -> DataFrame:
@@ -174,6 +192,7 @@ def liquidity_pull(panel: DataFrame, key: str, order: str, depth: str, n: int) -
 def regime(panel: DataFrame, key: str, ts: str, close: str, average: str, n: int, flat: float) -> DataFrame:
     """bull, bear or range: the close against an average, and its return over n rows beyond `flat` the same way; unknown without both."""
     ret = F.col(close) / F.nullif(F.lag(close, n).over(Window.partitionBy(key).orderBy(ts)), F.lit(0.0)) - 1
-    out = panel.withColumn("_ret", ret)
-    state = F.when(F.col("_ret").isNull() | F.col(average).isNull(), "unknown").when((F.col(close) > F.col(average)) & (F.col("_ret") > flat), "bull").when((F.col(close) < F.col(average)) & (F.col("_ret") < -flat), "bear")
-    return out.withColumn("regime", state.otherwise("range")).drop("_ret")
+    (_ret,) = spare(panel, "_ret")
+    out = panel.withColumn(_ret, ret)
+    state = F.when(F.col(_ret).isNull() | F.col(average).isNull(), "unknown").when((F.col(close) > F.col(average)) & (F.col(_ret) > flat), "bull").when((F.col(close) < F.col(average)) & (F.col(_ret) < -flat), "bear")
+    return out.withColumn("regime", state.otherwise("range")).drop(_ret)

@@ -7,6 +7,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.names import spare
+from tidemark.operators.quantiles import quantiles, with_quantiles
+
 
 def section_stats(panel: DataFrame, at: Sequence[str], value: str, quantiles: Mapping[str, float]) -> DataFrame:
     """members, mean, std, median and the quantiles of every instant: one row each."""
@@ -87,9 +90,9 @@ def binned(value: Column, edges: Sequence[float], labels: Sequence[str]) -> Colu
 
 def quantile_bins(panel: DataFrame, by: Sequence[str], value: str, k: int, name: str = "bin") -> DataFrame:
     """panel with the bin 1 to k of its group's interpolated quantiles (right-closed; the lowest value is in bin 1); null values have none."""
-    cuts = panel.groupBy(*by).agg(F.percentile(value, F.array(*[F.lit(i / k) for i in range(1, k)])).alias("_q"))
-    joined = panel.join(cuts, list(by)) if by else panel.crossJoin(F.broadcast(cuts))  # one row
-    return joined.withColumn(name, F.when(F.col(value).isNotNull(), F.size(F.filter("_q", lambda q: q < F.col(value))) + 1)).drop("_q")
+    (cuts,) = spare(panel, "_q")
+    joined = with_quantiles(panel, by, value, [i / k for i in range(1, k)], cuts)
+    return joined.withColumn(name, F.when(F.col(value).isNotNull(), F.size(F.filter(cuts, lambda q: q < F.col(value))) + 1)).drop(cuts)
 
 
 def count_bins(panel: DataFrame, by: Sequence[str], value: str, tie: str, k: int, name: str = "bucket") -> DataFrame:
@@ -101,16 +104,15 @@ def count_bins(panel: DataFrame, by: Sequence[str], value: str, tie: str, k: int
 
 def signed_bins(panel: DataFrame, value: str, name: str = "bin") -> DataFrame:
     """A value as big_down, down, flat, up or big_up, in units of the median of all absolute values (0.25 and 1.5 of it)."""
-    unit = panel.agg(F.percentile(F.abs(value), 0.5).alias("_u"))
-    x = F.col(value) / F.nullif(F.col("_u"), F.lit(0.0))
-    return panel.crossJoin(F.broadcast(unit)).withColumn(name, F.when(x < -1.5, "big_down").when(x < -0.25, "down").when(x <= 0.25, "flat").when(x <= 1.5, "up").when(x > 1.5, "big_up")).drop("_u")  # one row
+    (unit,) = spare(panel, "_u")
+    x = F.col(value) / F.nullif(F.col(unit)[0], F.lit(0.0))
+    return with_quantiles(panel, [], F.abs(value), [0.5], unit).withColumn(name, F.when(x < -1.5, "big_down").when(x < -0.25, "down").when(x <= 0.25, "flat").when(x <= 1.5, "up").when(x > 1.5, "big_up")).drop(unit)
 
 
 def over_quantile(rows: DataFrame, value: str, q: float, by: Sequence[str] = ()) -> DataFrame:
     """The rows at or over their group's interpolated quantile."""
-    cut = rows.groupBy(*by).agg(F.percentile(value, q).alias("_q"))
-    joined = rows.join(cut, list(by)) if by else rows.crossJoin(F.broadcast(cut))  # one row
-    return joined.where(F.col(value) >= F.col("_q")).drop("_q")
+    (cut,) = spare(rows, "_q")
+    return with_quantiles(rows, by, value, [q], cut).where(F.col(value) >= F.col(cut)[0]).drop(cut)
 
 
 def top_shares(rows: DataFrame, by: Sequence[str], member: str, value: str, k: int) -> DataFrame:
@@ -155,9 +157,12 @@ def beta(rows: DataFrame, by: Sequence[str], y: str, x: str, least: int) -> Data
 def contrast(rows: DataFrame, good: Column, features: Sequence[str]) -> DataFrame:
     """feature, n_good, n_bad and the differences (good less bad) of mean, median, 10 % and 90 % quantile: long form, one pass over the rows."""
     long = rows.withColumn("_g", good).select("_g", F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("v")) for f in features])).alias("f")).select("_g", "f.*")
-    side = lambda on: F.when(F.col("_g") if on else ~F.col("_g"), F.col("v"))
-    diff = lambda f: f(side(True)) - f(side(False))
-    return long.groupBy("feature").agg(F.count(side(True)).alias("n_good"), F.count(side(False)).alias("n_bad"), diff(F.avg).alias("mean_diff"), *[diff(lambda c, q=q: F.percentile(c, q)).alias(f"p{int(q * 100)}_diff") for q in (0.5, 0.1, 0.9)])
+    side = lambda on, v: F.when(F.col("_g") if on else ~F.col("_g"), v)
+    v, qs = F.col("v"), (0.5, 0.1, 0.9)
+    means = long.groupBy("feature").agg(F.count(side(True, v)).alias("n_good"), F.count(side(False, v)).alias("n_bad"), (F.avg(side(True, v)) - F.avg(side(False, v))).alias("mean_diff"))
+    sides = quantiles(long.where("_g IS NOT NULL"), ["feature", "_g"], "v", qs)  # a row a feature and side
+    of = lambda i: F.max(side(True, F.col("q")[i])) - F.max(side(False, F.col("q")[i]))
+    return means.join(sides.groupBy("feature").agg(*[of(i).alias(f"p{int(q * 100)}_diff") for i, q in enumerate(qs)]), "feature", "left")
 
 
 def argmax(columns: Sequence[str]) -> Column:
@@ -172,7 +177,8 @@ def audit(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     v = F.col("v")
     missing, inf = v.isNull() | F.isnan(v), F.abs(v) == float("inf")
     fine = F.when(~missing & ~inf, v)
-    return long.groupBy("column").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(missing, 1)).alias("missing"), F.count(F.when(inf, 1)).alias("infinite"), F.min(fine).alias("least"), F.max(fine).alias("most"), F.avg(fine).alias("mean"), F.percentile(fine, 0.999).alias("p999"))
+    out = long.groupBy("column").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(missing, 1)).alias("missing"), F.count(F.when(inf, 1)).alias("infinite"), F.min(fine).alias("least"), F.max(fine).alias("most"), F.avg(fine).alias("mean"))
+    return out.join(quantiles(long, ["column"], fine, [0.999]).select("column", F.col("q")[0].alias("p999")), "column", "left")
 
 
 def sampled_quantiles(rows: DataFrame, by: Sequence[str], value: str, h: Column, size: int, quantiles: Mapping[str, float], groups: int = 64) -> DataFrame:

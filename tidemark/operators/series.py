@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.carry import carried
+from tidemark.operators.names import spare
 
 
 def bars(rows: DataFrame, key: str, ts: str, value: str, unit: str = "hour", order: str | None = None) -> DataFrame:
@@ -55,7 +56,9 @@ def pct_rank(panel: DataFrame, at: Sequence[str], value: str, name: str = "pct")
 
 
 def tails(panel: DataFrame, at: Sequence[str], value: str, tie: str, share: float, least: int) -> DataFrame:
-    """Long and short legs: the top and bottom floor(n * share) of each cross-section with at least `least` rows."""
+    """Long and short legs: the top and bottom floor(n * share) of each cross-section with at least `least` rows; a share over a half would put rows in both."""
+    if not 0 < share <= 0.5:
+        raise ValueError("share must be over 0 and at most a half")
     w = Window.partitionBy(*at)
     n = F.count(value).over(w)
     k = F.floor(n * share)
@@ -72,23 +75,26 @@ def drawdown(panel: DataFrame, key: str, order: Sequence[str], pnl: str) -> Data
 
 
 def concurrency(spans: DataFrame, key: str, start: str, end: str) -> DataFrame:
-    """Most spans open at once by key; at one instant, ends come before starts."""
-    marks = spans.select(key, F.col(start).alias("at"), F.lit(1).alias("step")).union(spans.select(key, F.col(end), F.lit(-1)))
+    """Most spans open at once by key; at one instant, ends come before starts. A span without an end stays open, one without a start isn't counted."""
+    begun = spans.where(F.col(start).isNotNull())
+    marks = begun.select(key, F.col(start).alias("at"), F.lit(1).alias("step")).union(begun.where(F.col(end).isNotNull()).select(key, F.col(end), F.lit(-1)))
     net = marks.groupBy(key, "at", "step").agg(F.sum("step").alias("net"))
     w = Window.partitionBy(key).orderBy("at", "step").rowsBetween(Window.unboundedPreceding, 0)
     return net.withColumn("open", F.sum("net").over(w)).groupBy(key).agg(F.max("open").alias("most_open"))
 
 
-def cooldown(events: DataFrame, key: str, ts: str, seconds: float, tie: str) -> DataFrame:
-    """Events kept when at least `seconds` after the last kept one of their key: a fold over each key's sorted rows that carries one instant. Events without a time are left out."""
+def cooldown(events: DataFrame, key: str | Sequence[str], ts: str, seconds: float, tie: str) -> DataFrame:
+    """Events kept when at least `seconds` after the last kept one of their key (one column, or several, each of whose combinations cools down alone): a fold over each key's sorted rows that carries one instant. Events without a time are left out."""
+    key = [key] if isinstance(key, str) else list(key)
     gap = int(seconds * 1e6)
 
     def step(last, t):
         keep = last is None or t - last >= gap
         return (t if keep else last), (keep,)
 
-    timed = events.where(F.col(ts).isNotNull()).withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp")))
-    return carried(timed, [key], ["_us", tie], ["_us"], "_kept boolean", lambda: None, step).where("_kept").drop("_us", "_kept")
+    us, kept = spare(events, "_us", "_kept")
+    timed = events.where(F.col(ts).isNotNull()).withColumn(us, F.unix_micros(F.col(ts).cast("timestamp")))
+    return carried(timed, key, [us, tie], [us], f"{kept} boolean", lambda: None, step).where(F.col(kept)).drop(us, kept)
 
 
 def turnover(portfolios: DataFrame, at: str, member: str, weight: str) -> DataFrame:

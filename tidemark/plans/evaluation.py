@@ -112,7 +112,7 @@ SELECT event_type, count(*) AS events, count(ret) AS n, count(*) - count(ret) AS
 def forward_stats(spark, d):
     x = joins.offset(bars(spark, d), "event_type", "bar", "close", F.expr("bar + INTERVAL 4 HOURS"), "later")
     x = x.withColumn("ret", F.col("later") / F.nullif(F.col("close"), F.lit(0.0)) - 1)
-    s = x.groupBy("event_type").agg(*evaluate.return_stats("ret", {"q05": 0.05, "q95": 0.95}))
+    s = evaluate.return_stats(x, ["event_type"], "ret", {"q05": 0.05, "q95": 0.95})
     return s.select("event_type", "events", "n", "missing", r("mean", places=4), r("std", places=3), r("positive"), r("q05"), r("q95", places=4))
 
 
