@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.stats import seeded
+from tidemark.functions.stats import dealt, drawn, seeded
+from tidemark.operators.quantiles import beside, numbered
 
 
 def uniform(seed: str, *parts: str | Column) -> Column:
@@ -66,25 +68,48 @@ def block_shuffle(rows: DataFrame, ts: str, tie: str, signal: str, ret: str, blo
     return pairs.groupBy("round").agg(F.avg(F.col("_s") * F.col("_r")).alias("null_mean"), F.count(F.lit(1)).alias("n"))
 
 
-def numbered(rows: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """rows with their place `_i` from 0 and the number `_n` of rows of their group."""
-    w = Window.partitionBy(*by)
-    return rows.withColumn("_i", (F.row_number().over(w.orderBy(*order)) - 1).cast("long")).withColumn("_n", F.count(F.lit(1)).over(w))
+#: P(X <= k) of a Poisson variable of mean 1, for as many k as doubles tell apart from 1
+POISSON = [sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(18)]
+
+
+def poisson(u: Column) -> Column:
+    """A Poisson number of mean 1 from a number in [0, 1)."""
+    return sum((F.when(u >= p, 1).otherwise(0) for p in POISSON), F.lit(0))
 
 
 def bootstrap(rows: DataFrame, by: Sequence[str], order: Sequence[str], value: str, n: int, seed: str, block: int = 1, flip: bool = False) -> DataFrame:
-    """Means of n resamples of each group: rows drawn with replacement, in circular blocks of `block` rows; flip: rows stay and their signs are drawn."""
-    x = numbered(rows.where(F.col(value).isNotNull()), by, order).select(*by, "_i", "_n", F.col(value).alias("_v"))
+    """round and mean of n resamples of each group.
+
+    block 1: each row counts a Poisson number of times (mean 1), as in a sample with replacement of a large group, and the mean is over all that counts; flip: rows stay
+    and their signs are drawn. Both draw from the hash of round and `order` (which has to name a row), so that rows are only added up where they are read.
+    block over 1: as many rows as the group has, in circular blocks of `block` rows from drawn places. What each block can add up to is known once for every place, and only the drawn
+    places, one for each block and round, meet it.
+    """
+    x = rows.where(F.col(value).isNotNull())
+    if block > 1:
+        return _circular(numbered(x, by, order), by, value, n, seed, block)
+    x = x.select(*by, *[c for c in order if c not in by], F.col(value).alias("_v"))
+    # one hash a row and four rounds
+    quads = dealt(x).withColumn("_four", F.explode(F.sequence(F.lit(0), F.lit((n - 1) // 4)))).withColumn("_h", seeded(seed, "_four", *by, *order))
+    each = F.array(*[F.struct((4 * F.col("_four") + i).alias("round"), (F.conv(F.substring("_h", 1 + 8 * i, 8), 16, 10).cast("double") / float(1 << 32)).alias("u")) for i in range(4)])
+    r = quads.select(*by, "_v", F.explode(each).alias("_d")).select(*by, "_v", F.col("_d.round").alias("round"), F.col("_d.u").alias("_u")).where(F.col("round") < n)
     if flip:
-        r = rounds(x, n)
-        return r.groupBy(*by, "round").agg(F.avg(F.col("_v") * F.when(uniform(seed, "round", *by, "_i") < 0.5, -1.0).otherwise(1.0)).alias("mean"))
-    draws = rounds(x.select(*by, "_i", "_n"), n)
-    start = F.floor(uniform(seed, "round", *by, F.floor(F.col("_i") / block)) * F.col("_n"))
-    draws = draws.select("round", *by, F.pmod(start + F.col("_i") % block, F.col("_n")).alias("_i"))
-    # a draw is counted before it meets its value: how often a row is drawn in a round is all that matters
-    draws = draws.groupBy("round", *by, "_i").agg(F.count(F.lit(1)).alias("_times"))
-    got = draws.join(x.drop("_n"), [*by, "_i"])
-    return got.groupBy(*by, "round").agg((F.sum(F.col("_v") * F.col("_times")) / F.sum("_times")).alias("mean"))
+        return r.groupBy(*by, "round").agg(F.avg(F.when(F.col("_u") < 0.5, -F.col("_v")).otherwise(F.col("_v"))).alias("mean"))
+    r = r.withColumn("_times", poisson(F.col("_u"))).where("_times > 0")
+    return r.groupBy(*by, "round").agg((F.sum(F.col("_v") * F.col("_times")) / F.sum("_times")).alias("mean"))
+
+
+def _circular(x: DataFrame, by: Sequence[str], value: str, n: int, seed: str, block: int) -> DataFrame:
+    x = x.select(*by, "_i", "_n", F.col(value).alias("_v"))
+    # a row is part of the blocks that begin at it and at the block - 1 rows before
+    sums = x.select(*by, F.explode(F.transform(F.sequence(F.lit(0), F.lit(block - 1)), lambda t: F.pmod(F.col("_i") - t, F.col("_n")))).alias("_i"), "_v").groupBy(*by, "_i").agg(F.sum("_v").alias("_v"))
+    start = lambda: F.floor(uniform(seed, "round", *by, F.floor(F.col("_i") / block)) * F.col("_n"))
+    whole = F.col("_i") < F.floor(F.col("_n") / block) * block
+    draws = rounds(x.where(whole & (F.col("_i") % block == 0)).select(*by, "_i", "_n"), n).select("round", *by, start().alias("_i"))
+    rest = rounds(x.where(~whole).select(*by, "_i", "_n"), n).select("round", *by, F.pmod(start() + F.col("_i") % block, F.col("_n")).alias("_i"))  # under a block's rows a round
+    got = draws.join(sums, [*by, "_i"]).select("round", *by, "_v").unionByName(rest.join(x.drop("_n"), [*by, "_i"]).select("round", *by, "_v"))
+    sizes = x.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    return beside(got.groupBy(*by, "round").agg(F.sum("_v").alias("_v")), sizes, by, "inner").select(*by, "round", (F.col("_v") / F.col("_n")).alias("mean"))
 
 
 def difference_interval(rows: DataFrame, by: Sequence[str], order: Sequence[str], value: str, flag: Column, n: int, seed: str, low: float = 0.025, high: float = 0.975) -> DataFrame:
@@ -144,8 +169,6 @@ def placebo(rows: DataFrame, id_col: str, value: str, flag: Column, n: int, seed
     x = rows.where(F.col(value).isNotNull()).select(F.col(id_col).alias("_id"), F.col(value).alias("_v"), flag.alias("_f"))
     k = x.agg(F.count(F.when(F.col("_f"), 1)).alias("_k"))
     pool = x.crossJoin(F.broadcast(k))  # one row
-    from tidemark.functions.stats import drawn
-
     on = drawn(pool.select("_id", "_v", F.col("_k")), [], seeded(seed, "round", "_id"), F.col("_k"), n).groupBy("round", "_v").agg(F.count(F.lit(1)).alias("_a"))
     all_ = rounds(x.groupBy("_v").agg(F.count(F.lit(1)).alias("_n")), n)
     counts = all_.join(on, ["round", "_v"], "left").select("round", "_v", F.coalesce("_a", F.lit(0)).alias("_a"), "_n")

@@ -12,8 +12,9 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.nulls import gaussian, numbered, rounds, uniform
+from tidemark.functions.nulls import gaussian, rounds, uniform
 from tidemark.functions.stats import seeded
+from tidemark.operators.quantiles import numbered
 
 
 def replays(rows: DataFrame, by: Sequence[str], order: Sequence[str], value: str, n: int, size: int, seed: str, held: float = 0.25, costs: tuple[float, float] = (5.0, 35.0), large: float = 0.7) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.carry import carried
 from tidemark.operators.names import spare
+from tidemark.operators.quantiles import beside
 
 
 def trade_pnl(entry: Column, exit_: Column, notional: Column, side: Column, cost: float) -> Column:
@@ -35,23 +36,62 @@ def adjusted(tests: DataFrame, family: list[str], p: str, name: str = "q", tie:
     return raw.withColumn(name, F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), least))).drop(_raw, _rank)
 
 
+#: standard deviations of the kth hash that are looked at
+MARGIN = 7
+
+
+def _near_threshold(rows: DataFrame, per: DataFrame, block: list[str], h: Column, rounds: int, names: list[str]) -> DataFrame:
+    """A row for each round, with its block's k and n (those of `per`, a row a block), its hash, and `sure`: 1 well under the kth hash, 0 near it; what is well over it goes before any shuffle.
+
+    Of n even hashes the kth lies near the share k / n: further than MARGIN of its standard deviations away about once in 10^11 draws.
+    """
+    _k, _n, _h, _sure = names
+    low, high = spare(rows, "_low", "_high")
+    share = F.least(F.col(_k) / F.col(_n), F.lit(1.0))
+    off = (MARGIN * F.sqrt(F.col(_n) * share * (1 - share)) + MARGIN * MARGIN) / F.col(_n)
+    digits = lambda x: F.lpad(F.lower(F.hex((F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)) * float((1 << 52) - 1)).cast("long"))), 13, "0")
+    per = per.where((F.col(_k) > 0) & (F.col(_n) > 0)).withColumns({low: digits(share - off), high: F.concat(digits(share + off), F.lit("g"))})  # hashes are compared as text
+    x = dealt(beside(rows, per, block, "inner")).withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1)))).withColumn(_h, h)
+    return x.where(F.col(_h) <= F.col(high)).withColumn(_sure, F.when(F.col(_h) < F.col(low), 1).otherwise(0)).drop(low, high)
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """rows, dealt out evenly: for rows that are each hashed for every round, so that those of a small file are not one task's work."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _short(x: DataFrame, key: list[str], names: list[str]) -> DataFrame:
+    """Blocks and rounds whose kth hash lies elsewhere all the same: a row for each, with k; none, unless hashes repeat or a block is tiny and unlucky."""
+    _k, _n, _h, _sure = names
+    seen = x.groupBy(*key).agg(F.max(_k).alias(_k), F.max(_n).alias(_n), F.sum(_sure).alias(_sure), F.count(F.lit(1)).alias(_h))
+    return seen.where((F.col(_sure) > F.col(_k)) | (F.col(_h) < F.least(_k, _n)))
+
+
 def drawn(rows: DataFrame, block: list[str], h: Column, k: Column, rounds: int) -> DataFrame:
     """In each round the k smallest of the hashes h (hex, of a row and `round`) of each block: rows with `round`.
 
-    No block is sorted: hashes are counted by their first four digits, whole buckets are taken, and only the rows of the bucket in
-    which the kth lies are ranked. k is the same for all rows of a block.
+    Most rows are settled where they are read, by their hash against the share k / n: what is well over it goes, what is well under it stays. Only rows
+    near it are shuffled and ranked. A block whose kth hash lies elsewhere is ranked whole. k is the same for all rows of a block.
     """
+    _k, _n, _h, _sure, _r = names = spare(rows, "_k", "_n", "_h", "_sure", "_r")
+    key, names = ["round", *block], names[:4]
+    per = rows.groupBy(*block).agg(F.max(k.cast("long")).alias(_k), F.count(F.lit(1)).alias(_n))
+    x = _near_threshold(rows, per, block, h, rounds, names)
+    under = x.groupBy(*key).agg(F.sum(_sure).alias(_r))  # a row a block and round
+    bad = F.broadcast(_short(x, key, names).select(*key, F.lit(1).alias(_r)))  # next to none: see _short
+    near = beside(x.where(F.col(_sure) == 0), under, key, "inner").withColumn(_k, F.col(_k) - F.col(_r))
+    near = near.withColumn(_r, F.row_number().over(Window.partitionBy(*key).orderBy(_h))).where(F.col(_r) <= F.col(_k)).drop(_r)
+    fine = beside(x.where(F.col(_sure) == 1).unionByName(near), bad, key).where(F.col(_r).isNull())
+    return fine.select(*rows.columns, "round").unionByName(_whole(rows, block, h, k, rounds, bad, [_k, _h, _r]))
+
+
+def _whole(rows: DataFrame, block: list[str], h: Column, k: Column, rounds: int, bad: DataFrame, names: list[str]) -> DataFrame:
+    """The k smallest hashes of the blocks and rounds in `bad`, by ranking all their rows."""
+    _k, _h, _r = names
     key = ["round", *block]
-    x = rows.withColumn("_k", k.cast("long")).withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1)))).withColumn("_h", h)
-    x = x.withColumn("_bucket", F.conv(F.substring("_h", 1, 4), 16, 10).cast("int"))
-    counts = x.groupBy(*key, "_bucket").agg(F.count(F.lit(1)).alias("_n"), F.max("_k").alias("_k"))
-    upto = F.sum("_n").over(Window.partitionBy(*key).orderBy("_bucket"))
-    edge = counts.withColumn("_upto", upto).where((F.col("_upto") >= F.col("_k")) & (F.col("_upto") - F.col("_n") < F.col("_k")))
-    edge = edge.select(*[F.col(c).alias("_e_" + c) for c in key], F.col("_bucket").alias("_edge"), (F.col("_k") - F.col("_upto") + F.col("_n")).alias("_more"))
-    same = [F.col(c).eqNullSafe(F.col("_e_" + c)) for c in key]
-    y = x.join(edge, same).where("_bucket <= _edge")
-    last = y.where("_bucket = _edge").withColumn("_r", F.row_number().over(Window.partitionBy(*key).orderBy("_h"))).where("_r <= _more").drop("_r")
-    return y.where("_bucket < _edge").unionByName(last).select(*rows.columns, "round")
+    again = rows.withColumn(_k, k.cast("long")).withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
+    again = beside(again, bad, key, "inner").drop(_r).withColumn(_h, h)
+    return again.withColumn(_r, F.row_number().over(Window.partitionBy(*key).orderBy(_h))).where(F.col(_r) <= F.col(_k)).select(*rows.columns, "round")
 
 
 def seeded(seed: str, *parts: str | Column) -> Column:
@@ -62,15 +102,26 @@ def seeded(seed: str, *parts: str | Column) -> Column:
 def permuted_means(events: DataFrame, block: list[str], id_col: str, label: Column, value: str, rounds: int, seed: str, event: Column | None = None) -> DataFrame:
     """A seeded null: in each round labels move to other rows of their block (those with the smallest hashes of id_col); round, the drawn rows' mean and number.
 
-    event: rows that are events themselves, which no label moves to.
+    event: rows that are events themselves, which no label moves to. Rows that are surely drawn are added up by the tasks that read them; only those near the
+    threshold (see drawn) meet in an order.
     """
-    x = events.withColumn("_on", label.cast("long"))
-    per = x.groupBy(*block).agg(F.sum("_on").alias("_k"))
-    pool = x.where(~event) if event is not None else x
-    same = [pool[c].eqNullSafe(per[c]) for c in block]
-    pool = pool.join(per, same).drop(*[per[c] for c in block]).where("_k > 0")
-    got = drawn(pool, block, seeded(seed, "round", *block, id_col), F.col("_k"), rounds)
-    return got.groupBy("round").agg(F.avg(value).alias("null_mean"), F.count(F.lit(1)).alias("n"))
+    _on, _k, _n, _h, _sure, _v, _c, _r, _m = spare(events, "_on", "_k", "_n", "_h", "_sure", "_v", "_c", "_r", "_m")
+    x = events.withColumn(_on, label.cast("long")).withColumn(_r, F.lit(True) if event is None else ~event)
+    per = x.groupBy(*block).agg(F.sum(_on).alias(_k), F.count(F.when(F.col(_r), 1)).alias(_n))
+    pool = x.where(F.col(_r)).select(*dict.fromkeys([*block, id_col, value]))
+    key, h = ["round", *block], seeded(seed, "round", *block, id_col)
+    near = _near_threshold(pool, per, block, h, rounds, [_k, _n, _h, _sure])
+    parts = near.groupBy(*key, F.when(F.col(_sure) == 0, F.col(_h)).alias(_h)).agg(F.count(F.lit(1)).alias(_c), F.count(value).alias(_m), F.sum(value).alias(_v), F.max(_k).alias(_k), F.max(_n).alias(_n))
+    whole = Window.partitionBy(*key)  # one row for all that are sure, and those near the threshold
+    sure, some = F.sum(F.when(F.col(_h).isNull(), F.col(_c)).otherwise(0)).over(whole), F.sum(_c).over(whole)
+    upto = F.sum(_c).over(whole.orderBy(F.col(_h).asc_nulls_first()))
+    parts = parts.withColumns({_on: (sure > F.col(_k)) | (some < F.least(_k, _n)), _r: F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col(_k) - upto + F.col(_c)) / F.col(_c)))})
+    fine = parts.where(~F.col(_on)).select("round", (F.col(_v) * F.col(_r)).alias(_v), (F.col(_m) * F.col(_r)).alias(_m), (F.col(_c) * F.col(_r)).alias(_c))
+    bad = F.broadcast(parts.where(F.col(_on)).select(*key, F.lit(1).alias(_r)).distinct())  # next to none: see _short
+    again = _whole(beside(pool, per.select(*block, F.col(_k).alias(_on)), block, "inner"), block, h, F.col(_on), rounds, bad, [_k, _h, _r])
+    again = again.groupBy("round").agg(F.sum(value).alias(_v), F.count(value).cast("double").alias(_m), F.count(F.lit(1)).cast("double").alias(_c))
+    out = fine.unionByName(again).groupBy("round").agg(F.sum(_v).alias(_v), F.sum(_m).alias(_m), F.sum(_c).alias(_c))
+    return out.select("round", (F.col(_v) / F.nullif(F.col(_m), F.lit(0.0))).alias("null_mean"), F.round(_c).cast("long").alias("n"))
 
 
 def chained(rows: DataFrame, key: str, order: list[str], payload: list[str]) -> DataFrame:

@@ -151,25 +151,39 @@ def _boot(block: int, seed: str) -> str:
     return f"SELECT z.side, z.round, avg(x.net) AS m FROM (SELECT side, round, ({start} + i % {block}) % n AS at FROM x, (SELECT unnest(range(0, 25)) AS round)) z JOIN x ON x.side = z.side AND x.i = z.at GROUP BY ALL"
 
 
-_X = f"x AS (SELECT side, net, row_number() OVER (PARTITION BY side ORDER BY o_orderdate, o_orderkey) - 1 AS i, count(*) OVER (PARTITION BY side) AS n FROM (SELECT * FROM ({PNL}) WHERE o_orderkey % 5 = 0))"
+_X = f"x AS (SELECT side, net, o_orderdate, o_orderkey, row_number() OVER (PARTITION BY side ORDER BY o_orderdate, o_orderkey) - 1 AS i, count(*) OVER (PARTITION BY side) AS n FROM ({PNL}))"
 
 
-@query(f"""WITH {_X}, a AS ({_boot(1, 'row-1')}), b AS ({_boot(24, 'circ-1')}), c AS (SELECT side, round, avg(net * CASE WHEN {_u("'flip-1:' || round || ':' || side || ':' || i")} < 0.5 THEN -1 ELSE 1 END) AS m FROM x, (SELECT unnest(range(0, 25)) AS round) GROUP BY ALL)
+def _u4(seed: str, *parts: str) -> str:
+    """four_uniform() of rounds, in SQL."""
+    text = f"'{seed}' || ':' || (round // 4)" + "".join(f" || ':' || {p}" for p in parts)
+    return f"(CAST('0x' || substr(md5({text}), (1 + 8 * (round % 4))::BIGINT, 8) AS BIGINT)::DOUBLE / 4294967296.0::DOUBLE)"
+
+
+def _poisson(u: str) -> str:
+    return f"len(list_filter({nulls.POISSON}, lambda p: {u} >= p))"
+
+
+_ROW = ("side", "o_orderdate", "o_orderkey")
+
+
+@query(f"""WITH {_X}, y AS (SELECT x.*, round FROM x, (SELECT unnest(range(0, 25)) AS round)), w AS (SELECT *, {_u4('row-1', *_ROW)} AS u FROM y), a AS (SELECT side, round, sum(net * k) / sum(k) AS m FROM (SELECT *, {_poisson('u')} AS k FROM w) GROUP BY ALL),
+b AS ({_boot(24, 'circ-1')}), c AS (SELECT side, round, avg(CASE WHEN {_u4('flip-1', *_ROW)} < 0.5 THEN -net ELSE net END) AS m FROM y GROUP BY ALL)
 SELECT method, side, round::INTEGER AS round, round(m, 6) AS mean FROM (SELECT 'rows' AS method, * FROM a UNION ALL SELECT 'circular_blocks', * FROM b UNION ALL SELECT 'sign_flips', * FROM c)""")
 def bootstrap_methods(spark, d):
-    x = _trades(spark, d).where("o_orderkey % 5 = 0")
+    x = _trades(spark, d)
     order = ["o_orderdate", "o_orderkey"]
     all_ = {"rows": nulls.bootstrap(x, ["side"], order, "net", 25, "row-1"), "circular_blocks": nulls.bootstrap(x, ["side"], order, "net", 25, "circ-1", block=24), "sign_flips": nulls.bootstrap(x, ["side"], order, "net", 25, "flip-1", flip=True)}
     parts = [v.select(F.lit(k).alias("method"), "side", "round", r("mean")) for k, v in all_.items()]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@query(f"""WITH y AS (SELECT *, (move > 0)::INTEGER AS s FROM ({PNL}) WHERE o_orderkey % 5 = 0), x AS (SELECT side, s, net, row_number() OVER (PARTITION BY side, s ORDER BY o_orderdate, o_orderkey) - 1 AS i, count(*) OVER (PARTITION BY side, s) AS n FROM y),
-z AS (SELECT side, s, round, (floor({_u("'ci-1:' || round || ':' || side || ':' || s || ':' || i")} * n)::BIGINT + 0) % n AS at FROM x, (SELECT unnest(range(0, 40)) AS round)), m AS (SELECT z.side, z.s, z.round, avg(x.net) AS m FROM z JOIN x ON x.side = z.side AND x.s = z.s AND x.i = z.at GROUP BY ALL),
+@query(f"""WITH y AS (SELECT *, (move > 0)::INTEGER AS s FROM ({PNL})), z AS (SELECT y.*, round FROM y, (SELECT unnest(range(0, 40)) AS round)), w AS (SELECT *, {_u4('ci-1', 'side', 's', 'o_orderdate', 'o_orderkey')} AS u FROM z),
+m AS (SELECT side, s, round, sum(net * k) / sum(k) AS m FROM (SELECT *, {_poisson('u')} AS k FROM w) GROUP BY ALL),
 e AS (SELECT side, round, max(m) FILTER (s = 1) - max(m) FILTER (s = 0) AS d FROM m GROUP BY ALL), b AS (SELECT side, quantile_cont(d, 0.025) AS lo, quantile_cont(d, 0.975) AS hi FROM e GROUP BY 1)
 SELECT side, round(avg(net) FILTER (s = 1) - avg(net) FILTER (s = 0), 6) AS diff, round(any_value(lo), 6) AS low, round(any_value(hi), 6) AS high FROM y JOIN b USING (side) GROUP BY 1""")
 def difference_interval(spark, d):
-    x = _trades(spark, d).where("o_orderkey % 5 = 0")
+    x = _trades(spark, d)
     up = F.col("o_orderkey") % 21 > 10
     return nulls.difference_interval(x, ["side"], ["o_orderdate", "o_orderkey"], "net", up, 40, "ci-1").select("side", r("diff"), r("low"), r("high"))
 
@@ -201,12 +215,12 @@ def bonferroni(spark, d):
     return stats.adjusted(x, ["p_brand"], "p", tie="p_size").select("p_brand", "p_size", r("bonferroni"))
 
 
-@query(f"""WITH x AS (SELECT *, o_custkey % 4 AS g FROM ({PNL}) WHERE o_orderkey % 5 = 0), k AS (SELECT g, count(*) FILTER (side = 'long') AS k FROM x GROUP BY 1), y AS (SELECT x.*, k, round FROM x JOIN k USING (g), (SELECT unnest(range(0, 40)) AS round)),
+@query(f"""WITH x AS (SELECT *, o_custkey % 4 AS g FROM ({PNL})), k AS (SELECT g, count(*) FILTER (side = 'long') AS k FROM x GROUP BY 1), y AS (SELECT x.*, k, round FROM x JOIN k USING (g), (SELECT unnest(range(0, 40)) AS round)),
 z AS (SELECT *, row_number() OVER (PARTITION BY round, g ORDER BY md5('lab-1:' || round || ':' || g || ':' || o_orderkey)) AS r FROM y), m AS (SELECT round, avg(net) FILTER (r <= k) AS m FROM z GROUP BY 1), o AS (SELECT avg(net) FILTER (side = 'long') AS obs, avg(net) AS mid FROM x)
 SELECT count(*) AS rounds, round(any_value(obs), 6) AS observed, round((1 + count(*) FILTER (round(abs(m - mid), 9) >= round(abs(obs - mid), 9))) / (1 + count(*)), 6) AS p FROM m, o""")
 def label_permutation(spark, d):
     """Labels change places within their stratum only; two-sided, around the mean of all."""
-    x = _trades(spark, d).where("o_orderkey % 5 = 0").withColumn("g", F.col("o_custkey") % 4)
+    x = _trades(spark, d).withColumn("g", F.col("o_custkey") % 4)
     m = stats.permuted_means(x, ["g"], "o_orderkey", F.col("side") == "long", "net", 40, "lab-1")
     o = x.agg(F.avg(F.when(F.col("side") == "long", F.col("net"))).alias("obs"), F.avg("net").alias("mid"))
     far = F.round(F.abs(F.col("null_mean") - F.col("mid")), 9) >= F.round(F.abs(F.col("obs") - F.col("mid")), 9)
@@ -498,9 +512,15 @@ def loss_stops(spark, d):
     return x.select("o_orderkey", F.when(F.col("worst") <= -150, "killed").when(F.col("worst") <= -80, "halved").otherwise("full").alias("capital"))
 
 
-@query(None)
+@query("""WITH x AS (SELECT o_orderkey, o_totalprice AS v, o_custkey % 3 = 0 AS f FROM orders WHERE o_totalprice IS NOT NULL), k AS (SELECT count(*) FILTER (f) AS k FROM x),
+y AS (SELECT x.*, k, round, row_number() OVER (PARTITION BY round ORDER BY md5('plc-1:' || round || ':' || o_orderkey)) AS r FROM x, k, (SELECT unnest(range(0, 20)) AS round)),
+l AS (SELECT round, v, r <= k AS f FROM y UNION ALL SELECT -1, v, f FROM x), c AS (SELECT round, v, count(*) FILTER (f) AS a, count(*) FILTER (NOT f) AS b FROM l GROUP BY ALL), m AS (SELECT *, sum(a + b) OVER (PARTITION BY round ORDER BY v) - (a + b - 1) / 2 AS rk FROM c),
+s AS (SELECT round, sum(a) AS n1, sum(b) AS n2, sum(a * rk) AS r1, sum(((a + b)::DOUBLE ** 3) - (a + b)) AS ties FROM m GROUP BY 1), u AS (SELECT *, r1 - n1 * (n1 + 1) / 2 AS u, n1 * n2 / 2 AS mid, n1 * n2 / 12.0::DOUBLE * ((n1 + n2 + 1) - ties / ((n1 + n2) * (n1 + n2 - 1))) AS w FROM s),
+z AS (SELECT round, (abs(u - mid) - 0.5) / sqrt(w) AS z FROM u), p AS (SELECT round, """ + _p("greatest(abs(z), 0)") + """ AS p FROM z)
+SELECT count(*) FILTER (round >= 0) AS rounds, round(avg((p < 0.05)::INTEGER) FILTER (round >= 0), 6) AS significant, round(max(p) FILTER (round < 0), 6) AS p FROM p""")
 def placebo_share(spark, d):
-    return nulls.placebo(t(spark, d, "orders").where("o_orderkey % 4 = 0"), "o_orderkey", "o_totalprice", F.col("o_custkey") % 3 == 0, 20, "plc-1")
+    x = nulls.placebo(t(spark, d, "orders"), "o_orderkey", "o_totalprice", F.col("o_custkey") % 3 == 0, 20, "plc-1")
+    return x.select("rounds", r("significant"), r("p"))
 
 
 @query("""WITH x AS (SELECT 'p_size' AS "column", p_size::DOUBLE AS v FROM part UNION ALL SELECT 'p_retailprice', p_retailprice FROM part) SELECT "column", count(*) AS n, min(v) AS least, max(v) AS most, round(avg(v), 5) AS mean FROM x GROUP BY 1""")

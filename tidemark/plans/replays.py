@@ -14,7 +14,7 @@ def _of(seed: str, *parts: str) -> str:
     return _u(f"'{seed}'" + "".join(f" || ':' || {p}" for p in parts))
 
 
-@query(f"""WITH x AS (SELECT side, round(net, 6) AS v, row_number() OVER (PARTITION BY side ORDER BY o_orderdate, o_orderkey) - 1 AS i, count(*) OVER (PARTITION BY side) AS n FROM ({PNL}) WHERE o_orderkey % 5 = 0),
+@query(f"""WITH x AS (SELECT side, round(net, 6) AS v, row_number() OVER (PARTITION BY side ORDER BY o_orderdate, o_orderkey) - 1 AS i, count(*) OVER (PARTITION BY side) AS n FROM ({PNL})),
 g AS (SELECT side, n, least(200, n) AS m, greatest(10, least(100, least(200, n) // 4)) AS len FROM x GROUP BY ALL), d0 AS (SELECT g.*, round, unnest(range(0, m)) AS j FROM g, (SELECT unnest(range(0, 20)) AS round)),
 d AS (SELECT side, round, j, 'rows' AS k, floor({_of('rep-rows', 'round', 'side', 'j')} * n)::BIGINT AS i FROM d0 UNION ALL SELECT side, round, j, 'labels', floor({_of('rep-labels', 'round', 'side', 'j')} * n)::BIGINT FROM d0
  UNION ALL SELECT side, round, j, 'entries', floor({_of('rep-entries', 'round', 'side', 'j')} * n)::BIGINT FROM d0 UNION ALL SELECT side, round, j, 'block', floor({_of('rep-block', 'round', 'side')} * (n - len))::BIGINT + j FROM d0 WHERE j < len AND n > len),
@@ -28,7 +28,7 @@ u AS (SELECT side, round, unnest([{{'method': 'rows', 'score': ro}}, {{'method':
  {{'method': 'groups_out', 'score': CASE WHEN {_of('rep-group', 'round', 'side')} < 0.25 THEN 0 ELSE ro END}}, {{'method': 'costs', 'score': ro - (5.0 + 30.0 * {_of('rep-cost', 'round', 'side')})}}], recursive := true) FROM s)
 SELECT side, round::INTEGER AS round, method, round(score, 5) AS score FROM u""")
 def replay_methods(spark, d):
-    x = _trades(spark, d).where("o_orderkey % 5 = 0").withColumn("net", F.round("net", 6))
+    x = _trades(spark, d).withColumn("net", F.round("net", 6))
     return replays.replays(x, ["side"], ["o_orderdate", "o_orderkey"], "net", 20, 200, "rep").select("side", "round", "method", r("score", places=5))
 
 
