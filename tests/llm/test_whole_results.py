@@ -16,6 +16,15 @@ def test_copy_in_capitals_is_a_leak(spark):
     assert [r.doc_id for r in decontamination.clean(docs, items).collect()] == [3]
 
 
+def test_short_items_and_few_literals(spark):
+    """Items of few words, and templates of few words that are no placeholders."""
+    items = spark.createDataFrame([(1, "what is 17 x 23"), (2, "yes indeed"), (3, "12 13 14 15 16"), (4, "Paris"), (5, "...")], "item_id long, text string")
+    texts = ["so what is 99 x 41 then", "what is 5 x 5", "what is x", "Yes, indeed!", "yes indeed it is", "1 2 3 4 5", "see 12 13 14 15 16 there", "paris", "in Paris", "", "... !"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, r.item_id, r.words_matched) for r in decontamination.leaks(docs, items).collect()}
+    assert got == {(0, 1, 5), (3, 2, 2), (6, 3, 5), (7, 4, 1)}  # in 1 one number stands for two
+
+
 def test_different_texts_without_an_id_stay(spark):
     same = "one two three four five six seven eight nine ten"
     texts = [(None, "alpha beta gamma delta epsilon zeta"), (None, "red green blue black white grey"), (None, "north east south west up down"), (7, same), (None, same), (None, same), (None, None), (None, None), (8, ""), (8, "")]

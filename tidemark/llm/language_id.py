@@ -58,11 +58,13 @@ def learn(train: DataFrame, lang_col: str = "lang", text_col: str = "text", id_c
     for groups in SALTS:
         first = Window.partitionBy("lang", "salt").orderBy("h", "row")
         rows = rows.withColumn("salt", F.col("salt") % groups).withColumn("n", F.row_number().over(first)).where(F.col("n") <= SAMPLE_ROWS)
-    rows = cut(rows.select("lang", "row"))
+    rows = cut(rows.select("lang", "row", "n"))
     langs = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("many"))
     n = langs.count()
-    budget = min(DICT_BYTES, ALL_BYTES // max(n, 1))
-    rows = rows.join(langs, "lang").withColumn("share", F.greatest(F.lit(64 * SLICES), F.floor(F.lit(budget) / F.col("many")))).select(F.col("lang").alias("_lang"), F.col("row").alias("_row"), "share")
+    budget = max(1, min(DICT_BYTES, ALL_BYTES // max(n, 1)))
+    least = min(64 * SLICES, budget)
+    rows = rows.where(F.col("n") <= budget // least).join(langs, "lang")  # so many languages that a text's least share is too much: fewer texts
+    rows = rows.withColumn("share", F.greatest(F.lit(least), F.floor(F.lit(budget) / F.col("many")))).select(F.col("lang").alias("_lang"), F.col("row").alias("_row"), "share")
     found = train.select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(id_col).cast("long"), text).alias("row"), text.alias("text"))
     found = found.join(broadcast_if_small(rows, n * SAMPLE_ROWS), (F.col("lang") == F.col("_lang")) & (F.col("row") == F.col("_row")))
     step, size = F.length("text") / SLICES, F.ceil(F.col("share") / SLICES)

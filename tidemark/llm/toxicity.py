@@ -7,9 +7,9 @@ the noisy-or by gradient descent, so that blame settles on the sentences that se
 the worst sentence of each document.
 
 Words are hashed to BITS bits. The model is fitted on a bounded sample of labelled rows (of the TRAIN_ROWS labels with the
-smallest hashes, TRAIN_ROWS different texts; a documented parameter): their words are hashed by the tasks that read them, and
-only hashes come to the driver, at most BAG of a document, evenly spaced where it has more (a limit of the fit alone). Words enter the model when they are seen in at least MIN_DOCS documents of the sample and their share
-of label-1 documents is far from the base rate (|z| >= Z). Scoring reads every text whole, in one pass without a shuffle.
+smallest hashes, TRAIN_ROWS different texts; a documented parameter): the rows are chosen by id and hash of the text alone, and their whole
+texts are hashed word for word by the tasks that read them. Words enter the model when they are seen in at least MIN_DOCS documents of the sample and their share
+of label-1 documents is far from the base rate (|z| >= Z), which Spark counts; only where such words stand comes to the driver. Scoring reads every text whole, in one pass without a shuffle.
 
 Edge cases: null or empty texts have no sentences and score the leak. Labels that are null or contradict each other for one
 document count as the largest. With no labels to learn from all scores are 0. Rows that repeat come out as they come in, and
@@ -27,10 +27,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
+from ._spark import cut
 
 BITS = 20
 TRAIN_ROWS = 8000
-BAG = 8192
 MIN_DOCS = 3
 Z = 4.0
 THRESHOLD = 0.7
@@ -56,7 +56,7 @@ def _sentences(buf: np.ndarray, off: np.ndarray) -> tuple[T.Words, np.ndarray, n
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per labelled document: its words' features by sentence."""
+    """Per labelled document: all of its words' features by sentence."""
     for batch in batches:
         buf, off = T.raw(batch.column(2))
         for a, b in T.row_groups(off):
@@ -65,9 +65,25 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for i in range(b - a):
                 s = slice(w.first[i], w.first[i + 1])
                 local = sentence[s] - (sentence[s][0] if len(sentence[s]) else 0)
-                k = np.unique((local << BITS) | feature[s])
-                keys.append(k if len(k) <= BAG else k[np.linspace(0, len(k) - 1, BAG).astype(np.int64)])
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array([k.tolist() for k in keys], pa.list_(pa.int64()))], names=["doc_id", "label", "keys"])
+                keys.append(np.unique((local << BITS) | feature[s]))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), _lists(keys)], names=["doc_id", "label", "keys"])
+
+
+def _lists(parts: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0] + [len(p) for p in parts])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *parts])))
+
+
+def _only(words: np.ndarray):
+    def only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Bags with the features of these words alone."""
+        for batch in batches:
+            lists = batch.column(2)
+            off, keys = lists.offsets.to_numpy(), lists.values.to_numpy()
+            parts = [keys[off[i] : off[i + 1]] for i in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _lists([k[np.isin(k & ((1 << BITS) - 1), words)] for k in parts])], names=["doc_id", "label", "keys"])
+
+    return only
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = TRAIN_ROWS) -> Model:
@@ -75,11 +91,19 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     sample = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.max(F.col(label_col).cast("int")).alias("label"))
     sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    # at most `rows` narrow rows: a bounded broadcast
-    found = texts.join(F.broadcast(sample), "doc_id").withColumn("h", F.xxhash64("text"))
-    # a document that repeats is one; the texts of an id are as many as there are labels at most
-    found = found.groupBy("doc_id", "h").agg(F.any_value("label").alias("label"), F.any_value("text").alias("text")).orderBy(F.xxhash64("doc_id"), "doc_id", "h").limit(rows)
-    bags = found.select("doc_id", "label", "text").mapInArrow(_features, "doc_id long, label int, keys array<long>").toArrow()
+    # at most `rows` narrow rows, twice: bounded broadcasts. A document that repeats is one
+    sample = cut(sample)
+    texts = texts.withColumn("h", F.xxhash64("text"))
+    chosen = cut(texts.select("doc_id", "h").join(F.broadcast(sample), "doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "h").limit(rows))
+    found = texts.join(F.broadcast(chosen), ["doc_id", "h"]).select("doc_id", "label", "text").mapInArrow(_features, "doc_id long, label int, keys array<long>")
+    bags = cut(found.distinct())
+    base = bags.agg(F.avg("label")).first()[0]
+    if not base or base == 1:
+        return Model(np.zeros(0, np.int64), np.zeros(0), 0.0, float(base or 0.0))
+    each = bags.select("label", F.explode(F.array_distinct(F.transform("keys", lambda k: k.bitwiseAND(F.lit((1 << BITS) - 1))))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("seen"), F.sum("label").alias("hit"))
+    far = F.abs(F.col("hit") - base * F.col("seen")) >= (Z - 0.01) * F.sqrt(base * (1 - base) * F.col("seen"))  # fit() takes the exact bound
+    words = np.array(sorted(r["word"] for r in each.where((F.col("seen") >= MIN_DOCS) & far).select("word").collect()), dtype=np.int64)  # of 2 ** BITS at most
+    bags = bags.mapInArrow(_only(words), "doc_id long, label int, keys array<long>").toArrow()
     y = bags.column("label").to_numpy().astype(np.float64)
     lists = bags.column("keys").combine_chunks()
     offsets, keys = lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy()
