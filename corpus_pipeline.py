@@ -6,7 +6,7 @@ are taken. token_output: what is left is written as token-id files, and read bac
 
 Every stage works on all that its predecessor kept. Labels and benchmark are those of sf_dir; a null or empty text, repeated
 rows, null columns and further columns pass as each operator's docstring says. run() writes each stage's result to
-the shared folder and reads it again for the next.
+the shared folder and reads it again for the next; a stage's folder goes when the next one is written.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import decontamination, mixing, ngram_join, token_output, toxicity
-from tidemark.llm._spark import fresh_path, table
+from tidemark.llm._spark import fresh_path, remove, table
 from tidemark.llm.queries import tokenizer
 
 
@@ -53,9 +53,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = fresh_path(spark, f"stage-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if before:
+            remove(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
