@@ -145,13 +145,15 @@ def _from_counts(c: DataFrame, by: Sequence[str], value: str) -> DataFrame:
 
 
 def welch(rows: DataFrame, by: Sequence[str], value: str, flag: Column) -> DataFrame:
-    """n1, n2, diff, t, df (Welch-Satterthwaite) and p (normal approximation) of the flagged rows' mean against the others'."""
+    """n1, n2, diff, t, df (Welch-Satterthwaite) and p (two-sided, of Student's t) of the flagged rows' mean against the others'."""
     side = lambda on: F.when(flag if on else ~flag, F.col(value))
     s = rows.groupBy(*by).agg(F.count(side(True)).alias("n1"), F.count(side(False)).alias("n2"), F.avg(side(True)).alias("_m1"), F.avg(side(False)).alias("_m2"), F.var_samp(side(True)).alias("_v1"), F.var_samp(side(False)).alias("_v2"))
     a, b = F.col("_v1") / F.col("n1"), F.col("_v2") / F.col("n2")
     s = s.where("n1 > 1 AND n2 > 1").withColumn("diff", F.col("_m1") - F.col("_m2")).withColumn("t", F.col("diff") / F.sqrt(F.when(a + b > 0, a + b)))
     s = s.withColumn("df", F.pow(a + b, F.lit(2)) / F.nullif(F.pow(a, F.lit(2)) / (F.col("n1") - 1) + F.pow(b, F.lit(2)) / (F.col("n2") - 1), F.lit(0.0)))
-    return s.withColumn("p", two_sided(F.col("t"))).drop("_m1", "_m2", "_v1", "_v2")
+    from tidemark.functions import student
+
+    return s.withColumn("p", student.two_sided(F.col("t"), F.col("df"))).drop("_m1", "_m2", "_v1", "_v2")
 
 
 def synthetic_months(months: DataFrame, value: str, models: Mapping[str, tuple[float, float]], n: int, size: int, seed: str) -> DataFrame:

@@ -7,6 +7,10 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.names import spare
+from tidemark.operators.quantiles import beside
+from tidemark.operators.shared import shared_folder
+
 
 def gates(rows: DataFrame, checks: Mapping[str, tuple[Column, Column, str]]) -> DataFrame:
     """A row per check, name: (aggregate, whether its value passes, severity); with `state`: PASS, ATTENTION or CRITICAL over all of them. One aggregate over the rows.
@@ -66,13 +70,7 @@ def stale(artifacts: DataFrame, needs: DataFrame, most_depth: int = 64) -> DataF
 
     artifacts: artifact, built_at (null: missing); needs: artifact, needs. The edges are joined once for each level until nothing changes.
     """
-    from pyspark.sql import SparkSession
-
-    spark: SparkSession = artifacts.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() and spark.sparkContext.master.startswith("local"):
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-"))
+    shared_folder(artifacts.sparkSession)
     built = artifacts.select(F.col("artifact").alias("needs"), F.col("built_at").alias("need_at"))
     edges = needs.join(built, "needs", "left").join(artifacts, "artifact")
     direct = edges.groupBy("artifact").agg(F.bool_or(F.coalesce(F.col("need_at") > F.col("built_at"), F.lit(True))).alias("_d"))
@@ -99,8 +97,39 @@ def sizing(fixed: str, fraction: str, equity: float, default: float) -> Column:
     return F.coalesce(F.when(F.col(fixed) > 0, F.col(fixed)), F.when((F.col(fraction) > 0) & (F.col(fraction) <= 1), F.col(fraction) * equity), F.lit(float(default)))
 
 
-def derived_bps(sources: Sequence[tuple[str, Column]], least: float) -> tuple[Column, Column]:
-    """(bps, source): the first source that has a value."""
+def gross_ladder(rows: DataFrame, by: Sequence[str], sources: Sequence[tuple[str, Column]], last: tuple[str, Column], share: float = 0.5, least: int = 10) -> DataFrame:
+    """rows with `gross_bps` and `basis`: for a whole group the first source that covers at least max(least, share) of its rows, else `last`; rows without a value go, and groups without any.
+
+    Coverage is counted by group and met by a join of its own, so a large group is no task's work.
+    """
+    n, basis = spare(rows, "_n", "basis")
+    flags = [F.count(c) >= F.greatest(F.lit(least), F.floor(F.count(F.lit(1)) * share)) for _, c in sources]
+    chosen = F.coalesce(*[F.when(f, i) for i, f in enumerate(flags)], F.lit(len(sources)))
+    x = beside(rows, rows.groupBy(*by).agg(chosen.alias(n)), by)
+    names, values = [k for k, _ in (*sources, last)], [c for _, c in (*sources, last)]
+    pick = lambda of: F.coalesce(*[F.when(F.col(n) == i, v) for i, v in enumerate(of)])
+    return x.withColumns({"gross_bps": pick(values), basis: pick([F.lit(k) for k in names])}).where("gross_bps IS NOT NULL").drop(n)
+
+
+def bps_quality(rows: DataFrame, by: Sequence[str], sources: Sequence[tuple[str, Column]], strong: float = 0.8, partial: float = 0.3, most: float = 0.5) -> DataFrame:
+    """n, coverage_<source> (share of a group's rows that take their value from it, the first that has one), mean_bps, tier and main_source by group.
+
+    Tiers: <first>_strong or <first>_partial where the first source covers that much, else <source>_estimated for the first other that covers `most`, else insufficient.
+    """
+    bps, source = derived_bps(sources)
+    b, s = spare(rows, "_b", "_s")
+    names = [k for k, _ in sources]
+    shares = {f"coverage_{k}": F.count(F.when(F.col(s) == k, 1)) / F.count(F.lit(1)) for k in names}
+    out = rows.withColumns({b: bps, s: source}).groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *[c.alias(k) for k, c in shares.items()], F.avg(b).alias("mean_bps"))
+    first, rest = F.col(f"coverage_{names[0]}"), names[1:]
+    tier, main = F.when(first >= strong, f"{names[0]}_strong").when(first >= partial, f"{names[0]}_partial"), F.when(first >= partial, names[0])
+    for k in rest:
+        tier, main = tier.when(F.col(f"coverage_{k}") >= most, f"{k}_estimated"), main.when(F.col(f"coverage_{k}") >= most, k)
+    return out.withColumns({"tier": tier.otherwise("insufficient"), "main_source": main})
+
+
+def derived_bps(sources: Sequence[tuple[str, Column]]) -> tuple[Column, Column]:
+    """(bps, source): the first source that has a value, row by row."""
     return F.coalesce(*[c for _, c in sources]), F.coalesce(*[F.when(c.isNotNull(), name) for name, c in sources])
 
 
@@ -109,3 +138,47 @@ def config_diff(active: DataFrame, proposed: DataFrame, key: str, columns: Seque
     long = lambda df, name: df.select(key, F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias(name)) for c in columns])).alias("s")).select(key, "s.*")
     both = long(active, "was").join(long(proposed, "now"), [key, "field"], "full")
     return both.where(~F.col("was").eqNullSafe(F.col("now")))
+
+
+def leaves(rows: DataFrame, key: str, body: str) -> DataFrame:
+    """key, path and value (JSON text) of every leaf of a JSON column, however deep: $.a.b[0]; an empty object or list is a leaf. A body that is null or no JSON has none."""
+    kind = "array<struct<path:string,value:string>>"
+
+    @F.arrow_udf(_parsed(kind))
+    def flat(texts):
+        import json
+
+        import pyarrow as pa
+
+        out = []
+        for text in texts.to_pylist():
+            try:
+                todo = [("$", json.loads(text))] if text is not None else []
+            except ValueError:
+                todo = []
+            found = []
+            while todo:
+                path, value = todo.pop()
+                if value and isinstance(value, dict):
+                    todo += [(f"{path}.{k}", v) for k, v in value.items()]
+                elif value and isinstance(value, list):
+                    todo += [(f"{path}[{i}]", v) for i, v in enumerate(value)]
+                else:
+                    found.append({"path": path, "value": json.dumps(value, ensure_ascii=False, separators=(",", ":"))})
+            out.append(found)
+        return pa.array(out, pa.list_(pa.struct([("path", pa.string()), ("value", pa.string())])))
+
+    return rows.select(key, F.explode(flat(F.col(body).cast("string"))).alias("_l")).select(key, "_l.*")
+
+
+def _parsed(kind: str):
+    from pyspark.sql import types as T
+
+    return T._parse_datatype_string(kind)
+
+
+def nested_diff(active: DataFrame, proposed: DataFrame, key: str, body: str) -> DataFrame:
+    """key, path, kind (added, removed or changed), was and now of every leaf in which two nested configurations differ."""
+    both = leaves(active, key, body).withColumnRenamed("value", "was").join(leaves(proposed, key, body).withColumnRenamed("value", "now"), [key, "path"], "full")
+    kind = F.when(F.col("was").isNull(), "added").when(F.col("now").isNull(), "removed").otherwise("changed")
+    return both.where(~F.col("was").eqNullSafe(F.col("now"))).select(key, "path", kind.alias("kind"), "was", "now")

@@ -58,3 +58,16 @@ def month_add(month: Column, n: int) -> Column:
 def epoch_ms(instant: Column) -> Column:
     """Milliseconds since 1970, to the nearest."""
     return F.floor((F.unix_micros(instant.cast("timestamp")) + 500) / 1000).cast("long")
+
+
+def book_geometry(bid_depth: str, ask_depth: str, bid_notional: str, ask_notional: str) -> dict[str, Column]:
+    """What two sides of an order book say: average prices (notional over depth), mid, spread, spread_bps, imbalance and microprice (each side's price weighed by the other's depth).
+
+    Null without what it is made of; a depth or a sum of depths that is not positive makes no price, imbalance or microprice, and a mid of 0 no spread_bps.
+    """
+    over = lambda a, b: a / F.when(b > 0, b)
+    bd, ad = F.col(bid_depth), F.col(ask_depth)
+    bid, ask = over(F.col(bid_notional), bd), over(F.col(ask_notional), ad)
+    mid = (bid + ask) / 2
+    return {"bid_price": bid, "ask_price": ask, "total_depth": bd + ad, "mid": mid, "spread": ask - bid, "spread_bps": (ask - bid) / F.nullif(mid, F.lit(0.0)) * 10_000,
+            "imbalance": over(bd - ad, bd + ad), "microprice": over(bid * ad + ask * bd, bd + ad)}

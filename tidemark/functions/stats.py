@@ -24,6 +24,13 @@ def ols(y: Column, x: Column) -> list[Column]:
             (F.sqrt(r2 * (n - 2) / F.when(r2 < 1, 1 - r2)) * F.signum(F.regr_slope(y, x))).alias("t")]
 
 
+def with_p(fits: DataFrame, spent: int = 2, name: str = "p") -> DataFrame:
+    """Fits of ols() with the two-sided p of their t, of Student's t with n - `spent` degrees of freedom; null where there are none."""
+    from tidemark.functions import student
+
+    return fits.withColumn(name, student.two_sided(F.col("t"), F.col("n") - spent))
+
+
 def adjusted(tests: DataFrame, family: list[str], p: str, name: str = "q", tie: str | None = None) -> DataFrame:
     """Benjamini-Hochberg values within each family, and `bonferroni`: p times the number of tests, at most 1. Null p values take no part."""
     w = Window.partitionBy(*family)

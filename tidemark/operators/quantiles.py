@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.names import spare
+from tidemark.operators.shared import kept
 
 #: buckets in which a group's values are counted; a power of two
 BUCKETS = 64
@@ -25,7 +25,7 @@ def beside(left: DataFrame, right: DataFrame, by: Sequence[str], how: str = "lef
 
 
 def quantiles(rows: DataFrame, by: Sequence[str], value: str | Column, qs: Sequence[float], buckets: int = BUCKETS) -> DataFrame:
-    """by, n (values) and q, the interpolated quantiles `qs` of each group; null values take no part, a group without values has no row.
+    """by, n (values) and q, the interpolated quantiles `qs` of each group; null values take no part, a group without values has no row (without `by`: one row of nulls, n 0).
 
     Values are counted first, so that a repeated one is one row. Bounds from a mergeable sketch of the distinct values cut a group into `buckets`, whose
     counts tell in which of them each quantile lies; only these are sorted, each by a task of its own.
@@ -53,7 +53,7 @@ def quantiles(rows: DataFrame, by: Sequence[str], value: str | Column, qs: Seque
     got = hit.groupBy(*by).agg(F.max(all_).alias(all_), F.array(*[at(i) for i in range(2 * len(qs))]).alias(want))
     part = lambda q: (F.col(all_) - 1) * F.lit(q)
     between = lambda q, lo, hi: F.when(lo == hi, lo).otherwise((F.ceil(part(q)) - part(q)) * lo + (part(q) - F.floor(part(q))) * hi)
-    return got.select(*by, F.col(all_).alias("n"), F.array(*[between(q, F.col(want)[2 * i], F.col(want)[2 * i + 1]) for i, q in enumerate(qs)]).alias("q"))
+    return got.select(*by, F.coalesce(all_, F.lit(0)).alias("n"), F.array(*[between(q, F.col(want)[2 * i], F.col(want)[2 * i + 1]) for i, q in enumerate(qs)]).alias("q"))
 
 
 def with_quantiles(rows: DataFrame, by: Sequence[str], value: str | Column, qs: Sequence[float], name: str) -> DataFrame:
@@ -61,20 +61,6 @@ def with_quantiles(rows: DataFrame, by: Sequence[str], value: str | Column, qs:
     return beside(rows, quantiles(rows, by, value, qs).select(*by, F.col("q").alias(name)), by)
 
 
-def kept(rows: DataFrame) -> DataFrame:
-    """rows, computed once and kept in the shared folder (spark.checkpoint.dir; a fresh local one where it is unset and the master is local)."""
-    spark: SparkSession = rows.sparkSession
-    context = spark.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not context.master.startswith("local"):
-                raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
-            folder = "file://" + tempfile.mkdtemp(prefix="spark-")
-        context.setCheckpointDir(folder)
-    return rows.checkpoint()
-
-
 def numbered(rows: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
     """rows with their place `_i` from 0 in the order of their group and the number `_n` of its rows.
 

@@ -23,11 +23,11 @@ def _trades(spark, d):
     return trades(spark, d)
 
 
-@query(f"""SELECT month, count(revenue) AS members, round(avg(revenue), 4) AS mean, round(stddev_samp(revenue), 4) AS std, round(median(revenue), 4) AS median, round(quantile_cont(revenue, 0.1), 4) AS q10, round(quantile_cont(revenue, 0.25), 4) AS q25,
-round(quantile_cont(revenue, 0.75), 4) AS q75, round(quantile_cont(revenue, 0.9), 4) AS q90 FROM ({MONTHS}) GROUP BY 1""")
+@query(f"""SELECT month, count(revenue) AS members, round(avg(revenue), 6) AS mean, round(stddev_samp(revenue), 6) AS std, round(median(revenue), 6) AS median, round(quantile_cont(revenue, 0.1), 6) AS q10, round(quantile_cont(revenue, 0.25), 6) AS q25,
+round(quantile_cont(revenue, 0.75), 6) AS q75, round(quantile_cont(revenue, 0.9), 6) AS q90 FROM ({MONTHS}) GROUP BY 1""")
 def section_stats(spark, d):
     s = sections.section_stats(_months(spark, d), ["month"], "revenue", {"q10": 0.1, "q25": 0.25, "q75": 0.75, "q90": 0.9})
-    return s.select("month", "members", *[near(c, places=4) for c in ("mean", "std", "median", "q10", "q25", "q75", "q90")])
+    return s.select("month", "members", *[near(c) for c in ("mean", "std", "median", "q10", "q25", "q75", "q90")])
 
 
 @query(f"""WITH p AS ({MONTHS}), s AS (SELECT month, avg(revenue) AS m, stddev_samp(revenue) AS sd, median(revenue) AS q FROM p GROUP BY 1) SELECT l_suppkey, p.month, round(m, 4) AS sec_mean, round(q, 4) AS sec_median, CASE WHEN sd > 0 THEN round((revenue - m) / sd, 6) END AS sec_z FROM p JOIN s USING (month)""")
@@ -41,10 +41,10 @@ def breadth(spark, d):
     return sections.breadth(bars(spark, d), ["bar"], {"rising": c > o, "over_2pct": c > 1.02 * o, "busy": F.col("total") > 100}).select("bar", r("rising"), r("over_2pct"), r("busy"))
 
 
-@query(f"""{_B}, i AS (SELECT bar, avg(close) AS m FROM b GROUP BY 1) SELECT date_trunc('day', bar)::TIMESTAMP AS day, count(m) AS n, round(sum(m), 6) AS total, round(avg(m), 6) AS mean FROM i GROUP BY 1""")
+@query(f"""{_B}, i AS (SELECT bar, avg(close) AS m FROM b GROUP BY 1) SELECT date_trunc('day', bar)::TIMESTAMP AS day, count(m) AS n, round(sum(m), 8) AS total, round(avg(m), 8) AS mean FROM i GROUP BY 1""")
 def two_level_means(spark, d):
     x = bars(spark, d).withColumn("day", F.date_trunc("day", "bar").cast("timestamp_ntz"))
-    return sections.two_level(x, ["bar"], ["day"], "close").select("day", "n", r("total"), r("mean"))
+    return sections.two_level(x, ["bar"], ["day"], "close").select("day", "n", near("total", places=8), near("mean", places=8))
 
 
 @query("""SELECT date_trunc('month', l_shipdate)::TIMESTAMP AS month, round(avg(l_quantity), 6) AS l_quantity_mean, round(stddev_samp(l_quantity), 6) AS l_quantity_std, round(avg(l_extendedprice), 4) AS l_extendedprice_mean, round(stddev_samp(l_extendedprice), 4) AS l_extendedprice_std,

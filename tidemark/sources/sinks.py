@@ -8,6 +8,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators.sections import merged, partials
+
 
 def row_hash(rows: DataFrame) -> Column:
     """A row's sha256 over its columns by name, as JSON with nulls kept."""
@@ -33,8 +35,8 @@ def write_partitioned(rows: DataFrame, path: str, manifest: str, by: Sequence[st
     digests(mine.select(*rows.columns), by).withColumn("at", F.current_timestamp()).write.mode("append").parquet(manifest)
 
 
-def unbuilt(rows: DataFrame, manifest: str, by: Sequence[str]) -> DataFrame:
-    """The rows of partitions that the manifest doesn't hold under the present schema; all rows where there is no manifest yet."""
+def unbuilt(rows: DataFrame, manifest: str, by: Sequence[str], schema: str | None = None) -> DataFrame:
+    """The rows of partitions that the manifest doesn't hold under the present schema (of the rows without `by`, or the one given); all rows where there is no manifest yet."""
     spark: SparkSession = rows.sparkSession
     try:
         known = spark.read.parquet(manifest)
@@ -42,7 +44,7 @@ def unbuilt(rows: DataFrame, manifest: str, by: Sequence[str]) -> DataFrame:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         return rows
-    now = rows.drop(*by).schema.simpleString()
+    now = schema or rows.drop(*by).schema.simpleString()
     return rows.join(known.where(F.col("schema_hash") == F.sha2(F.lit(now), 256)).select(*by).distinct(), list(by), "left_anti")
 
 
@@ -73,3 +75,19 @@ def category_counts(rows: DataFrame, by: Sequence[str], category: str) -> DataFr
     """A map of category to rows, by partition: for a manifest beside the digests."""
     each = rows.groupBy(*by, F.coalesce(F.col(category).cast("string"), F.lit("")).alias("_c")).agg(F.count(F.lit(1)).alias("_n"))
     return each.groupBy(*by).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("_c", "_n")))).alias("counts"))
+
+
+def scan_partials(rows: DataFrame, path: str, manifest: str, unit: Sequence[str], by: Sequence[str], value: str, direction: str) -> None:
+    """Partial sums of the rows by `by`, kept for each unit (a day, a file): only of units that the manifest doesn't hold yet.
+
+    A scan that breaks off is run again and goes on where it stopped; units that came since are added. A unit that was written but isn't in the manifest is done anew.
+    """
+    of = lambda x: partials(x, [*unit, *by], value, direction)
+    kinds = of(rows).drop(*unit).schema.simpleString()
+    write_partitioned(of(unbuilt(rows, manifest, unit, kinds)), path, manifest, unit)
+
+
+def stored_partials(spark: SparkSession, path: str, manifest: str, unit: Sequence[str], by: Sequence[str]) -> DataFrame:
+    """n, mean, std and match_rate by `by` from the stored sums of all units of the manifest: no row of the history is read again."""
+    known = spark.read.parquet(manifest).select(*unit).distinct()
+    return merged(spark.read.parquet(path).join(known, list(unit), "left_semi"), by)
