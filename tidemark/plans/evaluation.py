@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidemark.functions import evaluate, nulls, quality, scalars, stats
+from tidemark.functions import evaluate, nulls, quality, scalars, stats, studies
 from tidemark.operators import joins, rolling, series
 from tidemark.plans.registry import BARS, PNL, TRADES, bars, query, r, t
 
@@ -125,9 +125,8 @@ def forward_stats(spark, d):
 
 @query("""WITH q AS (SELECT event_type, date_trunc('month', ts) AS month, quantile_cont(value, 0.05) AS lo, quantile_cont(value, 0.98) AS hi FROM events GROUP BY ALL) SELECT event_id, CASE WHEN value >= hi THEN 'high' ELSE 'low' END AS rule FROM events e JOIN q ON e.event_type = q.event_type AND date_trunc('month', ts) = month WHERE value >= hi OR value <= lo""")
 def month_threshold_events(spark, d):
-    x = t(spark, d, "events").withColumn("month", F.date_trunc("month", "ts"))
-    q = x.groupBy("event_type", "month").agg(F.percentile("value", 0.05).alias("lo"), F.percentile("value", 0.98).alias("hi"))
-    x = x.join(q, ["event_type", "month"]).where((F.col("value") >= F.col("hi")) | (F.col("value") <= F.col("lo")))
+    x = studies.month_thresholds(t(spark, d, "events"), ["event_type"], "ts", {"lo": ("value", 0.05), "hi": ("value", 0.98)})
+    x = x.where((F.col("value") >= F.col("hi")) | (F.col("value") <= F.col("lo")))
     return x.select("event_id", F.when(F.col("value") >= F.col("hi"), "high").otherwise("low").alias("rule"))
 
 
@@ -256,21 +255,15 @@ def synthetic_months(spark, d):
 @query(f"""WITH x AS (SELECT *, extract(year FROM o_orderdate)::BIGINT AS y, CASE WHEN epoch_us(o_orderdate) < (SELECT (min(epoch_us(o_orderdate)) + max(epoch_us(o_orderdate))) / 2 FROM orders) THEN 'first_half' ELSE 'second_half' END AS half FROM ({PNL})),
 s AS (SELECT half AS slice, net FROM x UNION ALL SELECT y::VARCHAR, net FROM x UNION ALL SELECT side, net FROM x) SELECT slice, count(*) AS n, round(avg(net), 6) AS mean FROM s GROUP BY 1""")
 def robustness_slices(spark, d):
-    x = _trades(spark, d).withColumn("us", F.unix_micros(F.col("o_orderdate").cast("timestamp")))
-    mid = x.agg(((F.min("us") + F.max("us")) / 2).alias("mid"))
-    x = x.crossJoin(F.broadcast(mid))  # one row
-    slices = F.array(F.when(F.col("us") < F.col("mid"), "first_half").otherwise("second_half"), F.year("o_orderdate").cast("string"), F.col("side"))
-    return x.select("net", F.explode(slices).alias("slice")).groupBy("slice").agg(F.count(F.lit(1)).alias("n"), r(F.avg("net"), "mean"))
+    x = studies.robustness_slices(_trades(spark, d), "o_orderdate", "net", groups={"side": F.col("side")})
+    return x.select(F.when(F.col("dimension") == "half", F.concat("slice", F.lit("_half"))).otherwise(F.col("slice")).alias("slice"), "n", r("mean"))
 
 
 @query("""WITH l AS (SELECT o_custkey, min(o_orderdate) AS a, max(o_orderdate) AS b FROM orders GROUP BY 1) SELECT CASE WHEN a >= TIMESTAMP '1993-01-01' AND b < TIMESTAMP '1998-01-01' THEN 'both' WHEN a >= TIMESTAMP '1993-01-01' THEN 'late_listing' WHEN b < TIMESTAMP '1998-01-01' THEN 'delisted' ELSE 'whole' END AS state, count(*) AS n,
 (SELECT count(*) FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)) AS never FROM l GROUP BY 1""")
 def survivorship(spark, d):
-    o = t(spark, d, "orders")
-    l = o.groupBy("o_custkey").agg(F.min("o_orderdate").alias("a"), F.max("o_orderdate").alias("b"))
-    late, gone = F.col("a") >= F.lit("1993-01-01").cast("timestamp_ntz"), F.col("b") < F.lit("1998-01-01").cast("timestamp_ntz")
-    never = t(spark, d, "customer").join(o, F.col("c_custkey") == F.col("o_custkey"), "left_anti").agg(F.count(F.lit(1)).alias("never"))
-    return l.groupBy(F.when(late & gone, "both").when(late, "late_listing").when(gone, "delisted").otherwise("whole").alias("state")).agg(F.count(F.lit(1)).alias("n")).crossJoin(never)  # one row
+    at = lambda x: F.lit(x).cast("timestamp_ntz")
+    return studies.listing_audit(t(spark, d, "orders"), "o_custkey", "o_orderdate", at("1993-01-01"), at("1998-01-01"), t(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey")))
 
 
 @query("""WITH m AS (SELECT l_suppkey, date_trunc('month', l_shipdate) AS month, sum(l_tax) AS f FROM lineitem GROUP BY ALL), w AS (SELECT *, sum(f) OVER v AS s, count(*) OVER v AS k FROM m WINDOW v AS (PARTITION BY l_suppkey ORDER BY month RANGE BETWEEN INTERVAL 11 MONTH PRECEDING AND CURRENT ROW))
@@ -278,8 +271,7 @@ SELECT l_suppkey, month::TIMESTAMP AS month, CASE WHEN k >= 10 THEN round(s, 6)
 def carry_sum(spark, d):
     """Twelve months of cash flow, where at least 80 % of the months have any."""
     m = t(spark, d, "lineitem").groupBy("l_suppkey", F.date_trunc("month", "l_shipdate").cast("timestamp_ntz").alias("month")).agg(F.sum("l_tax").alias("f"))
-    w = Window.partitionBy("l_suppkey").orderBy(F.year("month") * 12 + F.month("month")).rangeBetween(-11, 0)
-    return m.select("l_suppkey", "month", F.when(F.count("f").over(w) >= 10, F.round(F.sum("f").over(w), 6)).alias("carry_12m"))
+    return studies.rolling_cash(m, "l_suppkey", "month", "f").select("l_suppkey", "month", r("carry", "carry_12m"))
 
 
 @query("""WITH p AS (SELECT l_returnflag AS g, l_linenumber AS s, l_shipmode_ AS c, sum(l_extendedprice) AS x, count(*) AS n FROM (SELECT *, CASE WHEN l_quantity >= 40 THEN 'big' WHEN l_quantity < 10 THEN 'small' ELSE 'base' END AS l_shipmode_ FROM lineitem) GROUP BY ALL),
@@ -424,16 +416,16 @@ SELECT ret_bucket, hours, count(*) AS n, round(avg(nxt), 3) AS mean, round(avg((
 def regime_buckets(spark, d):
     w = Window.partitionBy("event_type").orderBy("bar")
     x = bars(spark, d).withColumns({"r3": (F.col("close") / F.nullif(F.lag("close", 3).over(w), F.lit(0.0)) - 1) * 100, "nxt": F.lead("close").over(w) / F.nullif(F.col("close"), F.lit(0.0)) - 1})
-    b = F.when(F.col("r3").isNull(), "unknown").when(F.col("r3") < -50, "crash").when(F.col("r3") < -5, "down").when(F.col("r3") <= 5, "flat").when(F.col("r3") <= 100, "up").otherwise("surge")
-    h = F.when(F.hour("bar") < 8, "asia").when(F.hour("bar") < 16, "europe").otherwise("america")
-    return x.groupBy(b.alias("ret_bucket"), h.alias("hours")).agg(F.count(F.lit(1)).alias("n"), r(F.avg("nxt"), "mean", 3), r(F.avg((F.col("nxt") > 0).cast("int")), "positive"))
+    b = studies.ladder(F.col("r3"), [(-50, "crash"), (-5, "down")], "surge", "unknown")
+    b = F.when(F.col("r3") < -5, b).otherwise(studies.ladder(F.col("r3"), [(5, "flat"), (100, "up")], "surge", "unknown", closed=True))
+    h = studies.ladder(F.hour("bar"), [(8, "asia"), (16, "europe")], "america")
+    return studies.outcome_table(x, {"ret_bucket": b, "hours": h}, "nxt").select("ret_bucket", "hours", "n", r("mean", places=3), r("positive"))
 
 
 @query(f"""WITH c AS (SELECT unnest([0.02, 0.05, 0.08])::DOUBLE AS cut), x AS (SELECT DISTINCT o_custkey, o_orderdate, side, move, net FROM ({PNL})) SELECT cut, count(*) AS n, round(avg(net), 6) AS mean, round(avg((net > 0)::INTEGER), 6) AS win_rate FROM x, c WHERE abs(move) >= cut - 1e-9 GROUP BY 1""")
 def threshold_sweep(spark, d):
-    x = _trades(spark, d).withColumn("move", (F.col("o_orderkey") % 21 - 10) / 100.0).select("o_custkey", "o_orderdate", "side", "move", "net").distinct()
-    x = x.withColumn("cut", F.explode(F.array(*[F.lit(c) for c in (0.02, 0.05, 0.08)]))).where(F.abs("move") >= F.col("cut") - 1e-9)
-    return x.groupBy("cut").agg(F.count(F.lit(1)).alias("n"), r(F.avg("net"), "mean"), r(F.avg((F.col("net") > 0).cast("int")), "win_rate"))
+    x = _trades(spark, d).withColumn("move", (F.col("o_orderkey") % 21 - 10) / 100.0)
+    return studies.threshold_sweep(x, ["o_custkey", "o_orderdate", "side"], "move", "net", [0.02, 0.05, 0.08]).select("cut", "n", r("mean"), r("win_rate"))
 
 
 @query(f"""WITH x AS (SELECT side || '_' || o_orderpriority AS rule, month, o_custkey, net, month < TIMESTAMP '1996-01-01' AS train FROM {_M}), m AS (SELECT rule, month, sum(net) AS s FROM x GROUP BY ALL), p AS (SELECT rule, count(*) AS months, count(*) FILTER (round(s, 6) > 0) AS good FROM m GROUP BY 1), b AS (SELECT sha256('long_1-URGENT') AS h),
@@ -441,30 +433,23 @@ k AS (SELECT rule, max(c) / nullif(sum(c), 0) AS top FROM (SELECT rule, o_custke
 FROM x JOIN p USING (rule) JOIN k USING (rule) WHERE sha256(x.rule) NOT IN (SELECT h FROM b) GROUP BY 1""")
 def rule_scan(spark, d):
     """Rules with train and later means, months, concentration; rules whose hash is blocked are left out."""
-    x = _months(spark, d).withColumn("rule", F.concat_ws("_", "side", _PRIO)).withColumn("train", F.col("month") < F.lit("1996-01-01").cast("timestamp_ntz"))
+    x = _months(spark, d).withColumn("rule", F.concat_ws("_", "side", _PRIO))
     blocked = spark.createDataFrame([("long_1-URGENT",)], "rule string").select(F.sha2("rule", 256).alias("h"))
-    x = x.withColumn("h", F.sha2("rule", 256)).join(blocked, "h", "left_anti")
-    m = x.groupBy("rule", "month").agg(F.sum("net").alias("s")).groupBy("rule").agg(F.count(F.lit(1)).alias("months"), F.count(F.when(F.round("s", 6) > 0, 1)).alias("positive_months"))
-    k = x.groupBy("rule", "o_custkey").agg(F.sum(F.abs("net")).alias("c")).groupBy("rule").agg(r(F.max("c") / F.nullif(F.sum("c"), F.lit(0.0)), "top_share"))
-    s = x.groupBy("rule").agg(F.count(F.lit(1)).alias("n"), r(F.avg(F.when(F.col("train"), F.col("net"))), "train_mean", 5), r(F.avg(F.when(~F.col("train"), F.col("net"))), "oos_mean", 5))
-    return s.join(m, "rule").join(k, "rule")
+    s = studies.rule_scan(x, "rule", "month", "o_custkey", "net", F.col("month") < F.lit("1996-01-01").cast("timestamp_ntz"), blocked)
+    return s.select("rule", "n", r("train_mean", places=5), r("oos_mean", places=5), "months", "positive_months", r("top_share"))
 
 
 @query(f"""WITH x AS (SELECT o_orderpriority AS g, o_custkey, net FROM ({PNL})), s AS (SELECT g, o_custkey, count(*) AS n, sum(net) AS p FROM x GROUP BY ALL) SELECT g, sum(n)::BIGINT AS n, count(*) AS members, round(avg((round(p, 6) > 0)::INTEGER), 6) AS positive_members, round(max(abs(p)) / sum(abs(p)), 6) AS top_share,
 CASE WHEN sum(n) < 50 THEN 'thin' WHEN avg((round(p, 6) > 0)::INTEGER) >= 0.5 AND max(abs(p)) / sum(abs(p)) < 0.2 THEN 'accept' ELSE 'reject' END AS verdict FROM s GROUP BY 1""")
 def subset_validation(spark, d):
-    s = _trades(spark, d).groupBy(F.col(_PRIO).alias("g"), "o_custkey").agg(F.count(F.lit(1)).alias("n"), F.sum("net").alias("p"))
-    good, top = F.avg((F.round("p", 6) > 0).cast("int")), F.max(F.abs("p")) / F.sum(F.abs("p"))
-    return s.groupBy("g").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("members"), r(good, "positive_members"), r(top, "top_share"), F.when(F.sum("n") < 50, "thin").when((good >= 0.5) & (top < 0.2), "accept").otherwise("reject").alias("verdict"))
+    s = studies.subset_validation(_trades(spark, d).withColumn("g", F.col(_PRIO)), ["g"], "o_custkey", "net", 50, 0.5, 0.2)
+    return s.select("g", "n", "members", r("positive_members"), r("top_share"), "verdict")
 
 
 @query("""WITH s AS (SELECT user_id, lag(event_type) OVER w AS a, event_type AS b, value, lead(value) OVER w AS nxt FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), m AS (SELECT a || '>' || b AS motif, count(*) AS n, avg(nxt - value) AS outcome FROM s WHERE a IS NOT NULL GROUP BY 1 HAVING count(*) >= 10)
 SELECT motif, n, round(outcome, 5) AS outcome FROM m ORDER BY n DESC, motif LIMIT 15""")
 def motif_outcomes(spark, d):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    s = t(spark, d, "events").withColumns({"a": F.lag("event_type").over(w), "nxt": F.lead("value").over(w)}).where("a IS NOT NULL")
-    m = s.groupBy(F.concat_ws(">", "a", "event_type").alias("motif")).agg(F.count(F.lit(1)).alias("n"), r(F.avg(F.col("nxt") - F.col("value")), "outcome", 5)).where("n >= 10")
-    return m.orderBy(F.desc("n"), "motif").limit(15)
+    return studies.motif_outcomes(t(spark, d, "events"), "user_id", ["ts", "event_id"], "event_type", "value", 2, 10, 15).select("motif", "n", r("outcome", places=5))
 
 
 @query(f"""WITH e AS (SELECT side, count(*) AS k FROM ({PNL}) WHERE o_orderkey % 9 = 0 GROUP BY 1), y AS (SELECT x.*, k, round FROM ({PNL}) x JOIN e USING (side), (SELECT unnest(range(0, 15)) AS round)), z AS (SELECT *, row_number() OVER (PARTITION BY round, side ORDER BY md5('key-1:' || round || ':' || side || ':' || o_orderkey)) AS r FROM y)
@@ -476,7 +461,7 @@ def same_key_baseline(spark, d):
 @query(f"""WITH q AS (SELECT abs(move) AS v, count(*) AS n FROM ({TRADES}) GROUP BY 1) SELECT CASE WHEN v < 0.025 THEN 'small' WHEN v < 0.065 THEN 'middle' ELSE 'large' END AS class, sum(n)::BIGINT AS n FROM q GROUP BY 1""")
 def size_classes(spark, d):
     v = F.abs((F.col("o_orderkey") % 21 - 10) / 100.0)
-    return t(spark, d, "orders").groupBy(F.when(v < 0.025, "small").when(v < 0.065, "middle").otherwise("large").alias("class")).agg(F.count(F.lit(1)).alias("n"))
+    return t(spark, d, "orders").groupBy(studies.ladder(v, [(0.025, "small"), (0.065, "middle")], "large").alias("class")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"""WITH RECURSIVE o AS (SELECT o_custkey, o_orderkey, side, epoch_us(o_orderdate) AS a, epoch_us(o_orderdate) + 200 * 86400000000 AS z, o_orderkey % 5 AS m, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderpriority, o_orderkey) AS i FROM ({TRADES})),
@@ -505,18 +490,14 @@ SELECT run, max(res) FILTER (validator = 'gap') AS gap, max(res) FILTER (validat
 def validator_synthesis(spark, d):
     """The latest result of each validator by run, side by side."""
     v = t(spark, d, "orders").withColumn("run", F.col("o_custkey") % 10).withColumn("validator", F.when(F.col("o_orderkey") % 3 == 0, "gap").when(F.col("o_orderkey") % 3 == 1, "null").otherwise("cost"))
-    v = v.groupBy("run", "validator").agg(F.max_by("o_orderstatus", F.struct("o_orderdate", "o_orderkey")).alias("res"))
-    return v.groupBy("run").agg(*[F.max(F.when(F.col("validator") == k, F.col("res"))).alias(k) for k in ("gap", "null", "cost")], F.count(F.when(F.col("res") == "F", 1)).alias("passed"))
+    return studies.latest_results(v, "run", "validator", ["o_orderdate", "o_orderkey"], "o_orderstatus", ["gap", "null", "cost"], "F")
 
 
 @query(f"""WITH e AS (SELECT *, round(sum(net) OVER w, 6) AS eq FROM ({PNL}) WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING)), m AS (SELECT *, coalesce(min(eq) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS worst FROM e)
 SELECT o_orderkey, CASE WHEN worst <= -150 THEN 'killed' WHEN worst <= -80 THEN 'halved' ELSE 'full' END AS capital FROM m""")
 def loss_stops(spark, d):
     """What the losses before a trade leave of its capital."""
-    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    x = _trades(spark, d).withColumn("eq", F.round(F.sum("net").over(w.rowsBetween(Window.unboundedPreceding, 0)), 6))
-    x = x.withColumn("worst", F.coalesce(F.min("eq").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
-    return x.select("o_orderkey", F.when(F.col("worst") <= -150, "killed").when(F.col("worst") <= -80, "halved").otherwise("full").alias("capital"))
+    return studies.loss_stops(_trades(spark, d), "o_custkey", ["o_orderdate", "o_orderkey"], "net", [(-150, "killed"), (-80, "halved")], "full").select("o_orderkey", "capital")
 
 
 @query("""WITH x AS (SELECT o_orderkey, o_totalprice AS v, o_custkey % 3 = 0 AS f FROM orders WHERE o_totalprice IS NOT NULL), k AS (SELECT count(*) FILTER (f) AS k FROM x),

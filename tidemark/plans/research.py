@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.functions import quality, scalars, stats
+from tidemark.functions import quality, scalars, stats, studies
 from tidemark.operators import folds, rolling
 from tidemark.operators.shared import fresh_path
 from tidemark.plans.evaluation import _t_p, _trades
@@ -190,3 +190,64 @@ def stream_positions(spark, d):
     kind = F.when(F.col("event_id") % 3 == 0, "signal").when(F.col("event_id") % 3 == 1, "fill").otherwise("exit")
     out = _sunk(spark, flows.positions(_stream(spark, d, kind=kind), "user_id", "ts", "kind", "1 hour", 6 * 3600))
     return out.where("user_id IS NOT NULL").select("user_id", "state", F.timestamp_micros("at").cast("timestamp_ntz").alias("at"))
+
+
+_B = f"WITH b AS ({BARS})"
+
+
+@query(f"""WITH x AS (SELECT *, o_orderkey % 21 / 1.0 AS size, net * 0.5 - 1 AS later FROM ({PNL})), m AS (SELECT (min(epoch_us(o_orderdate)) + max(epoch_us(o_orderdate))) / 2 AS mid, quantile_cont(o_totalprice, [1.0 / 3, 2.0 / 3]) AS q FROM orders),
+y AS (SELECT x.*, o.o_totalprice AS price FROM x JOIN orders o USING (o_orderkey)), l AS (SELECT 'half' AS dimension, CASE WHEN epoch_us(o_orderdate) < mid THEN 'first' ELSE 'second' END AS slice, net AS v FROM y, m UNION ALL SELECT 'year', year(o_orderdate)::VARCHAR, net FROM y
+ UNION ALL SELECT 'tercile', CASE WHEN price <= q[1] THEN 'small' WHEN price <= q[2] THEN 'middle' ELSE 'large' END, net FROM y, m UNION ALL SELECT 'threshold', c, net FROM y, (VALUES ('0.03', 0.03), ('0.08', 0.08)) t(c, k) WHERE abs(move) >= k
+ UNION ALL SELECT 'horizon', 'now', net FROM y UNION ALL SELECT 'horizon', 'later', later FROM y UNION ALL SELECT 'drop', '10', net FROM (SELECT net, row_number() OVER (ORDER BY abs(net) DESC, o_orderkey) AS r FROM y) WHERE r > 10)
+SELECT dimension, slice, count(*) AS n, round(avg(v), 5) AS mean, round(avg((v > 0)::INTEGER), 6) AS positive FROM l GROUP BY ALL""")
+def robustness_table(spark, d):
+    """Halves, years, terciles of size, thresholds, horizons, and without the ten most extreme trades."""
+    x = _trades(spark, d).join(t(spark, d, "orders").select("o_orderkey", F.col("o_totalprice").alias("price")), "o_orderkey")
+    x = x.withColumns({"move": (F.col("o_orderkey") % 21 - 10) / 100.0, "later": F.col("net") * 0.5 - 1})
+    s = studies.robustness_slices(x, "o_orderdate", "net", size="price", signal="move", thresholds=(0.03, 0.08), horizons={"now": "net", "later": "later"}, drop=10, tie="o_orderkey")
+    return s.select("dimension", "slice", "n", r("mean", places=5), r("positive"))
+
+
+@query(f"""{_B}, s AS (SELECT bar, close AS p, n FROM b WHERE event_type = 'view' AND close > 0), q AS (SELECT bar, close AS p, n FROM b WHERE event_type = 'click' AND close > 0), f AS (SELECT bar, sum(total) / 1e6 AS paid FROM b WHERE event_type = 'purchase' GROUP BY 1),
+x AS (SELECT s.bar, s1.p / s.p - 1 AS sr, -(q1.p / q.p - 1) AS pr, coalesce(paid, 0) AS paid, q.p / s.p - 1 AS basis FROM s JOIN q USING (bar) JOIN s s1 ON s1.bar = s.bar + INTERVAL 1 HOUR JOIN q q1 ON q1.bar = s1.bar LEFT JOIN f ON f.bar = s.bar WHERE s.n >= 2 AND q.n >= 2)
+SELECT bar::TIMESTAMP AS bar, round(sr + pr, 5) AS price_component, round(paid, 9) AS cash_flow, round(sr + pr + paid, 5) AS gross, round(basis, 5) AS basis FROM x""")
+def carry_components(spark, d):
+    """Price component and cash flow of a hedged pair, hour by hour."""
+    b = bars(spark, d).withColumns({"pair": F.lit("pair"), "full": F.col("n") >= 2, "rate": F.col("total") / 1e6})
+    of = lambda k: b.where(F.col("event_type") == k)
+    c = studies.carry_components(of("view"), of("click"), of("purchase"), "pair", "bar", "close", 3600, "rate", "full")
+    return c.select("bar", r("price_component", places=5), r("cash_flow", places=9), r("gross", places=5), r("basis", places=5))
+
+
+@query(f"""{_B.replace("WITH", "WITH RECURSIVE")}, q AS (SELECT event_type, date_trunc('month', bar) AS month, quantile_cont(close, 0.3) AS lo, quantile_cont(n, 0.6) AS hi FROM b GROUP BY ALL),
+v AS (SELECT b.*, coalesce(((least(open, close) - low) / nullif(high - low, 0) >= 0.5)::INTEGER, 0) + coalesce(((close - low) / nullif(high - low, 0) >= 0.6)::INTEGER, 0) AS score FROM b),
+e AS (SELECT v.event_type, v.bar FROM v JOIN q ON q.event_type = v.event_type AND q.month = date_trunc('month', v.bar) WHERE close <= lo AND n >= hi AND score >= 1),
+k AS (SELECT event_type, min(bar) AS bar FROM e GROUP BY 1 UNION ALL SELECT event_type, bar FROM (SELECT k.event_type, min(e.bar) AS bar FROM k JOIN e ON e.event_type = k.event_type AND e.bar >= k.bar + INTERVAL 6 HOUR GROUP BY k.event_type, k.bar)) SELECT event_type, bar::TIMESTAMP AS bar FROM k""")
+def threshold_cooldown_events(spark, d):
+    """Low closes on busy hours of a month, rejected by the bar's own shape, six hours apart."""
+    x = bars(spark, d)
+    score = studies.rejection_score("open", "high", "low", "close")["long"]
+    return studies.threshold_events(x, ["event_type"], "bar", "event_type", ("close", 0.3), ("n", 0.6), score, 1, 6 * 3600).select("event_type", "bar")
+
+
+def _reversal(back: int, hold: int) -> str:
+    w = "PARTITION BY event_type ORDER BY bar"
+    return f"""SELECT {back} AS back, {hold} AS hold, gross, gross - 0.001 * turnover AS net, turnover FROM (WITH x AS (SELECT *, close / nullif(lag(close, {back}) OVER ({w}), 0) - 1 AS past, lead(close, {hold}) OVER ({w}) / nullif(close, 0) - 1 AS nxt FROM b),
+y AS (SELECT *, greatest(floor(count(*) OVER (PARTITION BY bar) * 0.4), 1) AS k, row_number() OVER (PARTITION BY bar ORDER BY past, event_type) AS u, row_number() OVER (PARTITION BY bar ORDER BY past DESC, event_type) AS v FROM x WHERE past IS NOT NULL AND nxt IS NOT NULL),
+w AS (SELECT *, CASE WHEN u <= k THEN 0.5 / k ELSE 0 END - CASE WHEN v <= k THEN 0.5 / k ELSE 0 END AS w FROM y), t AS (SELECT bar, lead(bar) OVER (ORDER BY bar) AS nb FROM (SELECT DISTINCT bar FROM w)), h AS (SELECT bar, event_type, w FROM w WHERE w <> 0),
+c AS (SELECT bar, event_type, sum(w) AS c FROM (SELECT * FROM h UNION ALL SELECT nb, event_type, -w FROM h JOIN t USING (bar) WHERE nb IS NOT NULL) GROUP BY ALL), o AS (SELECT bar, sum(abs(c)) AS turnover FROM c GROUP BY 1), g AS (SELECT bar, sum(w * nxt) AS gross FROM w GROUP BY 1) SELECT * FROM g JOIN o USING (bar))"""
+
+
+@query(f"""{_B}, g AS ({" UNION ALL ".join(_reversal(b, h) for b in (3, 6) for h in (1, 4))}) SELECT back, hold, count(*) AS instants, round(avg(gross), 3) AS gross, round(avg(net), 3) AS net, round(avg(turnover), 6) AS turnover, round(avg((net > 0)::INTEGER), 6) AS positive FROM g GROUP BY ALL""")
+def reversal_grid(spark, d):
+    g = studies.reversal_grid(bars(spark, d), "event_type", "bar", "close", "event_type", (3, 6), (1, 4), 0.4, 0.001)
+    return g.select("back", "hold", "instants", r("gross", places=3), r("net", places=3), r("turnover"), r("positive"))
+
+
+@query(f"""WITH x AS (SELECT side || '_' || (o_orderkey % 21 // 3) AS rule, date_trunc('year', o_orderdate) AS period, o_custkey, net FROM ({PNL})), m AS (SELECT rule, period, sum(net) AS s FROM x GROUP BY ALL), p AS (SELECT rule, count(*) AS months, count(*) FILTER (round(s, 6) > 0) AS good FROM m GROUP BY 1),
+k AS (SELECT rule, max(c) / nullif(sum(c), 0) AS top FROM (SELECT rule, o_custkey, sum(abs(net)) AS c FROM x GROUP BY ALL) GROUP BY 1)
+SELECT rule, months, good AS positive_months, CASE WHEN top > 0.25 THEN 'crowded' WHEN months >= 7 AND good = months THEN 'strict' WHEN months >= 7 AND good = months - 1 THEN 'near' ELSE 'fail' END AS gate FROM p JOIN k USING (rule)""")
+def rule_gates(spark, d):
+    """Which rules are positive in all periods, or all but one."""
+    x = _trades(spark, d).withColumns({"rule": F.concat_ws("_", "side", F.floor(F.col("o_orderkey") % 21 / 3).cast("string")), "period": F.date_trunc("year", "o_orderdate")})
+    return studies.rule_scan(x, "rule", "period", "o_custkey", "net", F.col("period") < F.lit("1996-01-01"), months=7).select("rule", "months", "positive_months", "gate")
