@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import stats
-from tidemark.operators import folds, joins, series
+from tidemark.operators import folds, joins, sections, series, tables
 from tidemark.plans.registry import BARS as _BARS
 from tidemark.plans.registry import MONTHS as _MONTHS
 from tidemark.plans.registry import PNL as _PNL
@@ -161,13 +161,13 @@ def false_discovery(spark, d):
 @query("""SELECT event_type, user_id % 10 AS slice, grouping(event_type)::INTEGER * 2 + grouping(user_id % 10)::INTEGER AS level, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY GROUPING SETS ((event_type, user_id % 10), (event_type), (user_id % 10), ())""")
 def rollup_slices(spark, d):
     e = _t(spark, d, "events").withColumn("slice", F.col("user_id") % 10)
-    return e.cube("event_type", "slice").agg(F.grouping_id().cast("int").alias("level"), F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("mean"))
+    return tables.cube_levels(e, ["event_type", "slice"], "value").withColumn("mean", F.round("mean", 6))
 
 
 @query("""SELECT s_nationkey, round(max(r) / sum(r), 6) AS top_share, round(sum(r * r) / (sum(r) * sum(r)), 6) AS hhi FROM (SELECT s_nationkey, l_suppkey, sum(l_extendedprice) AS r FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL) GROUP BY 1""")
 def concentration(spark, d):
-    r = _t(spark, d, "lineitem").groupBy("l_suppkey").agg(F.sum("l_extendedprice").alias("r")).join(_t(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-    return r.groupBy("s_nationkey").agg(_r(F.max("r") / F.sum("r"), "top_share"), _r(F.sum(F.col("r") * F.col("r")) / (F.sum("r") * F.sum("r")), "hhi"))
+    r = _t(spark, d, "lineitem").join(_t(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    return sections.top_shares(r, ["s_nationkey"], "l_suppkey", "l_extendedprice", 1).select("s_nationkey", _r("top_share", "top_share"), _r("hhi", "hhi"))
 
 
 @query(f"""WITH p AS ({_MONTHS}), w AS (SELECT l_suppkey, month, revenue / sum(revenue) OVER (PARTITION BY month) AS w FROM p), t AS (SELECT month, lead(month) OVER (ORDER BY month) AS nxt FROM (SELECT DISTINCT month FROM w)),
@@ -211,9 +211,7 @@ def ledger_verification(spark, d):
 
 @query("""SELECT event_type, count(*) AS n, count(*) FILTER (value IS NULL OR isnan(value) OR isinf(value)) AS bad, count(DISTINCT user_id) AS users, min(ts) AS first_ts, max(ts) AS last_ts FROM events GROUP BY 1""")
 def panel_audit(spark, d):
-    v = F.col("value")
-    bad = v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))
-    return _t(spark, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(bad, 1)).alias("bad"), F.countDistinct("user_id").alias("users"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+    return tables.key_audit(_t(spark, d, "events"), ["event_type"], "value", "user_id", "ts").withColumnsRenamed({"members": "users", "first": "first_ts", "last": "last_ts"})
 
 
 @query(f"""WITH RECURSIVE b AS (SELECT event_type, bar, close, row_number() OVER (PARTITION BY event_type ORDER BY bar) AS k FROM ({_BARS})),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import folds, rolling, series
+from tidemark.operators import folds, rolling, series, tables
 from tidemark.plans.registry import BARS, bars, query, r, t
 
 _K = ["event_type", "bar"]
@@ -175,5 +175,5 @@ def market_regime(spark, d):
 
 @query(f"""{_B}, x AS (SELECT *, sum(CASE WHEN high - low > 0 THEN 1 ELSE 0 END) OVER w AS busy, sum(total) OVER w AS s FROM b WINDOW w AS ({_W} ROWS UNBOUNDED PRECEDING)) SELECT {_AT}, busy::BIGINT AS busy, round(s, 4) AS running FROM x""")
 def running_totals(spark, d):
-    w = Window.partitionBy("event_type").orderBy("bar").rowsBetween(Window.unboundedPreceding, 0)
-    return bars(spark, d).select(*_K, F.sum((F.col("high") - F.col("low") > 0).cast("long")).over(w).alias("busy"), r(F.sum("total").over(w), "running", 4))
+    x = tables.running(bars(spark, d), "event_type", ["bar"], {"busy": (F.col("high") - F.col("low") > 0).cast("long"), "running": F.col("total")})
+    return x.select(*_K, "busy", r("running", places=4))

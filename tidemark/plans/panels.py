@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import sections, series
+from tidemark.operators import sections, series, tables
 from tidemark.plans.registry import BARS, MONTHS, PNL, bars, near, query, r, t
 
 _K = ["event_type", "bar"]
@@ -93,8 +93,8 @@ def benchmark_excess(spark, d):
 
 @query(f"""{_B}, m AS (SELECT bar, avg(close) AS market, count(*) AS members FROM b GROUP BY 1) SELECT {_AT}, round(close - market, 6) AS apart, members FROM b LEFT JOIN m USING (bar)""")
 def market_join(spark, d):
-    b = bars(spark, d)
-    return b.join(b.groupBy("bar").agg(F.avg("close").alias("market"), F.count(F.lit(1)).alias("members")), "bar", "left").select(*_K, r(F.col("close") - F.col("market"), "apart"), "members")
+    b = tables.with_level(bars(spark, d), ["bar"], "close", "market")
+    return b.select(*_K, r(F.col("close") - F.col("market"), "apart"), "members")
 
 
 @query("""SELECT p_partkey, CASE WHEN p_size > 0 AND p_size <= 10 THEN 'small' WHEN p_size > 10 AND p_size <= 30 THEN 'middle' WHEN p_size > 30 AND p_size <= 50 THEN 'large' END AS size_bin,
@@ -128,12 +128,8 @@ def bucket_diagnostic(spark, d):
 m AS (SELECT bar, max(CASE WHEN event_type = 'view' THEN r4 END) AS a4, max(CASE WHEN event_type = 'click' THEN r4 END) AS b4, max(CASE WHEN event_type = 'view' THEN r24 END) AS a24, max(CASE WHEN event_type = 'click' THEN r24 END) AS b24, avg(CASE WHEN r4 > 0.02 THEN 1.0 ELSE 0.0 END) AS br, median(r4) AS med FROM x GROUP BY 1)
 SELECT bar::TIMESTAMP AS bar, array_to_string(list_filter([CASE WHEN a4 > 0.015 AND b4 > 0.015 THEN 'both_4h' END, CASE WHEN a24 > 0.04 AND b24 > 0.04 THEN 'both_24h' END, CASE WHEN br > 0.35 THEN 'breadth' END, CASE WHEN med > 0.01 THEN 'median' END], lambda s: s IS NOT NULL), ',') AS reasons FROM m""")
 def context_veto(spark, d):
-    w = Window.partitionBy("event_type").orderBy("bar")
-    x = bars(spark, d).withColumns({f"r{k}": F.col("close") / F.nullif(F.lag("close", k).over(w), F.lit(0.0)) - 1 for k in (4, 24)})
-    of = lambda key, c: F.max(F.when(F.col("event_type") == key, F.col(c)))
-    m = x.groupBy("bar").agg(*[of(k, c).alias(f"{n}{c}") for n, k in (("a", "view"), ("b", "click")) for c in ("r4", "r24")], F.avg(F.when(F.col("r4") > 0.02, 1.0).otherwise(0.0)).alias("br"), F.percentile("r4", 0.5).alias("med"))
-    why = {"both_4h": (F.col("ar4") > 0.015) & (F.col("br4") > 0.015), "both_24h": (F.col("ar24") > 0.04) & (F.col("br24") > 0.04), "breadth": F.col("br") > 0.35, "median": F.col("med") > 0.01}
-    return m.select("bar", F.concat_ws(",", *[F.when(c, k) for k, c in why.items()]).alias("reasons"))
+    v = tables.vetoes(bars(spark, d), "event_type", "bar", "close", ("view", "click"), (4, 24), (0.015, 0.04), (0.02, 0.35), 0.01)
+    return v.select("bar", F.regexp_replace(F.regexp_replace("reasons", "both_short", "both_4h"), "both_long", "both_24h").alias("reasons"))
 
 
 @query("""WITH s AS (SELECT date_trunc('month', l_shipdate) AS month, list_sort(list(DISTINCT l_suppkey)) AS m FROM lineitem WHERE l_quantity >= 49 GROUP BY 1), x AS (SELECT *, lag(m) OVER (ORDER BY month) AS b FROM s)
@@ -147,17 +143,14 @@ def set_turnover(spark, d):
 SELECT day::TIMESTAMP AS day, round(coalesce(sum(CASE WHEN l_extendedprice >= q THEN sign * l_extendedprice END), 0) / nullif(sum(l_extendedprice), 0), 6) AS large_flow FROM x JOIN q USING (day) GROUP BY 1""")
 def large_flow(spark, d):
     x = t(spark, d, "lineitem").withColumn("day", F.date_trunc("day", "l_shipdate").cast("timestamp_ntz"))
-    x = x.join(x.groupBy("day").agg(F.percentile("l_extendedprice", 0.95).alias("q")), "day")
-    p = F.col("l_extendedprice")
-    big = F.sum(F.when(p >= F.col("q"), F.when(F.col("l_returnflag") == "R", -p).otherwise(p)))
-    return x.groupBy("day").agg(r(F.coalesce(big, F.lit(0.0)) / F.nullif(F.sum(p), F.lit(0.0)), "large_flow"))
+    return tables.large_flow(x, ["day"], "l_extendedprice", F.col("l_returnflag") == "R", 0.95).select("day", r("large_flow"))
 
 
 @query("""SELECT l_suppkey, """ + ", ".join(f"round(coalesce(sum(CASE WHEN l_linenumber = {i} AND l_returnflag {'=' if s == 'sell' else '<>'} 'R' THEN l_quantity END), 0), 4) AS {s}_{i}" for i in (1, 2, 3) for s in ("buy", "sell")) + " FROM lineitem GROUP BY 1")
 def bucket_pivot(spark, d):
     sold = F.col("l_returnflag") == "R"
-    cells = [r(F.coalesce(F.sum(F.when((F.col("l_linenumber") == i) & (sold if s == "sell" else ~sold), F.col("l_quantity"))), F.lit(0.0)), f"{s}_{i}", 4) for i in (1, 2, 3) for s in ("buy", "sell")]
-    return t(spark, d, "lineitem").groupBy("l_suppkey").agg(*cells)
+    cells = {f"{s}_{i}": (F.col("l_linenumber") == i) & (sold if s == "sell" else ~sold) for i in (1, 2, 3) for s in ("buy", "sell")}
+    return tables.pivot_sums(t(spark, d, "lineitem"), ["l_suppkey"], "l_quantity", cells).select("l_suppkey", *[r(c, places=4) for c in cells])
 
 
 @query("""SELECT o_custkey % 20 AS grp, date_trunc('month', o_orderdate)::TIMESTAMP AS month, arg_min(o_totalprice, (o_orderdate, o_orderkey))::DECIMAL(18, 2)::VARCHAR AS open, max(o_totalprice)::DECIMAL(18, 2)::VARCHAR AS high, min(o_totalprice)::DECIMAL(18, 2)::VARCHAR AS low,
@@ -171,14 +164,12 @@ def decimal_bars(spark, d):
 @query("""SELECT user_id, date_trunc('hour', ts)::TIMESTAMP AS hour, arg_max(event_type, (ts, event_id)) AS last_type FROM events GROUP BY ALL""")
 def hour_last(spark, d):
     e = t(spark, d, "events").withColumn("hour", F.date_trunc("hour", "ts").cast("timestamp_ntz"))
-    return e.groupBy("user_id", "hour").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("last_type"))
+    return tables.last_in(e, ["user_id", "hour"], ["ts", "event_id"], "event_type", "last_type")
 
 
 @query("""WITH c AS (SELECT o_orderpriority, o_orderstatus, count(*) AS n FROM orders GROUP BY ALL) SELECT o_orderpriority, o_orderstatus, n, round(n / sum(n) OVER (PARTITION BY o_orderpriority), 6) AS share, row_number() OVER (PARTITION BY o_orderpriority ORDER BY n DESC, o_orderstatus) = 1 AS is_mode FROM c""")
 def value_counts(spark, d):
-    c = t(spark, d, "orders").groupBy("o_orderpriority", "o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy("o_orderpriority")
-    return c.select("o_orderpriority", "o_orderstatus", "n", r(F.col("n") / F.sum("n").over(w), "share"), (F.row_number().over(w.orderBy(F.desc("n"), "o_orderstatus")) == 1).alias("is_mode"))
+    return tables.value_shares(t(spark, d, "orders"), ["o_orderpriority"], "o_orderstatus").withColumn("share", F.round("share", 6))
 
 
 @query("""WITH e AS (SELECT s_nationkey, l_suppkey, sum(l_quantity) AS v FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL), f AS (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY v DESC, l_suppkey) AS r FROM e)
@@ -210,7 +201,7 @@ def group_beta(spark, d):
 @query(f"""WITH x AS (SELECT net, move, epoch(o_orderdate) / 86400.0 AS days, o_orderkey % 97 AS k FROM ({PNL} ) ) SELECT round(corr(net, move), 6) AS c_move, round(corr(net, days), 6) AS c_days, round(corr(net, k), 6) AS c_k FROM x""")
 def feature_correlation(spark, d):
     x = _trades(spark, d).withColumns({"move": (F.col("o_orderkey") % 21 - 10) / 100.0, "days": F.unix_micros(F.col("o_orderdate").cast("timestamp")) / 86_400e6, "k": (F.col("o_orderkey") % 97).cast("double")})
-    return x.agg(*[r(F.corr("net", c), f"c_{c}") for c in ("move", "days", "k")])
+    return tables.correlations(x, "net", ["move", "days", "k"]).select(*[r(f"c_{c}") for c in ("move", "days", "k")])
 
 
 @query("""WITH x AS (SELECT l_returnflag = 'R' AS bad, unnest([{'feature': 'l_discount', 'v': l_discount}, {'feature': 'l_quantity', 'v': l_quantity}, {'feature': 'l_tax', 'v': l_tax}], recursive := true) FROM lineitem)
@@ -224,7 +215,7 @@ def day_contrast(spark, d):
 @query(f"""SELECT coalesce(date_trunc('month', o_orderdate)::TIMESTAMP, NULL) AS month, o_orderpriority, round(sum(CASE WHEN net < 0 THEN net ELSE 0 END), 4) AS damage, count(*) FILTER (net < 0) AS losers, grouping(o_orderpriority)::INTEGER AS whole_month FROM ({PNL}) GROUP BY GROUPING SETS ((date_trunc('month', o_orderdate), o_orderpriority), (date_trunc('month', o_orderdate)))""")
 def damage_decomposition(spark, d):
     x = _trades(spark, d).withColumn("month", F.date_trunc("month", "o_orderdate").cast("timestamp_ntz"))
-    return x.groupingSets([["month", "o_orderpriority"], ["month"]], "month", "o_orderpriority").agg(r(F.sum(F.when(F.col("net") < 0, F.col("net")).otherwise(0.0)), "damage", 4), F.count(F.when(F.col("net") < 0, 1)).alias("losers"), F.grouping("o_orderpriority").cast("int").alias("whole_month"))
+    return tables.damage(x, "month", "o_orderpriority", "net").select("month", "o_orderpriority", r("damage", places=4), "losers", F.col("is_whole").alias("whole_month"))
 
 
 @query("""SELECT l_suppkey, CASE WHEN a >= greatest(a, b, c) THEN 'l_discount' WHEN b >= greatest(a, b, c) THEN 'l_tax' ELSE 'l_part' END AS largest FROM (SELECT l_suppkey, round(avg(l_discount), 6) AS a, round(avg(l_tax), 6) AS b, round(avg(l_quantity) / 1000, 6) AS c FROM lineitem GROUP BY 1)""")
@@ -246,8 +237,7 @@ def column_audit(spark, d):
 
 @query("""SELECT user_id, array_to_string(list(event_type ORDER BY ts, event_id), '>') AS path, count(*) AS n FROM events GROUP BY 1""")
 def ordered_lists(spark, d):
-    x = t(spark, d, "events").groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", "event_type"))).alias("all"))
-    return x.select("user_id", F.array_join(F.transform("all", lambda s: s["event_type"]), ">").alias("path"), F.size("all").cast("long").alias("n"))
+    return tables.paths(t(spark, d, "events"), "user_id", ["ts", "event_id"], "event_type")
 
 
 @query("""WITH x AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY md5('res-1:' || event_id)) AS r, count(*) OVER (PARTITION BY event_type) AS n FROM events)
@@ -260,14 +250,12 @@ def sampled_quantiles(spark, d):
 @query(f"""WITH s AS (SELECT o_custkey, sum(net) AS pnl, count(*) AS n, avg((net > 0)::INTEGER) AS win FROM ({PNL}) GROUP BY 1) SELECT o_custkey, row_number() OVER (ORDER BY (round(pnl, 6) > 0) DESC, n >= 10 DESC, round(win, 6) DESC, n DESC, o_custkey) AS place FROM s ORDER BY place LIMIT 100""")
 def composite_ranking(spark, d):
     s = _trades(spark, d).groupBy("o_custkey").agg(F.sum("net").alias("pnl"), F.count(F.lit(1)).alias("n"), r(F.avg((F.col("net") > 0).cast("int")), "win"))
-    top = s.orderBy(F.desc(F.round("pnl", 6) > 0), F.desc(F.col("n") >= 10), F.desc("win"), F.desc("n"), "o_custkey").limit(100)
-    return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc(F.round("pnl", 6) > 0), F.desc(F.col("n") >= 10), F.desc("win"), F.desc("n"), "o_custkey"))).select("o_custkey", "place")
+    order = [F.desc(F.round("pnl", 6) > 0), F.desc(F.col("n") >= 10), F.desc("win"), F.desc("n"), F.asc("o_custkey")]
+    return tables.ranked(s, order, 100).select("o_custkey", "place")
 
 
 @query(f"""WITH x AS (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY round(net, 6), o_orderkey) AS r, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate, o_orderkey) AS p, count(*) OVER (PARTITION BY o_orderpriority) AS n FROM ({PNL}))
 SELECT o_orderpriority, round(sum(CASE WHEN r > 10 THEN net END), 4) AS without_worst, round(sum(CASE WHEN p <= floor(n * 0.7) THEN net END), 4) AS first_70, round(sum(CASE WHEN p > n - floor(n * 0.3) THEN net END), 4) AS last_30, count(*) FILTER (r <= ceil(n * 0.05)) AS cut FROM x GROUP BY 1""")
 def positional_splits(spark, d):
-    w = Window.partitionBy("o_orderpriority")
-    x = _trades(spark, d).withColumns({"r": F.row_number().over(w.orderBy(F.round("net", 6), "o_orderkey")), "p": F.row_number().over(w.orderBy("o_orderdate", "o_orderkey")), "n": F.count(F.lit(1)).over(w)})
-    part = lambda c: F.sum(F.when(c, F.col("net")))
-    return x.groupBy("o_orderpriority").agg(r(part(F.col("r") > 10), "without_worst", 4), r(part(F.col("p") <= F.floor(F.col("n") * 0.7)), "first_70", 4), r(part(F.col("p") > F.col("n") - F.floor(F.col("n") * 0.3)), "last_30", 4), F.count(F.when(F.col("r") <= F.ceil(F.col("n") * 0.05), 1)).alias("cut"))
+    s = tables.split_sums(_trades(spark, d), ["o_orderpriority"], ["o_orderdate", "o_orderkey"], [F.round("net", 6), "o_orderkey"], "net", 10, 0.7, 0.3, 0.05)
+    return s.select("o_orderpriority", r("without_worst", places=4), r("first_part", "first_70", 4), r("last_part", "last_30", 4), "cut")

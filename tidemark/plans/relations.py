@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import filters, joins, relations
+from tidemark.operators import filters, joins, relations, tables
 from tidemark.plans.registry import BARS, PNL, TWO, bars, near, query, r, t
 
 _B = f"WITH b AS ({BARS})"
@@ -166,7 +166,7 @@ def set_operations(spark, d):
 @query("""WITH m AS (SELECT date_trunc('month', o_orderdate) AS month, round(avg(o_totalprice), 2) AS level FROM orders GROUP BY 1) SELECT o_orderkey, round(o_totalprice / level, 6) AS relative FROM orders LEFT JOIN m ON date_trunc('month', o_orderdate) = month""")
 def month_dimension(spark, d):
     o = t(spark, d, "orders").withColumn("month", F.date_trunc("month", "o_orderdate"))
-    return o.join(o.groupBy("month").agg(F.round(F.avg("o_totalprice"), 2).alias("level")), "month", "left").select("o_orderkey", r(F.col("o_totalprice") / F.col("level"), "relative"))
+    return tables.with_level(o, ["month"], "o_totalprice", places=2).select("o_orderkey", r(F.col("o_totalprice") / F.col("level"), "relative"))
 
 
 @query("""SELECT o_orderpriority, count(*) AS n, round(avg((o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity >= 48))::INTEGER), 6) AS rate FROM orders GROUP BY 1""")
@@ -206,4 +206,4 @@ def side_flags(spark, d):
     from tidemark.plans.catalogue import _trades
 
     x = _trades(spark, d).withColumn("side", F.when(F.col("o_orderkey") % 2 == 0, "long").otherwise("short"))
-    return x.groupBy("o_custkey").agg((F.coalesce(F.sum(F.when(F.col("side") == "long", F.col("net"))), F.lit(0.0)) > 0).alias("long_pays"), F.count_distinct("side").alias("sides"))
+    return tables.sides_paid(x, ["o_custkey"], "side", "net", "long").select("o_custkey", F.col("pays").alias("long_pays"), "sides")
