@@ -182,3 +182,11 @@ def nested_diff(active: DataFrame, proposed: DataFrame, key: str, body: str) ->
     both = leaves(active, key, body).withColumnRenamed("value", "was").join(leaves(proposed, key, body).withColumnRenamed("value", "now"), [key, "path"], "full")
     kind = F.when(F.col("was").isNull(), "added").when(F.col("now").isNull(), "removed").otherwise("changed")
     return both.where(~F.col("was").eqNullSafe(F.col("now"))).select(key, "path", kind.alias("kind"), "was", "now")
+
+
+def stale_pending(pending: DataFrame, due: str, now: Column, grace_s: float, kinds: Sequence[tuple[float, str]] = ((1.0, "WARN"),)) -> DataFrame:
+    """Pending rows that were due more than `grace_s` before now, with late_s and severity: the last kind whose multiple of the grace they are over."""
+    late = (F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col(due).cast("timestamp"))) / 1e6
+    x = pending.withColumn("late_s", late).where(F.col("late_s") > grace_s)
+    severity = F.coalesce(*[F.when(F.col("late_s") > grace_s * times, kind) for times, kind in sorted(kinds, reverse=True)], F.lit(kinds[0][1]))
+    return x.withColumn("severity", severity)

@@ -71,3 +71,9 @@ def book_geometry(bid_depth: str, ask_depth: str, bid_notional: str, ask_notiona
     mid = (bid + ask) / 2
     return {"bid_price": bid, "ask_price": ask, "total_depth": bd + ad, "mid": mid, "spread": ask - bid, "spread_bps": (ask - bid) / F.nullif(mid, F.lit(0.0)) * 10_000,
             "imbalance": over(bd - ad, bd + ad), "microprice": over(bid * ad + ask * bd, bd + ad)}
+
+
+def depth_in_range(high: str, low: str, open_: str, close: str, average_range: str) -> dict[str, Column]:
+    """How deep a bar's wicks and its whole span are, in average true ranges: upper_depth, lower_depth and span_depth; null without a range over 0."""
+    unit = F.when(F.col(average_range) > 0, F.col(average_range))
+    return {"upper_depth": (F.col(high) - F.greatest(open_, close)) / unit, "lower_depth": (F.least(open_, close) - F.col(low)) / unit, "span_depth": (F.col(high) - F.col(low)) / unit}

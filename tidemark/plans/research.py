@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import quality, scalars, stats, studies
-from tidemark.operators import folds, rolling
+from tidemark.operators import folds, rolling, series
 from tidemark.operators.shared import fresh_path
 from tidemark.plans.evaluation import _t_p, _trades
 from tidemark.plans.registry import BARS, PNL, SQL, bars, near, query, r, t
@@ -251,3 +251,32 @@ def rule_gates(spark, d):
     """Which rules are positive in all periods, or all but one."""
     x = _trades(spark, d).withColumns({"rule": F.concat_ws("_", "side", F.floor(F.col("o_orderkey") % 21 / 3).cast("string")), "period": F.date_trunc("year", "o_orderdate")})
     return studies.rule_scan(x, "rule", "period", "o_custkey", "net", F.col("period") < F.lit("1996-01-01"), months=7).select("rule", "months", "positive_months", "gate")
+
+
+@query(f"""{_B}, t AS (SELECT *, lag(close) OVER (PARTITION BY event_type ORDER BY bar) AS pc FROM b), g AS (SELECT *, CASE WHEN pc IS NOT NULL THEN greatest(high - low, abs(high - pc), abs(low - pc)) END AS tr FROM t),
+a AS (SELECT *, CASE WHEN count(tr) OVER w = 14 THEN avg(tr) OVER w END AS atr FROM g WINDOW w AS (PARTITION BY event_type ORDER BY bar ROWS 13 PRECEDING))
+SELECT event_type, bar::TIMESTAMP AS bar, round((high - greatest(open, close)) / nullif(atr, 0), 5) AS upper_depth, round((least(open, close) - low) / nullif(atr, 0), 5) AS lower_depth, round((high - low) / nullif(atr, 0), 5) AS span_depth FROM a WHERE atr IS NOT NULL""")
+def wick_depth(spark, d):
+    """Wicks in average true ranges of 14 bars."""
+    x = rolling.mean_range(bars(spark, d), "event_type", "bar", "high", "low", "close", 14).where("atr_sma IS NOT NULL")
+    depths = scalars.depth_in_range("high", "low", "open", "close", "atr_sma")
+    return x.select("event_type", "bar", *[r(c, k, 5) for k, c in depths.items()])
+
+
+@query("""SELECT o_orderkey, epoch_us(TIMESTAMP '1998-01-01') / 1e6 - epoch_us(o_orderdate) / 1e6 AS late_s, CASE WHEN epoch_us(TIMESTAMP '1998-01-01') - epoch_us(o_orderdate) > 864000000000 * 30 THEN 'CRITICAL' ELSE 'WARN' END AS severity
+FROM orders WHERE o_orderstatus = 'P' AND epoch_us(TIMESTAMP '1998-01-01') - epoch_us(o_orderdate) > 864000000000""")
+def stale_orders(spark, d):
+    """Orders that are pending ten days after their time, and those that are so ten months after it."""
+    x = t(spark, d, "orders").where("o_orderstatus = 'P'")
+    s = quality.stale_pending(x, "o_orderdate", F.lit("1998-01-01").cast("timestamp_ntz"), 864_000, ((1.0, "WARN"), (30.0, "CRITICAL")))
+    return s.select("o_orderkey", "late_s", "severity")
+
+
+@query(f"""WITH d AS (SELECT unnest([0, 1, 3]) AS delay), x AS (SELECT e.event_id, e.event_type, e.ts, delay, row_number() OVER (PARTITION BY e.event_type, delay ORDER BY e.ts, e.event_id) AS i FROM events e, d WHERE e.event_id % (delay + 1) = 0)
+SELECT event_type, delay, count(*) AS n, count(DISTINCT event_id) AS ids FROM ({{}}) GROUP BY ALL""".format("""WITH RECURSIVE k AS (SELECT event_type, delay, event_id, ts FROM x WHERE i = 1
+ UNION ALL SELECT event_type, delay, event_id, ts FROM (SELECT k.event_type, k.delay, arg_min(x.event_id, (x.ts, x.event_id)) AS event_id, min(x.ts) AS ts FROM k JOIN x ON x.event_type = k.event_type AND x.delay = k.delay AND x.ts >= k.ts + INTERVAL 6 HOUR GROUP BY k.event_type, k.delay, k.ts)) SELECT * FROM k"""))
+def cooldown_by_delay(spark, d):
+    """Each type and delay cools down on its own."""
+    e = t(spark, d, "events").select("event_id", "event_type", "ts", F.explode(F.array(F.lit(0), F.lit(1), F.lit(3))).alias("delay")).where("event_id % (delay + 1) = 0")
+    kept = series.cooldown(e, ["event_type", "delay"], "ts", 6 * 3600, "event_id")
+    return kept.groupBy("event_type", "delay").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("event_id").alias("ids"))

@@ -105,6 +105,11 @@ def sample_csv(spark: SparkSession, path: str, rows: int) -> DataFrame:
     return spark.read.option("header", True).option("inferSchema", False).csv(path).limit(rows)
 
 
+def sampled_csv(spark: SparkSession, path: str, rows: int) -> tuple[DataFrame, int]:
+    """sample_csv() and the number of rows under the headers, counted without reading a column."""
+    return sample_csv(spark, path, rows), spark.read.option("header", True).option("inferSchema", False).csv(path).count()
+
+
 def discovered(spark: SparkSession, folder: str, tokens: Mapping[str, int], pattern: str = "*") -> DataFrame:
     """path, length, modificationTime and score (the sum of the weights of the tokens in the path) of the files under a folder; contents are not read."""
     found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(folder).select("path", "length", "modificationTime")

@@ -8,6 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators.quantiles import beside
 from tidemark.operators.sections import merged, partials
 
 
@@ -22,17 +23,23 @@ def digests(rows: DataFrame, by: Sequence[str]) -> DataFrame:
     return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n_rows"), F.sum(piece).cast("string").alias("content_hash")).withColumn("schema_hash", F.sha2(F.lit(rows.drop(*by).schema.simpleString()), 256))
 
 
-def write_partitioned(rows: DataFrame, path: str, manifest: str, by: Sequence[str]) -> None:
-    """Overwrites the partitions that rows hold, and appends their digests, taken from what was written, to the manifest.
+def write_partitioned(rows: DataFrame, path: str, manifest: str, by: Sequence[str], category: str | None = None) -> None:
+    """Overwrites the partitions that rows hold, and appends their digests, taken from what was written, to the manifest; with the counts of a category, where one is named.
 
     A build that breaks off between the two leaves partitions without a manifest row: they are built again.
     """
     spark = rows.sparkSession
+    if category is not None and category not in rows.columns:
+        raise ValueError(f"no column {category}")
     rows.write.partitionBy(*by).option("compression", "zstd").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
     kinds = {f.name: f.dataType for f in rows.schema}
     written = spark.read.parquet(path).select(*[F.col(c).cast(kinds[c]).alias(c) for c in rows.columns])
     mine = written.join(rows.select(*by).distinct(), list(by), "left_semi")
-    digests(mine.select(*rows.columns), by).withColumn("at", F.current_timestamp()).write.mode("append").parquet(manifest)
+    mine = mine.select(*rows.columns)
+    told = digests(mine, by)
+    if category is not None:
+        told = beside(told, category_counts(mine, by, category).withColumnRenamed("counts", "category_counts"), by)
+    told.withColumn("at", F.current_timestamp()).write.mode("append").parquet(manifest)
 
 
 def unbuilt(rows: DataFrame, manifest: str, by: Sequence[str], schema: str | None = None) -> DataFrame:
