@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -184,3 +185,58 @@ def mann_whitney_counts(counts: DataFrame, by: Sequence[str], value: str, on: st
     """mann_whitney() of rows that were counted by value."""
     c = counts.groupBy(*by, value).agg(F.sum(F.when(F.col(on), F.col(n)).otherwise(0)).alias("_a"), F.sum(F.when(F.col(on), 0).otherwise(F.col(n))).alias("_b"))
     return _from_counts(c, by, value)
+
+
+class MonthModel(NamedTuple):
+    """How made-up months are drawn: normal, with the base's monthly mean times a factor (from a range, then one of `factors`) and `sigma` times its scale (times one of `sigmas`).
+
+    drift: the mean is itself drawn around 0 (in scales); cost: a range that is taken off the mean; flipped: the other side; signed: (mean, deviation) in scales of the size of months, of which as many
+    are positive as in the base; block: (months, noise in scales), months that repeat a few draws; held_out: how many months are set to 0 (one of these)."""
+
+    sigma: float = 1.0
+    factor: tuple[float, float] = (1.0, 1.0)
+    factors: tuple[float, ...] = (1.0,)
+    sigmas: tuple[float, ...] = (1.0,)
+    drift: float | None = None
+    cost: tuple[float, float] = (0.0, 0.0)
+    flipped: bool = False
+    signed: tuple[float, float] | None = None
+    block: tuple[int, float] | None = None
+    held_out: tuple[int, ...] = (0,)
+
+
+#: the least scale of a base, and months of a draw
+LEAST_SCALE, MONTHS = 250.0, 12
+
+#: twelve ways in which chance alone could have made a year; the numbers are fixed values
+MONTH_MODELS = {
+    "members_shuffled": MonthModel(0.75), "sections_resampled": MonthModel(1.0, (0.6, 1.2)), "labels_permuted": MonthModel(signed=(0.5, 0.7)), "time_blocks": MonthModel(0.9, block=(4, 0.25)),
+    "sides_flipped": MonthModel(0.8, flipped=True), "holds_shuffled": MonthModel(0.9, (0.4, 1.6)), "ranks_shuffled": MonthModel(0.85, drift=0.15), "costs_stressed": MonthModel(0.7, cost=(25.0, 125.0)),
+    "members_held_out": MonthModel(0.95, (0.25, 0.85)), "months_held_out": MonthModel(0.9, held_out=(2, 3, 4)), "liquidity_shuffled": MonthModel(0.8, factors=(0.5, 0.75, 1.0, 1.25)), "volatility_shuffled": MonthModel(1.0, sigmas=(0.6, 1.0, 1.4, 1.8)),
+}
+
+
+def model_months(bases: DataFrame, key: str, models: Mapping[str, MonthModel], n: int, seed: str) -> DataFrame:
+    """key, model, round, total and positive (months over 0) of a made-up year in each round; bases: key, total, positive, worst, best of real years.
+
+    The scale of a base is the largest of a twelfth of its total and its worst and best month, in size. A row a month is made where its base is read, and added up there.
+    """
+    names = F.array(*[F.lit(k) for k in models])
+    x = rounds(bases.select(key, "total", "positive", "worst", "best").withColumn("model", F.explode(names)), n).withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(MONTHS - 1))))
+    once = lambda what, *more: uniform(f"{seed}-{what}", key, "model", "round", *more)
+    normal = lambda what, *more: gaussian(f"{seed}-{what}", key, "model", "round", *more)
+    one_of = lambda what, values: F.element_at(F.array(*[F.lit(v) for v in values]), F.floor(once(what) * len(values)).cast("int") + 1) if len(values) > 1 else F.lit(values[0])
+    within = lambda what, lo, hi: lo + (hi - lo) * once(what) if hi > lo else F.lit(lo)
+    mean, scale = F.col("total") / MONTHS, F.greatest(F.lit(LEAST_SCALE), F.abs(F.col("total")) / MONTHS, F.abs("worst"), F.abs("best"))
+    value = F.lit(None).cast("double")
+    for name, m in models.items():
+        if m.signed:
+            v = F.abs(scale * m.signed[0] + scale * m.signed[1] * normal("month", "_j")) * F.when(F.col("_j") < F.col("positive"), 1.0).otherwise(-1.0)
+        else:
+            mu = normal("drift") * scale * m.drift if m.drift is not None else mean * within("factor", *m.factor) * one_of("level", m.factors) - within("cost", *m.cost)
+            draw = normal("block", (F.col("_j") % m.block[0]).cast("string")) if m.block else normal("month", "_j")
+            v = mu + scale * (m.sigma * one_of("sigma", m.sigmas)) * draw
+            v = v + scale * m.block[1] * normal("month", "_j") if m.block else v
+            v = F.when(F.col("_j") < one_of("out", m.held_out), 0.0).otherwise(-v if m.flipped else v)
+        value = F.when(F.col("model") == name, v).otherwise(value)
+    return x.withColumn("_v", value).groupBy(key, "model", "round").agg(F.sum("_v").alias("total"), F.count(F.when(F.col("_v") > 0, 1)).alias("positive"))

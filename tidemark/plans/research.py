@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.functions import quality, scalars, stats, studies
+from tidemark.functions import nulls, quality, scalars, stats, studies
 from tidemark.operators import folds, rolling, series
 from tidemark.operators.shared import fresh_path
 from tidemark.plans.evaluation import _t_p, _trades
 from tidemark.plans.registry import BARS, PNL, SQL, bars, near, query, r, t
+from tidemark.plans.replays import _of
 from tidemark.sources import sinks
 from tidemark.streaming import flows
 
@@ -280,3 +281,27 @@ def cooldown_by_delay(spark, d):
     e = t(spark, d, "events").select("event_id", "event_type", "ts", F.explode(F.array(F.lit(0), F.lit(1), F.lit(3))).alias("delay")).where("event_id % (delay + 1) = 0")
     kept = series.cooldown(e, ["event_type", "delay"], "ts", 6 * 3600, "event_id")
     return kept.groupBy("event_type", "delay").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("event_id").alias("ids"))
+
+
+def _model_sql(name: str, m: nulls.MonthModel) -> str:
+    of = lambda what, *more: _of(f"mon-{what}", "side", f"'{name}'", "round", *more)
+    normal = lambda what, *more: f"(sqrt(-2 * ln(greatest({_of(f'mon-{what}-u', 'side', chr(39) + name + chr(39), 'round', *more)}, 1e-12))) * cos(2 * 3.141592653589793::DOUBLE * {_of(f'mon-{what}-v', 'side', chr(39) + name + chr(39), 'round', *more)}))"
+    one = lambda what, values: f"{list(values)}[floor({of(what)} * {len(values)})::INTEGER + 1]" if len(values) > 1 else str(values[0])
+    within = lambda what, lo, hi: f"({lo} + {hi - lo} * {of(what)})" if hi > lo else str(lo)
+    if m.signed:
+        v = f"abs(scale * {m.signed[0]} + scale * {m.signed[1]} * {normal('month', 'j')}) * CASE WHEN j < positive THEN 1.0 ELSE -1.0 END"
+    else:
+        mu = f"{normal('drift')} * scale * {m.drift}" if m.drift is not None else f"total / 12 * {within('factor', *m.factor)} * {one('level', m.factors)} - {within('cost', *m.cost)}"
+        v = f"{mu} + scale * {m.sigma} * {one('sigma', m.sigmas)} * " + (f"{normal('block', f'(j % {m.block[0]})')} + scale * {m.block[1]} * {normal('month', 'j')}" if m.block else normal("month", "j"))
+        v = f"CASE WHEN j < {one('out', m.held_out)} THEN 0 ELSE {'-' if m.flipped else ''}({v}) END"
+    return f"SELECT side, '{name}' AS model, round, ({v})::DOUBLE AS v FROM g"
+
+
+@query(f"""WITH m AS (SELECT side, month(o_orderdate) AS k, round(sum(net), 4) AS v FROM ({PNL}) GROUP BY ALL), b AS (SELECT side, sum(v)::DOUBLE AS total, count(*) FILTER (v > 0) AS positive, min(v) AS worst, max(v) AS best FROM m GROUP BY 1),
+g AS (SELECT b.*, greatest(250.0, abs(total) / 12, abs(worst), abs(best))::DOUBLE AS scale, round, j FROM b, (SELECT unnest(range(0, 15)) AS round), (SELECT unnest(range(0, 12)) AS j)), x AS ({" UNION ALL ".join(_model_sql(k, m) for k, m in nulls.MONTH_MODELS.items())})
+SELECT side, model, round::INTEGER AS round, round(sum(v), 4) AS total, count(*) FILTER (v > 0) AS positive FROM x GROUP BY ALL""")
+def month_models(spark, d):
+    """A year of made-up months of each side, by twelve models."""
+    m = _trades(spark, d).groupBy("side", F.month("o_orderdate").alias("k")).agg(F.round(F.sum("net"), 4).alias("v"))
+    b = m.groupBy("side").agg(F.sum("v").alias("total"), F.count(F.when(F.col("v") > 0, 1)).alias("positive"), F.min("v").alias("worst"), F.max("v").alias("best"))
+    return nulls.model_months(b, "side", nulls.MONTH_MODELS, 15, "mon").select("side", "model", "round", r("total", places=4), "positive")
