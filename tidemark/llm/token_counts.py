@@ -10,6 +10,7 @@ does or the two chunks have become one.
 Counts are the library's (see _tokens). One task reads each document once; nothing is shuffled.
 
 Edge cases: null or empty text has 0 bytes and 0 tokens. Rows that repeat come out as often as they come in. A null doc_id is kept.
+An empty table gives no rows. Further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -16,7 +16,7 @@ Documents are range-partitioned by id before they are encoded, so one shuffle of
 block is counted, ranked and written by the task that encoded it. Spark's committer makes the writing safe against lost tasks.
 
 Edge cases: a null or empty text has only the end id. Rows that repeat a doc_id are all kept, next to each other, ordered by
-the hash of their text. A null doc_id sorts first. An empty table makes an empty file set.
+the hash of their text. A null doc_id sorts first. An empty table makes an empty file set. Further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -17,7 +17,8 @@ PAIRS at a time. Each radius is one job, written to the shared folder, and there
 Edge cases: a null vector, or one with a null or NaN anywhere, or of another length than most (the shorter of two as
 frequent), has no code: it is not found and finds nothing. A query's own row counts as a row. Ties go to the smaller id. Fewer
 than k rows give all of them. Rows that repeat an id are one entry for each different code; a query id with several codes
-has the k nearest over all of them, as in ORACLE_SQL. Queries of one code are searched once.
+has the k nearest over all of them, as in ORACLE_SQL. Queries of one code are searched once. An empty table on either side gives no
+rows. Further columns of the vectors are ignored, whatever their names.
 """
 
 from __future__ import annotations
