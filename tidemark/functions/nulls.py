@@ -83,8 +83,8 @@ def bootstrap(rows: DataFrame, by: Sequence[str], order: Sequence[str], value: s
 
     block 1: each row counts a Poisson number of times (mean 1), as in a sample with replacement of a large group, and the mean is over all that counts; flip: rows stay
     and their signs are drawn. Both draw from the hash of round and `order` (which has to name a row), so that rows are only added up where they are read.
-    block over 1: as many rows as the group has, in circular blocks of `block` rows from drawn places. What each block can add up to is known once for every place, and only the drawn
-    places, one for each block and round, meet it.
+    block over 1: as many rows as the group has, in circular blocks of `block` rows from drawn places; running sums are taken once, and only the drawn places, one for each
+    block and round, meet them. Rows of a null in `by` take no part in blocks.
     """
     x = rows.where(F.col(value).isNotNull())
     if block > 1:
@@ -100,17 +100,25 @@ def bootstrap(rows: DataFrame, by: Sequence[str], order: Sequence[str], value: s
     return r.groupBy(*by, "round").agg((F.sum(F.col("_v") * F.col("_times")) / F.sum("_times")).alias("mean"))
 
 
+#: rows of a group whose sums are run up in one go
+RUN = 4096
+
+
 def _circular(x: DataFrame, by: Sequence[str], value: str, n: int, seed: str, block: int) -> DataFrame:
-    x = x.select(*by, "_i", "_n", F.col(value).alias("_v"))
-    # a row is part of the blocks that begin at it and at the block - 1 rows before
-    sums = x.select(*by, F.explode(F.transform(F.sequence(F.lit(0), F.lit(block - 1)), lambda t: F.pmod(F.col("_i") - t, F.col("_n")))).alias("_i"), "_v").groupBy(*by, "_i").agg(F.sum("_v").alias("_v"))
-    start = lambda: F.floor(uniform(seed, "round", *by, F.floor(F.col("_i") / block)) * F.col("_n"))
-    whole = F.col("_i") < F.floor(F.col("_n") / block) * block
-    draws = rounds(x.where(whole & (F.col("_i") % block == 0)).select(*by, "_i", "_n"), n).select("round", *by, start().alias("_i"))
-    rest = rounds(x.where(~whole).select(*by, "_i", "_n"), n).select("round", *by, F.pmod(start() + F.col("_i") % block, F.col("_n")).alias("_i"))  # under a block's rows a round
-    got = draws.join(sums, [*by, "_i"]).select("round", *by, "_v").unionByName(rest.join(x.drop("_n"), [*by, "_i"]).select("round", *by, "_v"))
+    """What a block adds up to is the difference of two running sums, so a drawn block is two or three looks at them, whatever its length."""
+    x = x.select(*by, "_i", "_n", F.col(value).alias("_v"), F.floor(F.col("_i") / RUN).alias("_run"))
+    before = Window.partitionBy(*by).orderBy("_run")
+    runs = x.groupBy(*by, "_run").agg(F.sum("_v").alias("_r")).withColumn("_r", F.sum("_r").over(before) - F.col("_r"))  # a row for each RUN rows
+    upto = beside(x, runs, [*by, "_run"], "inner").select(*by, (F.col("_i") + 1).alias("_k"), (F.col("_r") + F.sum("_v").over(Window.partitionBy(*by, "_run").orderBy("_i"))).alias("_p"))
+    start = F.floor(uniform(seed, "round", *by, F.floor(F.col("_i") / block)) * F.col("_n"))
+    draws = rounds(x.where(F.col("_i") % block == 0).select(*by, "_i", "_n"), n).withColumn("_s", start).withColumn("_e", F.col("_s") + F.least(F.lit(block), F.col("_n") - F.col("_i")))
+    look = lambda k, sign: F.struct(k.alias("_k"), F.lit(sign).alias("_sign"))
+    over = F.col("_e") > F.col("_n")  # goes on at the group's begin
+    looks = F.array(look(F.col("_s"), -1), look(F.when(over, F.col("_e") - F.col("_n")).otherwise(F.col("_e")), 1), look(F.when(over, F.col("_n")), 1))
+    looks = draws.select("round", *by, F.explode(looks).alias("_l")).select("round", *by, "_l.*")
+    got = looks.join(upto, [*by, "_k"]).groupBy(*by, "round").agg(F.sum(F.col("_p") * F.col("_sign")).alias("_p"))
     sizes = x.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    return beside(got.groupBy(*by, "round").agg(F.sum("_v").alias("_v")), sizes, by, "inner").select(*by, "round", (F.col("_v") / F.col("_n")).alias("mean"))
+    return beside(got, sizes, by, "inner").select(*by, "round", (F.col("_p") / F.col("_n")).alias("mean"))
 
 
 def difference_interval(rows: DataFrame, by: Sequence[str], order: Sequence[str], value: str, flag: Column, n: int, seed: str, low: float = 0.025, high: float = 0.975) -> DataFrame:
