@@ -50,7 +50,10 @@ def _who(docs: DataFrame, id_col: str, text_col: str) -> list[Column]:
 def line_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each line that has a key: its two hashes, document and place (from 0)."""
     lines = docs.select(*_who(docs, id_col, text_col)).select("no_id", "id", "text_hash", F.posexplode(F.split("text", "\n", -1)).alias("place", "line"))
-    keyed = lines.withColumn("key", F.translate(F.btrim("line", F.lit(_SPACE)), _UPPER, _LOWER)).where("key <> ''")
+    bare = F.btrim("line", F.lit(_SPACE))
+    # lower() would change letters beyond ASCII too, but on ASCII it is the same, and faster
+    ascii_ = F.octet_length("bare") == F.char_length("bare")
+    keyed = lines.withColumn("bare", bare).where("bare <> ''").withColumn("key", F.when(ascii_, F.lower("bare")).otherwise(F.translate("bare", _UPPER, _LOWER)))
     return keyed.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(12), "key").alias("h2"), "no_id", "id", "text_hash", F.col("place").cast("long").alias("place"))
 
 
