@@ -210,11 +210,11 @@ def robustness_table(spark, d):
 
 
 @query(f"""{_B}, s AS (SELECT bar, close AS p, n FROM b WHERE event_type = 'view' AND close > 0), q AS (SELECT bar, close AS p, n FROM b WHERE event_type = 'click' AND close > 0), f AS (SELECT bar, sum(total) / 1e6 AS paid FROM b WHERE event_type = 'purchase' GROUP BY 1),
-x AS (SELECT s.bar, s1.p / s.p - 1 AS sr, -(q1.p / q.p - 1) AS pr, coalesce(paid, 0) AS paid, q.p / s.p - 1 AS basis FROM s JOIN q USING (bar) JOIN s s1 ON s1.bar = s.bar + INTERVAL 1 HOUR JOIN q q1 ON q1.bar = s1.bar LEFT JOIN f ON f.bar = s.bar WHERE s.n >= 2 AND q.n >= 2)
+x AS (SELECT s.bar, s1.p / s.p - 1 AS sr, -(q1.p / q.p - 1) AS pr, coalesce(paid, 0) AS paid, q.p / s.p - 1 AS basis FROM s JOIN q USING (bar) JOIN s s1 ON s1.bar = s.bar + INTERVAL 1 HOUR JOIN q q1 ON q1.bar = s1.bar LEFT JOIN f ON f.bar = s.bar WHERE s.n >= 1 AND q.n >= 1)
 SELECT bar::TIMESTAMP AS bar, round(sr + pr, 5) AS price_component, round(paid, 9) AS cash_flow, round(sr + pr + paid, 5) AS gross, round(basis, 5) AS basis FROM x""")
 def carry_components(spark, d):
     """Price component and cash flow of a hedged pair, hour by hour."""
-    b = bars(spark, d).withColumns({"pair": F.lit("pair"), "full": F.col("n") >= 2, "rate": F.col("total") / 1e6})
+    b = bars(spark, d).withColumns({"pair": F.lit("pair"), "full": F.col("n") >= 1, "rate": F.col("total") / 1e6})
     of = lambda k: b.where(F.col("event_type") == k)
     c = studies.carry_components(of("view"), of("click"), of("purchase"), "pair", "bar", "close", 3600, "rate", "full")
     return c.select("bar", r("price_component", places=5), r("cash_flow", places=9), r("gross", places=5), r("basis", places=5))
