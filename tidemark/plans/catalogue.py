@@ -235,7 +235,7 @@ def event_motifs(spark, d):
     return folds.motifs(_t(spark, d, "events"), "user_id", ["ts", "event_id"], "event_type", 3)
 
 
-from tidemark.plans import evaluation, frames, panels, relations, replays, research  # noqa: E402, F401  (their queries register themselves)
+from tidemark.plans import evaluation, frames, panels, relations, replays, research, storage  # noqa: E402, F401  (their queries register themselves)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

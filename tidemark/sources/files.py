@@ -9,14 +9,25 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 ZIP_ROWS = 50_000
+#: quotes within quotes are doubled, spaces at the ends stay, and instants keep their microseconds: what is written is read back unchanged
+CSV_FORM = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
+            "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 
 
-def csv(spark: SparkSession, path: str | list[str], schema: str, strict: bool = True) -> DataFrame:
+def csv(spark: SparkSession, path: str | list[str], schema: str, strict: bool = True, line_breaks: bool = False) -> DataFrame:
     """CSV with a header, plain or gzipped. strict: a file whose header differs from the schema, or a row that doesn't parse, fails the read; else such rows go.
 
-    Spark parses the columns that a query asks for: a bare count() sees all rows, so count a selection's rows after it.
+    line_breaks: quoted values may hold line breaks; a file is then one task's work. Instants may be written in any ISO form. Quotes within quotes are doubled.
+    Empty strings are read as nulls: CSV doesn't tell them apart. Spark parses the columns that a query asks for: a bare count() sees all rows, so count a selection's rows after it.
     """
-    return spark.read.schema(schema).option("header", True).option("enforceSchema", not strict).option("mode", "FAILFAST" if strict else "DROPMALFORMED").csv(path)
+    reader = spark.read.schema(schema).option("header", True).option("escape", '"').option("multiLine", line_breaks)
+    return reader.option("enforceSchema", not strict).option("mode", "FAILFAST" if strict else "DROPMALFORMED").csv(path)
+
+
+def stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """What sinks.write_table() left at a path: Parquet, or CSV under the schema where the rows had a type that Parquet has not."""
+    parquet = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path).select("path")  # a listing: no content is read
+    return csv(spark, path, schema, line_breaks=True) if parquet.isEmpty() else spark.read.parquet(path)
 
 
 def json_lines(spark: SparkSession, path: str | list[str], schema: str) -> tuple[DataFrame, DataFrame]:
@@ -28,10 +39,15 @@ def json_lines(spark: SparkSession, path: str | list[str], schema: str) -> tuple
 
 
 def zipped_csv(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
-    """All rows of the CSV members of ZIP archives, as strings with their archive and member; a first row that repeats the column names is a header.
+    """unzipped() of the ZIP archives under a path."""
+    return unzipped(spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").option("recursiveFileLookup", True).load(path), columns)
+
+
+def unzipped(archives: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """All rows of the CSV members of ZIP archives (path, content), as strings with their archive and member; a first row that repeats the column names is a header.
 
     An archive is one task's work (ZIP can't be split) and is held compressed; its rows leave in batches of ZIP_ROWS. Rows of
-    another width fail the read.
+    another width fail the read. Archives without content have no rows.
     """
     names = list(columns)
 
@@ -66,8 +82,7 @@ def zipped_csv(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFr
                             yield frame(archive, member, held)
 
     schema = T.StructType([T.StructField(n, T.StringType()) for n in ["archive", "member", *names]])
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").option("recursiveFileLookup", True).load(path).select("path", "content")
-    return files.mapInPandas(rows, schema)
+    return archives.select("path", "content").where(F.length("content") > 0).mapInPandas(rows, schema)
 
 
 def from_path(rows: DataFrame, **patterns: str) -> DataFrame:
@@ -102,7 +117,7 @@ def pairs(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def sample_csv(spark: SparkSession, path: str, rows: int) -> DataFrame:
     """The first rows of a CSV as strings under its header: what a look at a file needs, without a pass for types."""
-    return spark.read.option("header", True).option("inferSchema", False).csv(path).limit(rows)
+    return spark.read.option("header", True).option("escape", '"').option("inferSchema", False).csv(path).limit(rows)
 
 
 def sampled_csv(spark: SparkSession, path: str, rows: int) -> tuple[DataFrame, int]:

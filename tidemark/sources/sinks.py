@@ -10,11 +10,15 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.quantiles import beside
 from tidemark.operators.sections import merged, partials
+from tidemark.sources.files import CSV_FORM
+
+#: instants in JSON keep their microseconds
+JSON_FORM = {k: CSV_FORM[k] for k in ("timestampFormat", "timestampNTZFormat")}
 
 
 def row_hash(rows: DataFrame) -> Column:
     """A row's sha256 over its columns by name, as JSON with nulls kept."""
-    return F.sha2(F.to_json(F.struct(*sorted(rows.columns)), {"ignoreNullFields": "false"}), 256)
+    return F.sha2(F.to_json(F.struct(*sorted(rows.columns)), {"ignoreNullFields": "false", **JSON_FORM}), 256)
 
 
 def digests(rows: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -57,7 +61,7 @@ def unbuilt(rows: DataFrame, manifest: str, by: Sequence[str], schema: str | Non
 
 def append_json(rows: DataFrame, path: str) -> None:
     """Rows as JSON lines with their hash."""
-    rows.withColumn("hash", row_hash(rows)).write.mode("append").json(path)
+    rows.withColumn("hash", row_hash(rows)).write.mode("append").options(**JSON_FORM).json(path)
 
 
 def size_estimate(sampled: DataFrame, units_total: int, unit: Sequence[str], bytes_per_row: float) -> DataFrame:
@@ -68,13 +72,26 @@ def size_estimate(sampled: DataFrame, units_total: int, unit: Sequence[str], byt
 
 def append_csv(rows: DataFrame, path: str, gzip: bool = False) -> None:
     """Rows as CSV files with a header, added to what is there."""
-    rows.write.mode("append").option("header", True).option("compression", "gzip" if gzip else "none").csv(path)
+    rows.write.mode("append").options(**CSV_FORM).option("compression", "gzip" if gzip else "none").csv(path)
+
+
+def write_table(rows: DataFrame, path: str) -> str:
+    """Overwrites a path with Parquet, or, where a column's type has no form there (a calendar interval), with CSV of the columns as text; tells which. files.stored() reads either."""
+    try:
+        rows.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        return "parquet"
+    except AnalysisException as e:
+        if e.getCondition() != "UNSUPPORTED_DATA_TYPE_FOR_DATASOURCE":
+            raise
+    odd = [f.name for f in rows.schema if f.dataType.simpleString() == "interval"]
+    rows.withColumns({c: F.col(c).cast("string") for c in odd}).write.mode("overwrite").options(**CSV_FORM).option("compression", "gzip").csv(path)
+    return "csv"
 
 
 def write_panel(rows: DataFrame, path: str, index: str, key: str, ts: str) -> None:
     """A gzipped CSV panel, a folder a key, and an index of rows, first and last instant by key, taken from what was written."""
-    rows.repartition(key).sortWithinPartitions(key, ts).write.partitionBy(key).mode("overwrite").option("header", True).option("compression", "gzip").csv(path)
-    written = rows.sparkSession.read.option("header", True).schema(rows.schema).csv(path)
+    rows.repartition(key).sortWithinPartitions(key, ts).write.partitionBy(key).mode("overwrite").options(**CSV_FORM).option("compression", "gzip").csv(path)
+    written = rows.sparkSession.read.option("header", True).option("escape", '"').schema(rows.schema).csv(path)
     written.groupBy(key).agg(F.count(F.lit(1)).alias("n_rows"), F.min(ts).alias("first"), F.max(ts).alias("last")).write.mode("overwrite").parquet(index)
 
 

@@ -107,8 +107,8 @@ def closed_bars(candles: DataFrame, ts: str, confirm: str, width_s: int, now: st
 
 
 def observed(rows: DataFrame, name: str, ts: str) -> DataFrame:
-    """rows with a heartbeat: rows, the newest instant and rows without a time, given to listeners with every micro-batch (or batch) under `name`."""
-    return rows.observe(name, F.count(F.lit(1)).alias("n_rows"), F.max(ts).alias("newest"), F.count(F.when(F.col(ts).isNull(), 1)).alias("without_time"))
+    """rows with a heartbeat: rows, the newest instant (newest_us: to the microsecond, which a progress report's text leaves out) and rows without a time, given to listeners with every micro-batch (or batch) under `name`."""
+    return rows.observe(name, F.count(F.lit(1)).alias("n_rows"), F.max(ts).alias("newest"), F.max(F.unix_micros(F.col(ts).cast("timestamp"))).alias("newest_us"), F.count(F.when(F.col(ts).isNull(), 1)).alias("without_time"))
 
 
 def started(flow: DataFrame, path: str, checkpoint: str, every: str | None = None):
