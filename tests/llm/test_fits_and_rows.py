@@ -32,6 +32,35 @@ def test_language_held_out(spark, docs):
     assert rows.score.between(0, 1).all()
 
 
+def test_language_equals_one_text_at_a_time(spark, docs):
+    """Every prediction and margin, by compressing each piece of each text with a coder made for it alone."""
+    import unicodedata
+
+    import zstandard
+
+    train = docs.where(~language_id.held_out())
+    model = language_id.learn(train)
+    assert sorted(model) == sorted({r.lang for r in train.where("lang IS NOT NULL AND length(text) > 0").select("lang").distinct().collect()})
+    got = {r.doc_id: (r.lang_pred, round(r.margin, 9)) for r in language_id.language_id(docs, model).collect()}
+
+    def size(text, known):
+        d = zstandard.ZstdCompressionDict(known, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        coder = zstandard.ZstdCompressor(level=language_id.LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
+        d.precompute_compress(level=language_id.LEVEL)
+        data = text.encode()
+        return sum(len(coder.compress(data[a : a + language_id.PIECE])) for a in range(0, len(data), language_id.PIECE))
+
+    rows, n = docs.select("doc_id", "text").orderBy("doc_id").toPandas(), 0
+    for i, text in zip(rows.doc_id, rows.text):
+        if not text or not any(unicodedata.category(c)[0] == "L" for c in text):
+            assert got[i] == ("und", 0.0)
+            continue
+        sizes = sorted((size(text, known), lang) for lang, known in model.items())
+        assert got[i] == (sizes[0][1], round(sizes[1][0] / sizes[0][0] - 1, 9)), i
+        n += 1
+    assert n > 100
+
+
 def test_language_odd_rows(spark, docs):
     model = language_id.learn(docs)
     odd = [(1, "½ ²"), (2, None), (3, ""), (4, "123 . !"), (5, "é"), (5, "é"), (None, "la maison " * 40000)]
