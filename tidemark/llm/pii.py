@@ -4,7 +4,7 @@ Base spans are found by fixed patterns and checks, and always stay. Around them
 telephone numbers without a plus sign, addresses written with "(at)", cards with other separators. A text is cut into
 regions that could hold such a thing at all (runs of digit groups; words around an at-mark). In a region, atoms are digit
 groups or words. A candidate is a run of at most MAX_ATOMS atoms and MAX_CHARS characters, scored as a whole by features of
-the span (digits, groups, separators, checksum, what stands left of it). Dynamic programming over the atoms chooses boundaries and kinds
+the span (digits, groups, separators, checksum, what stands left of it). Dynamic programming over the candidates of all regions chooses boundaries and kinds
 together; an atom outside every span scores 0. A span is reported when its score is at least MARGIN and it touches no base span.
 
 The weights are trained by gradient ascent on the likelihood of whole segmentations (forward and backward sums over the same
@@ -165,7 +165,7 @@ def features(text: str, start: int, end: int, kind: str) -> list[str]:
 
 
 def decode(text: str, weights: dict[str, float], taken: list[tuple[int, int]] = ()) -> list[tuple[str, int, int, float]]:
-    """The best segmentation of every region, away from `taken`: (kind, start, end, score)."""
+    """The best segmentation of the regions, away from `taken`: (kind, start, end, score). Regions of different kinds can overlap: their spans can't."""
     out = []
     taken = sorted(taken)
     starts, ends_ = [s for s, _ in taken], []
@@ -176,31 +176,45 @@ def decode(text: str, weights: dict[str, float], taken: list[tuple[int, int]] =
         k = bisect.bisect_left(starts, b)  # those that begin before b; the last end among them
         return k > 0 and ends_[k - 1] > a
 
+    spans: list[tuple[int, int, str, float]] = []
     for kind, atoms in regions(text):
         atoms = [a for a in atoms if not touched(*a)]
-        if not atoms:
-            continue
-        ends: dict[int, list] = {}
         for i, j, k, f in candidates(text, kind, atoms):
-            if touched(atoms[i][0], atoms[j - 1][1]):
-                continue
-            ends.setdefault(j, []).append((i, k, sum(weights.get(x, 0.0) for x in f)))
-        best, back = [0.0], [None]
-        for j in range(1, len(atoms) + 1):
-            top, way = best[j - 1], None
-            for i, k, s in ends.get(j, ()):
-                if s >= MARGIN and best[i] + s > top:
-                    top, way = best[i] + s, (i, k, s)
-            best.append(top)
-            back.append(way)
-        j = len(atoms)
-        while j:
-            if back[j] is None:
-                j -= 1
-            else:
-                i, k, s = back[j]
-                out.append((k, atoms[i][0], atoms[j - 1][1], s))
-                j = i
+            a, b = atoms[i][0], atoms[j - 1][1]
+            s = 0.0 if touched(a, b) else sum(weights.get(x, 0.0) for x in f)
+            if s >= MARGIN:
+                spans.append((a, b, k, s))
+    spans.sort(key=lambda x: x[:2])
+    # runs of spans that overlap, of whatever region, are chosen from together
+    run: list[tuple[int, int, str, float]] = []
+    reach = 0
+    for x in spans:
+        if run and x[0] >= reach:
+            out += _chosen(run)
+            run = []
+        run.append(x)
+        reach = max(reach, x[1])
+    return out + _chosen(run)
+
+
+def _chosen(run: list[tuple[int, int, str, float]]) -> list[tuple[str, int, int, float]]:
+    """Of spans (start, end, kind, score), those that don't overlap and have the largest sum of scores; of equal sums the one whose spans end first."""
+    run = sorted(run, key=lambda x: (x[1], x[0]))
+    ends = [x[1] for x in run]
+    best, way = [0.0], []
+    for a, _, _, s in run:
+        i = bisect.bisect_right(ends, a)  # spans that end before this one begins
+        here = best[i] + s
+        way.append(i if here > best[-1] else -1)
+        best.append(max(best[-1], here))
+    out, n = [], len(run)
+    while n:
+        if way[n - 1] < 0:
+            n -= 1
+        else:
+            a, b, k, s = run[n - 1]
+            out.append((k, a, b, s))
+            n = way[n - 1]
     return out
 
 
