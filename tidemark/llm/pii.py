@@ -112,7 +112,9 @@ def regions(text: str) -> Iterator[tuple[str, list[tuple[int, int]]]]:
                 break
             end = m.end() + s.end()
         if start < m.start() and end > m.end():
-            yield "address", [(s.start(), s.end()) for s in _SOLID.finditer(text, start, end)]
+            # the mark that ends a sentence is no part of a word
+            ends = [(s.start(), s.start() + len(s.group().rstrip(".,;:!?\"'"))) for s in _SOLID.finditer(text, start, end)]
+            yield "address", [(a, b) for a, b in ends if b > a]
             last = m.end()
 
 
