@@ -247,3 +247,10 @@ def test_controls_without_candidates(spark):
     assert got["flipped"].any_strict == 0.0 and got["flipped"].p_best == 1 / 21 and got["flipped"].risk == "LOW"
     alone = replays.control_baseline(controls.where("k = 4"), controls.limit(0), modes, 4, "t", ["k"]).collect()
     assert {r.mode for r in alone} == set(modes)
+
+
+def test_garman_klass_over_a_bad_bar(spark):
+    """A bar that reaches down to 0 leaves no volatility in the windows that hold it, not one of 0."""
+    x = panel(spark, [10.0 + i % 3 for i in range(12)]).withColumns({"open": F.col("v"), "close": F.col("v"), "high": F.col("v") + 1, "low": F.when(F.hour("ts") == 5, 0.0).otherwise(F.col("v") - 1)})
+    got = column(rolling.garman_klass(x, "key", "ts", 3, 3600), "gk_vol")
+    assert [v is None for v in got] == [i < 2 or 5 <= i <= 7 for i in range(12)] and all(v > 0 for v in got if v is not None)

@@ -115,7 +115,8 @@ def garman_klass(panel: DataFrame, key: str, ts: str, n: int, step_s: float, nam
     gk, whole = spare(panel, "_gk", "_whole")
     out = panel.withColumn(gk, 0.5 * term(h, l) - (2 * F.log(F.lit(2.0)) - 1) * term(c, o)).withColumn(whole, contiguous(key, ts, n, step_s))
     total = full_sum(gk, key, ts, n)
-    return out.withColumn(name, F.when(F.col(whole), F.sqrt(F.greatest(total, F.lit(0.0))))).drop(gk, whole)
+    # greatest skips nulls: a window with a bad bar is none of variance 0
+    return out.withColumn(name, F.when(F.col(whole) & total.isNotNull(), F.sqrt(F.greatest(total, F.lit(0.0))))).drop(gk, whole)
 
 
 def mean_range(panel: DataFrame, key: str, order: str, high: str, low: str, close: str, n: int, name: str = "atr_sma") -> DataFrame:
