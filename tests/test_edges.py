@@ -254,3 +254,17 @@ def test_garman_klass_over_a_bad_bar(spark):
     x = panel(spark, [10.0 + i % 3 for i in range(12)]).withColumns({"open": F.col("v"), "close": F.col("v"), "high": F.col("v") + 1, "low": F.when(F.hour("ts") == 5, 0.0).otherwise(F.col("v") - 1)})
     got = column(rolling.garman_klass(x, "key", "ts", 3, 3600), "gk_vol")
     assert [v is None for v in got] == [i < 2 or 5 <= i <= 7 for i in range(12)] and all(v > 0 for v in got if v is not None)
+
+
+def test_sides_paid_whatever_the_order_of_rows(spark, tmp_path):
+    """Sums of doubles are taken by key: trades that cancel leave a rest whose sign hangs on the order."""
+    from tidemark.operators import tables
+    from tidemark.plans import catalogue
+
+    rows = spark.createDataFrame([("a", 3, "long", -1e16), ("a", 2, "long", 1e16), ("a", 1, "long", 1.0), ("a", 4, "short", 5.0), ("b", 3, "long", 1.0), ("b", 2, "long", -1e16), ("b", 1, "long", 1e16), ("c", 1, "short", 1.0)], "k string, i int, s string, v double")
+    got = {r.k: (r.pays, r.sides) for r in tables.sides_paid(rows, ["k"], ["i"], "s", "v", "long").collect()}
+    assert got == {"a": (False, 2), "b": (True, 1), "c": (False, 1)}
+    orders = spark.read.parquet("/root/testdata/sf0.1/orders.parquet")
+    orders.repartition(7).sortWithinPartitions(F.desc("o_orderkey")).write.parquet(str(tmp_path / "orders.parquet"))
+    flags = lambda d: {tuple(r) for r in catalogue.queries()["side_flags"](spark, d).collect()}
+    assert flags(str(tmp_path)) == flags("/root/testdata/sf0.1")

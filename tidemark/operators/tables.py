@@ -90,9 +90,15 @@ def vetoes(panel: DataFrame, key: str, at: str, price: str, pair: tuple[str, str
     return x.groupBy(at).agg(F.concat_ws(",", *[F.when(c, k) for k, c in why.items()]).alias("reasons"))
 
 
-def sides_paid(rows: DataFrame, by: Sequence[str], side: str, value: str, paid: str) -> DataFrame:
-    """pays (whether the rows of one side sum to more than 0) and sides (how many there are) by group."""
-    return rows.groupBy(*by).agg((F.coalesce(F.sum(F.when(F.col(side) == paid, F.col(value))), F.lit(0.0)) > 0).alias("pays"), F.count_distinct(side).alias("sides"))
+def sides_paid(rows: DataFrame, by: Sequence[str], order: Sequence[str], side: str, value: str, paid: str) -> DataFrame:
+    """pays (whether the rows of one side sum to more than 0) and sides (how many there are) by group.
+
+    Rows are added up in `order`: doubles that cancel leave a rest whose sign hangs on the order, which that of a distributed sum is not fixed.
+    """
+    (total,) = spare(rows, "_total")
+    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    x = rows.select(*by, *[c for c in order if c not in by], side, F.when(F.col(side) == paid, F.col(value)).alias(total)).withColumn(total, F.sum(total).over(w))
+    return x.groupBy(*by).agg((F.coalesce(F.max(total), F.lit(0.0)) > 0).alias("pays"), F.count_distinct(side).alias("sides"))
 
 
 def cube_levels(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:

@@ -205,4 +205,4 @@ def side_flags(spark, d):
     from tidemark.plans.catalogue import _trades
 
     x = _trades(spark, d).withColumn("side", F.when(F.col("o_orderkey") % 2 == 0, "long").otherwise("short"))
-    return tables.sides_paid(x, ["o_custkey"], "side", "net", "long").select("o_custkey", F.col("pays").alias("long_pays"), "sides")
+    return tables.sides_paid(x, ["o_custkey"], ["o_orderkey"], "side", "net", "long").select("o_custkey", F.col("pays").alias("long_pays"), "sides")
