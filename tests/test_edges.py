@@ -286,3 +286,25 @@ def test_block_ids_equal_sql_at_the_turn_of_a_week(spark, tmp_path):
     got = [tuple(r) for r in catalogue.queries()["block_ids"](spark, str(tmp_path)).orderBy("event_id").collect()]
     want = db.execute(f"SELECT event_type, week, chunk, event_id FROM ({catalogue.oracle_sql()['block_ids']}) ORDER BY event_id").fetchall()
     assert got == want
+
+
+def test_placebo_hashes_rows_once(spark):
+    """What is left after the sums of ranks are kept is a row a round; values that repeat two million times do not overflow."""
+    rows = spark.range(2_200_000).select("id", F.when(F.col("id") % 100 == 0, F.col("id").cast("double")).otherwise(0.0).alias("v"), (F.col("id") % 3 == 0).alias("f"))
+    got = nulls.placebo(rows, "id", "v", F.col("f"), 2, "p")
+    assert "md5" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert got.first().rounds == 2 and got.first().p > 0.05
+    none = nulls.placebo(rows.limit(0), "id", "v", F.col("f"), 2, "p").first()
+    assert none.rounds == 0 and none.significant is None
+    alone = nulls.placebo(rows.limit(50), "id", "v", F.lit(False), 3, "p").first()
+    assert alone.rounds == 3 and alone.significant == 0
+
+
+def test_mean_ranks_over_ranges(spark):
+    counts = spark.createDataFrame([(float(v), v % 7 + 1, v % 3) for v in range(500)], "v double, n long, m long")
+    want, a, b = {}, 0, 0
+    for v in range(500):
+        n, m = v % 7 + 1, v % 3
+        want[float(v)] = (a + (n + 1) / 2, b + (m + 1) / 2)
+        a, b = a + n, b + m
+    assert {r.v: (r.all, r.some) for r in nulls.mid_ranks(counts.repartition(5), "v", {"all": "n", "some": "m"}).collect()} == want

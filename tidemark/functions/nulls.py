@@ -9,8 +9,9 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.stats import dealt, drawn, seeded
+from tidemark.functions.stats import dealt, drawn_sums, seeded
 from tidemark.operators.quantiles import beside, numbered
+from tidemark.operators.shared import kept
 
 
 def uniform(seed: str, *parts: str | Column) -> Column:
@@ -143,7 +144,17 @@ def _from_counts(c: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     w = Window.partitionBy(*by).orderBy(value)
     t = F.col("_a") + F.col("_b")
     c = c.withColumn("_rank", F.sum(t).over(w) - (t - 1) / 2)
-    s = c.groupBy(*by).agg(F.sum("_a").alias("n1"), F.sum("_b").alias("n2"), F.sum(F.col("_a") * F.col("_rank")).alias("_r1"), F.sum((t * t * t - t).cast("double")).alias("_ties"))
+    return _tested(c.groupBy(*by).agg(F.sum("_a").alias("n1"), F.sum("_b").alias("n2"), F.sum(F.col("_a") * F.col("_rank")).alias("_r1"), _ties(t).alias("_ties")))
+
+
+def _ties(t: Column) -> Column:
+    """Sum of t cubed less t, in doubles: the cube of two million leaves no room in a long."""
+    t = t.cast("double")
+    return F.sum(t * t * t - t)
+
+
+def _tested(s: DataFrame) -> DataFrame:
+    """u, z, p and effect from n1, n2, the sum of ranks and the ties' sum."""
     n1, n2 = F.col("n1"), F.col("n2")
     n = n1 + n2
     s = s.withColumn("u", F.col("_r1") - n1 * (n1 + 1) / 2)
@@ -178,21 +189,29 @@ def synthetic_months(months: DataFrame, value: str, models: Mapping[str, tuple[f
 def placebo(rows: DataFrame, id_col: str, value: str, flag: Column, n: int, seed: str, alpha: float = 0.05) -> DataFrame:
     """rounds, significant: the share of n rounds of shuffled labels whose Mann-Whitney p is under alpha, and the p of the labels as they are. One row."""
     x = rows.where(F.col(value).isNotNull()).select(F.col(id_col).alias("_id"), F.col(value).alias("_v"), flag.alias("_f"))
-    k = x.agg(F.count(F.when(F.col("_f"), 1)).alias("_k"))
-    pool = x.crossJoin(F.broadcast(k))  # one row
-    on = drawn(pool.select("_id", "_v", F.col("_k")), [], seeded(seed, "round", "_id"), F.col("_k"), n).groupBy("round", "_v").agg(F.count(F.lit(1)).alias("_a"))
-    all_ = rounds(x.groupBy("_v").agg(F.count(F.lit(1)).alias("_n")), n)
-    counts = all_.join(on, ["round", "_v"], "left").select("round", "_v", F.coalesce("_a", F.lit(0)).alias("_a"), "_n")
-    # counts by value are all that the test needs: a row a value and round
-    two = counts.select("round", "_v", F.explode(F.array(F.struct(F.lit(True).alias("on"), F.col("_a").alias("c")), F.struct(F.lit(False).alias("on"), (F.col("_n") - F.col("_a")).alias("c")))).alias("s")).select("round", "_v", "s.*")
-    shuffled = mann_whitney_counts(two, ["round"], "_v", "on", "c").agg(F.count(F.lit(1)).alias("rounds"), F.avg((F.col("p") < alpha).cast("int")).alias("significant"))
-    return shuffled.crossJoin(mann_whitney(x, [], "_v", F.col("_f")).select("p"))  # one row each
-
-
-def mann_whitney_counts(counts: DataFrame, by: Sequence[str], value: str, on: str, n: str) -> DataFrame:
-    """mann_whitney() of rows that were counted by value."""
-    c = counts.groupBy(*by, value).agg(F.sum(F.when(F.col(on), F.col(n)).otherwise(0)).alias("_a"), F.sum(F.when(F.col(on), 0).otherwise(F.col(n))).alias("_b"))
-    return _from_counts(c, by, value)
+    counts = x.groupBy("_v").agg(F.count(F.lit(1)).alias("_n"), F.count(F.when(F.col("_f"), 1)).alias("_a"), F.count(F.when(~F.col("_f"), 1)).alias("_b"))
+    c = mid_ranks(counts.withColumn("_m", F.col("_a") + F.col("_b")), "_v", {"_rank": "_n", "_real": "_m"})
+    s = c.agg(F.sum("_a").alias("n1"), F.sum("_b").alias("n2"), F.sum(F.col("_a") * F.col("_real")).alias("_r1"), _ties(F.col("_m")).alias("_ties"), F.sum("_n").alias("_n"), _ties(F.col("_n")).alias("_all"))
+    # labels move, values stay: ranks, sizes and ties are those of every round, only the sum of the drawn rows' ranks is its own
+    ranked = x.select("_id", "_v").join(c.select("_v", "_rank"), "_v")
+    sums = drawn_sums(ranked, s.select(F.col("n1").alias("_k"), "_n"), ("_k", "_n"), [], "_id", "_rank", n, seed).select("round", F.col("total").alias("_r1"))
+    each = rounds(s.where("_n > 0").select("n1", (F.col("_n") - F.col("n1")).alias("n2"), F.col("_all").alias("_ties")), n).join(F.broadcast(sums), "round", "left")  # a row a round
+    shuffled = _tested(each.withColumn("_r1", F.coalesce("_r1", F.lit(0.0)))).agg(F.count(F.lit(1)).alias("rounds"), F.avg((F.col("p") < alpha).cast("int")).alias("significant"))
+    return shuffled.crossJoin(_tested(s.drop("_n", "_all")).select("p"))  # one row each
+
+
+def mid_ranks(counts: DataFrame, value: str, sizes: Mapping[str, str]) -> DataFrame:
+    """counts (a row a value) with the mean rank of a value's rows, ties averaged, by name for each column that holds numbers of rows.
+
+    Values are dealt out by ranges and added up where they lie; only the ranges' totals meet in a window. They are kept once, so that the ranges are the same for both looks.
+    """
+    x = kept(counts.repartitionByRange(value).withColumn("_part", F.spark_partition_id()))
+    before = Window.orderBy("_part")
+    pieces = x.groupBy("_part").agg(*[F.sum(c).alias(f"_to_{c}") for c in sizes.values()])  # a row a range
+    pieces = pieces.select("_part", *[(F.sum(f"_to_{c}").over(before) - F.col(f"_to_{c}")).alias(f"_to_{c}") for c in sizes.values()])
+    upto = Window.partitionBy("_part").orderBy(value)
+    met = beside(x, F.broadcast(pieces), ["_part"], "inner")
+    return met.withColumns({k: F.col(f"_to_{c}") + F.sum(c).over(upto) - (F.col(c) - 1) / 2 for k, c in sizes.items()}).drop("_part", *[f"_to_{c}" for c in sizes.values()])
 
 
 class MonthModel(NamedTuple):

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.operators.carry import carried
 from tidemark.operators.names import spare
 from tidemark.operators.quantiles import beside
+from tidemark.operators.shared import kept
 
 
 def trade_pnl(entry: Column, exit_: Column, notional: Column, side: Column, cost: float) -> Column:
@@ -112,10 +113,21 @@ def permuted_means(events: DataFrame, block: list[str], id_col: str, label: Colu
     event: rows that are events themselves, which no label moves to. Rows that are surely drawn are added up by the tasks that read them; only those near the
     threshold (see drawn) meet in an order.
     """
-    _on, _k, _n, _h, _sure, _v, _c, _r, _m = spare(events, "_on", "_k", "_n", "_h", "_sure", "_v", "_c", "_r", "_m")
+    _on, _k, _n, _r = spare(events, "_on", "_k", "_n", "_r")
     x = events.withColumn(_on, label.cast("long")).withColumn(_r, F.lit(True) if event is None else ~event)
     per = x.groupBy(*block).agg(F.sum(_on).alias(_k), F.count(F.when(F.col(_r), 1)).alias(_n))
-    pool = x.where(F.col(_r)).select(*dict.fromkeys([*block, id_col, value]))
+    out = drawn_sums(x.where(F.col(_r)), per, (_k, _n), block, id_col, value, rounds, seed)
+    return out.select("round", (F.col("total") / F.nullif(F.col("n_values"), F.lit(0.0))).alias("null_mean"), F.round("n").cast("long").alias("n"))
+
+
+def drawn_sums(rows: DataFrame, per: DataFrame, sizes: tuple[str, str], block: list[str], id_col: str, value: str, rounds: int, seed: str) -> DataFrame:
+    """round, total (of the values of the rows that drawn() would draw), n_values and n (how many there are); rows that share the last hash drawn count in part.
+
+    per: a row a block with its k and n, in the columns `sizes`. Every row is hashed once a round.
+    """
+    _k, _n = sizes
+    _on, _h, _sure, _v, _c, _r, _m = spare(rows.select("*", F.lit(0).alias(_k), F.lit(0).alias(_n)), "_on", "_h", "_sure", "_v", "_c", "_r", "_m")
+    pool = rows.select(*dict.fromkeys([*block, id_col, value]))
     key, h = ["round", *block], seeded(seed, "round", *block, id_col)
     near = _near_threshold(pool, per, block, h, rounds, [_k, _n, _h, _sure])
     parts = near.groupBy(*key, F.when(F.col(_sure) == 0, F.col(_h)).alias(_h)).agg(F.count(F.lit(1)).alias(_c), F.count(value).alias(_m), F.sum(value).alias(_v), F.max(_k).alias(_k), F.max(_n).alias(_n))
@@ -123,12 +135,14 @@ def permuted_means(events: DataFrame, block: list[str], id_col: str, label: Colu
     sure, some = F.sum(F.when(F.col(_h).isNull(), F.col(_c)).otherwise(0)).over(whole), F.sum(_c).over(whole)
     upto = F.sum(_c).over(whole.orderBy(F.col(_h).asc_nulls_first()))
     parts = parts.withColumns({_on: (sure > F.col(_k)) | (some < F.least(_k, _n)), _r: F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col(_k) - upto + F.col(_c)) / F.col(_c)))})
-    fine = parts.where(~F.col(_on)).select("round", (F.col(_v) * F.col(_r)).alias(_v), (F.col(_m) * F.col(_r)).alias(_m), (F.col(_c) * F.col(_r)).alias(_c))
-    bad = F.broadcast(parts.where(F.col(_on)).select(*key, F.lit(1).alias(_r)).distinct())  # next to none: see _short
-    again = _whole(beside(pool, per.select(*block, F.col(_k).alias(_on)), block, "inner"), block, h, F.col(_on), rounds, bad, [_k, _h, _r])
-    again = again.groupBy("round").agg(F.sum(value).alias(_v), F.count(value).cast("double").alias(_m), F.count(F.lit(1)).cast("double").alias(_c))
-    out = fine.unionByName(again).groupBy("round").agg(F.sum(_v).alias(_v), F.sum(_m).alias(_m), F.sum(_c).alias(_c))
-    return out.select("round", (F.col(_v) / F.nullif(F.col(_m), F.lit(0.0))).alias("null_mean"), F.round(_c).cast("long").alias("n"))
+    # a row a block and round, kept: rows are hashed for them once, and what follows takes both their sums and the blocks that have to be ranked whole
+    part = lambda c: F.sum(F.col(c) * F.col(_r)).alias(c)
+    met = kept(parts.groupBy(*key, _on).agg(part(_v), part(_m), part(_c)))
+    fine, bad = met.where(~F.col(_on)).select("round", _v, _m, _c), met.where(F.col(_on)).select(*key, F.lit(1).alias(_r))
+    if not bad.isEmpty():  # next to never: see _short
+        again = _whole(beside(pool, per.select(*block, F.col(_k).alias(_on)), block, "inner"), block, h, F.col(_on), rounds, F.broadcast(bad), [_k, _h, _r])
+        fine = fine.unionByName(again.groupBy("round").agg(F.sum(value).alias(_v), F.count(value).cast("double").alias(_m), F.count(F.lit(1)).cast("double").alias(_c)))
+    return fine.groupBy("round").agg(F.sum(_v).alias("total"), F.sum(_m).alias("n_values"), F.sum(_c).alias("n"))
 
 
 def chained(rows: DataFrame, key: str, order: list[str], payload: list[str]) -> DataFrame:
