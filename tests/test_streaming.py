@@ -63,3 +63,19 @@ def test_ema_carries_over_nulls_and_wilder(spark):
     assert [r.ema for r in folds.ema(rows, "k", ["t"], "v", 0.5).orderBy("t").collect()] == [None, 10.0, 10.0, 15.0]
     bars = spark.createDataFrame([("a", 1, 3.0, 1.0, 2.0), ("a", 2, 8.0, 6.0, 7.0)], "k string, t int, h double, l double, c double")
     assert [r.atr for r in folds.wilder_range(bars, "k", ["t"], "h", "l", "c", 2).orderBy("t").collect()] == [None, 4.0]
+
+
+def test_pieces_of_several_files_are_one_batch_each(spark, monkeypatch):
+    """A piece of many rows is written by many tasks and still read as one micro-batch, before the next piece."""
+    import glob
+
+    from tidemark.plans import catalogue, research
+
+    d, paths, fresh = "/root/testdata/sf0.001", [], research.fresh_path
+    monkeypatch.setattr(research, "fresh_path", lambda s, name: paths.append(fresh(s, name)) or paths[-1])
+    files = lambda: [len(glob.glob(p.removeprefix("file:") + "/*.parquet")) for p in paths if "/events-" in p]
+    want = {tuple(r) for r in catalogue.queries()["stream_positions"](spark, d).collect()}
+    assert files()[0] <= 4  # two pieces, and the closing row with an empty file beside it
+    monkeypatch.setattr(research, "FILE_ROWS", 100)
+    assert {tuple(r) for r in catalogue.queries()["stream_positions"](spark, d).collect()} == want
+    assert files()[1] - files()[0] >= 2 and (files()[1] - files()[0]) % 2 == 0

@@ -123,6 +123,8 @@ def level_crosses(spark, d):
 
 
 _ENDED = "2100-01-01 00:00:00"
+#: rows that a file of a stream holds at least, where its pieces hold more
+FILE_ROWS = 250_000
 
 
 def _stream(spark, d, parts: int = 2, **columns):
@@ -131,11 +133,16 @@ def _stream(spark, d, parts: int = 2, **columns):
     lo, hi = (x.timestamp() for x in e.agg(F.min("ts"), F.max("ts")).first())
     path = fresh_path(spark, "events")
     place = F.least(F.lit(parts - 1), F.floor((F.col("ts").cast("double") - lo) / ((hi - lo) / parts)))
+    e = e.withColumn("_place", place.cast("int"))
+    least = min([n for _, n in e.where("_place IS NOT NULL").groupBy("_place").count().collect()], default=0)  # a row a piece
+    files = max(1, least // FILE_ROWS)  # as many of each piece, none of them empty: a micro-batch is a piece
     for i in range(parts):
-        e.where(place == i).coalesce(1).write.mode("append").parquet(path)
+        piece = e.where(F.col("_place") == i).drop("_place")
+        (piece.repartition(files) if files > 1 else piece.coalesce(1)).write.mode("append").parquet(path)
+    e = e.drop("_place")
     last = {c: F.lit(None).cast(kind) for c, kind in e.dtypes} | {"ts": F.lit(_ENDED).cast("timestamp"), "event_id": F.lit(-1).cast("long")}
     spark.range(1).select(*[last[c].alias(c) for c in e.columns]).write.mode("append").parquet(path)
-    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def _sunk(spark, flow):
